@@ -1,136 +1,131 @@
 """Canonical text of IPv4, IPv6 and IPv4-mapped IPv6 addresses.
 
-Built from string and array expressions only, so a whole table is normalised in
-the scan stage: no Python, no shuffle and no join back.
+Built from SQL string and array functions only, so a whole table is normalised in
+the scan stage: no Python, no shuffle and no join back. The SQL is put together
+from small named pieces; each takes and returns SQL text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_V4 = r"^[0-9]{1,3}([.][0-9]{1,3}){3}$"
-_CANONICAL_V4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:[.](?!$)|$)){4}$"
-_GROUP = r"^[0-9a-f]{1,4}$"
-_DOTTED_TAIL = r"[0-9]+[.][0-9.]+$"
+CANONICAL_V4 = "^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:[.](?!$)|$)){4}$"
+DOTTED = "^[0-9]{1,3}([.][0-9]{1,3}){3}$"
+DOTTED_TAIL = "[0-9]+[.][0-9.]+$"
+GROUP = "^[0-9a-f]{1,4}$"
 
+_names = count()
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body(value)` with `value` evaluated once per row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
 
+def _let(value: str, body: Callable[[str], str]) -> str:
+    """`body` over a name bound to `value`, which is evaluated once per row."""
+    name = f"v{next(_names)}"
+    return f"element_at(transform(array({value}), {name} -> {body(name)}), 1)"
 
-def _octets(text: Column) -> Column:
+
+def _octets(text: str) -> str:
     """The four numbers of a dotted quad; NULL when it is not one."""
-    numbers = F.transform(F.split(text, "[.]"), lambda part: part.try_cast("int"))
+    numbers = f"transform(split({text}, '[.]'), part -> try_cast(part AS int))"
     return _let(
-        F.when(text.rlike(_V4), numbers),
-        lambda n: F.when(F.forall(n, lambda octet: octet <= 255), n),
+        f"IF({text} RLIKE '{DOTTED}', {numbers}, NULL)",
+        lambda n: f"IF(forall({n}, octet -> octet <= 255), {n}, NULL)",
     )
 
 
-def _dotted(octets: Column) -> Column:
-    text = F.array_join(F.transform(octets, lambda n: n.cast("string")), ".")
-    return F.when(octets.isNotNull(), text)
+def _dotted(octets: str) -> str:
+    return f"array_join(transform({octets}, octet -> CAST(octet AS string)), '.')"
 
 
-def _hex_pair(octets: Column, at: int) -> Column:
+def _hex_pair(octets: str, at: int) -> str:
     """Two octets as one hexadecimal group."""
-    return F.lower(F.hex(F.element_at(octets, at) * 256 + F.element_at(octets, at + 1)))
+    return f"lower(hex({octets}[{at}] * 256 + {octets}[{at + 1}]))"
 
 
-def _without_dotted_tail(text: Column) -> Column:
+def _without_dotted_tail(text: str) -> str:
     """IPv6 text whose dotted tail is rewritten as the last two groups."""
     rewritten = _let(
-        _octets(F.regexp_substr(text, F.lit(_DOTTED_TAIL))),
-        lambda n: F.concat(
-            F.regexp_replace(text, _DOTTED_TAIL, ""), _hex_pair(n, 1), F.lit(":"), _hex_pair(n, 3)
-        ),
+        _octets(f"regexp_substr({text}, '{DOTTED_TAIL}')"),
+        lambda n: f"concat(regexp_replace({text}, '{DOTTED_TAIL}', ''), "
+        f"{_hex_pair(n, 0)}, ':', {_hex_pair(n, 2)})",
     )
-    return F.when(text.contains("."), rewritten).otherwise(text)
+    return f"IF(contains({text}, '.'), {rewritten}, {text})"
 
 
-def _side(sides: Column, at: int) -> Column:
-    """Groups on one side of '::'."""
-    pieces = F.split(F.coalesce(F.get(sides, F.lit(at)), F.lit("")), ":")
-    return F.filter(pieces, lambda piece: piece != "")
+def _groups(text: str) -> str:
+    """The eight groups of an IPv6 text without leading zeros; NULL when malformed."""
 
+    def side(at: int) -> str:
+        pieces = f"split(coalesce(get(split({text}, '::'), {at}), ''), ':')"
+        return f"filter({pieces}, piece -> piece != '')"
+
+    def fill(both: str) -> str:
+        missing = f"(8 - size({both}.l) - size({both}.r))"
+        # An empty piece next to a single ':' is malformed; only '::' may make one.
+        dangling = f"{text} RLIKE '^:[^:]|[^:]:$|:::|::.*::'"
+        sound = f"IF(contains({text}, '::'), {missing} >= 1, {missing} = 0)"
+        filled = f"concat({both}.l, array_repeat('0', {missing}), {both}.r)"
+        return f"IF({sound} AND NOT {dangling}, {filled}, NULL)"
 
-def _groups(text: Column) -> Column:
-    """The eight groups of an IPv6 text without leading zeros; NULL when malformed."""
-    # An empty piece next to a single ':' is malformed; only '::' may produce one.
-    dangling = text.rlike("^:[^:]|[^:]:$|:::|::.*::")
-    sides = F.split(text, "::")
-
-    def fill(both: Column) -> Column:
-        left, right = both["left"], both["right"]
-        missing = F.lit(8) - F.size(left) - F.size(right)
-        sound = F.when(text.contains("::"), missing >= 1).otherwise(missing == 0)
-        zeros = F.array_repeat(F.lit("0"), missing)
-        return F.when(sound & ~dangling, F.concat(left, zeros, right))
-
-    filled = _let(F.struct(_side(sides, 0).alias("left"), _side(sides, 1).alias("right")), fill)
     return _let(
-        filled,
-        lambda groups: F.when(
-            F.forall(groups, lambda g: g.rlike(_GROUP)),
-            F.transform(groups, lambda g: F.regexp_replace(g, "^0+(?=.)", "")),
-        ),
+        _let(f"named_struct('l', {side(0)}, 'r', {side(1)})", fill),
+        lambda groups: f"IF(forall({groups}, g -> g RLIKE '{GROUP}'), "
+        f"transform({groups}, g -> regexp_replace(g, '^0+(?=.)', '')), NULL)",
     )
 
 
-def _compressed(groups: Column) -> Column:
+def _compressed(groups: str) -> str:
     """Groups joined by ':', the first longest run of two or more zeros as '::'."""
 
-    def squeeze(text: Column) -> Column:
-        squeezed = F.when(F.lit(False), text)
+    def squeeze(text: str) -> str:
+        cases = []
         for run in range(8, 1, -1):
-            zeros = rf"(?::0){{{run}}}(?::|$)"
-            squeezed = squeezed.when(
-                text.rlike(zeros), F.regexp_replace(text, rf"^(.*?){zeros}(.*)$", "$1::$2")
-            )
-        return squeezed.otherwise(text)
+            zeros = f"(?::0){{{run}}}(?::|$)"
+            squeezed = f"regexp_replace({text}, '^(.*?){zeros}(.*)$', '$1::$2')"
+            cases.append(f"WHEN {text} RLIKE '{zeros}' THEN {squeezed}")
+        return f"CASE {' '.join(cases)} ELSE {text} END"
 
-    text = F.concat(F.lit(":"), F.array_join(groups, ":"))
-    return F.regexp_replace(_let(text, squeeze), "^:(?!:)", "")
+    joined = f"concat(':', array_join({groups}, ':'))"
+    return f"regexp_replace({_let(joined, squeeze)}, '^:(?!:)', '')"
 
 
-def _mapped(groups: Column) -> Column:
+def _mapped(groups: str) -> str:
     """Dotted quad of ::ffff:a.b.c.d; NULL for any other address."""
+    numbers = [f"CAST(conv({groups}[{at}], 16, 10) AS int)" for at in (6, 7)]
+    octets = ", ".join(f"{n} div 256, {n} % 256" for n in numbers)
+    prefix = f"array_join(slice({groups}, 1, 6), ':')"
+    return f"IF({prefix} = '0:0:0:0:0:ffff', concat_ws('.', {octets}), NULL)"
+
+
+def canonical_ip_sql(address: str) -> str:
+    """SQL of the canonical text of an address given as SQL."""
+
+    def canonical(text: str) -> str:
+        v6 = _let(
+            _without_dotted_tail(text),
+            lambda flat: _let(
+                _groups(flat),
+                lambda groups: f"IF({groups} IS NULL, NULL, "
+                f"coalesce({_mapped(groups)}, {_compressed(groups)}))",
+            ),
+        )
+        return f"IF(contains({text}, ':'), {v6}, {_let(_octets(text), _dotted)})"
 
-    def bytes_of(at: int) -> list[Column]:
-        number = F.conv(F.element_at(groups, at), 16, 10).cast("int")
-        return [F.shiftright(number, 8).cast("string"), number.bitwiseAND(255).cast("string")]
-
-    return F.when(
-        F.array_join(F.slice(groups, 1, 6), ":") == "0:0:0:0:0:ffff",
-        F.concat_ws(".", *bytes_of(7), *bytes_of(8)),
-    )
+    # Most addresses are plain IPv4 already and take the short way.
+    spelled = _let(f"lower(trim({address}))", canonical)
+    return f"IF({address} RLIKE '{CANONICAL_V4}', {address}, {spelled})"
 
 
-def canonical_ip(address: Column | str) -> Column:
-    """Canonical address text; NULL when the text is not an address.
+def canonical_ip(column: str) -> Column:
+    """Canonical address text of a column; NULL when the text is not an address.
 
     IPv4 loses leading zeros, IPv6 follows RFC 5952, and an IPv4-mapped IPv6
     address prints as plain IPv4.
     """
-    text = F.lower(F.trim(F.col(address) if isinstance(address, str) else address))
-    v6 = _let(
-        _without_dotted_tail(text),
-        lambda flat: _let(
-            _groups(flat),
-            lambda groups: F.when(
-                groups.isNotNull(), F.coalesce(_mapped(groups), _compressed(groups))
-            ),
-        ),
-    )
-    return (
-        F.when(text.rlike(_CANONICAL_V4), text)
-        .when(F.instr(text, ":") > 0, v6)
-        .otherwise(_let(_octets(text), _dotted))
-    )
+    return F.expr(canonical_ip_sql(column))
 
 
 def normalize_ips(packets: DataFrame, columns: Iterable[str] = ("src_ip", "dst_ip")) -> DataFrame:

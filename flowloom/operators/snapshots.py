@@ -119,12 +119,13 @@ def latest_per_flow(
 
     Equal times are settled by the larger values, so a replayed or re-emitted
     snapshot cannot make the answer depend on row order. The newest row is one
-    struct maximum, combined before the shuffle.
+    struct maximum, combined before the shuffle. Spark sorts for it, by the grouping
+    keys in turn, so the keys with many values come before the task.
     """
-    keys = ["task_name", *KEY_TYPES]
+    keys = [*KEY_TYPES, "task_name"]
     newest = F.max(F.struct("snapshot_ts", *values)).alias("newest")
     return (
         flow_metrics.groupBy(*keys)
         .agg(newest)
-        .select(*keys, "newest.snapshot_ts", *[f"newest.{name}" for name in values])
+        .select("task_name", *KEY_TYPES, "newest.snapshot_ts", *[f"newest.{n}" for n in values])
     )

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,7 +26,7 @@ from flowloom.model import COUNT, SIZE
 SKETCH_SCHEMA = "type int, row int, bucket int, flow string, vote bigint"
 
 # Packets folded into the sketch at a time; bounds the memory beside the sketch.
-FOLD_ROWS = 1 << 17
+FOLD_ROWS = 1 << 18
 
 
 def vote_sketch(
@@ -35,14 +35,18 @@ def vote_sketch(
     width: int,
     depth: int,
     method: str = "xxhash64",
+    tasks: int | None = None,
 ) -> DataFrame:
-    """One partial sketch per input partition; combine them with `merge_sketches`.
+    """Partial sketches, one per task; combine them with `merge_sketches`.
 
     Packets are not shuffled. A task holds one sketch of fixed size and emits at
-    most 2 x depth x width rows, however many flows pass through it.
+    most 2 x depth x width rows, however many packets and flows pass through it.
+    A large scan has many more splits than the cluster has cores, and a sketch per
+    split would make the merge outgrow the data; so splits are chained into at most
+    `tasks` tasks (default: the session's parallelism).
     """
     label = flow_label(fields)
-    hashed = packets.select(
+    hashed = packets.coalesce(tasks or _parallelism(packets.sparkSession)).select(
         label.alias("flow"),
         "length",
         *[
@@ -53,6 +57,12 @@ def vote_sketch(
     return hashed.mapInArrow(_partition_sketch(width, depth, FOLD_ROWS), SKETCH_SCHEMA)
 
 
+def _parallelism(spark: SparkSession) -> int:
+    """Tasks that keep the deployment busy: its cores, or its shuffle partitions."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(partitions, spark.sparkContext.defaultParallelism)
+
+
 def _partition_sketch(width: int, depth: int, fold_rows: int) -> Callable:
     """Arrow stage that elects candidates over the batches of one partition."""
     import numpy as np

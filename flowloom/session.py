@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
@@ -40,16 +41,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@cache
+def _local_base() -> str:
+    return tempfile.mkdtemp(prefix="flowloom-")
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder for tables and checkpoints that every executor can reach.
 
-    Taken under `spark.checkpoint.dir`. Only a local master may do without that
-    setting; there, one temporary folder serves driver and executors alike.
+    Taken under `spark.checkpoint.dir`. Only a local master, whose driver and
+    executors are one process, may do without that setting.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        base = tempfile.mkdtemp(prefix="flowloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_base()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

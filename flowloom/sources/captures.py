@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from flowloom.functions.addresses import canonical_ip
+from flowloom.functions.addresses import canonical_ip_sql
 from flowloom.model import TCP, UDP
 
 RECORD_SCHEMA = (
@@ -119,29 +119,27 @@ def decode_records(data, starts, kept, link_type: int) -> dict:
 
 
 def _pieces(stream, order: str) -> Iterator[tuple]:
-    """(bytes, record headers, packet starts) of successive pieces of a file.
+    """(bytes, record positions) of successive pieces of a file.
 
     A record cut off by the end of the file is left out, as is all that follows a
     header whose lengths cannot be right.
     """
     import struct
 
-    unpack = struct.Struct(f"{order}IIII").unpack_from
+    captured_bytes = struct.Struct(f"{order}I").unpack_from
     held = b""
     while True:
         read = stream.read(PIECE)
         held = held + read if held else read
-        headers, starts, position, size = [], [], 0, len(held)
+        records, position, size = [], 0, len(held)
         while position + RECORD_HEADER_BYTES <= size:
-            header = unpack(held, position)
-            start = position + RECORD_HEADER_BYTES
-            if start + header[2] > size:
+            following = position + RECORD_HEADER_BYTES + captured_bytes(held, position + 8)[0]
+            if following > size:
                 break
-            headers.append(header)
-            starts.append(start)
-            position = start + header[2]
-        if headers:
-            yield held, headers, starts
+            records.append(position)
+            position = following
+        if records:
+            yield held, records
         held = held[position:]
         if not read:
             return
@@ -189,13 +187,15 @@ class CaptureReader(DataSourceReader):
             link_type = int.from_bytes(head[20:24], "little" if order == "<" else "big") & 0xFFFF
             if link_type not in ETHER_TYPE_AT:
                 raise ValueError(f"{path}: unsupported link type {link_type}")
-            for held, headers, starts in _pieces(stream, order):
-                seconds, fractions, kept, lengths = np.array(headers, dtype=np.int64).T
+            for held, records in _pieces(stream, order):
                 data = np.frombuffer(held, dtype=np.uint8)
-                packet = decode_records(data, np.array(starts, dtype=np.int64), kept, link_type)
+                at = np.array(records, dtype=np.int64)
+                header = data[at[:, None] + np.arange(RECORD_HEADER_BYTES)]
+                seconds, fractions, kept, lengths = header.view(f"{order}u4").astype(np.int64).T
+                packet = decode_records(data, at + RECORD_HEADER_BYTES, kept, link_type)
                 no_v4 = ~packet["is_v4"]
                 columns = [
-                    pa.array([path] * len(starts), type=pa.string()),
+                    pa.array([path] * len(at), type=pa.string()),
                     pa.array(seconds * 1_000_000_000 + fractions * fraction),
                     pa.array(packet["ip_version"]),
                     pa.array(packet["src_v4"], mask=no_v4),
@@ -231,33 +231,26 @@ class CaptureSource(DataSource):
         return CaptureReader(self.options["path"])
 
 
-def _v4_text(number: str):
-    octets = [F.shiftright(number, shift).bitwiseAND(255).cast("string") for shift in (24, 16, 8, 0)]
-    return F.concat_ws(".", *octets)
-
-
-def _v6_text(address: str):
-    return canonical_ip(F.regexp_replace(F.hex(address), "(.{4})(?!$)", "$1:"))
+def _address_text(side: str):
+    octets = ", ".join(f"shiftright({side}_v4, {shift}) & 255" for shift in (24, 16, 8, 0))
+    v6 = canonical_ip_sql(f"regexp_replace(hex({side}_v6), '(.{{4}})(?!$)', '$1:')")
+    return F.expr(
+        f"CASE ip_version WHEN 4 THEN concat_ws('.', {octets}) WHEN 6 THEN {v6} END"
+    ).alias(f"{side}_ip")
 
 
 def capture_records(spark: SparkSession, folder: str) -> DataFrame:
     """Every record of the capture files, with `bad` for what is not an IP packet."""
     spark.dataSource.register(CaptureSource)
     records = spark.read.format("capture").load(folder)
-
-    def text(side: str):
-        return F.when(F.col("ip_version") == 4, _v4_text(f"{side}_v4")).when(
-            F.col("ip_version") == 6, _v6_text(f"{side}_v6")
-        )
-
     micros = F.call_function("div", F.col("ts_nanos"), F.lit(1000))
     return records.select(
         "file",
         "ts_nanos",
         F.timestamp_micros(micros).cast("timestamp_ntz").alias("ts"),
         "ip_version",
-        text("src").alias("src_ip"),
-        text("dst").alias("dst_ip"),
+        _address_text("src"),
+        _address_text("dst"),
         "src_port",
         "dst_port",
         "protocol",
