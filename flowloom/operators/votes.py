@@ -15,13 +15,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowloom.functions.hashing import seeded_bucket, seeded_buckets
 from flowloom.functions.keys import flow_label
 from flowloom.model import COUNT, SIZE
+from flowloom.session import parallelism
 
 SKETCH_SCHEMA = "type int, row int, bucket int, flow string, vote bigint"
 
@@ -46,7 +47,7 @@ def vote_sketch(
     `tasks` tasks (default: the session's parallelism).
     """
     label = flow_label(fields)
-    hashed = packets.coalesce(tasks or _parallelism(packets.sparkSession)).select(
+    hashed = packets.coalesce(tasks or parallelism(packets.sparkSession)).select(
         label.alias("flow"),
         "length",
         *[
@@ -57,12 +58,6 @@ def vote_sketch(
     return hashed.mapInArrow(_partition_sketch(width, depth, FOLD_ROWS), SKETCH_SCHEMA)
 
 
-def _parallelism(spark: SparkSession) -> int:
-    """Tasks that keep the deployment busy: its cores, or its shuffle partitions."""
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(partitions, spark.sparkContext.defaultParallelism)
-
-
 def _partition_sketch(width: int, depth: int, fold_rows: int) -> Callable:
     """Arrow stage that elects candidates over the batches of one partition."""
     import numpy as np

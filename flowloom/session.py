@@ -41,6 +41,12 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Tasks that keep the deployment busy: its cores, or its shuffle partitions."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(partitions, spark.sparkContext.defaultParallelism)
+
+
 @cache
 def _local_base() -> str:
     return tempfile.mkdtemp(prefix="flowloom-")

@@ -1,9 +1,10 @@
-"""Capture files (pcap) as a Spark data source, and a writer for them.
+"""Capture files (pcap) read as packet tables, and a writer for them.
 
-`spark.read.format("capture").load(folder)` makes one read task per file: the
-format has no marks to split at. A task streams its file in fixed-size pieces and
-decodes each piece with array operations, so memory does not grow with the file.
-Addresses leave the source as numbers and bytes; Spark formats them as text.
+Spark lists the folder and spreads byte ranges of the files over tasks. A task
+streams its ranges in fixed-size pieces and decodes each piece with array
+operations, so memory does not grow with a file. Files larger than a split are read
+by many tasks at once, although the format has no marks to split at: see
+`capture_ranges`. Addresses leave Python as numbers and bytes; Spark formats them.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from flowloom.functions.addresses import canonical_ip_sql
 from flowloom.model import TCP, UDP
+from flowloom.session import parallelism
 
 RECORD_SCHEMA = (
     "file string, ts_nanos bigint, ip_version int, src_v4 bigint, dst_v4 bigint, "
@@ -23,8 +25,11 @@ RECORD_SCHEMA = (
     "length bigint, bad boolean"
 )
 
-# Bytes of a file held at a time.
+# Bytes of a file held at a time, and bytes of a file for one task.
 PIECE = 8 << 20
+SPLIT_BYTES = 256 << 20
+
+TEN_YEARS = 10 * 366 * 86400
 
 # File magics (byte order, nanoseconds per fraction unit), link types
 # with the offset of their ether type (None: bare IP), and protocol numbers.
@@ -40,6 +45,7 @@ IPV4_TYPE, IPV6_TYPE = 0x0800, 0x86DD
 VLAN_TYPES = (0x8100, 0x88A8)
 HOP_BY_HOP, ROUTING, DESTINATION = 0, 43, 60
 FILE_HEADER_BYTES, RECORD_HEADER_BYTES = 24, 16
+LONGEST_PACKET = 262144
 
 
 def decode_records(data, starts, kept, link_type: int) -> dict:
@@ -118,117 +124,205 @@ def decode_records(data, starts, kept, link_type: int) -> dict:
     }
 
 
-def _pieces(stream, order: str) -> Iterator[tuple]:
-    """(bytes, record positions) of successive pieces of a file.
+def _walk(stream, order: str, begin: int, stop: int) -> Iterator[tuple]:
+    """(bytes, record positions in them, file position after them), piece by piece.
 
+    Starts at the record at `begin` and ends before the first one at or after `stop`.
     A record cut off by the end of the file is left out, as is all that follows a
     header whose lengths cannot be right.
     """
     import struct
 
     captured_bytes = struct.Struct(f"{order}I").unpack_from
-    held = b""
-    while True:
+    stream.seek(begin)
+    held, held_at = b"", begin
+    while held_at < stop:
         read = stream.read(PIECE)
         held = held + read if held else read
-        records, position, size = [], 0, len(held)
-        while position + RECORD_HEADER_BYTES <= size:
+        records, position = [], 0
+        limit = min(len(held), stop - held_at + RECORD_HEADER_BYTES - 1)
+        while position + RECORD_HEADER_BYTES <= limit:
             following = position + RECORD_HEADER_BYTES + captured_bytes(held, position + 8)[0]
-            if following > size:
+            if following > len(held):
                 break
             records.append(position)
             position = following
         if records:
-            yield held, records
-        held = held[position:]
+            yield held, records, held_at + position
+        held, held_at = held[position:], held_at + position
         if not read:
             return
 
 
-class CaptureFile(InputPartition):
-    """One capture file, read by one task."""
-
-    def __init__(self, path: str):
-        self.path = path
-
+def _open(path: str):
+    """(stream, byte order, nanoseconds per fraction, longest packet, link type)."""
+    from pyarrow import fs
 
-class CaptureReader(DataSourceReader):
-    """Lists the files of a folder and reads each as Arrow batches."""
+    files, name = fs.FileSystem.from_uri(_uri(path))
+    stream = files.open_input_file(name)
+    head = stream.read(FILE_HEADER_BYTES)
+    if len(head) < FILE_HEADER_BYTES or head[:4] not in MAGICS:
+        raise ValueError(f"{path} is not a capture file")
+    order, fraction = MAGICS[head[:4]]
+    word = "little" if order == "<" else "big"
+    link_type = int.from_bytes(head[20:24], word) & 0xFFFF
+    if link_type not in ETHER_TYPE_AT:
+        raise ValueError(f"{path}: unsupported link type {link_type}")
+    longest = int.from_bytes(head[16:20], word) or LONGEST_PACKET
+    return stream, order, fraction, min(longest, LONGEST_PACKET), link_type
 
-    def __init__(self, folder: str):
-        self.folder = folder
 
-    def partitions(self) -> list[CaptureFile]:
-        from pyarrow import fs
+def _uri(path: str) -> str:
+    """A path with a scheme that Arrow knows; plain absolute paths are local files."""
+    if path.startswith("s3a://"):
+        return path.replace("s3a://", "s3://", 1)
+    return path if "://" in path else f"file://{path.removeprefix('file:')}"
 
-        files, root = fs.FileSystem.from_uri(_uri(self.folder))
-        if files.get_file_info(root).type == fs.FileType.File:
-            return [CaptureFile(self.folder)]
-        listed = files.get_file_info(fs.FileSelector(root, recursive=True))
-        names = sorted(
-            info.path
-            for info in listed
-            if info.type == fs.FileType.File and info.base_name[0] not in "._"
-        )
-        prefix = _uri(self.folder)[: -len(root)] if _uri(self.folder).endswith(root) else ""
-        return [CaptureFile(prefix + name) for name in names]
 
-    def read(self, partition: CaptureFile) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-        from pyarrow import fs
+def _guess_record(stream, order: str, fraction: int, longest: int, begin: int) -> int | None:
+    """Where the first record at or after `begin` seems to start, if anywhere near.
 
-        files, path = fs.FileSystem.from_uri(_uri(partition.path))
-        with files.open_input_stream(path) as stream:
-            head = stream.read(FILE_HEADER_BYTES)
-            if len(head) < FILE_HEADER_BYTES or head[:4] not in MAGICS:
-                raise ValueError(f"{path} is not a capture file")
-            order, fraction = MAGICS[head[:4]]
-            link_type = int.from_bytes(head[20:24], "little" if order == "<" else "big") & 0xFFFF
-            if link_type not in ETHER_TYPE_AT:
-                raise ValueError(f"{path}: unsupported link type {link_type}")
-            for held, records in _pieces(stream, order):
-                data = np.frombuffer(held, dtype=np.uint8)
-                at = np.array(records, dtype=np.int64)
-                header = data[at[:, None] + np.arange(RECORD_HEADER_BYTES)]
-                seconds, fractions, kept, lengths = header.view(f"{order}u4").astype(np.int64).T
-                packet = decode_records(data, at + RECORD_HEADER_BYTES, kept, link_type)
-                no_v4 = ~packet["is_v4"]
-                columns = [
-                    pa.array([path] * len(at), type=pa.string()),
-                    pa.array(seconds * 1_000_000_000 + fractions * fraction),
-                    pa.array(packet["ip_version"]),
-                    pa.array(packet["src_v4"], mask=no_v4),
-                    pa.array(packet["dst_v4"], mask=no_v4),
-                    pa.array(packet["src_v6"], type=pa.binary()),
-                    pa.array(packet["dst_v6"], type=pa.binary()),
-                    pa.array(packet["src_port"]),
-                    pa.array(packet["dst_port"]),
-                    pa.array(packet["protocol"]),
-                    pa.array(lengths),
-                    pa.array(packet["bad"]),
-                ]
-                names = [field.split()[0] for field in RECORD_SCHEMA.split(", ")]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+    A position is taken when a chain of plausible headers runs from it to the end of
+    what is looked at. Guesses are verified before they are used.
+    """
+    import numpy as np
 
+    stream.seek(FILE_HEADER_BYTES)
+    first_second = np.frombuffer(stream.read(4), dtype=f"{order}u4")[0].astype(np.int64)
+    stream.seek(begin)
+    data = np.frombuffer(stream.read(4 * (longest + RECORD_HEADER_BYTES)), dtype=np.uint8)
+    count = len(data) - RECORD_HEADER_BYTES + 1
+    if count <= 0:
+        return None
+
+    def word(offset: int):
+        steps = range(4) if order == "<" else range(3, -1, -1)
+        parts = [data[offset + k : offset + k + count].astype(np.int64) << 8 * s
+                 for k, s in enumerate(steps)]
+        return parts[0] | parts[1] | parts[2] | parts[3]
+
+    seconds, fractions, kept, lengths = (word(offset) for offset in (0, 4, 8, 12))
+    plausible = (
+        (np.abs(seconds - first_second) < TEN_YEARS)
+        & (fractions * fraction < 1_000_000_000)
+        & (kept > 0)
+        & (kept <= longest)
+        & (kept <= lengths)
+    )
+    for candidate in np.flatnonzero(plausible[: longest + RECORD_HEADER_BYTES]):
+        position = int(candidate)
+        while position < count and plausible[position]:
+            position += RECORD_HEADER_BYTES + int(kept[position])
+        if position >= count:
+            return begin + int(candidate)
+    return None
 
-def _uri(path: str) -> str:
-    """A path with a scheme; plain absolute paths are local files."""
-    return path if "://" in path else f"file://{path.removeprefix('file:')}"
 
+def _locate(batches: Iterator) -> Iterator:
+    """Guess where the records of a byte range start, and walk to where they end."""
+    import pyarrow as pa
 
-class CaptureSource(DataSource):
-    """Spark data source named `capture`."""
+    for batch in batches:
+        starts, ends = [], []
+        for path, first, last in zip(*(batch.column(n).to_pylist() for n in ("path", "first", "last"))):
+            stream, order, fraction, longest, _ = _open(path)
+            with stream:
+                if first == 0:
+                    start = FILE_HEADER_BYTES
+                else:
+                    start = _guess_record(stream, order, fraction, longest, first)
+                end = start
+                if start is not None:
+                    for *_, end in _walk(stream, order, start, last):
+                        pass
+            starts.append(start)
+            ends.append(end)
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(starts, pa.int64()), pa.array(ends, pa.int64())],
+            names=[*batch.schema.names, "start", "stop"],
+        )
 
-    @classmethod
-    def name(cls) -> str:
-        return "capture"
 
-    def schema(self) -> str:
-        return RECORD_SCHEMA
+def _decode(batches: Iterator) -> Iterator:
+    """Packets of the given record ranges, one Arrow batch per piece of a file."""
+    import numpy as np
+    import pyarrow as pa
 
-    def reader(self, schema) -> CaptureReader:
-        return CaptureReader(self.options["path"])
+    names = [field.split()[0] for field in RECORD_SCHEMA.split(", ")]
+    for batch in batches:
+        for path, start, stop in zip(*(batch.column(n).to_pylist() for n in ("path", "start", "stop"))):
+            stream, order, fraction, _, link_type = _open(path)
+            with stream:
+                for held, records, _ in _walk(stream, order, start, stop):
+                    data = np.frombuffer(held, dtype=np.uint8)
+                    at = np.array(records, dtype=np.int64)
+                    header = data[at[:, None] + np.arange(RECORD_HEADER_BYTES)]
+                    header = header.view(f"{order}u4").astype(np.int64)
+                    seconds, fractions, kept, lengths = header.T
+                    packet = decode_records(data, at + RECORD_HEADER_BYTES, kept, link_type)
+                    no_v4 = ~packet["is_v4"]
+                    columns = [
+                        pa.array([path] * len(at), type=pa.string()),
+                        pa.array(seconds * 1_000_000_000 + fractions * fraction),
+                        pa.array(packet["ip_version"]),
+                        pa.array(packet["src_v4"], mask=no_v4),
+                        pa.array(packet["dst_v4"], mask=no_v4),
+                        pa.array(packet["src_v6"], type=pa.binary()),
+                        pa.array(packet["dst_v6"], type=pa.binary()),
+                        pa.array(packet["src_port"]),
+                        pa.array(packet["dst_port"]),
+                        pa.array(packet["protocol"]),
+                        pa.array(lengths),
+                        pa.array(packet["bad"]),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def capture_ranges(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(path, start, stop): record ranges that together cover every file once.
+
+    A file of up to `split_bytes` is one range. In a larger file, each split guesses
+    where its first record starts and walks from there to the next split. The guesses
+    hold if every walk ends where the next split starts: the first split starts at
+    the known first record, so by induction all do. From the first split that does not
+    match, the rest of its file is one range, walked from where the last one ended.
+    """
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .load(folder)
+        .select("path", "length")
+    )
+    whole = files.where(F.col("length") <= split_bytes).select(
+        "path", F.lit(FILE_HEADER_BYTES).cast("bigint").alias("start"), F.col("length").alias("stop")
+    )
+    large = files.where(F.col("length") > split_bytes)
+    splits = large.select(
+        "path",
+        "length",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(split_bytes))).alias(
+            "first"
+        ),
+    ).withColumn("last", F.least(F.col("first") + split_bytes, "length"))
+    located = splits.repartition(parallelism(spark), "path", "first").mapInArrow(
+        _locate,
+        "path string, length bigint, first bigint, last bigint, start bigint, stop bigint",
+    )
+    along = W.partitionBy("path").orderBy("first")
+    linked = located.withColumn(
+        "reached", F.lag("stop", 1, FILE_HEADER_BYTES).over(along)
+    ).withColumn("broken", ~F.col("start").eqNullSafe(F.col("reached")))
+    first_broken = F.min(F.when(F.col("broken"), F.col("first"))).over(W.partitionBy("path"))
+    verified = linked.withColumn("first_broken", first_broken).where(
+        F.col("first_broken").isNull() | (F.col("first") <= F.col("first_broken"))
+    )
+    return whole.unionByName(
+        verified.select(
+            "path",
+            F.when(F.col("broken"), F.col("reached")).otherwise(F.col("start")).alias("start"),
+            F.when(F.col("broken"), F.col("length")).otherwise(F.col("stop")).alias("stop"),
+        )
+    )
 
 
 def _address_text(side: str):
@@ -239,10 +333,12 @@ def _address_text(side: str):
     ).alias(f"{side}_ip")
 
 
-def capture_records(spark: SparkSession, folder: str) -> DataFrame:
+def capture_records(
+    spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES
+) -> DataFrame:
     """Every record of the capture files, with `bad` for what is not an IP packet."""
-    spark.dataSource.register(CaptureSource)
-    records = spark.read.format("capture").load(folder)
+    ranges = capture_ranges(spark, folder, split_bytes).repartition(parallelism(spark))
+    records = ranges.mapInArrow(_decode, RECORD_SCHEMA)
     micros = F.call_function("div", F.col("ts_nanos"), F.lit(1000))
     return records.select(
         "file",
@@ -259,9 +355,9 @@ def capture_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def pcap_scan(spark: SparkSession, folder: str) -> DataFrame:
+def pcap_scan(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Packets of all capture files of a folder; unparsable records are skipped."""
-    return capture_records(spark, folder).where(~F.col("bad")).drop("bad")
+    return capture_records(spark, folder, split_bytes).where(~F.col("bad")).drop("bad")
 
 
 def write_captures(packets: DataFrame, folder: str) -> DataFrame:
