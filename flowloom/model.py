@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # The public names of the five key fields and their columns.
 KEY_COLUMNS = {
@@ -179,7 +181,19 @@ class AlertRule:
         return found
 
 
+def small_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
+    """Rows of the driver as a table whose size Spark knows when it plans joins.
+
+    Built through Arrow, which gives a local relation; rows alone would become a
+    distributed table of unknown size.
+    """
+    columns = zip(*rows) if rows else [()] * len(schema)
+    arrow = to_arrow_schema(schema)
+    arrays = [pa.array(column, field.type) for column, field in zip(columns, arrow)]
+    return spark.createDataFrame(pa.table(arrays, schema=arrow), schema)
+
+
 def rules_frame(spark: SparkSession, rules: Iterable[AlertRule]) -> DataFrame:
     """Rules as rows. Rules with problems stay in the table and never fire."""
     rows = [(r.name, r.task_name, r.metric, r.operator, float(r.threshold)) for r in rules]
-    return spark.createDataFrame(rows, RULES_SCHEMA)
+    return small_table(spark, rows, RULES_SCHEMA)

@@ -7,13 +7,13 @@ reaches the reducers as one row per scan task.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions.keys import flow_label, pad_missing_keys
-from flowloom.model import COUNT, FIVE_TUPLE, SIZE, ExactTask, key_columns
+from flowloom.model import COUNT, FIVE_TUPLE, KEY_TYPES, SIZE, ExactTask, key_columns
 
 # Above this many distinct key sets, packets are first reduced to their finest
 # flows and the key sets are rolled up from there: GROUPING SETS copies every
@@ -49,12 +49,16 @@ def flow_aggregate(packets: DataFrame, fields: Iterable[str]) -> DataFrame:
 
 
 def multi_task_aggregate(
-    packets: DataFrame, tasks: Sequence[ExactTask], roll_up: bool | None = None
+    packets: DataFrame,
+    tasks: Sequence[ExactTask],
+    roll_up: bool | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Flows of every task from one scan of the packets, tagged with task_name.
 
     Tasks with the same key set share one grouping set and are told apart after
     aggregation. `roll_up` forces or forbids reducing to the finest flows first.
+    `by` names further columns that every task groups by, such as a time cell.
     """
     if not tasks:
         raise ValueError("no tasks")
@@ -67,34 +71,50 @@ def multi_task_aggregate(
     for task in tasks:
         tasks_of.setdefault(frozenset(task.keys), []).append(task.name)
 
+    if len(tasks_of) == 1:
+        flows = packets.groupBy(*used, *by).agg(*packet_measures())
+        owners = F.array(*map(F.lit, names))
+    else:
+        flows, owners = _grouping_sets(packets, used, tasks_of, roll_up, by)
+    tagged = flows.withColumn("task_name", F.explode(owners))
+    fields = [field for field in FIVE_TUPLE if key_columns([field])[0] in used]
+    measures = ["start_time", "end_time", "byte_count", "packet_count"]
+    return pad_missing_keys(tagged, fields).select("task_name", *KEY_TYPES, *by, *measures)
+
+
+def _grouping_sets(
+    packets: DataFrame,
+    used: Sequence[str],
+    tasks_of: Mapping[frozenset, Sequence[str]],
+    roll_up: bool | None,
+    by: Sequence[str],
+) -> tuple[DataFrame, Column]:
+    """Flows of all key sets at once, and the tasks that each row belongs to."""
     if roll_up is None:
         roll_up = len(tasks_of) > ROLL_UP_FROM
     rows, measures = packets, packet_measures()
     if roll_up:
-        rows, measures = packets.groupBy(*used).agg(*packet_measures()), flow_measures()
+        rows, measures = packets.groupBy(*used, *by).agg(*packet_measures()), flow_measures()
 
-    sets = [[F.col(name) for name in used if name in keys] for keys in tasks_of]
-    grouped = rows.groupingSets(sets, *[F.col(name) for name in used]).agg(
+    always = [F.col(name) for name in by]
+    sets = [always + [F.col(name) for name in used if name in keys] for keys in tasks_of]
+    flows = rows.groupingSets(sets, *always, *[F.col(name) for name in used]).agg(
         F.grouping_id().alias("grouping"), *measures
     )
 
-    def grouping(keys: frozenset) -> int:
-        return int("".join("0" if name in keys else "1" for name in used), 2)
+    def grouping(keys: frozenset) -> Column:
+        """grouping_id: a bit per column, set where the column is not in the set."""
+        bits = "".join("0" if name in keys else "1" for name in used)
+        return F.lit(int(bits, 2)).cast("bigint")
 
     owners = F.create_map(
         *[
             item
-            for keys, owner_names in tasks_of.items()
-            for item in (
-                F.lit(grouping(keys)).cast("bigint"),
-                F.array(*[F.lit(name) for name in owner_names]),
-            )
+            for keys, names in tasks_of.items()
+            for item in (grouping(keys), F.array(*map(F.lit, names)))
         ]
     )
-    tagged = grouped.withColumn("task_name", F.explode(owners[F.col("grouping")])).drop("grouping")
-    fields = [field for field in FIVE_TUPLE if key_columns([field])[0] in used]
-    padded = pad_missing_keys(tagged, fields)
-    return padded.select("task_name", *[c for c in padded.columns if c != "task_name"])
+    return flows, owners[F.col("grouping")]
 
 
 def snapshot_totals(flows: DataFrame) -> DataFrame:

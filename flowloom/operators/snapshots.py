@@ -7,17 +7,16 @@ and the end of a period always has a snapshot.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowloom.functions.keys import pad_missing_keys
 from flowloom.functions.times import EPOCH, grid, ntz
-from flowloom.model import FLOW_METRICS_SCHEMA, KEY_TYPES, key_columns
-from flowloom.operators.flows import packet_measures
+from flowloom.model import FLOW_METRICS_SCHEMA, KEY_TYPES, ExactTask
+from flowloom.operators.flows import multi_task_aggregate
 
 
 def with_snapshot_times(
@@ -40,8 +39,7 @@ def with_snapshot_times(
 
 def cumulative_snapshots(
     packets: DataFrame,
-    task_name: str,
-    fields: Iterable[str],
+    tasks: ExactTask | Sequence[ExactTask],
     interval: timedelta,
     period: timedelta,
     origin: datetime = EPOCH,
@@ -54,22 +52,20 @@ def cumulative_snapshots(
     gives the same latest row as of any time. `dense` repeats every live flow at
     every snapshot of its period up to `until` (default: the last snapshot taken).
 
-    Packets are reduced to one row per flow and snapshot before the running sum,
-    so a window partition is bounded by the snapshots of one period.
+    All tasks share one scan. Packets are reduced to one row per flow and snapshot
+    before the running sum, so a window partition is bounded by the snapshots of one
+    period, however many packets its flow has.
     """
-    fields = list(fields)
-    keys = key_columns(fields)
-    ticks = (
-        with_snapshot_times(packets, "ts", interval, period, origin)
-        .groupBy("period_start", *keys, "snapshot_ts")
-        .agg(*packet_measures())
-    )
-    flow = W.partitionBy("period_start", *keys).orderBy("snapshot_ts")
+    tasks = [tasks] if isinstance(tasks, ExactTask) else list(tasks)
+    timed = with_snapshot_times(packets, "ts", interval, period, origin)
+    ticks = multi_task_aggregate(timed, tasks, by=["period_start", "snapshot_ts"])
+    keys = [name for name in KEY_TYPES if any(name in task.keys for task in tasks)]
+    flow = W.partitionBy(*keys, "task_name", "period_start").orderBy("snapshot_ts")
     so_far = flow.rowsBetween(W.unboundedPreceding, W.currentRow)
     running = ticks.select(
         "snapshot_ts",
-        F.lit(task_name).alias("task_name"),
-        *keys,
+        "task_name",
+        *KEY_TYPES,
         F.min("start_time").over(so_far).alias("start_time"),
         F.max("end_time").over(so_far).alias("end_time"),
         F.sum("byte_count").over(so_far).alias("byte_count"),
@@ -79,8 +75,7 @@ def cumulative_snapshots(
     )
     if dense:
         running = _repeat_until_next(running, packets, interval, period, origin, until)
-    padded = pad_missing_keys(running, fields)
-    return padded.select(*FLOW_METRICS_SCHEMA.names)
+    return running.select(*FLOW_METRICS_SCHEMA.names)
 
 
 def _repeat_until_next(

@@ -13,15 +13,28 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowloom.functions.times import EPOCH, ntz
-from flowloom.model import FIVE_TUPLE, KEY_COLUMNS, KEY_TYPES, SPREAD, ExactTask, SketchTask
+from flowloom.model import (
+    FIVE_TUPLE,
+    KEY_COLUMNS,
+    KEY_TYPES,
+    SPREAD,
+    ExactTask,
+    SketchTask,
+    small_table,
+)
 from flowloom.operators.filters import as_of, filter_flow_keys, filter_flows, filter_hitters
 from flowloom.operators.ranking import top_k
 from flowloom.operators.snapshots import latest_per_flow
 
 Moment = datetime | str | Column
 
+POINTS_SCHEMA = T.StructType(
+    [T.StructField("position", T.IntegerType()), T.StructField("target", T.StringType())]
+)
+
 
 def aggregate_flows(
     flow_metrics: DataFrame,
@@ -240,10 +253,7 @@ def timeseries_points(
     totals = aggregate_flows(rows, bound).select(
         F.col("task_name").alias("target"), "total_packets"
     )
-    points = flow_metrics.sparkSession.createDataFrame(
-        [(position, target) for position, target in enumerate(wanted)],
-        "position int, target string",
-    )
+    points = small_table(flow_metrics.sparkSession, list(enumerate(wanted)), POINTS_SCHEMA)
     return (
         points.join(totals, "target", "left")
         .orderBy("position")

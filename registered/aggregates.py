@@ -129,7 +129,7 @@ DENSE = f"""WITH {EVENTS}, {TICKS},
 @query("cumulative_snapshots_dense", DENSE)
 def _(spark, sf_dir):
     return cumulative_snapshots(
-        event_packets(spark, sf_dir), "per_src_ip", ["SrcIP"], DAY, PERIOD, ORIGIN, dense=True
+        event_packets(spark, sf_dir), EXACT[1], DAY, PERIOD, ORIGIN, dense=True
     )
 
 

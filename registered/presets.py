@@ -69,18 +69,11 @@ REPORT_COUNT, REPORT_SIZE = 20, 2000
 
 def flow_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily cumulative snapshots of the exact tasks over the events."""
-    packets = event_packets(spark, sf_dir)
-    parts = [
-        cumulative_snapshots(packets, task.name, task.key_fields, DAY, PERIOD, ORIGIN)
-        for task in EXACT
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return cumulative_snapshots(event_packets(spark, sf_dir), EXACT, DAY, PERIOD, ORIGIN)
 
 
 def task_metrics(spark: SparkSession, sf_dir: str, task: ExactTask) -> DataFrame:
-    return cumulative_snapshots(
-        event_packets(spark, sf_dir), task.name, task.key_fields, DAY, PERIOD, ORIGIN
-    )
+    return cumulative_snapshots(event_packets(spark, sf_dir), task, DAY, PERIOD, ORIGIN)
 
 
 def heavy_hitters(spark: SparkSession, sf_dir: str) -> DataFrame:

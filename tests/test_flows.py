@@ -47,7 +47,7 @@ def test_every_task_counts_every_packet(packets):
 
 def test_snapshots_agree_with_packets_up_to_the_time(packets):
     """Inside one period, totals as of a snapshot equal the packets before it."""
-    metrics = cumulative_snapshots(packets, "per_src_ip", ["SrcIP"], DAY, PERIOD, ORIGIN)
+    metrics = cumulative_snapshots(packets, EXACT[1], DAY, PERIOD, ORIGIN)
     end = T0 + timedelta(days=7)
     (total,) = aggregate_flows(metrics, end).collect()
     direct = packets.where(F.col("ts") < F.lit(str(end)).cast("timestamp_ntz")).agg(
@@ -58,7 +58,7 @@ def test_snapshots_agree_with_packets_up_to_the_time(packets):
 
 def test_dense_and_sparse_give_the_same_answers(packets):
     build = lambda dense: cumulative_snapshots(
-        packets, "per_src_ip", ["SrcIP"], DAY, PERIOD, ORIGIN, dense=dense
+        packets, EXACT[1], DAY, PERIOD, ORIGIN, dense=dense
     )
     sparse, dense = build(False), build(True)
     assert dense.count() > sparse.count()
@@ -73,7 +73,7 @@ def test_every_period_closes_with_a_snapshot(packets_of):
         [(T0 + timedelta(hours=h), "10.0.0.1", "b", 1, 2, 6, 10) for h in (1, 9, 25)]
     )
     build = lambda dense: cumulative_snapshots(
-        packets, "t", ["SrcIP"], timedelta(hours=7), timedelta(hours=24), T0, dense=dense
+        packets, ExactTask("t", ["SrcIP"]), timedelta(hours=7), timedelta(hours=24), T0, dense=dense
     )
     stamps = [(row.snapshot_ts - T0) // timedelta(hours=1) for row in build(False).collect()]
     assert sorted(stamps) == [7, 14, 28]
@@ -83,7 +83,7 @@ def test_every_period_closes_with_a_snapshot(packets_of):
 
 
 def test_latest_row_ignores_order_and_repeats(spark, packets):
-    metrics = cumulative_snapshots(packets, "per_src_ip", ["SrcIP"], DAY, PERIOD, ORIGIN)
+    metrics = cumulative_snapshots(packets, EXACT[1], DAY, PERIOD, ORIGIN)
     stale = metrics.withColumn("packet_count", F.col("packet_count") - 1).withColumn(
         "byte_count", F.col("byte_count") - 1
     )
@@ -137,7 +137,7 @@ def test_malformed_requests_fail(spark, sf_dir, text):
 
 def test_time_series_point(spark, packets_of):
     packets = packets_of([(T0, "10.0.0.1", "b", 1, 2, 6, 10)] * 123)
-    metrics = cumulative_snapshots(packets, "task", ["SrcIP"], DAY, PERIOD, ORIGIN)
+    metrics = cumulative_snapshots(packets, ExactTask("task", ["SrcIP"]), DAY, PERIOD, ORIGIN)
     end = datetime(2024, 1, 2)
     points = timeseries_points(metrics, ["task", "other"], end).collect()
     assert [tuple(point) for point in points] == [

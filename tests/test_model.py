@@ -1,8 +1,9 @@
 from __future__ import annotations
 
 import pytest
+from conftest import plan_of
 
-from flowloom.model import AlertRule, ExactTask, SketchTask, key_columns
+from flowloom.model import AlertRule, ExactTask, SketchTask, key_columns, rules_frame
 
 
 def test_key_columns_keep_order():
@@ -34,3 +35,10 @@ def test_elements_are_needed_only_for_spread():
 def test_rule_problems():
     assert AlertRule("r", "t", "total_bytes", ">", 1).problems() == []
     assert len(AlertRule("r", "t", "ByteCount", "!=", 1).problems()) == 2
+
+
+def test_small_tables_are_local_relations(spark):
+    rules = rules_frame(spark, [AlertRule("r", "t", "total_bytes", ">", 1)])
+    assert "LocalTableScan" in plan_of(rules)
+    assert rules.first().threshold == 1.0
+    assert rules_frame(spark, []).count() == 0
