@@ -28,6 +28,7 @@ from flowloom.model import (
 from flowloom.operators.filters import as_of, filter_flow_keys, filter_flows, filter_hitters
 from flowloom.operators.ranking import top_k
 from flowloom.operators.snapshots import latest_per_flow
+from flowloom.session import parallelism
 
 Moment = datetime | str | Column
 
@@ -145,9 +146,12 @@ def trace_requests(flow_metrics: DataFrame, requests: DataFrame) -> DataFrame:
     Each row takes part under the key combinations that the requests use (at most
     32), is kept only if some request names its key, and is reduced to one row per
     key and snapshot. Requests then read running values as of their end time, so
-    no row is paired with every request of its task or key.
+    no row is paired with every request of its task or key. The requests of one key
+    are spread over many windows, each with a copy of that key's reduced history.
     """
-    parsed = _parsed_requests(requests)
+    spreads = parallelism(flow_metrics.sparkSession)
+    share = F.pmod(F.xxhash64("request_id"), F.lit(spreads))
+    parsed = _parsed_requests(requests).withColumn("share", share)
     # Key combinations in use: at most 2^5 small integers.
     masks = sorted(row.mask for row in parsed.select("mask").distinct().collect())
     if not masks:
@@ -182,6 +186,7 @@ def trace_requests(flow_metrics: DataFrame, requests: DataFrame) -> DataFrame:
         seen.join(asked, ["task_name", "key"], "left_semi")
         .groupBy("task_name", "key", F.col("snapshot_ts").alias("at"))
         .agg(*_life())
+        .join(parsed.select("task_name", "key", "share").distinct(), ["task_name", "key"])
         .withColumn("request_id", F.lit(None).cast("bigint"))
         .withColumn("is_request", F.lit(0))
     )
@@ -189,12 +194,13 @@ def trace_requests(flow_metrics: DataFrame, requests: DataFrame) -> DataFrame:
     probes = parsed.select(
         "task_name",
         "key",
+        "share",
         F.coalesce(F.col("end_time").cast("timestamp_ntz"), unbounded).alias("at"),
         "request_id",
         F.lit(1).alias("is_request"),
     )
     so_far = (
-        W.partitionBy("task_name", "key")
+        W.partitionBy("task_name", "key", "share")
         .orderBy("at", "is_request")
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )

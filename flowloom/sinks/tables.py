@@ -2,6 +2,8 @@
 
 Appends go to one folder per batch, which a repeated batch overwrites: a retry
 after a lost executor or a restarted stream leaves the table as if written once.
+Batch numbers come from one checkpoint, so a streamed table and its checkpoint belong
+together.
 Files keep the partitioning of the job that made them; nothing is gathered into
 one task.
 """
@@ -85,8 +87,9 @@ def hitter_text_scan(spark: SparkSession, path: str) -> DataFrame:
 def write_snapshot_dir(flows: DataFrame, path: str) -> None:
     """Flows per snapshot and task, and a JSON summary beside each.
 
-    The summaries are computed from the written flows, so the job that makes the
-    flows runs once.
+    Rows are rebalanced by folder, so that a folder gets few files and one with very
+    many rows is still written by many tasks. The summaries are computed from the
+    written flows, so the job that makes the flows runs once.
     """
     spark = flows.sparkSession
     label = snapshot_label(F.col("snapshot_ts"))
@@ -94,6 +97,7 @@ def write_snapshot_dir(flows: DataFrame, path: str) -> None:
     (
         flows.select(*FLOW_METRICS_SCHEMA.names)
         .withColumns({"label": label, "task": F.col("task_name")})
+        .hint("rebalance", "label", "task")
         .write.mode("overwrite")
         .partitionBy("label", "task")
         .parquet(flow_dir)

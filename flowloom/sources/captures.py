@@ -28,6 +28,8 @@ RECORD_SCHEMA = (
 # Bytes of a file held at a time, and bytes of a file for one task.
 PIECE = 8 << 20
 SPLIT_BYTES = 256 << 20
+# Beyond this many ranges, a task reads several in turn.
+MOST_TASKS = 100_000
 
 TEN_YEARS = 10 * 366 * 86400
 
@@ -278,6 +280,12 @@ def _decode(batches: Iterator) -> Iterator:
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
+def _listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length) of the files; their content is not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    return files.load(folder).select("path", "length")
+
+
 def capture_ranges(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """(path, start, stop): record ranges that together cover every file once.
 
@@ -287,12 +295,7 @@ def capture_ranges(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BY
     the known first record, so by induction all do. From the first split that does not
     match, the rest of its file is one range, walked from where the last one ended.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-        .select("path", "length")
-    )
+    files = _listing(spark, folder)
     whole = files.where(F.col("length") <= split_bytes).select(
         "path", F.lit(FILE_HEADER_BYTES).cast("bigint").alias("start"), F.col("length").alias("stop")
     )
@@ -337,7 +340,10 @@ def capture_records(
     spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES
 ) -> DataFrame:
     """Every record of the capture files, with `bad` for what is not an IP packet."""
-    ranges = capture_ranges(spark, folder, split_bytes).repartition(parallelism(spark))
+    # One number from the file listing: about one task per range.
+    count = _listing(spark, folder).agg(F.sum(F.ceil(F.col("length") / split_bytes))).first()[0]
+    tasks = min(max(int(count or 0), 1), MOST_TASKS)
+    ranges = capture_ranges(spark, folder, split_bytes).repartition(tasks)
     records = ranges.mapInArrow(_decode, RECORD_SCHEMA)
     micros = F.call_function("div", F.col("ts_nanos"), F.lit(1000))
     return records.select(
