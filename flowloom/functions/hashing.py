@@ -58,5 +58,7 @@ def register_rank(element: Column, size: int, method: str = "xxhash64") -> Colum
         word = _md5_word(element, 1)
     else:
         word = F.shiftrightunsigned(F.xxhash64(element), 32)
-    rank = F.when(word == 0, F.lit(33)).otherwise(F.lit(33) - F.length(F.bin(word)))
-    return F.least(rank, F.lit((1 << size) - 1))
+    # Fill every bit below the highest one; the bits left are the leading zeros.
+    for step in (1, 2, 4, 8, 16):
+        word = word.bitwiseOR(F.shiftright(word, step))
+    return F.least(F.lit(33) - F.bit_count(word), F.lit((1 << size) - 1))

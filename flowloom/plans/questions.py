@@ -111,29 +111,26 @@ def _parsed_requests(requests: DataFrame) -> DataFrame:
         named = F.filter("_pairs", lambda pair: F.get(pair, F.lit(0)) == field)
         return F.get(F.try_element_at(named, F.lit(-1)), F.lit(1))
 
-    mask = sum(
-        (F.when(text_of(field).isNotNull(), _bit(field)).otherwise(0) for field in FIVE_TUPLE),
-        F.lit(0),
-    )
     complaint = F.concat(F.lit("invalid flow keys: "), F.coalesce("flow_keys", F.lit("NULL")))
-    values = [
-        text_of(field).cast(KEY_TYPES[column]).alias(column)
-        for field, column in KEY_COLUMNS.items()
-    ]
-    return split.select(
+    texts = split.select(
         "request_id",
         "task_name",
         "end_time",
         F.when(F.coalesce(malformed, F.lit(True)), F.raise_error(complaint))
-        .otherwise(mask)
-        .alias("mask"),
-        *values,
-    ).select(
+        .otherwise(0)
+        .alias("none"),
+        *[text_of(field).alias(column) for field, column in KEY_COLUMNS.items()],
+    )
+    mask = F.col("none")
+    for field, column in KEY_COLUMNS.items():
+        mask = mask + F.when(F.col(column).isNotNull(), _bit(field)).otherwise(0)
+    values = [F.col(column).cast(kind).alias(column) for column, kind in KEY_TYPES.items()]
+    return texts.select(
         "request_id",
         "task_name",
         "end_time",
-        "mask",
-        F.struct("mask", *KEY_TYPES).alias("key"),
+        mask.alias("mask"),
+        F.struct(mask.alias("mask"), *values).alias("key"),
     )
 
 
