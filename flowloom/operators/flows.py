@@ -170,6 +170,7 @@ def exact_spread(
 
     Spark removes duplicate (flow, element) pairs before and after a shuffle on
     the pair, so one flow with very many elements is spread over all reducers.
+    Packet keys are never NULL; rows with a NULL element field would not count.
     """
     flow_fields = list(flow_fields)
     return (

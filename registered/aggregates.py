@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from flowloom.model import FIVE_TUPLE, ExactTask
 from flowloom.operators.flows import (
     exact_heavy_hitters,

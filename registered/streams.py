@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -23,8 +24,18 @@ from flowloom.streaming.flows import (
     stream_tasks,
 )
 from registered.catalog import query
-from registered.presets import EXACT, RULES, SPREADERS, VOTE, heavy_hitters, task_metrics
-from registered.presets import FIRES_SQL, HH, RULES_SQL, TICKS
+from registered.presets import (
+    EXACT,
+    FIRES_SQL,
+    HH,
+    RULES,
+    RULES_SQL,
+    SPREADERS,
+    TICKS,
+    VOTE,
+    heavy_hitters,
+    task_metrics,
+)
 from registered.sketches import SOURCE_TOTALS
 from registered.views import (
     DAY,
@@ -170,8 +181,6 @@ def _(spark, sf_dir):
     f"""{P} SELECT count(DISTINCT src_ip) AS flows, CAST(0 AS BIGINT) AS far_off FROM p""",
 )
 def _(spark, sf_dir):
-    from dataclasses import replace
-
     path, checkpoint = shared_dir(spark, "stream"), shared_dir(spark, "checkpoint")
     stream_close(
         stream_spread, event_packets_stream(spark, sf_dir), replace(SPREADERS, count_threshold=1),
