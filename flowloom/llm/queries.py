@@ -8,10 +8,31 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.catalog import ORACLES, QUERIES, query, table
 from flowloom.llm.packing import pack_documents
+from flowloom.llm.warc import payload_records, read_warc, write_warc
+from flowloom.session import shared_dir
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op7_warc")
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as web archives and read back: type, length and digest per record."""
+    folder = shared_dir(spark, "warc")
+    write_warc(payload_records(table(spark, sf_dir, "pages")), folder)
+    number = "CAST(nullif(substring({}, length('urn:record:') + 1), '') AS BIGINT)"
+    return (
+        read_warc(spark, folder)
+        .filter("last")
+        .select(
+            F.expr(number.format("record_id")).alias("page_id"),
+            "payload_bytes",
+            "payload_digest",
+            "record_type",
+            F.expr(number.format("refers_to")).alias("refers_to"),
+        )
+    )
+
+
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into windows of 2048 tokens, with a checksum of every piece."""

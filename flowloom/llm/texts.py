@@ -4,6 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+
+def arrow_schema(ddl: str):
+    """Arrow schema of a DDL string, for the driver to hand to its tasks."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 # Code points after which a long text is cut where a cut changes nothing.
 SEGMENT = 1 << 20
 
