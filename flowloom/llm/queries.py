@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.catalog import ORACLES, QUERIES, query, table
 from flowloom.llm.packing import pack_documents
+from flowloom.llm.topk import exact_top_k
 from flowloom.llm.warc import payload_records, read_warc, write_warc
 from flowloom.session import shared_dir
 
@@ -33,6 +34,34 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    list_sum([p[1] * p[2] FOR p IN list_zip(q.w, c.w)]) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+  FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op8_top_k", TOP_K_SQL)
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best candidates of every fiftieth vector, by exact integer products."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into windows of 2048 tokens, with a checksum of every piece."""
