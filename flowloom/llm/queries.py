@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.catalog import ORACLES, QUERIES, query, table
 from flowloom.llm.packing import pack_documents
+from flowloom.llm.secret_scan import count_of, scan_secrets, span_text
 from flowloom.llm.topk import exact_top_k
 from flowloom.llm.warc import payload_records, read_warc, write_warc
 from flowloom.session import shared_dir
@@ -15,6 +16,20 @@ from flowloom.session import shared_dir
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op6_secret_scan")
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: known forms counted and hashed, and all spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan_secrets(docs).select(
+        "doc_id",
+        *(count_of("spans", kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")),
+        F.sha2(span_text("spans", "assign", "access", "hex").cast("binary"), 256).alias(
+            "base_sha256"
+        ),
+        span_text("spans").alias("spans"),
+    )
+
+
 @query("op7_warc")
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as web archives and read back: type, length and digest per record."""
