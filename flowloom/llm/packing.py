@@ -16,13 +16,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.texts import strings, word_segments
+from flowloom.llm.texts import strings
+from flowloom.llm.tokens import BatchEncoder
 
 WINDOW = 2048
 END_ID = 1
 GROUP = 4096
-# Code points of texts that are encoded at a time.
-BLOCK = 16 << 20
 
 
 class OpenWindows:
@@ -98,100 +97,45 @@ def byte_ranks(definition: str) -> dict[bytes, int]:
     }
 
 
-class BatchEncoder:
-    """Token ids of many texts at once, each distinct word of the batch encoded once.
+def library_encoder(definition: str, pattern: str) -> BatchEncoder:
+    """An encoder by the tokenizer library; special tokens are ordinary text."""
+    import numpy as np
+    import tiktoken
 
-    The pattern of byte-level tokenizers never matches over a space that a word follows,
-    so the words between such spaces can be encoded apart and put together. Texts with
-    other white space around their spaces are encoded as a whole. Special tokens are
-    ordinary text here.
-    """
-
-    def __init__(self, definition: str, pattern: str):
-        import tiktoken
-
-        self.tokenizer = tiktoken.Encoding(
-            "own", pat_str=pattern, mergeable_ranks=byte_ranks(definition), special_tokens={}
-        )
-        self.tab = int(self._encode("\t")[0])
-
-    def _encode(self, text: str):
-        return self.tokenizer.encode_to_numpy(text, disallowed_special=())
+    tokenizer = tiktoken.Encoding(
+        "own", pat_str=pattern, mergeable_ranks=byte_ranks(definition), special_tokens={}
+    )
 
-    def _words(self, words: list[str], heads: list[str]) -> tuple:
-        """Ids of words that follow a space, then of heads: pool, starts, ends, odd ones."""
-        import numpy as np
+    def ids(text: str):
+        return tokenizer.encode_to_numpy(text, disallowed_special=())
 
-        odd = np.zeros(len(words) + len(heads), dtype=bool)
-        starts = np.zeros(len(odd), dtype=np.int64)
-        ends = np.zeros(len(odd), dtype=np.int64)
-        plain, alone = [], []
-        for i, word in enumerate(words):
-            if not word or word[0].isspace():
-                odd[i] = True
-            elif "\t" in word or word[-1].isspace():
-                alone.append((i, " " + word))
-            else:
-                plain.append(i)
-        alone += [(len(words) + i, head) for i, head in enumerate(heads) if head]
-        # One call for all: a tab between words is a token of its own.
-        pool = [self._encode(" " + "\t ".join([words[i] for i in plain]))] if plain else []
-        if plain:
-            tabs = np.flatnonzero(pool[0] == self.tab)
-            starts[plain] = np.concatenate([[0], tabs + 1])
-            ends[plain] = np.append(tabs, len(pool[0]))
-        used = sum(map(len, pool))
-        for i, text in alone:
-            pool.append(self._encode(text))
-            starts[i], ends[i] = used, used + len(pool[-1])
-            used += len(pool[-1])
-        empty = np.zeros(0, dtype=np.uint32)
-        return np.concatenate([*pool, empty]), starts, ends, odd
-
-    def _texts(self, texts) -> list[bytes]:
-        """Ids of an Arrow array of texts, as little-endian unsigned 32-bit bytes."""
-        import numpy as np
-        import pyarrow.compute as pc
-
-        split = pc.split_pattern(texts, " ")
-        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
-        flat = split.flatten().dictionary_encode()
-        words = flat.dictionary.to_pylist()
-        at = flat.indices.to_numpy().copy()
-        # The first word of a text follows no space and is looked up apart.
-        first, heads = np.unique(at[offsets[:-1]], return_inverse=True)
-        at[offsets[:-1]] = len(words) + heads
-        pool, starts, ends, odd = self._words(words, [words[i] for i in first])
-        whole = set((np.searchsorted(offsets, np.flatnonzero(odd[at]), "right") - 1).tolist())
-        lengths = (ends - starts)[at]
-        bounds = np.concatenate([[0], np.cumsum(lengths)])
-        source = np.arange(bounds[-1]) + np.repeat(starts[at] - bounds[:-1], lengths)
-        ids = pool[source].astype("<u4").tobytes()
-        cuts = (4 * bounds[offsets]).tolist()
-        return [
-            self._encode(texts[i].as_py()).astype("<u4").tobytes() if i in whole else ids[a:b]
-            for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))
-        ]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text. About `BLOCK` code points are worked on at a time."""
-        import pyarrow as pa
+    tab = int(ids("\t")[0])
 
-        pieces: list[str] = []
-        last: list[bool] = []  # whether a piece ends its text
-        size, held = 0, []
-        for number, text in enumerate(texts, 1):
-            cut = list(word_segments(text)) or [""]
-            pieces += cut
-            last += [False] * (len(cut) - 1) + [True]
-            size += len(text)
-            if size >= BLOCK or number == len(texts):
-                for ids, ends in zip(self._texts(pa.array(pieces)), last, strict=True):
-                    held.append(ids)
-                    if ends:
-                        yield b"".join(held)
-                        held.clear()
-                pieces, last, size = [], [], 0
+    def encode_many(strings: list[str]) -> tuple:
+        counts = np.zeros(len(strings), dtype=np.int64)
+        # One call for all words: a tab before a space is a token of its own.
+        plain = np.array(
+            [
+                x[:1] == " " and not x[1:2].isspace() and not x[-1].isspace() and "\t" not in x
+                for x in strings
+            ],
+            dtype=bool,
+        )
+        joined = ids("\t".join(x for x, together in zip(strings, plain, strict=True) if together))
+        tabs = np.flatnonzero(joined == tab)
+        if plain.any():
+            counts[plain] = np.diff(np.concatenate([[-1], tabs, [len(joined)]])) - 1
+        alone = {i: ids(strings[i]) for i in np.flatnonzero(~plain) if strings[i]}
+        for i, found in alone.items():
+            counts[i] = len(found)
+        pool = np.zeros(counts.sum(), dtype=np.uint32)
+        own = np.repeat(~plain, counts)
+        pool[~own] = np.delete(joined, tabs)
+        if alone:
+            pool[own] = np.concatenate(list(alone.values()))
+        return pool, counts
+
+    return BatchEncoder(encode_many)
 
 
 def pack_documents(
@@ -224,7 +168,7 @@ def pack_documents(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = BatchEncoder(definition.value, pattern)
+        encoder = library_encoder(definition.value, pattern)
         end = np.array([end_id], dtype="<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 32
         kind = None

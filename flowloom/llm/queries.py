@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.llm.bpe import bpe_decode, bpe_encode
 from flowloom.llm.catalog import ORACLES, QUERIES, query, table
 from flowloom.llm.packing import pack_documents
 from flowloom.llm.secret_scan import count_of, scan_secrets, span_text
@@ -16,6 +17,22 @@ from flowloom.session import shared_dir
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op2_bpe")
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded by byte-level BPE and decoded again."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe_encode(docs, ranks, public_tokenizers.PATTERN)
+    return bpe_decode(encoded, ranks).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias(
+            "ids_sha256"
+        ),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query("op6_secret_scan")
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: known forms counted and hashed, and all spans."""
