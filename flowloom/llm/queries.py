@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.bpe import bpe_decode, bpe_encode
 from flowloom.llm.catalog import ORACLES, QUERIES, query, table
+from flowloom.llm.fingerprints import edited_fingerprints
 from flowloom.llm.packing import pack_documents
 from flowloom.llm.secret_scan import count_of, scan_secrets, span_text
 from flowloom.llm.topk import exact_top_k
@@ -17,6 +18,12 @@ from flowloom.session import shared_dir
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op1_fingerprints")
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, its edited text and their likenesses."""
+    return edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op2_bpe")
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded by byte-level BPE and decoded again."""
