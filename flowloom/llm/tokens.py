@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from flowloom.llm.texts import word_segments
 
 # Code points of texts that are worked on at a time.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
