@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from flowloom.llm.bpe import bpe_decode, bpe_encode
 from flowloom.llm.catalog import ORACLES, QUERIES, query, table
 from flowloom.llm.fingerprints import edited_fingerprints
+from flowloom.llm.html_text import extract_text
 from flowloom.llm.packing import pack_documents
 from flowloom.llm.secret_scan import count_of, scan_secrets, span_text
 from flowloom.llm.topk import exact_top_k
@@ -40,6 +41,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_html_text")
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select(
+        "page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars")
+    )
+
+
 @query("op6_secret_scan")
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: known forms counted and hashed, and all spans."""
