@@ -13,6 +13,7 @@ from flowloom.llm.html_text import extract_text
 from flowloom.llm.packing import pack_documents
 from flowloom.llm.secret_scan import count_of, scan_secrets, span_text
 from flowloom.llm.topk import exact_top_k
+from flowloom.llm.toxicity import Model, learn, score_documents
 from flowloom.llm.warc import payload_records, read_warc, write_warc
 from flowloom.session import shared_dir
 
@@ -41,6 +42,29 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out(doc_id: str = "doc_id"):
+    """Whether a document is kept from learning: one in five, by its id."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> Model:
+    """The model learned from the labelled documents that are not held out."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out())
+    return learn(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a lexicon learned outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_documents(docs, toxicity_model(spark, sf_dir)).select(
+        "doc_id",
+        F.coalesce(held_out(), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query("op5_html_text")
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
