@@ -10,6 +10,7 @@ from flowloom.llm.bpe import bpe_decode, bpe_encode
 from flowloom.llm.catalog import ORACLES, QUERIES, query, table
 from flowloom.llm.fingerprints import edited_fingerprints
 from flowloom.llm.html_text import extract_text
+from flowloom.llm.licences import licence_sql, scan_licences
 from flowloom.llm.packing import pack_documents
 from flowloom.llm.secret_scan import count_of, scan_secrets, span_text
 from flowloom.llm.topk import exact_top_k
@@ -134,6 +135,12 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
 
 
+@query("op9_licence_scan", licence_sql())
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence that each line of a document declares."""
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into windows of 2048 tokens, with a checksum of every piece."""
