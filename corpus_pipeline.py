@@ -1,6 +1,78 @@
-"""From raw documents to packed training windows, stage by stage."""
+"""From raw documents to packed training windows, stage by stage.
+
+1. toxicity: documents that score 0.5 or more go.
+2. near duplicates: of documents that five-word shingles connect at a similarity of 0.75 or
+   more, the one with the smallest id stays; of rows with that id, the one of the first text.
+3. secrets: every secret is replaced by its kind in brackets.
+4. packing: what is left becomes windows of 2048 tokens.
+
+All stages but the last return the columns of their input. Null texts count as empty and
+pass every filter; rows with null ids stay, for no id says which of them to keep.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from flowloom.llm.catalog import ready, table
+from flowloom.llm.jaccard import similarity_components
+from flowloom.llm.packing import pack_documents
+from flowloom.llm.queries import toxicity_model
+from flowloom.llm.secret_scan import redact
+from flowloom.llm.toxicity import score_documents
+
+TOXIC = 0.5
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the toxic score, by a model of the labelled documents of `sf_dir`."""
+    model = toxicity_model(ready(spark), sf_dir)
+    scored = score_documents(docs, model, into="toxicity score")
+    return scored.filter(F.col("toxicity score") < TOXIC).drop("toxicity score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the similarity join."""
+    ready(spark)
+    # Every id with its component; only the ids that stay meet the texts again.
+    kept = (
+        similarity_components(docs.select("doc_id", "text"))
+        .filter("doc_id = component_id")
+        .select("doc_id")
+        .distinct()
+    )
+    unnamed = docs.filter("doc_id IS NULL")
+    return docs.join(kept, "doc_id", "left_semi").unionByName(unnamed).select(docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets replaced and their lengths counted anew."""
+    ready(spark)
+    cleaned = redact(docs)
+    if "n_chars" not in docs.columns:
+        return cleaned
+    length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return cleaned.withColumn("n_chars", F.when(F.col("text").isNotNull(), length))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in windows, with a checksum of the tokens of each."""
+    ready(spark)
+    pieces = pack_documents(
+        docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    )
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("secrets", secrets),
+    ("packing", packing),
+]
+
+# Learned scores and token ids are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
