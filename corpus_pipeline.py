@@ -2,19 +2,18 @@
 
 1. toxicity: documents that score 0.5 or more go.
 2. near duplicates: of documents that five-word shingles connect at a similarity of 0.75 or
-   more, the one with the smallest id stays; of rows with that id, the one of the first text.
+   more, the one with the smallest id stays. Rows that repeat an id and its text are one.
 3. secrets: every secret is replaced by its kind in brackets.
 4. packing: what is left becomes windows of 2048 tokens.
 
 All stages but the last return the columns of their input. Null texts count as empty and
-pass every filter; rows with null ids stay, for no id says which of them to keep.
+pass every filter. Null ids count as the last ones.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowloom.llm.catalog import ready, table
@@ -23,8 +22,22 @@ from flowloom.llm.packing import pack_documents
 from flowloom.llm.queries import toxicity_model
 from flowloom.llm.secret_scan import redact
 from flowloom.llm.toxicity import score_documents
+from flowloom.session import shared_dir
 
 TOXIC = 0.5
+# Stands for a null id where ids are compared.
+LAST = 2**63 - 1
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table `documents`, each written and read by the next."""
+    ready(spark)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = shared_dir(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,15 +50,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of the similarity join."""
     ready(spark)
-    # Every id with its component; only the ids that stay meet the texts again.
+    places = similarity_components(docs.select("doc_id", "text")).select(
+        F.coalesce("doc_id", F.lit(LAST)).alias("i"), F.col("text_key").alias("k"), "component"
+    )
+    # Copies of one text are one set, so (i, k) names what stays. Texts without words have
+    # no component and stay.
+    first = F.min(F.struct("i", "k")).alias("kept")
     kept = (
-        similarity_components(docs.select("doc_id", "text"))
-        .filter("doc_id = component_id")
-        .select("doc_id")
-        .distinct()
+        places.filter("component IS NOT NULL").groupBy("component").agg(first).select("kept.*")
+    ).unionByName(places.filter("component IS NULL").select("i", "k"))
+    keys = {"i": F.coalesce("doc_id", F.lit(LAST)), "k": F.xxhash64("text")}
+    named = docs.withColumns(keys)
+    return (
+        named.join(kept.distinct(), ["i", "k"], "left_semi")
+        .dropDuplicates(["i", "k"])
+        .select(docs.columns)
     )
-    unnamed = docs.filter("doc_id IS NULL")
-    return docs.join(kept, "doc_id", "left_semi").unionByName(unnamed).select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -322,7 +322,11 @@ def verified_links(rows: DataFrame, percent: int) -> DataFrame:
 def similarity_components(
     docs: DataFrame, *, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id): the smallest id that links reach, per document.
+    """(doc_id, n_shingles, component_id, text_key, component) of every document.
+
+    `component_id` is the smallest id that links reach. `text_key` (xxhash64 of the text)
+    tells rows of one id apart, and `component` names the component whatever ids it has;
+    it is null without shingles.
 
     Two documents link when 100 * shared >= percent * union of their distinct five-word
     shingles. All links count, none is sampled or capped. Null texts and texts without
@@ -394,7 +398,7 @@ def similarity_components(
         )
     labels = connected_components(found)
     placed = sets.join(labels, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "node").alias("component")
+        "doc_id", "n_shingles", "text_key", F.coalesce("component", "node").alias("component")
     )
     smallest = (
         placed.filter("component IS NOT NULL")
@@ -402,7 +406,11 @@ def similarity_components(
         .agg(F.min("doc_id").alias("component_id"))
     )
     return placed.join(smallest, "component", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id",
+        "n_shingles",
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+        "text_key",
+        "component",
     )
 
 

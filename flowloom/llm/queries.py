@@ -13,7 +13,7 @@ from flowloom.llm.html_text import extract_text
 from flowloom.llm.jaccard import similarity_components
 from flowloom.llm.licences import licence_sql, scan_licences
 from flowloom.llm.packing import pack_documents
-from flowloom.llm.secret_scan import count_of, redact, scan_secrets, span_text
+from flowloom.llm.secret_scan import count_of, scan_secrets, span_text
 from flowloom.llm.topk import exact_top_k
 from flowloom.llm.toxicity import Model, learn, score_documents
 from flowloom.llm.warc import payload_records, read_warc, write_warc
@@ -70,7 +70,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_jaccard_join")
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share three quarters of their five-word shingles."""
-    return similarity_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return similarity_components(docs).select("doc_id", "n_shingles", "component_id")
 
 
 @query("op5_html_text")
