@@ -59,11 +59,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = (
         places.filter("component IS NOT NULL").groupBy("component").agg(first).select("kept.*")
     ).unionByName(places.filter("component IS NULL").select("i", "k"))
-    keys = {"i": F.coalesce("doc_id", F.lit(LAST)), "k": F.xxhash64("text")}
-    named = docs.withColumns(keys)
+    # Names that no column of a table of documents has.
+    own = {"near copy id": F.coalesce("doc_id", F.lit(LAST)), "near copy key": F.xxhash64("text")}
     return (
-        named.join(kept.distinct(), ["i", "k"], "left_semi")
-        .dropDuplicates(["i", "k"])
+        docs.withColumns(own)
+        .join(kept.distinct().toDF(*own), list(own), "left_semi")
+        .dropDuplicates(list(own))
         .select(docs.columns)
     )
 

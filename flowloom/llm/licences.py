@@ -119,7 +119,7 @@ def scan_licences(
     a null `doc_id` is kept, and a row that occurs again gives its lines again. Nothing is
     shuffled.
     """
-    known = {name: template_bigrams(body) for name, body in (templates or TEMPLATES).items()}
+    known = {name: template_bigrams(body) for name, body in (TEMPLATES if templates is None else templates).items()}
     known = {name: pairs for name, pairs in known.items() if pairs}
     keys = sorted({word for pairs in known.values() for word in key_words(pairs, threshold)})
     if not known:
@@ -188,7 +188,7 @@ def licence_sql(templates: dict[str, str] | None = None, threshold: float = THRE
     """The same result in SQL over the table `documents`, comparing every line and template."""
     rows = ", ".join(
         "('{}', [{}])".format(name, ", ".join(f"'{pair}'" for pair in template_bigrams(body)))
-        for name, body in sorted((templates or TEMPLATES).items())
+        for name, body in sorted((TEMPLATES if templates is None else templates).items())
     )
     return f"""
 WITH templates(licence, pairs) AS (VALUES {rows}),
