@@ -79,6 +79,16 @@ HEAVY_HITTERS_SCHEMA = T.StructType(
     ]
 )
 
+SPREAD_SKETCHES_SCHEMA = T.StructType(
+    [
+        T.StructField("snapshot_ts", T.TimestampNTZType()),
+        T.StructField("task_name", T.StringType()),
+        T.StructField("flow", T.StringType()),
+        T.StructField("sketch", T.BinaryType()),
+        T.StructField("period_start", T.TimestampNTZType()),
+    ]
+)
+
 RULES_SCHEMA = T.StructType(
     [
         T.StructField("rule_name", T.StringType()),

@@ -10,7 +10,6 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowloom.functions.checks import check
@@ -21,10 +20,6 @@ from flowloom.operators.flows import snapshot_totals
 RULE = ["rule_name", "task_name", "metric", "operator", "threshold"]
 ALERT = ["check_ts", *RULE, "flow", "value"]
 
-# Items printed in one message. Every triggering item stays a row of the alert
-# table; the message says how many it leaves out.
-MESSAGE_ITEMS = 20
-
 
 def rules_for_tasks(rules: DataFrame, values: DataFrame, on: list[str]) -> DataFrame:
     """Rule and value pairs of the same task whose comparison holds."""
@@ -77,59 +72,63 @@ def alerts_spread(
     return _alerts(rules_for_tasks(typed, hitters, ["task_name", "type"]), check_ts)
 
 
-def alert_messages(alerts: DataFrame, items: int = MESSAGE_ITEMS) -> DataFrame:
-    """One text per check and rule: the rule, and its total or its largest items.
+LINE = ["check_ts", "tasks", "subject", *RULE, "line_no", "value", "flow", "text"]
+
+
+def alert_messages(alerts: DataFrame) -> DataFrame:
+    """The lines of a message per check and rule: a header, then every item.
 
-    The largest items are picked inside each task before they meet, so a rule that
-    fires for very many flows does not gather them in one place.
+    Line 0 is the header; items have line 1 and stand in the order of `value`
+    (descending) and `flow`. A rule that fires for very many flows stays as many rows
+    in as many tasks: nothing is gathered, numbered or left out.
     """
-    rule = ["check_ts", *RULE]
-    order = W.partitionBy(*rule).orderBy(F.desc("value"), F.asc("flow"))
-    top = alerts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= items)
     unit = (
         F.when(F.col("metric") == "total_packets", " packets")
         .when(F.col("metric") == "total_flows", " flows")
         .when(F.col("metric").isin("total_bytes", "heavy_hitter_size"), " bytes")
         .otherwise("")
     )
-    line = F.concat(
+    item = F.concat(
         F.when(F.col("flow").isNull(), "Observed value: ").otherwise(
             F.concat(F.lit("  "), "flow", F.lit(": "))
         ),
         F.col("value").cast("string"),
         unit,
     )
-    listed = top.groupBy(*rule).agg(
-        F.sort_array(F.collect_list(F.struct("place", line.alias("line")))).alias("lines")
+    header = F.format_string(
+        "Alert: %s\nTask: %s\nMetric: %s\nCondition: %s %.2f\n",
+        "rule_name",
+        "task_name",
+        "metric",
+        "operator",
+        "threshold",
     )
-    counted = alerts.groupBy(*rule).agg(F.count(F.lit(1)).alias("item_count"))
-    left_out = F.col("item_count") - F.size("lines")
-    message = F.concat(
-        F.format_string(
-            "Alert: %s\nTask: %s\nMetric: %s\nCondition: %s %.2f\n",
-            "rule_name",
-            "task_name",
-            "metric",
-            "operator",
-            "threshold",
-        ),
-        F.array_join(F.col("lines.line"), "\n"),
-        F.when(left_out > 0, F.format_string("\n  and %d more", left_out)).otherwise(""),
+    rule = ["check_ts", *RULE]
+    items = alerts.select(*rule, F.lit(1).alias("line_no"), "value", "flow", item.alias("text"))
+    headers = (
+        alerts.groupBy(*rule)
+        .agg(F.count(F.lit(1)).alias("value"))
+        .select(
+            *rule,
+            F.lit(0).alias("line_no"),
+            "value",
+            F.lit(None).cast("string").alias("flow"),
+            header.alias("text"),
+        )
     )
-    return counted.join(listed, rule).select(*rule, "item_count", message.alias("message"))
+    return headers.unionByName(items)
 
 
 def alert_digest(messages: DataFrame) -> DataFrame:
-    """One subject and body per check. The subject counts tasks that fired, not rules."""
-    fired = F.sort_array(F.collect_list(F.struct("task_name", "rule_name", "message")))
-    tasks = F.size(F.array_distinct(F.col("fired.task_name")))
-    return (
-        messages.groupBy("check_ts")
-        .agg(fired.alias("fired"))
-        .select(
-            "check_ts",
-            tasks.alias("tasks"),
-            F.format_string("Alert summary (%d triggered)", tasks).alias("subject"),
-            F.array_join(F.col("fired.message"), "\n\n").alias("body"),
-        )
+    """The lines of a check with its subject, which counts tasks that fired, not rules.
+
+    In the order of task, rule, line, value (descending) and flow, the texts of a check
+    are its body.
+    """
+    checks = (
+        messages.where("line_no = 0")
+        .groupBy("check_ts")
+        .agg(F.count_distinct("task_name").cast("int").alias("tasks"))
+        .withColumn("subject", F.format_string("Alert summary (%d triggered)", "tasks"))
     )
+    return messages.join(checks, "check_ts").select(*LINE)

@@ -9,13 +9,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowloom.functions.keys import flow_key, flow_label
 from flowloom.functions.times import EPOCH, grid, ntz
-from flowloom.model import FLOW_METRICS_SCHEMA, KEY_TYPES, ExactTask
+from flowloom.model import (
+    COUNT,
+    FLOW_METRICS_SCHEMA,
+    KEY_TYPES,
+    SIZE,
+    SPREAD,
+    VOTE_SKETCH,
+    ExactTask,
+    SketchTask,
+)
 from flowloom.operators.flows import multi_task_aggregate
 
 
@@ -59,10 +70,25 @@ def cumulative_snapshots(
     tasks = [tasks] if isinstance(tasks, ExactTask) else list(tasks)
     timed = with_snapshot_times(packets, "ts", interval, period, origin)
     ticks = multi_task_aggregate(timed, tasks, by=["period_start", "snapshot_ts"])
-    keys = [name for name in KEY_TYPES if any(name in task.keys for task in tasks)]
-    flow = W.partitionBy(*keys, "task_name", "period_start").orderBy("snapshot_ts")
-    so_far = flow.rowsBetween(W.unboundedPreceding, W.currentRow)
-    running = ticks.select(
+    following = F.lead("snapshot_ts").over(_by_snapshot()).alias("_next")
+    running = running_totals(ticks, *([following] if dense else []))
+    if dense:
+        running = _repeat_until_next(running, packets, interval, period, origin, until)
+    return running.select(*FLOW_METRICS_SCHEMA.names)
+
+
+def _by_snapshot():
+    """The rows of one flow and period in the order of their snapshots."""
+    return W.partitionBy(*KEY_TYPES, "task_name", "period_start").orderBy("snapshot_ts")
+
+
+def running_totals(ticks: DataFrame, *more: Column) -> DataFrame:
+    """Cumulative snapshots from the totals of flows in each interval (flow_metrics rows).
+
+    A window partition is bounded by the intervals of one period.
+    """
+    so_far = _by_snapshot().rowsBetween(W.unboundedPreceding, W.currentRow)
+    return ticks.select(
         "snapshot_ts",
         "task_name",
         *KEY_TYPES,
@@ -71,11 +97,97 @@ def cumulative_snapshots(
         F.sum("byte_count").over(so_far).alias("byte_count"),
         F.sum("packet_count").over(so_far).alias("packet_count"),
         "period_start",
-        *([F.lead("snapshot_ts").over(flow).alias("_next")] if dense else []),
+        *more,
     )
-    if dense:
-        running = _repeat_until_next(running, packets, interval, period, origin, until)
-    return running.select(*FLOW_METRICS_SCHEMA.names)
+
+
+def hitters_at_snapshots(
+    snapshots: DataFrame,
+    task_name: str,
+    flow_fields: Sequence[str],
+    count_threshold: int,
+    size_threshold: int,
+) -> DataFrame:
+    """heavy_hitters rows: flows of cumulative snapshots that reach a task's thresholds."""
+    measures = F.explode(
+        F.array(
+            F.struct(F.lit(COUNT).alias("type"), F.col("packet_count").alias("value")),
+            F.struct(F.lit(SIZE).alias("type"), F.col("byte_count").alias("value")),
+        )
+    )
+    reached = F.when(F.col("type") == SIZE, size_threshold).otherwise(count_threshold)
+    return (
+        snapshots.select(
+            "snapshot_ts",
+            F.lit(task_name).alias("task_name"),
+            flow_label(flow_fields).alias("flow"),
+            measures.alias("measure"),
+        )
+        .select("snapshot_ts", "task_name", "flow", "measure.value", "measure.type")
+        .where(F.col("value") >= reached)
+    )
+
+
+def spreads_at_snapshots(sketches: DataFrame, threshold: int) -> DataFrame:
+    """heavy_hitters rows from spread sketches of flows and intervals.
+
+    Sketches have (task_name, flow, period_start, snapshot_ts, sketch), and may have several
+    versions of an interval: their union is that of the largest. The running union over a
+    period, bounded by its intervals, is estimated at each snapshot.
+    """
+    interval = sketches.groupBy("task_name", "flow", "period_start", "snapshot_ts").agg(
+        F.hll_union_agg("sketch").alias("sketch")
+    )
+    flow = W.partitionBy("task_name", "flow", "period_start").orderBy("snapshot_ts")
+    so_far = flow.rowsBetween(W.unboundedPreceding, W.currentRow)
+    union = F.hll_union_agg("sketch").over(so_far)
+    return interval.select(
+        "snapshot_ts",
+        "task_name",
+        "flow",
+        F.hll_sketch_estimate(union).alias("value"),
+        F.lit(SPREAD).alias("type"),
+    ).where(F.col("value") >= threshold)
+
+
+def sketch_snapshots(
+    packets: DataFrame,
+    tasks: SketchTask | Sequence[SketchTask],
+    interval: timedelta,
+    period: timedelta,
+    origin: datetime = EPOCH,
+) -> DataFrame:
+    """heavy_hitters rows of sketch tasks at each snapshot, cumulative per period.
+
+    Totals of vote tasks are exact: they are combined before the shuffle, which costs less
+    than a sketch of the packets, and so their hitters have no error. Spread tasks keep one
+    HyperLogLog sketch per flow and interval and report the running union, off by about
+    1.04 / sqrt(m) of the spread. Periods restart both.
+    """
+    tasks = [tasks] if isinstance(tasks, SketchTask) else list(tasks)
+    votes = [task for task in tasks if task.kind == VOTE_SKETCH]
+    rows = []
+    if votes:
+        exact = [ExactTask(task.name, task.flow_fields) for task in votes]
+        snapshots = cumulative_snapshots(packets, exact, interval, period, origin)
+        rows += [
+            hitters_at_snapshots(
+                snapshots.where(F.col("task_name") == task.name), task.name, task.flow_fields,
+                task.count_threshold, task.size_threshold,
+            )
+            for task in votes
+        ]
+    timed = with_snapshot_times(packets, "ts", interval, period, origin)
+    for task in tasks:
+        if task.kind != VOTE_SKETCH:
+            sketches = timed.groupBy(
+                F.lit(task.name).alias("task_name"),
+                flow_label(task.flow_fields).alias("flow"),
+                "period_start",
+                "snapshot_ts",
+            ).agg(F.hll_sketch_agg(flow_key(task.element_fields), task.lg_k).alias("sketch"))
+            rows.append(spreads_at_snapshots(sketches, task.count_threshold))
+    return reduce(DataFrame.unionByName, rows)
 
 
 def _repeat_until_next(

@@ -1,46 +1,87 @@
 """Result tables as Parquet folders, text files and JSON summaries.
 
-Appends go to one folder per batch, which a repeated batch overwrites: a retry
-after a lost executor or a restarted stream leaves the table as if written once.
-Batch numbers come from one checkpoint, so a streamed table and its checkpoint belong
-together.
-Files keep the partitioning of the job that made them; nothing is gathered into
-one task.
+Tables are kept by month, then by writer and batch. An append without a writer is one of
+its own and always adds rows. A writer that names itself and numbers its batches (a
+stream) overwrites a batch that it repeats, and nothing else: a retry after a lost executor
+or a restarted stream leaves the table as if written once, beside any other writer.
+Rows are rebalanced by month, so a batch adds few files and a large one many tasks.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowloom.functions.times import month_of, packet_line, snapshot_label
-from flowloom.model import COUNT, FLOW_METRICS_SCHEMA, HEAVY_HITTERS_SCHEMA, PACKET_SCHEMA, SIZE
+from flowloom.model import (
+    COUNT,
+    FLOW_METRICS_SCHEMA,
+    HEAVY_HITTERS_SCHEMA,
+    PACKET_SCHEMA,
+    SIZE,
+    SPREAD_SKETCHES_SCHEMA,
+)
 from flowloom.sources.packets import stored
 
 
-def _append(rows: DataFrame, path: str, batch_id: int, order: list[str]) -> None:
+def _append(
+    rows: DataFrame, path: str, writer: str | None, batch_id: int, order: list[str]
+) -> None:
     """Rows of one batch, by month; tasks and times are clustered inside files so
     that Parquet statistics can skip row groups."""
     (
-        rows.withColumn("month", month_of(F.col("snapshot_ts")))
+        rows.withColumns(
+            {
+                "month": month_of(F.col("snapshot_ts")),
+                "writer": F.lit(writer or uuid.uuid4().hex),
+                "batch_id": F.lit(batch_id),
+            }
+        )
+        .hint("rebalance", "month")
         .sortWithinPartitions("month", *order)
         .write.mode("overwrite")
-        .partitionBy("month")
-        .parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("month", "writer", "batch_id")
+        .parquet(path)
     )
 
 
-def write_flow_metrics(flows: DataFrame, path: str, batch_id: int = 0) -> None:
+def write_flow_metrics(
+    flows: DataFrame, path: str, writer: str | None = None, batch_id: int = 0
+) -> None:
     """Append snapshot rows. An empty snapshot adds no file."""
     rows = flows.select(*FLOW_METRICS_SCHEMA.names)
-    _append(rows, path, batch_id, ["task_name", "snapshot_ts"])
+    _append(rows, path, writer, batch_id, ["task_name", "snapshot_ts"])
 
 
-def write_heavy_hitters(hitters: DataFrame, path: str, batch_id: int = 0) -> None:
+def write_heavy_hitters(
+    hitters: DataFrame, path: str, writer: str | None = None, batch_id: int = 0
+) -> None:
     """Append hitter rows."""
     rows = hitters.select(*HEAVY_HITTERS_SCHEMA.names)
-    _append(rows, path, batch_id, ["task_name", "type", "snapshot_ts"])
+    _append(rows, path, writer, batch_id, ["task_name", "type", "snapshot_ts"])
+
+
+def write_spread_sketches(
+    sketches: DataFrame, path: str, writer: str | None = None, batch_id: int = 0
+) -> None:
+    """Append sketches of flows and intervals."""
+    rows = sketches.select(*SPREAD_SKETCHES_SCHEMA.names)
+    _append(rows, path, writer, batch_id, ["task_name", "snapshot_ts"])
+
+
+def compact_table(table: DataFrame, path: str) -> None:
+    """Write the rows of a stored table anew, as one batch with few files per month."""
+    kept = [name for name in table.columns if name not in ("month", "writer", "batch_id")]
+    _append(table.select(*kept), path, "compacted", 0, ["task_name", "snapshot_ts"])
+
+
+def spread_sketches_scan(spark: SparkSession, path: str) -> DataFrame:
+    """The stored sketches of a streamed spread task."""
+    return spark.read.schema(stored(SPREAD_SKETCHES_SCHEMA)).parquet(path)
 
 
 def heavy_hitters_scan(spark: SparkSession, path: str) -> DataFrame:
@@ -147,6 +188,9 @@ def write_packet_log(packets: DataFrame, path: str, encoding: str = "text") -> N
         raise ValueError(f"unknown packet log encoding {encoding}")
 
 
-def write_alerts(digests: DataFrame, path: str, batch_id: int = 0) -> None:
-    """Append digests or alert rows; delivery is up to a reader of the table."""
-    digests.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+def write_alerts(
+    lines: DataFrame, path: str, writer: str | None = None, batch_id: int = 0
+) -> None:
+    """Append alert rows or digest lines; delivery is up to a reader of the table."""
+    folder = f"{path.rstrip('/')}/writer={writer or uuid.uuid4().hex}/batch_id={batch_id}"
+    lines.write.mode("overwrite").parquet(folder)

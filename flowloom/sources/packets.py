@@ -11,8 +11,12 @@ from pyspark.sql import types as T
 from flowloom.functions.times import month_of, nanos_to_ts, ntz
 from flowloom.model import FLOW_METRICS_SCHEMA, KEY_TYPES, PACKET_SCHEMA, WIRE_SCHEMA
 
-MONTH = T.StructField("month", T.StringType())
-BATCH = T.StructField("batch_id", T.LongType())
+# Folders of a stored table, from the outside.
+FOLDERS = [
+    T.StructField("month", T.StringType()),
+    T.StructField("writer", T.StringType()),
+    T.StructField("batch_id", T.LongType()),
+]
 
 
 def packets_scan(
@@ -43,7 +47,8 @@ def zoned(packets: DataFrame) -> DataFrame:
 
 
 def subject_stream(spark: SparkSession, servers: str, subject: str, **options) -> DataFrame:
-    """Packets published to a Kafka topic as JSON; undecodable messages are dropped.
+    """Packets published to a Kafka topic as JSON; undecodable messages are dropped and
+    counted in the metrics `ingest_quality` of the query.
 
     Needs the Kafka connector on the session's class path.
     """
@@ -54,7 +59,9 @@ def subject_stream(spark: SparkSession, servers: str, subject: str, **options) -
         .options(**options)
         .load()
     )
-    decoded = decode_payloads(messages.select(F.col("value").cast("string").alias("payload")))
+    decoded = observe_quality(
+        decode_payloads(messages.select(F.col("value").cast("string").alias("payload")))
+    )
     return decoded.where(~F.col("bad")).drop("payload", "bad")
 
 
@@ -109,7 +116,7 @@ def observe_quality(records: DataFrame, name: str = "ingest_quality") -> DataFra
 
 def stored(schema: T.StructType) -> T.StructType:
     """Schema of a stored table: its columns and the folders it is kept in."""
-    return T.StructType([*schema.fields, BATCH, MONTH])
+    return T.StructType([*schema.fields, *FOLDERS])
 
 
 def flow_metrics_scan(spark: SparkSession, path: str) -> DataFrame:

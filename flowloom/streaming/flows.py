@@ -1,27 +1,28 @@
 """Continuous flows, snapshots, hitters, spreads, alerts and the raw archive.
 
-A period of measurement is an event-time window; its totals are the state of a
-windowed aggregation. Queries run in update mode: a micro-batch emits only flows
-that changed, which as of any time gives the same newest rows as full snapshots.
-The watermark bounds the state: packets later than that are dropped and counted in
-the query's progress.
+The state of a stream is one row per task, flow and snapshot interval, in event time.
+Queries run in update mode: a micro-batch emits the totals of the intervals that it
+changed, and a stored table keeps every version. Reading takes the newest version of each
+interval and sums up within the period, so at every snapshot, not only the last, the result
+equals that of the batch operators, also after a backlog of many intervals and after late
+packets. The watermark bounds the state: packets later than that are dropped and counted
+in the query's progress.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import hashlib
+from collections.abc import Callable, Iterable, Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from flowloom.functions.keys import flow_key, flow_label, pad_missing_keys
+from flowloom.functions.keys import flow_key, flow_label
 from flowloom.functions.times import EPOCH, grid, month_of, ntz
 from flowloom.model import (
-    COUNT,
-    SIZE,
-    SPREAD,
+    KEY_TYPES,
     VOTE_SKETCH,
     ExactTask,
     SketchTask,
@@ -35,75 +36,141 @@ from flowloom.operators.alerts import (
     alerts_totals,
 )
 from flowloom.operators.flows import packet_measures
-from flowloom.operators.snapshots import latest_per_flow, with_snapshot_times
-from flowloom.operators.spread import LG_K
+from flowloom.operators.snapshots import (
+    hitters_at_snapshots,
+    latest_per_flow,
+    running_totals,
+    spreads_at_snapshots,
+)
 from flowloom.sinks.tables import (
-    heavy_hitters_scan,
+    spread_sketches_scan,
     write_alerts,
     write_flow_metrics,
-    write_heavy_hitters,
+    write_spread_sketches,
 )
 from flowloom.sources.packets import flow_metrics_scan
 
 LATENESS = timedelta(hours=1)
+Tasks = ExactTask | SketchTask | Sequence[ExactTask | SketchTask]
 
 
 def _text(span: timedelta) -> str:
     return f"{span // timedelta(microseconds=1)} microseconds"
 
 
+def _period_start(period: timedelta, origin: datetime) -> Column:
+    """Start of the period that holds `ts`. Arithmetic, for a stream has one window."""
+    micro = timedelta(microseconds=1)
+    past = F.pmod(F.unix_micros("ts") - F.lit((origin - EPOCH) // micro), F.lit(period // micro))
+    return F.timestamp_micros(F.unix_micros("ts") - past)
+
+
+def _listed(tasks: Tasks) -> list[ExactTask | SketchTask]:
+    return [tasks] if isinstance(tasks, ExactTask | SketchTask) else list(tasks)
+
+
+def _fields(task: ExactTask | SketchTask) -> Sequence[str]:
+    return task.key_fields if isinstance(task, ExactTask) else task.flow_fields
+
+
+def _per_task(packets: DataFrame, rows: list[Column]) -> DataFrame:
+    """Every packet once per task, with the columns of the task's struct."""
+    return packets.select("*", F.explode(F.array(*rows)).alias("_task"))
+
+
 def stream_flows(
     packets: DataFrame,
-    fields: Iterable[str],
+    tasks: Tasks,
+    interval: timedelta,
     period: timedelta,
     origin: datetime = EPOCH,
     lateness: timedelta = LATENESS,
 ) -> DataFrame:
-    """Totals per flow that restart with each period; the period as `window`."""
+    """Totals per task, flow and interval of a period; the interval as `window`."""
+    rows = [
+        F.struct(
+            F.lit(task.name).alias("task_name"),
+            *(
+                (F.col(name) if name in key_columns(_fields(task)) else F.lit(None))
+                .cast(kind)
+                .alias(name)
+                for name, kind in KEY_TYPES.items()
+            ),
+        )
+        for task in _listed(tasks)
+    ]
     return (
-        packets.withWatermark("ts", _text(lateness))
-        .groupBy(grid("ts", period, origin).alias("window"), *key_columns(fields))
+        _per_task(packets.withWatermark("ts", _text(lateness)), rows)
+        .withColumn("period_start", _period_start(period, origin))
+        .groupBy(
+            grid("ts", interval, origin).alias("window"),
+            "period_start",
+            "_task.task_name",
+            *(F.col(f"_task.{name}").alias(name) for name in KEY_TYPES),
+        )
         .agg(*packet_measures())
     )
 
 
-def _zone_free(flows: DataFrame) -> DataFrame:
-    return flows.withColumns(
-        {
-            "start_time": F.col("start_time").cast("timestamp_ntz"),
-            "end_time": F.col("end_time").cast("timestamp_ntz"),
-            "period_start": F.col("window.start").cast("timestamp_ntz"),
-        }
-    )
-
-
-def _as_snapshots(
-    flows: DataFrame, task_name: str, fields: Iterable[str], interval: timedelta,
-    period: timedelta, origin: datetime,
+def spread_state(
+    packets: DataFrame,
+    tasks: Tasks,
+    interval: timedelta,
+    period: timedelta,
+    origin: datetime = EPOCH,
+    lateness: timedelta = LATENESS,
 ) -> DataFrame:
-    """Changed flows as flow_metrics rows.
+    """One HyperLogLog sketch per task, flow and interval, kept as streaming state.
 
-    A row is stamped with the first snapshot that covers its last packet. A flow
-    updated again before that snapshot gets a row with the same stamp and larger
-    totals, which `latest_per_flow` prefers.
+    The tasks of one call share their number of registers.
     """
-    zone_free = _zone_free(flows).drop("window")
-    stamped = with_snapshot_times(zone_free, "end_time", interval, period, origin)
-    return pad_missing_keys(stamped.withColumn("task_name", F.lit(task_name)), fields)
+    tasks = _listed(tasks)
+    (lg_k,) = {task.lg_k for task in tasks}
+    rows = [
+        F.struct(
+            F.lit(task.name).alias("task_name"),
+            flow_label(task.flow_fields).alias("flow"),
+            flow_key(task.element_fields).alias("element"),
+        )
+        for task in tasks
+    ]
+    return (
+        _per_task(packets.withWatermark("ts", _text(lateness)), rows)
+        .withColumn("period_start", _period_start(period, origin))
+        .groupBy(
+            grid("ts", interval, origin).alias("window"),
+            "period_start",
+            "_task.task_name",
+            F.col("_task.flow").alias("flow"),
+        )
+        .agg(F.hll_sketch_agg("_task.element", lg_k).alias("sketch"))
+    )
+
+
+def _stamped(rows: DataFrame, period: timedelta) -> DataFrame:
+    """Rows with zone-free times and the snapshot that closes their interval."""
+    times = [name for name in ("start_time", "end_time", "period_start") if name in rows.columns]
+    zone_free = rows.withColumns({name: F.col(name).cast("timestamp_ntz") for name in times})
+    end = F.col("window.end").cast("timestamp_ntz")
+    return zone_free.withColumn(
+        "snapshot_ts", F.least(end, F.col("period_start") + F.lit(period))
+    ).drop("window")
 
 
 def _start(
     stream: DataFrame,
-    write_batch: Callable[[DataFrame, int], None],
+    write_batch: Callable[[DataFrame, str, int], None],
     checkpoint: str,
     every: timedelta | None,
     name: str,
 ) -> StreamingQuery:
+    # A stream with a new checkpoint numbers its batches anew and is another writer.
+    writer_name = f"{name}-{hashlib.sha1(checkpoint.encode()).hexdigest()[:12]}"
     writer = (
         stream.writeStream.queryName(name)
         .outputMode("update")
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(write_batch)
+        .foreachBatch(lambda batch, batch_id: write_batch(batch, writer_name, batch_id))
     )
     # Without an interval the query drains what has arrived and stops: the closing
     # snapshot at shutdown.
@@ -113,7 +180,7 @@ def _start(
 
 def stream_snapshots(
     packets: DataFrame,
-    task: ExactTask,
+    tasks: Tasks,
     interval: timedelta,
     period: timedelta,
     path: str,
@@ -122,90 +189,64 @@ def stream_snapshots(
     lateness: timedelta = LATENESS,
     every: timedelta | None = None,
 ) -> StreamingQuery:
-    """Write cumulative snapshots of a task to a flow_metrics table.
+    """Write the interval totals of all tasks; `streamed_snapshots` reads them.
 
-    `every` is the time between snapshots; None drains the source and stops.
+    One query reads the packets once for all tasks. `every` is the time between its
+    batches; None drains the source and stops.
     """
 
-    def write_batch(changed: DataFrame, batch_id: int) -> None:
-        rows = _as_snapshots(changed, task.name, task.key_fields, interval, period, origin)
-        write_flow_metrics(rows, path, batch_id)
+    def write_batch(changed: DataFrame, writer: str, batch_id: int) -> None:
+        write_flow_metrics(_stamped(changed, period), path, writer, batch_id)
 
-    flows = stream_flows(packets, task.key_fields, period, origin, lateness)
-    return _start(flows, write_batch, checkpoint, every, f"flows-{task.name}")
+    flows = stream_flows(packets, tasks, interval, period, origin, lateness)
+    names = "-".join(task.name for task in _listed(tasks))
+    return _start(flows, write_batch, checkpoint, every, f"flows-{names}")
 
 
-def stream_close(start: Callable[..., StreamingQuery], *args, **kwargs) -> None:
-    """Drain what is waiting, write the final snapshot and stop."""
-    start(*args, **{**kwargs, "every": None}).awaitTermination()
+def interval_totals(table: DataFrame) -> DataFrame:
+    """The newest version of every interval of a streamed table.
 
+    Totals only grow from version to version, so the newest is the largest.
+    """
+    return table.groupBy("task_name", *KEY_TYPES, "period_start", "snapshot_ts").agg(
+        F.min("start_time").alias("start_time"),
+        F.max("end_time").alias("end_time"),
+        F.max("byte_count").alias("byte_count"),
+        F.max("packet_count").alias("packet_count"),
+    )
 
-def stream_hitters(
-    packets: DataFrame,
-    task: SketchTask,
-    period: timedelta,
-    path: str,
-    checkpoint: str,
-    origin: datetime = EPOCH,
-    lateness: timedelta = LATENESS,
-    every: timedelta | None = None,
-) -> StreamingQuery:
-    """Write flows over the task's thresholds to a heavy_hitters table.
 
-    State spills to disk, so it is exact: no sketch is needed to bound memory.
-    """
+def streamed_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """Cumulative snapshots (flow_metrics rows) of a table that `stream_snapshots` writes."""
+    return running_totals(interval_totals(flow_metrics_scan(spark, path)))
 
-    def write_batch(changed: DataFrame, batch_id: int) -> None:
-        flows = changed.withColumn("flow", flow_label(task.flow_fields))
-        measures = F.explode(
-            F.array(
-                F.struct(F.lit(COUNT).alias("type"), F.col("packet_count").alias("value")),
-                F.struct(F.lit(SIZE).alias("type"), F.col("byte_count").alias("value")),
-            )
-        )
-        threshold = F.when(F.col("type") == SIZE, task.size_threshold).otherwise(
-            task.count_threshold
-        )
-        hitters = (
-            flows.select(
-                F.col("end_time").cast("timestamp_ntz").alias("snapshot_ts"),
-                F.lit(task.name).alias("task_name"),
-                "flow",
-                measures.alias("measure"),
-            )
-            .select("snapshot_ts", "task_name", "flow", "measure.value", "measure.type")
-            .where(F.col("value") >= threshold)
-        )
-        write_heavy_hitters(hitters, path, batch_id)
 
-    flows = stream_flows(packets, task.flow_fields, period, origin, lateness)
-    return _start(flows, write_batch, checkpoint, every, f"hitters-{task.name}")
+def stream_close(start: Callable[..., StreamingQuery], *args, **kwargs) -> None:
+    """Drain what is waiting, write the final snapshot and stop."""
+    start(*args, **{**kwargs, "every": None}).awaitTermination()
 
 
-def spread_state(
-    packets: DataFrame,
-    flow_fields: Iterable[str],
-    element_fields: Iterable[str],
-    period: timedelta,
-    origin: datetime = EPOCH,
-    lateness: timedelta = LATENESS,
-    lg_k: int = LG_K,
-) -> DataFrame:
-    """One HyperLogLog sketch per flow and period, kept as streaming state."""
-    flow_fields = list(flow_fields)
-    return (
-        packets.withWatermark("ts", _text(lateness))
-        .groupBy(grid("ts", period, origin).alias("window"), *key_columns(flow_fields))
-        .agg(
-            F.hll_sketch_agg(flow_key(element_fields), lg_k).alias("sketch"),
-            F.max("ts").alias("end_time"),
-        )
+# Vote tasks keep the totals of their flows: state spills to disk, so they are exact and
+# need no sketch to bound memory.
+stream_hitters = stream_snapshots
+
+
+def streamed_hitters(spark: SparkSession, path: str, task: SketchTask) -> DataFrame:
+    """heavy_hitters rows of a vote task at every snapshot that its flows changed."""
+    table = flow_metrics_scan(spark, path).where(F.col("task_name") == task.name)
+    return hitters_at_snapshots(
+        running_totals(interval_totals(table)),
+        task.name,
+        task.flow_fields,
+        task.count_threshold,
+        task.size_threshold,
     )
 
 
 def stream_spread(
     packets: DataFrame,
-    task: SketchTask,
+    tasks: Tasks,
+    interval: timedelta,
     period: timedelta,
     path: str,
     checkpoint: str,
@@ -213,58 +254,51 @@ def stream_spread(
     lateness: timedelta = LATENESS,
     every: timedelta | None = None,
 ) -> StreamingQuery:
-    """Write flows over the task's spread threshold to a heavy_hitters table."""
+    """Write the interval sketches of spread tasks; `streamed_spreads` reads them."""
 
-    def write_batch(changed: DataFrame, batch_id: int) -> None:
-        hitters = changed.select(
-            F.col("end_time").cast("timestamp_ntz").alias("snapshot_ts"),
-            F.lit(task.name).alias("task_name"),
-            flow_label(task.flow_fields).alias("flow"),
-            F.hll_sketch_estimate("sketch").alias("value"),
-            F.lit(SPREAD).alias("type"),
-        ).where(F.col("value") >= task.count_threshold)
-        write_heavy_hitters(hitters, path, batch_id)
+    def write_batch(changed: DataFrame, writer: str, batch_id: int) -> None:
+        write_spread_sketches(_stamped(changed, period), path, writer, batch_id)
 
-    state = spread_state(
-        packets, task.flow_fields, task.element_fields, period, origin, lateness, task.lg_k
-    )
-    return _start(state, write_batch, checkpoint, every, f"spread-{task.name}")
+    state = spread_state(packets, tasks, interval, period, origin, lateness)
+    names = "-".join(task.name for task in _listed(tasks))
+    return _start(state, write_batch, checkpoint, every, f"spread-{names}")
+
+
+def streamed_spreads(spark: SparkSession, path: str, task: SketchTask) -> DataFrame:
+    """heavy_hitters rows of a spread task at every snapshot that its flows changed."""
+    table = spread_sketches_scan(spark, path).where(F.col("task_name") == task.name)
+    return spreads_at_snapshots(table, task.count_threshold)
 
 
 def stream_alerts(
     ticks: DataFrame,
     rules: DataFrame,
-    flow_metrics_path: str,
-    heavy_hitters_path: str,
+    read_flow_metrics: Callable[[], DataFrame],
+    read_heavy_hitters: Callable[[], DataFrame],
     alerts_path: str,
     checkpoint: str,
     period: timedelta,
     origin: datetime = EPOCH,
     every: timedelta | None = None,
 ) -> StreamingQuery:
-    """Check the rules against the stored rows of the current period at every tick.
+    """Check the rules against the snapshots of the current period at every tick.
 
-    `ticks` is any stream with an event time `ts`, such as the packets themselves;
-    a batch of it triggers one check as of the batch's last time.
+    `ticks` is any stream with an event time `ts`; a batch of it triggers one check as of
+    its last time. The packets themselves tick while there are any, a rate source ticks by
+    the clock. The tables are read anew at each check, stored or streamed ones alike.
     """
-    spark = ticks.sparkSession
 
-    def check_rules(batch: DataFrame, batch_id: int) -> None:
+    def check_rules(batch: DataFrame, writer: str, batch_id: int) -> None:
         # One value per batch: the time of this check.
         checked_at = batch.agg(F.max("ts").cast("timestamp_ntz").alias("at")).first().at
         if checked_at is None:
             return
         alerts = current_alerts(
-            flow_metrics_scan(spark, flow_metrics_path),
-            heavy_hitters_scan(spark, heavy_hitters_path),
-            rules,
-            checked_at,
-            period,
-            origin,
+            read_flow_metrics(), read_heavy_hitters(), rules, checked_at, period, origin
         )
-        write_alerts(alert_digest(alert_messages(alerts)), alerts_path, batch_id)
+        write_alerts(alert_digest(alert_messages(alerts)), alerts_path, writer, batch_id)
 
-    return _start(ticks, check_rules, checkpoint, every, "alerts")
+    return _start(ticks.select("ts"), check_rules, checkpoint, every, "alerts")
 
 
 def current_alerts(
@@ -275,16 +309,19 @@ def current_alerts(
     period: timedelta,
     origin: datetime = EPOCH,
 ) -> DataFrame:
-    """Alerts of all rules on the newest rows of the period that holds `checked_at`.
+    """Alerts of all rules as of `checked_at`, on the snapshots of its period.
 
-    The period bounds what is read: its months and times reach the scan.
+    A snapshot counts from its own time on. The period bounds what is read: where a table
+    has months, they reach the scan.
     """
     began = origin + (checked_at - origin) // period * period
 
     def current(table: DataFrame) -> DataFrame:
-        return table.where(
-            (F.col("month") >= month_of(ntz(began))) & (F.col("snapshot_ts") > ntz(began))
-        )
+        if "month" in table.columns:
+            months = month_of(ntz(began)), month_of(ntz(checked_at))
+            table = table.where(F.col("month").between(*months))
+        ts = F.col("snapshot_ts")
+        return table.where((ts > ntz(began)) & (ts <= ntz(checked_at)))
 
     flows = latest_per_flow(current(flow_metrics).where(F.col("period_start") == ntz(began)))
     hitters = (
@@ -325,26 +362,36 @@ def stream_tasks(
     base: str,
     origin: datetime = EPOCH,
     lateness: timedelta = LATENESS,
-    exact_every: timedelta | None = None,
-    sketch_every: timedelta | None = None,
+    every: timedelta | None = None,
 ) -> list[StreamingQuery]:
-    """Start every task on one packet stream: a query, table folder and checkpoint
-    each, so tasks fail, restart and pace independently."""
-    common = {"period": period, "origin": origin, "lateness": lateness}
+    """Start all tasks on one packet stream.
+
+    Exact and vote tasks share one query and its read of the packets, spread tasks one per
+    number of registers. Tables are `flow_metrics` and `spreads` under `base`.
+    """
+    sketch = list(sketch)
+    common = {
+        "interval": interval, "period": period, "origin": origin, "lateness": lateness,
+        "every": every,
+    }
+    counted = [*exact, *(task for task in sketch if task.kind == VOTE_SKETCH)]
+    spreads: dict[int, list[SketchTask]] = {}
+    for task in sketch:
+        if task.kind != VOTE_SKETCH:
+            spreads.setdefault(task.lg_k, []).append(task)
     started = []
-    for task in exact:
+    if counted:
         started.append(
             stream_snapshots(
-                packets, task, interval, path=f"{base}/flow_metrics/task={task.name}",
-                checkpoint=f"{base}/checkpoints/{task.name}", every=exact_every, **common,
+                packets, counted, path=f"{base}/flow_metrics",
+                checkpoint=f"{base}/checkpoints/flows", **common,
             )
         )
-    for task in sketch:
-        start = stream_hitters if task.kind == VOTE_SKETCH else stream_spread
+    for lg_k, tasks in spreads.items():
         started.append(
-            start(
-                packets, task, path=f"{base}/heavy_hitters/task={task.name}",
-                checkpoint=f"{base}/checkpoints/{task.name}", every=sketch_every, **common,
+            stream_spread(
+                packets, tasks, path=f"{base}/spreads",
+                checkpoint=f"{base}/checkpoints/spreads-{lg_k}", **common,
             )
         )
     return started

@@ -25,8 +25,6 @@ from registered.catalog import query
 from registered.presets import CHECKED_AT, EXACT, FIRES_SQL, RULES, RULES_SQL
 from registered.views import EVENTS, event_packets
 
-ITEMS = 5
-
 TOTALS_SQL = f"""tot AS (SELECT task_name, count(*) AS f, CAST(sum(byte_count) AS BIGINT) AS b,
  CAST(sum(packet_count) AS BIGINT) AS n FROM ({tasks_sql(EXACT)}) GROUP BY task_name),
  totals AS (SELECT task_name, 'total_flows' AS metric, f AS value FROM tot
@@ -103,32 +101,27 @@ def all_alerts(spark, sf_dir):
 
 
 MESSAGES = f"""{BASE}, al AS ({ON_TOTALS} UNION ALL {ON_HITTERS} UNION ALL {ON_SPREAD}),
- lines AS (SELECT *, row_number() OVER (PARTITION BY rule_name ORDER BY value DESC, flow) AS place,
-  count(*) OVER (PARTITION BY rule_name) AS item_count,
+ msg AS (SELECT check_ts, rule_name, task_name, metric, operator, threshold, 1 AS line_no, value, flow,
   concat(CASE WHEN flow IS NULL THEN 'Observed value: ' ELSE concat('  ', flow, ': ') END, value,
    CASE metric WHEN 'total_packets' THEN ' packets' WHEN 'total_flows' THEN ' flows'
-    WHEN 'total_bytes' THEN ' bytes' WHEN 'heavy_hitter_size' THEN ' bytes' ELSE '' END) AS line FROM al),
- msg AS (SELECT check_ts, rule_name, task_name, metric, operator, threshold, item_count,
-  concat(printf('Alert: %s' || chr(10) || 'Task: %s' || chr(10) || 'Metric: %s' || chr(10) ||
-    'Condition: %s %.2f' || chr(10), rule_name, task_name, metric, operator, threshold),
-   string_agg(line, chr(10) ORDER BY place),
-   CASE WHEN item_count > {ITEMS} THEN concat(chr(10), '  and ', item_count - {ITEMS}, ' more') ELSE '' END)
-   AS message
-  FROM lines WHERE place <= {ITEMS}
-  GROUP BY check_ts, rule_name, task_name, metric, operator, threshold, item_count)"""
+    WHEN 'total_bytes' THEN ' bytes' WHEN 'heavy_hitter_size' THEN ' bytes' ELSE '' END) AS text FROM al
+ UNION ALL SELECT check_ts, rule_name, task_name, metric, operator, threshold, 0, count(*), NULL,
+  printf('Alert: %s' || chr(10) || 'Task: %s' || chr(10) || 'Metric: %s' || chr(10) ||
+    'Condition: %s %.2f' || chr(10), rule_name, task_name, metric, operator, threshold)
+  FROM al GROUP BY check_ts, rule_name, task_name, metric, operator, threshold)"""
 
 
 @query("alert_messages", f"{MESSAGES} SELECT * FROM msg")
 def _(spark, sf_dir):
-    return alert_messages(all_alerts(spark, sf_dir), ITEMS)
+    return alert_messages(all_alerts(spark, sf_dir))
 
 
-DIGEST = f"""{MESSAGES} SELECT check_ts, CAST(count(DISTINCT task_name) AS INTEGER) AS tasks,
- concat('Alert summary (', count(DISTINCT task_name), ' triggered)') AS subject,
- string_agg(message, chr(10) || chr(10) ORDER BY task_name, rule_name) AS body
- FROM msg GROUP BY check_ts"""
+DIGEST = f"""{MESSAGES}, checks AS (SELECT check_ts, CAST(count(DISTINCT task_name) AS INTEGER) AS tasks
+ FROM msg GROUP BY check_ts)
+ SELECT check_ts, tasks, concat('Alert summary (', tasks, ' triggered)') AS subject, rule_name, task_name,
+  metric, operator, threshold, line_no, value, flow, text FROM msg JOIN checks USING (check_ts)"""
 
 
 @query("alert_digest", DIGEST)
 def _(spark, sf_dir):
-    return alert_digest(alert_messages(all_alerts(spark, sf_dir), ITEMS))
+    return alert_digest(alert_messages(all_alerts(spark, sf_dir)))

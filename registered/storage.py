@@ -8,6 +8,7 @@ from flowloom.model import FLOW_METRICS_SCHEMA, HEAVY_HITTERS_SCHEMA
 from flowloom.operators.alerts import alert_digest, alert_messages
 from flowloom.session import shared_dir
 from flowloom.sinks.tables import (
+    compact_table,
     heavy_hitters_scan,
     hitter_text_scan,
     snapshot_dir_scan,
@@ -29,7 +30,7 @@ from flowloom.sources.packets import (
     snapshot_scan,
 )
 from flowloom.sources.synthetic import synthetic_packets
-from registered.alerting import DIGEST, ITEMS, all_alerts
+from registered.alerting import DIGEST, all_alerts
 from registered.catalog import query
 from registered.columns import LINE_SQL
 from registered.presets import EXACT, FM, HH, flow_metrics, heavy_hitters, task_metrics
@@ -146,10 +147,24 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     path = shared_dir(spark, "flow-metrics")
     for batch, task in enumerate(EXACT):
-        write_flow_metrics(task_metrics(spark, sf_dir, task), path, batch)
+        write_flow_metrics(task_metrics(spark, sf_dir, task), path, "job", batch)
     # A repeated batch leaves the table as it is.
-    write_flow_metrics(task_metrics(spark, sf_dir, EXACT[1]), path, 1)
-    return flow_metrics_scan(spark, path).drop("batch_id")
+    write_flow_metrics(task_metrics(spark, sf_dir, EXACT[1]), path, "job", 1)
+    return flow_metrics_scan(spark, path).drop("writer", "batch_id")
+
+
+@query("write_flow_metrics_two_writers", f"{FM} SELECT *, strftime(snapshot_ts, '%Y%m') AS month FROM fm")
+def _(spark, sf_dir):
+    # Two writers that number their batches alike, a replay, and appends without a name.
+    path, compacted = shared_dir(spark, "flow-metrics"), shared_dir(spark, "compacted")
+    for writer, task in (("a", EXACT[0]), ("b", EXACT[1]), ("a", EXACT[0])):
+        write_flow_metrics(task_metrics(spark, sf_dir, task), path, writer, 0)
+    early = F.col("snapshot_ts") < F.lit("2024-01-15").cast("timestamp_ntz")
+    rest = task_metrics(spark, sf_dir, EXACT[2])
+    write_flow_metrics(rest.where(early), path)
+    write_flow_metrics(rest.where(~early), path)
+    compact_table(flow_metrics_scan(spark, path), compacted)
+    return flow_metrics_scan(spark, compacted).drop("writer", "batch_id")
 
 
 @query("write_heavy_hitters", f"{HH} SELECT *, strftime(snapshot_ts, '%Y%m') AS month FROM hh")
@@ -177,11 +192,11 @@ LABEL = "strftime(snapshot_ts, '%Y-%m-%d_%H-%M-%S')"
 @query(
     "write_snapshot_dir",
     f"""{FM} SELECT {LABEL} AS label, task_name, {FIVE}, start_time, end_time, byte_count, packet_count
- FROM fm WHERE task_name = 'per_src_ip'""",
+ FROM fm""",
 )
 def _(spark, sf_dir):
     path = shared_dir(spark, "snapshots")
-    write_snapshot_dir(task_metrics(spark, sf_dir, EXACT[1]), path)
+    write_snapshot_dir(flow_metrics(spark, sf_dir), path)
     keys = FIVE.split(", ")
     return snapshot_dir_scan(spark, path).select(
         "label", "task_name", *keys, "start_time", "end_time", "byte_count", "packet_count"
@@ -192,12 +207,11 @@ def _(spark, sf_dir):
     "write_snapshot_summary",
     f"""{FM} SELECT {LABEL} AS label, task_name, count(*) AS total_flows,
  CAST(sum(byte_count) AS BIGINT) AS total_bytes, CAST(sum(packet_count) AS BIGINT) AS total_packets
- FROM fm WHERE task_name IN ('per_src_ip', 'per_dst_ip') GROUP BY label, task_name""",
+ FROM fm GROUP BY label, task_name""",
 )
 def _(spark, sf_dir):
     path = shared_dir(spark, "snapshots")
-    flows = task_metrics(spark, sf_dir, EXACT[1]).unionByName(task_metrics(spark, sf_dir, EXACT[2]))
-    write_snapshot_dir(flows, path)
+    write_snapshot_dir(flow_metrics(spark, sf_dir), path)
     return summary_scan(spark, path).select(
         "label", "task_name", "total_flows", "total_bytes", "total_packets"
     )
@@ -213,5 +227,5 @@ def _(spark, sf_dir):
 @query("write_alerts", DIGEST)
 def _(spark, sf_dir):
     path = shared_dir(spark, "alerts")
-    write_alerts(alert_digest(alert_messages(all_alerts(spark, sf_dir), ITEMS)), path)
-    return spark.read.parquet(path).drop("batch_id")
+    write_alerts(alert_digest(alert_messages(all_alerts(spark, sf_dir))), path)
+    return spark.read.parquet(path).drop("writer", "batch_id")

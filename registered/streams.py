@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from datetime import datetime, timedelta
+from datetime import timedelta
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowloom.model import ExactTask, rules_frame
-from flowloom.operators.filters import filter_hitters
-from flowloom.operators.flows import exact_spread
-from flowloom.operators.snapshots import latest_per_flow
+from flowloom.model import rules_frame
+from flowloom.operators.snapshots import latest_per_flow, with_snapshot_times
 from flowloom.session import shared_dir
-from flowloom.sinks.tables import heavy_hitters_scan, write_flow_metrics, write_heavy_hitters
-from flowloom.sources.packets import flow_metrics_scan, packets_scan, packets_stream
+from flowloom.sinks.tables import heavy_hitters_scan, write_heavy_hitters
+from flowloom.sources.packets import packets_scan, packets_stream
 from flowloom.streaming.flows import (
     stream_alerts,
     stream_archive,
@@ -22,11 +21,15 @@ from flowloom.streaming.flows import (
     stream_snapshots,
     stream_spread,
     stream_tasks,
+    streamed_hitters,
+    streamed_snapshots,
+    streamed_spreads,
 )
 from registered.catalog import query
 from registered.presets import (
     EXACT,
     FIRES_SQL,
+    FM,
     HH,
     RULES,
     RULES_SQL,
@@ -34,9 +37,7 @@ from registered.presets import (
     TICKS,
     VOTE,
     heavy_hitters,
-    task_metrics,
 )
-from registered.sketches import SOURCE_TOTALS
 from registered.views import (
     DAY,
     EVENTS,
@@ -55,21 +56,28 @@ MEASURES = (
 )
 
 
-def _snapshots(spark, sf_dir, task, start=stream_snapshots):
+def _drained(spark, packets, tasks, period, start=stream_snapshots, lateness=LONG):
+    """A streamed table of the tasks over all packets."""
     path, checkpoint = shared_dir(spark, "stream"), shared_dir(spark, "checkpoint")
     stream_close(
-        start, event_packets_stream(spark, sf_dir), task, DAY, PERIOD, path, checkpoint,
-        origin=ORIGIN, lateness=LONG,
+        start, packets, tasks, DAY, period, path, checkpoint, origin=ORIGIN, lateness=lateness
     )
-    return flow_metrics_scan(spark, path)
+    return path
+
+
+def _arrivals(spark, sf_dir):
+    """The packets as files of three arrivals, each with some packets of every day."""
+    folder = shared_dir(spark, "arrivals")
+    event_packets(spark, sf_dir).repartition(3, "event_id").write.parquet(folder)
+    return packets_stream(spark, folder, maxFilesPerTrigger=1)
 
 
-def _newest_in_period(rows, keys):
-    """The newest stored row of every flow and period."""
-    values = ["start_time", "end_time", "byte_count", "packet_count"]
-    newest = F.max(F.struct("snapshot_ts", "packet_count", *values[:3])).alias("newest")
-    return rows.groupBy("period_start", *keys).agg(newest).select(
-        "period_start", *keys, *[f"newest.{name}" for name in values]
+def closing(rows, keys):
+    """The last snapshot of every flow and period."""
+    last = W.partitionBy("period_start", *keys).orderBy(F.desc("snapshot_ts"))
+    newest = rows.withColumn("place", F.row_number().over(last)).where("place = 1")
+    return newest.select(
+        "period_start", *keys, "start_time", "end_time", "byte_count", "packet_count"
     )
 
 
@@ -79,19 +87,22 @@ def _newest_in_period(rows, keys):
  GROUP BY period_start, {FIVE}""",
 )
 def _(spark, sf_dir):
-    return _newest_in_period(_snapshots(spark, sf_dir, EXACT[0]), FIVE.split(", "))
+    path = _drained(spark, event_packets_stream(spark, sf_dir), EXACT[0], PERIOD)
+    return closing(streamed_snapshots(spark, path), FIVE.split(", "))
 
 
-@query(
-    "stream_snapshots",
-    f"""WITH {EVENTS}, {TICKS} SELECT period_start, src_ip, max(snapshot_ts) AS snapshot_ts, {MEASURES}
- FROM t GROUP BY period_start, src_ip""",
-)
+# Every snapshot, not only the last one: all days arrive in one batch.
+@query("stream_snapshots", f"{FM} SELECT * FROM fm")
+def _(spark, sf_dir):
+    path = _drained(spark, event_packets_stream(spark, sf_dir), EXACT, PERIOD)
+    return streamed_snapshots(spark, path)
+
+
+# The same in three batches, of which the later ones correct the snapshots before.
+@query("stream_snapshots_late", f"{FM} SELECT * FROM fm WHERE task_name = 'per_src_ip'")
 def _(spark, sf_dir):
-    rows = _snapshots(spark, sf_dir, EXACT[1])
-    newest = _newest_in_period(rows, ["src_ip"])
-    stamps = rows.groupBy("period_start", "src_ip").agg(F.max("snapshot_ts").alias("snapshot_ts"))
-    return newest.join(stamps, ["period_start", "src_ip"])
+    path = _drained(spark, _arrivals(spark, sf_dir), EXACT[1], PERIOD)
+    return streamed_snapshots(spark, path)
 
 
 @query(
@@ -101,8 +112,8 @@ def _(spark, sf_dir):
  GROUP BY period_start, dst_ip)""",
 )
 def _(spark, sf_dir):
-    newest = _newest_in_period(_snapshots(spark, sf_dir, EXACT[2]), ["dst_ip"])
-    return newest.agg(
+    path = _drained(spark, event_packets_stream(spark, sf_dir), EXACT[2], PERIOD)
+    return closing(streamed_snapshots(spark, path), ["dst_ip"]).agg(
         F.count(F.lit(1)).alias("flows"),
         F.sum("byte_count").alias("total_bytes"),
         F.sum("packet_count").alias("total_packets"),
@@ -126,108 +137,126 @@ def _(spark, sf_dir):
             stream_snapshots, packets_stream(spark, folder), EXACT[1], DAY, DAY, path, checkpoint,
             origin=ORIGIN, lateness=DAY,
         )
-    return _newest_in_period(flow_metrics_scan(spark, path), ["src_ip"])
+    return closing(streamed_snapshots(spark, path), ["src_ip"])
+
+
+HITS = f"""SELECT snapshot_ts, '{VOTE.name}' AS task_name, src_ip AS flow, packet_count AS value, 0 AS type
+   FROM fm WHERE task_name = 'per_src_ip' AND packet_count >= {VOTE.count_threshold}
+ UNION ALL SELECT snapshot_ts, '{VOTE.name}', src_ip, byte_count, 1
+   FROM fm WHERE task_name = 'per_src_ip' AND byte_count >= {VOTE.size_threshold}"""
+LOW = replace(VOTE, count_threshold=20, size_threshold=2000)
+LOW_HITS = HITS.replace(f">= {VOTE.count_threshold}", ">= 20").replace(
+    f">= {VOTE.size_threshold}", ">= 2000"
+)
 
 
 @query(
     "stream_tasks",
-    f"""WITH {EVENTS}, {TICKS}, {SOURCE_TOTALS}
- SELECT 'per_src_ip' AS task_name, count(DISTINCT (period_start, src_ip)) AS row_count FROM t
- UNION ALL SELECT 'per_dst_ip', count(DISTINCT (period_start, dst_ip)) FROM t
- UNION ALL SELECT 'cm_src_left', count(*) FROM (SELECT src_ip, period_start FROM t
-   GROUP BY src_ip, period_start HAVING count(*) >= 75
-   UNION ALL SELECT src_ip, period_start FROM t GROUP BY src_ip, period_start HAVING sum(length) >= 7500)""",
+    f"""{FM}, hits AS ({LOW_HITS})
+ SELECT task_name, count(*) AS row_count, count(DISTINCT snapshot_ts) AS snapshots FROM fm
+  GROUP BY task_name
+ UNION ALL SELECT task_name, count(*), count(DISTINCT snapshot_ts) FROM hits GROUP BY task_name
+ UNION ALL SELECT '{SPREADERS.name}', count(DISTINCT (snapshot_ts, src_ip)), count(DISTINCT snapshot_ts) FROM t""",
 )
 def _(spark, sf_dir):
     base = shared_dir(spark, "tasks")
+    spreads = replace(SPREADERS, count_threshold=1)
     started = stream_tasks(
-        event_packets_stream(spark, sf_dir), EXACT[1:], [VOTE], DAY, PERIOD, base,
+        event_packets_stream(spark, sf_dir), EXACT, [LOW, spreads], DAY, PERIOD, base,
         origin=ORIGIN, lateness=LONG,
     )
     for running in started:
         running.awaitTermination()
-    flows = spark.read.parquet(f"{base}/flow_metrics").groupBy("task_name").agg(
-        F.count_distinct("period_start", F.coalesce("src_ip", "dst_ip")).alias("row_count")
-    )
-    table = heavy_hitters_scan(spark, f"{base}/heavy_hitters/task={VOTE.name}")
-    hitters = table.groupBy("task_name").agg(F.count(F.lit(1)).alias("row_count"))
-    # A task without hitters has no row in its table, but one in this report.
-    named = spark.createDataFrame([(VOTE.name,)], "task_name string")
-    reported = named.join(hitters, "task_name", "left").select(
-        "task_name", F.coalesce("row_count", F.lit(0)).alias("row_count")
+    tables = [
+        streamed_snapshots(spark, f"{base}/flow_metrics").where(F.col("task_name") != LOW.name),
+        streamed_hitters(spark, f"{base}/flow_metrics", LOW),
+        streamed_spreads(spark, f"{base}/spreads", spreads),
+    ]
+    rows = [table.select("task_name", "snapshot_ts") for table in tables]
+    return (
+        rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("task_name").agg(
+            F.count(F.lit(1)).alias("row_count"),
+            F.count_distinct("snapshot_ts").alias("snapshots"),
+        )
     )
-    return flows.unionByName(reported)
+
+
+@query("stream_hitters", f"{FM} {HITS}")
+def _(spark, sf_dir):
+    path = _drained(spark, _arrivals(spark, sf_dir), VOTE, PERIOD, stream_hitters)
+    return streamed_hitters(spark, path, VOTE)
 
 
 @query(
-    "stream_hitters",
-    f"""{P}, {SOURCE_TOTALS} SELECT flow, n AS value, 0 AS type FROM f WHERE n >= 75
- UNION ALL SELECT flow, b, 1 FROM f WHERE b >= 7500""",
+    "stream_hitters_as_of",
+    f"""{FM}, hits AS ({LOW_HITS}) SELECT task_name, flow, value, type FROM hits
+ WHERE snapshot_ts = TIMESTAMP '2024-01-06 00:00:00'""",
 )
 def _(spark, sf_dir):
-    path, checkpoint = shared_dir(spark, "stream"), shared_dir(spark, "checkpoint")
-    # One period holds all events.
-    stream_close(
-        stream_hitters, event_packets_stream(spark, sf_dir), VOTE, LONG, path, checkpoint,
-        origin=ORIGIN, lateness=LONG,
-    )
-    stored = heavy_hitters_scan(spark, path)
-    newest = stored.groupBy("flow", "type").agg(F.max(F.struct("snapshot_ts", "value")).alias("newest"))
-    return newest.select("flow", "newest.value", "type")
+    path = _drained(spark, _arrivals(spark, sf_dir), LOW, PERIOD, stream_hitters)
+    at = F.lit("2024-01-06").cast("timestamp_ntz")
+    rows = streamed_hitters(spark, path, LOW).where(F.col("snapshot_ts") == at)
+    return rows.select("task_name", "flow", "value", "type")
 
 
+# 4096 registers keep the estimates of this table within 8 percent; the spread of small
+# flows is exact.
 @query(
     "stream_spread",
-    f"""{P} SELECT count(DISTINCT src_ip) AS flows, CAST(0 AS BIGINT) AS far_off FROM p""",
+    f"""WITH {EVENTS}, {TICKS}, seen AS (SELECT DISTINCT period_start, snapshot_ts, src_ip FROM t)
+ SELECT count(*) AS row_count, CAST(0 AS BIGINT) AS far_off FROM seen""",
 )
 def _(spark, sf_dir):
-    path, checkpoint = shared_dir(spark, "stream"), shared_dir(spark, "checkpoint")
-    stream_close(
-        stream_spread, event_packets_stream(spark, sf_dir), replace(SPREADERS, count_threshold=1),
-        LONG, path, checkpoint, origin=ORIGIN, lateness=LONG,
+    task = replace(SPREADERS, count_threshold=1, m=4096)
+    path = _drained(spark, _arrivals(spark, sf_dir), task, PERIOD, stream_spread)
+    rows = streamed_spreads(spark, path, task)
+    timed = with_snapshot_times(event_packets(spark, sf_dir), "ts", DAY, PERIOD, ORIGIN)
+    first = timed.groupBy("period_start", "src_ip", "dst_ip").agg(
+        F.min("snapshot_ts").alias("since")
     )
-    spreads = filter_hitters(heavy_hitters_scan(spark, path), SPREADERS.name, 2)
-    newest = spreads.groupBy("flow").agg(F.max(F.struct("snapshot_ts", "value")).alias("newest"))
-    truth = exact_spread(event_packets(spark, sf_dir), ["SrcIP"], ["DstIP"])
-    off = F.abs(F.col("newest.value") - F.col("spread")) / F.col("spread")
-    return newest.join(truth, "flow").agg(
-        F.count(F.lit(1)).alias("flows"), F.count_if(off >= 0.5).alias("far_off")
+    ticks = timed.select("period_start", "snapshot_ts", "src_ip").distinct()
+    truth = (
+        ticks.join(first, ["period_start", "src_ip"])
+        .where("since <= snapshot_ts")
+        .groupBy("snapshot_ts", F.col("src_ip").alias("flow"))
+        .agg(F.count(F.lit(1)).alias("spread"))
+    )
+    off = F.abs(F.col("value") - F.col("spread")) / F.col("spread")
+    return rows.join(truth, ["snapshot_ts", "flow"]).agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_if(off > 0.08).alias("far_off")
     )
 
 
 @query(
     "stream_alerts",
-    f"""{HH}, {RULES_SQL},
- cur AS (SELECT max(period_start) AS began FROM fm),
- newest AS (SELECT * FROM fm WHERE task_name <> 'per_dst_ip' AND period_start = (SELECT began FROM cur)
+    f"""{HH}, {RULES_SQL}, cur AS (SELECT max(ts) AS checked, max(period_start) AS began FROM t),
+ newest AS (SELECT fm.* FROM fm, cur WHERE period_start = began AND snapshot_ts <= checked
    QUALIFY row_number() OVER (PARTITION BY task_name, {FIVE} ORDER BY snapshot_ts DESC) = 1),
  tot AS (SELECT task_name, count(*) AS f, sum(byte_count) AS b, sum(packet_count) AS n FROM newest GROUP BY task_name),
  totals AS (SELECT task_name, 'total_flows' AS metric, CAST(f AS BIGINT) AS value FROM tot
   UNION ALL SELECT task_name, 'total_bytes', CAST(b AS BIGINT) FROM tot
   UNION ALL SELECT task_name, 'total_packets', CAST(n AS BIGINT) FROM tot),
- hit AS (SELECT * FROM hh WHERE snapshot_ts > (SELECT began FROM cur)
-   QUALIFY row_number() OVER (PARTITION BY task_name, type, flow ORDER BY snapshot_ts DESC) = 1),
- fired AS (SELECT r.rule_name, r.task_name FROM totals v JOIN rules r
+ hit AS (SELECT hh.* FROM hh, cur WHERE snapshot_ts > began AND snapshot_ts <= checked
+   QUALIFY row_number() OVER (PARTITION BY task_name, type, flow ORDER BY snapshot_ts DESC) = 1)
+ SELECT r.rule_name, r.task_name, CAST(NULL AS VARCHAR) AS flow, v.value FROM totals v JOIN rules r
    ON r.task_name = v.task_name AND r.metric = v.metric WHERE {FIRES_SQL}
-  UNION SELECT r.rule_name, r.task_name FROM hit v JOIN rules r ON r.task_name = v.task_name
+ UNION ALL SELECT r.rule_name, r.task_name, v.flow, v.value FROM hit v JOIN rules r ON r.task_name = v.task_name
    AND ((r.metric = 'heavy_hitter_count' AND v.type IN (0, 2)) OR (r.metric = 'heavy_hitter_size' AND v.type = 1)
-     OR (r.metric = 'super_spreader_spread' AND v.type = 2)) WHERE {FIRES_SQL})
- SELECT CAST(count(DISTINCT task_name) AS INTEGER) AS tasks, count(*) AS rules FROM fired
- HAVING count(*) > 0""",
+     OR (r.metric = 'super_spreader_spread' AND v.type = 2)) WHERE {FIRES_SQL}""",
 )
 def _(spark, sf_dir):
-    flows, hitters = shared_dir(spark, "flow-metrics"), shared_dir(spark, "heavy-hitters")
-    for batch, task in enumerate(EXACT[:2]):
-        write_flow_metrics(task_metrics(spark, sf_dir, task), flows, batch)
+    # Totals from a streamed table, hitters from a stored one.
+    packets = event_packets_stream(spark, sf_dir)
+    flows, hitters = _drained(spark, packets, EXACT, PERIOD), shared_dir(spark, "heavy-hitters")
     write_heavy_hitters(heavy_hitters(spark, sf_dir), hitters)
     path = shared_dir(spark, "alerts")
     stream_close(
-        stream_alerts, event_packets_stream(spark, sf_dir), rules_frame(spark, RULES), flows,
-        hitters, path, shared_dir(spark, "checkpoint"), period=PERIOD, origin=ORIGIN,
+        stream_alerts, packets, rules_frame(spark, RULES),
+        lambda: streamed_snapshots(spark, flows), lambda: heavy_hitters_scan(spark, hitters),
+        path, shared_dir(spark, "checkpoint"), period=PERIOD, origin=ORIGIN,
     )
-    digests = spark.read.parquet(path)
-    fired = F.size(F.split("body", "Alert: ")) - 1
-    return digests.select("tasks", fired.cast("bigint").alias("rules"))
+    lines = spark.read.parquet(path).where("line_no = 1")
+    return lines.select("rule_name", "task_name", "flow", "value")
 
 
 @query("stream_archive", f"{P} SELECT * FROM p")
@@ -240,11 +269,5 @@ def _(spark, sf_dir):
 @query("packets_stream", f"{P} SELECT src_ip, CAST(sum(length) AS BIGINT) AS byte_count FROM p GROUP BY src_ip")
 def _(spark, sf_dir):
     # Files written by one job, read as a stream by another.
-    folder, path = shared_dir(spark, "arrivals"), shared_dir(spark, "stream")
-    event_packets(spark, sf_dir).repartition(3, "event_id").write.parquet(folder)
-    stream = packets_stream(spark, folder, maxFilesPerTrigger=1)
-    stream_close(
-        stream_snapshots, stream, ExactTask("per_src_ip", ["SrcIP"]), DAY, LONG, path,
-        shared_dir(spark, "checkpoint"), origin=datetime(2024, 1, 1), lateness=LONG,
-    )
-    return latest_per_flow(flow_metrics_scan(spark, path)).select("src_ip", "byte_count")
+    path = _drained(spark, _arrivals(spark, sf_dir), EXACT[1], LONG)
+    return latest_per_flow(streamed_snapshots(spark, path)).select("src_ip", "byte_count")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from flowloom.model import AlertRule, rules_frame
 from flowloom.operators.alerts import (
@@ -74,16 +75,28 @@ def test_messages_and_digest(spark, flows, hitters):
     alerts = alerts_totals(flows, rules, CHECKED_AT).unionByName(
         alerts_hitters(hitters, rules, CHECKED_AT)
     )
-    messages = {row.rule_name: row for row in alert_messages(alerts, items=1).collect()}
-    assert messages["bytes"].message == (
-        "Alert: bytes\nTask: exact\nMetric: total_bytes\nCondition: > 149.50\n"
-        "Observed value: 150 bytes"
+    lines = alert_messages(alerts).orderBy("rule_name", "line_no", F.desc("value"), "flow")
+    texts = {}
+    for row in lines.collect():
+        texts.setdefault(row.rule_name, []).append(row.text)
+    assert texts["bytes"] == [
+        "Alert: bytes\nTask: exact\nMetric: total_bytes\nCondition: > 149.50\n",
+        "Observed value: 150 bytes",
+    ]
+    assert texts["any"][1:] == ["  a: 90", "  b: 10"]
+    digest = alert_digest(alert_messages(alerts)).collect()
+    assert {(row.tasks, row.subject) for row in digest} == {(2, "Alert summary (2 triggered)")}
+    assert sum(row.line_no == 0 for row in digest) == 3
+
+
+def test_every_item_is_a_line(spark, hitters):
+    rules = rules_frame(spark, [AlertRule("any", "votes", "heavy_hitter_count", ">", 0)])
+    many = spark.range(1000).selectExpr(
+        "'votes' AS task_name", "concat('f', id) AS flow", "id + 1 AS value", "0 AS type"
     )
-    assert messages["any"].item_count == 2
-    assert messages["any"].message.endswith("Condition: > 1.00\n  a: 90\n  and 1 more")
-    (digest,) = alert_digest(alert_messages(alerts)).collect()
-    assert digest.subject == "Alert summary (2 triggered)"
-    assert digest.body.count("Alert: ") == 3
+    lines = alert_messages(alerts_hitters(many, rules, CHECKED_AT)).collect()
+    assert len([row for row in lines if row.line_no == 1]) == 1000
+    assert [row.value for row in lines if row.line_no == 0] == [1000]
 
 
 def test_nothing_fired_gives_no_digest(spark, flows):

@@ -12,6 +12,7 @@ from flowloom.model import FLOW_METRICS_SCHEMA
 from flowloom.operators.filters import as_of
 from flowloom.session import shared_dir
 from flowloom.sinks.tables import (
+    compact_table,
     heavy_hitters_scan,
     write_flow_metrics,
     write_heavy_hitters,
@@ -41,19 +42,44 @@ def metrics_path(spark, sf_dir, tmp_path):
 def test_repeated_batch_leaves_the_table_unchanged(spark, sf_dir, metrics_path):
     before = flow_metrics_scan(spark, metrics_path).count()
     extra = task_metrics(spark, sf_dir, EXACT[1])
-    write_flow_metrics(extra, metrics_path, 1)
-    once = flow_metrics_scan(spark, metrics_path).count()
-    write_flow_metrics(extra, metrics_path, 1)
-    assert flow_metrics_scan(spark, metrics_path).count() == once == before + extra.count()
+    for _ in range(2):
+        write_flow_metrics(extra, metrics_path, "stream", 1)
+        assert flow_metrics_scan(spark, metrics_path).count() == before + extra.count()
+
+
+def test_appends_and_writers_leave_each_other_alone(spark, sf_dir, metrics_path):
+    before = flow_metrics_scan(spark, metrics_path).count()
+    extra = task_metrics(spark, sf_dir, EXACT[1])
+    few = extra.limit(1)
+    write_flow_metrics(extra, metrics_path)
+    write_flow_metrics(few, metrics_path)
+    for writer in ("a", "b"):
+        write_flow_metrics(few, metrics_path, writer, 0)
+    assert flow_metrics_scan(spark, metrics_path).count() == before + extra.count() + 3
+
+
+def test_compaction_keeps_the_rows(spark, metrics_path, tmp_path):
+    table = flow_metrics_scan(spark, metrics_path)
+    compact_table(table, str(tmp_path / "compacted"))
+    again = flow_metrics_scan(spark, str(tmp_path / "compacted"))
+    names = FLOW_METRICS_SCHEMA.names
+    assert again.select(names).exceptAll(table.select(names)).count() == 0
+    assert again.count() == table.count()
+    assert len(list((tmp_path / "compacted").rglob("*.parquet"))) <= 2
 
 
 def test_empty_snapshot_adds_no_data_file(spark, sf_dir, metrics_path):
     nothing = task_metrics(spark, sf_dir, EXACT[1]).where("packet_count < 0")
-    write_flow_metrics(nothing, metrics_path, 5)
-    assert not list(Path(metrics_path, "batch_id=5").rglob("*.parquet"))
+    write_flow_metrics(nothing, metrics_path, "stream", 5)
+    assert not list(Path(metrics_path).rglob("batch_id=5/*.parquet"))
     assert flow_metrics_scan(spark, metrics_path).count() > 0
 
 
+def test_months_are_the_outermost_folders(spark, metrics_path):
+    folders = [p.name for p in Path(metrics_path).iterdir() if p.is_dir()]
+    assert folders and all(name.startswith("month=") for name in folders)
+
+
 def test_as_of_prunes_months_and_pushes_the_time(spark, metrics_path):
     plan = plan_of(as_of(flow_metrics_scan(spark, metrics_path), "2024-01-18 00:00:00"))
     assert "(month" in plan.split("PartitionFilters:")[1].split("]")[0]
@@ -152,5 +178,5 @@ def test_shared_folder_is_new_each_time(spark):
 
 def test_stored_schema(spark, metrics_path):
     assert flow_metrics_scan(spark, metrics_path).columns == [
-        *FLOW_METRICS_SCHEMA.names, "batch_id", "month",
+        *FLOW_METRICS_SCHEMA.names, "month", "writer", "batch_id",
     ]

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from flowloom.model import ExactTask
 from flowloom.operators.flows import exact_heavy_hitters, flow_aggregate
-from flowloom.operators.snapshots import latest_per_flow
+from flowloom.operators.snapshots import cumulative_snapshots, latest_per_flow
 from flowloom.session import shared_dir
-from flowloom.sinks.tables import heavy_hitters_scan
 from flowloom.sources.packets import (
     decode_payloads,
     encode_payload,
@@ -26,6 +25,8 @@ from flowloom.streaming.flows import (
     stream_flows,
     stream_hitters,
     stream_snapshots,
+    streamed_hitters,
+    streamed_snapshots,
 )
 from registered.presets import VOTE
 from registered.views import DAY, ORIGIN, event_packets
@@ -69,7 +70,12 @@ def test_stream_equals_batch_over_several_batches(spark, arrivals, tmp_path):
     drain(spark, folder, path, str(tmp_path / "cp"), maxFilesPerTrigger=1)
     stored = flow_metrics_scan(spark, path)
     assert stored.select("batch_id").distinct().count() >= 2
-    assert totals(latest_per_flow(stored)) == totals(flow_aggregate(packets, ["SrcIP"]))
+    assert stored.select("writer").distinct().count() == 1
+    # At every snapshot, not only the last one.
+    streamed = streamed_snapshots(spark, path)
+    batch = cumulative_snapshots(packets, TASK, DAY, LONG, ORIGIN)
+    assert streamed.count() == batch.count()
+    assert streamed.select(batch.columns).exceptAll(batch).count() == 0
 
 
 def test_restart_continues_from_the_checkpoint(spark, arrivals, tmp_path):
@@ -77,12 +83,12 @@ def test_restart_continues_from_the_checkpoint(spark, arrivals, tmp_path):
     path, checkpoint = str(tmp_path / "table"), str(tmp_path / "cp")
     arrive("early")
     drain(spark, folder, path, checkpoint)
-    first = latest_per_flow(flow_metrics_scan(spark, path)).agg(F.sum("packet_count")).first()[0]
+    first = latest_per_flow(streamed_snapshots(spark, path)).agg(F.sum("packet_count")).first()[0]
     assert first < packets.count()
     arrive("late")
     drain(spark, folder, path, checkpoint)
     drain(spark, folder, path, checkpoint)
-    assert totals(latest_per_flow(flow_metrics_scan(spark, path))) == totals(
+    assert totals(latest_per_flow(streamed_snapshots(spark, path))) == totals(
         flow_aggregate(packets, ["SrcIP"])
     )
 
@@ -104,7 +110,7 @@ def test_late_packets_are_dropped_and_counted(spark, arrivals, tmp_path):
         for operator in progress["stateOperators"]
     )
     assert dropped > 0
-    newest = flow_metrics_scan(spark, path).groupBy("period_start", "src_ip").agg(
+    newest = streamed_snapshots(spark, path).groupBy("period_start", "src_ip").agg(
         F.max("packet_count").alias("n")
     )
     on_time = packets.where(F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz"))
@@ -117,10 +123,10 @@ def test_hitters_equal_batch(spark, arrivals, tmp_path):
     arrive("late")
     path = str(tmp_path / "hh")
     stream_close(
-        stream_hitters, packets_stream(spark, folder, maxFilesPerTrigger=1), VOTE, LONG, path,
+        stream_hitters, packets_stream(spark, folder, maxFilesPerTrigger=1), VOTE, DAY, LONG, path,
         str(tmp_path / "cp"), origin=ORIGIN, lateness=LONG,
     )
-    newest = heavy_hitters_scan(spark, path).groupBy("flow", "type").agg(F.max("value").alias("v"))
+    newest = streamed_hitters(spark, path, VOTE).groupBy("flow", "type").agg(F.max("value").alias("v"))
     truth = exact_heavy_hitters(packets, ["SrcIP"], "packets", VOTE.count_threshold).unionByName(
         exact_heavy_hitters(packets, ["SrcIP"], "bytes", VOTE.size_threshold)
     )
@@ -154,7 +160,7 @@ def test_bad_messages_are_not_forwarded(spark, sf_dir, tmp_path):
     quality = [p["observedMetrics"]["quality"] for p in query.recentProgress if p["numInputRows"]]
     good = packets.where("protocol <> 17")
     assert sum(q["failed"] for q in quality) == packets.count() - good.count()
-    assert totals(latest_per_flow(flow_metrics_scan(spark, path))) == totals(
+    assert totals(latest_per_flow(streamed_snapshots(spark, path))) == totals(
         flow_aggregate(good, ["SrcIP"])
     )
 
@@ -162,6 +168,6 @@ def test_bad_messages_are_not_forwarded(spark, sf_dir, tmp_path):
 def test_stream_plan_keeps_state_by_flow(spark, arrivals):
     _, folder, arrive = arrivals
     arrive("early")
-    flows = stream_flows(packets_stream(spark, folder), ["SrcIP"], DAY, ORIGIN)
+    flows = stream_flows(packets_stream(spark, folder), TASK, DAY, LONG, ORIGIN)
     assert flows.isStreaming and shared_dir(spark, "x")
-    assert flows.columns[:2] == ["window", "src_ip"]
+    assert flows.columns[:4] == ["window", "period_start", "task_name", "src_ip"]
