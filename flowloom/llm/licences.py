@@ -4,20 +4,24 @@ Column functions do all the work. Every line of a document is brought to words o
 lower-case letters and digits and to the set of its bigrams, and compared to templates:
 twice the shared bigrams over the sum of both sizes. A template of b bigrams can reach a
 threshold t only with lines of b*t/(2-t) to b*(2-t)/t bigrams, so the size of a line leaves
-few templates. Before that, lines are left out that have none of the key words: for each
-template, rare words so chosen that a line without any of them lacks more bigrams than the
-threshold allows.
+few templates. Before that, texts and lines are left out that hold none of the key words:
+words so chosen that a line without any of them lacks more bigrams of each template than
+the threshold allows.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.7
+# Words that tell no licence from other texts.
+COMMON = frozenset("a and any by for in is of on or that the this to under with you".split())
 
 # Notices by which licences are declared.
 TEMPLATES = {
@@ -76,20 +80,28 @@ def size_bounds(size: int, threshold: float) -> tuple[int, int]:
     )
 
 
-def key_words(bigrams: list[str], threshold: float) -> list[str]:
-    """Words of a template of which every line that reaches the threshold has one.
+def key_words(known: dict[str, list[str]], threshold: float) -> list[str]:
+    """Words of which every line that reaches the threshold with any template has one.
 
-    A line shares at least b*t/(2-t) of the b bigrams. Long words come first, until those
-    without any of them are fewer.
+    A line shares at least b*t/(2-t) of the b bigrams of a template. Words are added, the
+    one that leaves the fewest bigrams over all templates first, until each template has
+    fewer than that without them.
     """
-    needed = size_bounds(len(bigrams), threshold)[0]
+    needed = {name: size_bounds(len(pairs), threshold)[0] for name, pairs in known.items()}
+    left = {name: list(pairs) for name, pairs in known.items()}
     chosen: list[str] = []
-    for word in sorted({w for pair in bigrams for w in pair.split()}, key=lambda w: (-len(w), w)):
-        left = [pair for pair in bigrams if not set(chosen) & set(pair.split())]
-        if len(left) < needed:
-            break
+    while open_ones := [name for name in left if len(left[name]) >= needed[name]]:
+        gains: dict[str, int] = {}
+        for name in open_ones:
+            for pair in left[name]:
+                for word in set(pair.split()):
+                    gains[word] = gains.get(word, 0) + 1
+        # Short and common words are everywhere; a long one tells licences from other texts.
+        word = max(gains, key=lambda w: (w not in COMMON, gains[w] * len(w) ** 3, w))
         chosen.append(word)
-    return chosen
+        for name in left:
+            left[name] = [pair for pair in left[name] if word not in pair.split()]
+    return sorted(chosen)
 
 
 def bigrams_of(words: Column) -> Column:
@@ -121,7 +133,7 @@ def scan_licences(
     """
     known = {name: template_bigrams(body) for name, body in (TEMPLATES if templates is None else templates).items()}
     known = {name: pairs for name, pairs in known.items() if pairs}
-    keys = sorted({word for pairs in known.values() for word in key_words(pairs, threshold)})
+    keys = key_words(known, threshold)
     if not known:
         return docs.limit(0).select(
             F.col(doc_id).alias("doc_id"),
@@ -143,14 +155,21 @@ def scan_licences(
             for name, pairs in sorted(known.items())
         )
     )
-    lines = docs.select(
-        F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line")
+    def promising(column: str) -> Column:
+        return reduce(or_, (F.contains(F.lower(column), F.lit(key)) for key in keys))
+
+    # Texts first, so that most are never split, then lines.
+    lines = (
+        docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+        .filter(promising("text"))
+        .select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+        .filter(promising("line"))
     )
     words = lines.select(
         "doc_id",
         (F.col("at") + 1).cast("bigint").alias("line_no"),
         F.split(F.trim(F.regexp_replace(F.lower("line"), "[^a-z0-9]+", " ")), " ").alias("words"),
-    ).filter(F.exists("words", lambda word: word.isin(keys)))
+    )
     sized = words.select("doc_id", "line_no", bigrams_of(F.col("words")).alias("own")).filter(
         F.size("own").between(smallest, largest)
     )
