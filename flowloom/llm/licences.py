@@ -156,7 +156,9 @@ def scan_licences(
         )
     )
     def promising(column: str) -> Column:
-        return reduce(or_, (F.contains(F.lower(column), F.lit(key)) for key in keys))
+        # A lambda variable holds the lower-case text once for all key words.
+        lower = F.array(F.lower(column))
+        return F.exists(lower, lambda x: reduce(or_, (F.contains(x, F.lit(k)) for k in keys)))
 
     # Texts first, so that most are never split, then lines.
     lines = (
