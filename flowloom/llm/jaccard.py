@@ -36,6 +36,8 @@ BITS, PART_BITS = 18, 15
 COMMON_DEVIATIONS = 8
 # Members of a chunk, and members of a cluster that all its chunks hold.
 CHUNK, SHARED = 1024, 32
+# Stands for a null id where ids are compared.
+LAST = 2**63 - 1
 # Entries of a node of the R-tree; coordinates of its points, at most.
 FAN_OUT, GROUPS = 16, 128
 
@@ -346,38 +348,45 @@ def similarity_components(
     chunks = F.ceil(F.col("members") / CHUNK).cast("int")
     members = clusters.join(sizes, "cluster").select("node", "cluster", chunks.alias("chunks"))
 
-    # One document stands for a node; its text is fetched once.
+    # The members of least hash of a large cluster are in all its chunks.
+    order = W.partitionBy("cluster").orderBy(F.xxhash64("node", F.lit(1)), "node")
+    common = (
+        members.filter("chunks > 1")
+        .withColumn("r", F.row_number().over(order))
+        .filter(F.col("r") <= SHARED)
+        .select("node", F.lit(True).alias("everywhere"))
+    )
+    # One document stands for a node.
+    named_by = F.struct(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("i"), "text_key")
     chosen = (
         sets.filter("node IS NOT NULL")
         .groupBy("node")
-        .agg(F.min(F.struct(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)).alias("i"), "text_key")).alias("d"))
+        .agg(F.min(named_by).alias("d"))
         .join(members, "node")
-        .select("node", "cluster", "chunks", F.col("d.i").alias("i"), F.col("d.text_key").alias("k"))
+        .join(common, "node", "left")
+        .select("node", "cluster", "chunks", "everywhere", "d.i", F.col("d.text_key").alias("k"))
     )
-    named = docs.select(
-        F.coalesce(F.col(doc_id).cast("bigint"), F.lit(2**63 - 1)).alias("i"),
+    path = shared_dir(spark, "clusters")
+    chosen.write.parquet(f"{path}/members")
+    chosen = spark.read.schema(
+        "node bigint, cluster bigint, chunks int, everywhere boolean, i bigint, k bigint"
+    ).parquet(f"{path}/members")
+    # Texts meet the members once and are kept; all other joins are on keys alone.
+    texts = docs.select(
+        F.coalesce(F.col(doc_id).cast("bigint"), F.lit(LAST)).alias("i"),
         F.xxhash64(text).alias("k"),
         F.col(text).cast("binary").alias("text"),
     )
-    path = shared_dir(spark, "clusters")
-    named.join(chosen, ["i", "k"]).select("node", "cluster", "chunks", "text").write.parquet(path)
-    held = spark.read.schema("node bigint, cluster bigint, chunks int, text binary").parquet(path)
+    texts.join(chosen, ["i", "k"]).drop("i", "k").write.parquet(f"{path}/texts")
+    held = spark.read.schema(
+        "text binary, node bigint, cluster bigint, chunks int, everywhere boolean"
+    ).parquet(f"{path}/texts")
 
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    # The members of least hash of a large cluster are in all its chunks.
-    large = held.filter("chunks > 1").select("node", "cluster", "chunks")
-    rank = F.row_number().over(W.partitionBy("cluster").orderBy(F.xxhash64("node", F.lit(1)), "node"))
-    common = large.withColumn("r", rank).filter(F.col("r") <= SHARED).select("node")
     in_all = F.sequence(F.lit(0), F.col("chunks") - 1)
-    single = held.filter("chunks = 1").withColumn("c", F.lit(0))
-    several = (
-        held.filter("chunks > 1")
-        .join(common.withColumn("everywhere", F.lit(True)), "node", "left")
-        .withColumn("c", F.explode(F.when(F.col("everywhere"), in_all).otherwise(F.array(chunk))))
-        .drop("everywhere")
-    )
+    places = F.when(F.col("everywhere"), in_all).otherwise(F.array(chunk))
     first = verified_links(
-        single.unionByName(several).select(
+        held.select("node", "cluster", "text", F.explode(places).alias("c")).select(
             F.struct("cluster", F.lit(0).alias("r"), "c").alias("g"),
             "node",
             F.col("node").alias("label"),
@@ -386,16 +395,19 @@ def similarity_components(
         ),
         percent,
     )
-    link_path = shared_dir(spark, "links")
-    first.write.parquet(f"{link_path}/first")
-    found = spark.read.schema("node bigint, other bigint").parquet(f"{link_path}/first")
-    if not large.isEmpty():
-        rest_links(held.filter("chunks > 1"), connected_components(found), percent).write.parquet(
-            f"{link_path}/rest"
-        )
-        found = found.unionByName(
-            spark.read.schema("node bigint, other bigint").parquet(f"{link_path}/rest")
-        )
+    first.write.parquet(f"{path}/links")
+    found = spark.read.schema("node bigint, other bigint").parquet(f"{path}/links")
+    several = chosen.filter("chunks > 1").select("node", "cluster", "chunks")
+    if not several.isEmpty():
+        places = unmet_places(several, connected_components(found))
+        places.write.parquet(f"{path}/places")
+        places = spark.read.schema(places.schema).parquet(f"{path}/places")
+        if not places.isEmpty():
+            rest = held.filter("chunks > 1").select("node", "text").join(places, "node")
+            verified_links(rest, percent).write.parquet(f"{path}/more")
+            found = found.unionByName(
+                spark.read.schema("node bigint, other bigint").parquet(f"{path}/more")
+            )
     labels = connected_components(found)
     placed = sets.join(labels, "node", "left").select(
         "doc_id", "n_shingles", "text_key", F.coalesce("component", "node").alias("component")
@@ -414,24 +426,24 @@ def similarity_components(
     )
 
 
-def rest_links(held: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Links that clusters of several chunks still lack.
+def unmet_places(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, g, label, asks): the groups in which clusters of several chunks meet again.
 
     Pairs within the largest component of a cluster are connected. All other members ask,
-    in chunks of their own, and each of these meets every chunk of the cluster.
+    in chunks of their own, and each of these meets every chunk of the cluster. Clusters
+    that are one component have no rows.
     """
-    rows = held.join(
-        labels.withColumnRenamed("component", "label"), "node", "left"
-    ).withColumn("label", F.coalesce("label", "node"))
+    rows = members.join(labels, "node", "left").select(
+        "node", "cluster", "chunks", F.coalesce("component", "node").alias("label")
+    )
     counted = rows.groupBy("cluster", "label").agg(F.count("*").alias("n"))
     largest = counted.groupBy("cluster").agg(
         F.max_by("label", F.struct("n", "label")).alias("largest"),
         (F.sum("n") - F.max("n")).alias("outside"),
     )
-    asks = F.col("label") != F.col("largest")
     rows = (
         rows.join(largest.filter("outside > 0"), "cluster")
-        .withColumn("asks", asks)
+        .withColumn("asks", F.col("label") != F.col("largest"))
         .withColumn("rounds", F.ceil(F.col("outside") / CHUNK).cast("int"))
     )
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
@@ -439,20 +451,12 @@ def rest_links(held: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     every_round = F.sequence(F.lit(0), F.col("rounds") - 1)
     every_chunk = F.sequence(F.lit(0), F.col("chunks") - 1)
     answer = rows.select(
-        "cluster", "node", "label", "text", F.lit(False).alias("asks"), own.alias("c"),
+        "cluster", "node", "label", F.lit(False).alias("asks"), own.alias("c"),
         F.explode(every_round).alias("r"),
     )
     ask = rows.filter("asks").select(
-        "cluster", "node", "label", "text", "asks", F.explode(every_chunk).alias("c"),
-        asking.alias("r"),
+        "cluster", "node", "label", "asks", F.explode(every_chunk).alias("c"), asking.alias("r")
     )
-    return verified_links(
-        answer.unionByName(ask).select(
-            F.struct("cluster", (F.col("r") + 1).alias("r"), "c").alias("g"),
-            "node",
-            "label",
-            "asks",
-            "text",
-        ),
-        percent,
+    return answer.unionByName(ask).select(
+        "node", F.struct("cluster", (F.col("r") + 1).alias("r"), "c").alias("g"), "label", "asks"
     )
