@@ -3,15 +3,18 @@
 1. Equal shingle sets become one node, so copies are compared once.
 2. Two sets that are similar enough share one of their rarest shingles: of n shingles, a
    similar set has at least t*n, so one of the first n - t*n + 1 in any common order is
-   shared. Nodes that share such a shingle lie in one block, and blocks that overlap are
-   one cluster. Shingles are ordered by their counts over all documents, in a sketch of
+   shared. Nodes that share such a shingle lie in one block; shingles of the same nodes
+   are one block. Shingles are ordered by their counts over all documents, in a sketch of
    fixed size, so that passages which many documents share come last.
-3. The sets of a cluster meet in one task, in chunks of a bounded number. Their shingles
-   are hashed into groups; the counts per group are points in an R-tree. The sum of the
-   smaller coordinates of two points bounds their overlap, and of a point and the maxima
-   of a subtree that of all points below it. Pairs that the bound leaves are verified on the
-   sets, unless links found before connect them already.
-4. Of a cluster of several chunks, some common members connect the chunks first. Then all
+3. Shingles are hashed into groups, and the counts per group are points. The sum of the
+   smaller coordinates of two points bounds the overlap of their sets, and of a point and
+   the maxima of a subtree that of all points below it. An R-tree per block finds the
+   nodes that the bound allows to be similar; what is so connected is a cluster. A block
+   above `BLOCK` nodes is connected as a whole.
+4. The sets of a cluster meet in one task, in chunks of a bounded number. Pairs that an
+   R-tree of their points leaves are verified on the sets, unless links found before
+   connect them already.
+5. Of a cluster of several chunks, some common members connect the chunks first. Then all
    members outside its largest component meet every chunk, so that no pair is left out.
 """
 
@@ -32,14 +35,14 @@ from flowloom.session import shared_dir
 PERCENT = 75
 # Sketch of shingle counts: 2**BITS counters, in parts of 2**PART_BITS.
 BITS, PART_BITS = 18, 15
-# A shingle is common when its counter lies this many standard deviations above the mean.
-COMMON_DEVIATIONS = 8
+# Nodes of a block that one R-tree holds.
+BLOCK = 8192
 # Members of a chunk, and members of a cluster that all its chunks hold.
 CHUNK, SHARED = 1024, 32
 # Stands for a null id where ids are compared.
 LAST = 2**63 - 1
-# Entries of a node of the R-tree; coordinates of its points, at most.
-FAN_OUT, GROUPS = 16, 128
+# Entries of a node of the R-tree, and coordinates of its points.
+FAN_OUT, GROUPS = 16, 256
 
 
 def least_overlap(size: int, percent: int = PERCENT) -> int:
@@ -55,6 +58,14 @@ def similar(one, other, percent: int = PERCENT) -> bool:
     return 100 * shared >= percent * (len(one) + len(other) - shared)
 
 
+def count_vector(shingles):
+    """How many shingles of a set each group holds."""
+    import numpy as np
+
+    groups = (shingles >> np.uint64(7)).astype(np.int64) % GROUPS
+    return np.bincount(groups, minlength=GROUPS)
+
+
 class CountTree:
     """R-tree over count vectors of sets, loaded at once.
 
@@ -62,19 +73,10 @@ class CountTree:
     A node has the largest counts of its points per group and their least and largest size.
     """
 
-    def __init__(self, sets: list, percent: int = PERCENT):
+    def __init__(self, points, sizes, percent: int = PERCENT):
         import numpy as np
 
-        self.percent = percent
-        sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        wanted = max(8, int(np.median(sizes)) // 4)
-        self.groups = min(GROUPS, 1 << wanted.bit_length())
-        self.points = np.zeros((len(sets), self.groups), dtype=np.int32)
-        for point, s in zip(self.points, sets, strict=True):
-            point += np.bincount(
-                (s >> np.uint64(7)).astype(np.int64) % self.groups, minlength=self.groups
-            ).astype(np.int32)
-        self.sizes = sizes
+        self.percent, self.points, self.sizes = percent, points.astype(np.int32), sizes
         self.order = np.lexsort((*self.points.T[:2], sizes))
         # Each level: largest counts, least and largest size of every node.
         counts, low, high = self.points[self.order], sizes[self.order], sizes[self.order]
@@ -117,7 +119,8 @@ def links(sets: list, labels: list[int], asking: list[bool], percent: int = PERC
     """
     import numpy as np
 
-    tree = CountTree(sets, percent)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    tree = CountTree(np.stack([count_vector(s) for s in sets]), sizes, percent)
     label = np.unique(np.array(labels), return_inverse=True)[1]
     found = []
     for i in np.flatnonzero(asking).tolist():
@@ -132,15 +135,32 @@ def links(sets: list, labels: list[int], asking: list[bool], percent: int = PERC
     return found
 
 
+def near_points(points, sizes, percent: int = PERCENT) -> list:
+    """Pairs of positions that connect all sets whose bound allows them to be similar."""
+    import numpy as np
+
+    tree, label, found = CountTree(points, sizes, percent), np.arange(len(sizes)), []
+    for i in range(len(sizes)):
+        if (label == label[i]).all():
+            break
+        others = tree.candidates(i)
+        others = others[label[others] != label[i]]
+        if len(others):
+            joined, first = np.unique(label[others], return_index=True)
+            found += [(i, int(others[at])) for at in first]
+            label[np.isin(label, joined)] = label[i]
+    return found
+
+
 def shingle_sets(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Documents with the size and key of their sets, and the parts of the count sketch.
 
-    Documents: (doc_id, text_key, n_shingles, node). Both come from one pass over the texts
-    and are stored in the shared folder. A set counts each of its shingles once.
+    Documents: (doc_id, text_key, n_shingles, node, point), the point as 16-bit counts. Both
+    come from one pass over the texts and are stored in the shared folder. A set counts each of its shingles once.
     """
     spark = docs.sparkSession
     id_type = docs.schema[doc_id].dataType.simpleString()
-    ddl = f"doc_id {id_type}, text_key bigint, n_shingles bigint, node bigint, part int, counts binary"
+    ddl = f"doc_id {id_type}, text_key bigint, n_shingles bigint, node bigint, point binary, part int, counts binary"
     schema = arrow_schema(ddl)
 
     def measure(batches: Iterator) -> Iterator:
@@ -149,9 +169,11 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Da
 
         shingler, sketch = Shingler(), np.zeros(1 << BITS, dtype=np.int64)
         for batch in batches:
-            sizes, nodes = [], []
+            sizes, nodes, points = [], [], []
             for shingles in shingler.sets(batch.column(2).to_pylist()):
                 sizes.append(len(shingles))
+                # Counts above 65,535 would need a set of millions; they stay an upper bound.
+                points.append(np.minimum(count_vector(shingles), 65535).astype("<u2").tobytes())
                 nodes.append(set_key(shingles) if len(shingles) else None)
                 np.add.at(sketch, (shingles >> np.uint64(64 - BITS)).astype(np.int64), 1)
             n = batch.num_rows
@@ -161,6 +183,7 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Da
                     batch.column(1),
                     pa.array(sizes, pa.int64()),
                     pa.array(nodes, pa.int64()),
+                    pa.array(points, pa.binary()),
                     pa.nulls(n, pa.int32()),
                     pa.nulls(n, pa.binary()),
                 ],
@@ -172,6 +195,7 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Da
             [
                 pa.nulls(n, schema.field(0).type),
                 *(pa.nulls(n, pa.int64()) for _ in range(3)),
+                pa.nulls(n, pa.binary()),
                 pa.array(range(n), pa.int32()),
                 pa.array([part.tobytes() for part in parts], pa.binary()),
             ],
@@ -220,15 +244,13 @@ def sum_sketch(parts: DataFrame):
     return total
 
 
-def block_edges(docs: DataFrame, sketch, text: str, percent: int) -> DataFrame:
-    """(node, other): nodes that share one of their rarest shingles, as stars.
+def block_members(docs: DataFrame, sketch, text: str, percent: int) -> DataFrame:
+    """(block, node, members, least): nodes that share one of their rarest shingles.
 
-    A task gives each shingle of a set's prefix with its node. Common shingles leave a task
-    once; its later sets refer to the first one that had them, so that a shingle of very
-    many documents stays as small as the number of tasks.
+    Shingles of the same nodes give one block. `members` is the number of its nodes and
+    `least` the smallest of them.
     """
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
-    common = float(sketch.mean() + COMMON_DEVIATIONS * max(sketch.std(), 1.0))
 
     def prefixes(batches: Iterator) -> Iterator:
         import numpy as np
@@ -236,7 +258,6 @@ def block_edges(docs: DataFrame, sketch, text: str, percent: int) -> DataFrame:
 
         counts, shingler = shared.value, Shingler()
         seen: set[int] = set()
-        first: dict[int, int] = {}  # node of the first set with a common shingle
         for batch in batches:
             tokens, nodes = [], []
             for shingles in shingler.sets(batch.column(0).to_pylist()):
@@ -251,20 +272,8 @@ def block_edges(docs: DataFrame, sketch, text: str, percent: int) -> DataFrame:
                 size = len(shingles) - least_overlap(len(shingles), percent) + 1
                 # A total order of shingles: their count, their low half, themselves.
                 at = np.argsort((found << 32) | low, kind="stable")[:size]
-                prefix = shingles[at].view(np.int64)
-                often = found[at] > common
-                rare = prefix[~often]
-                own = set()
-                for token in prefix[often].tolist():
-                    if token in first:
-                        own.add(first[token])
-                    else:
-                        first[token] = node
-                        own.add(token)
-                # The node of a first set stands for all its common shingles.
-                more = np.array(sorted(own) + [node], dtype=np.int64)
-                tokens += [rare, more]
-                nodes.append(np.full(len(rare) + len(more), node, dtype=np.int64))
+                tokens.append(shingles[at].view(np.int64))
+                nodes.append(np.full(size, node, dtype=np.int64))
             if nodes:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(tokens)), pa.array(np.concatenate(nodes))],
@@ -274,8 +283,78 @@ def block_edges(docs: DataFrame, sketch, text: str, percent: int) -> DataFrame:
     postings = docs.select(F.col(text).cast("binary")).mapInArrow(
         prefixes, "token bigint, node bigint"
     )
-    other = F.min("node").over(W.partitionBy("token"))
-    return postings.select("node", other.alias("other")).filter("node <> other").distinct()
+    # A node comes once from each task that has its set: the same set of nodes, counted by
+    # their distinct sum, may have two names, which costs a second look and no link.
+    same = W.partitionBy("token")
+    named = F.sum(F.xxhash64("node") % 2**40).over(same)
+    return (
+        postings.select(
+            "node",
+            F.xxhash64(F.min("node").over(same), F.max("node").over(same), named).alias("block"),
+            F.min("node").over(same).alias("least"),
+            F.max("node").over(same).alias("greatest"),
+        )
+        .filter("least <> greatest")
+        .select("block", "node", "least")
+        .distinct()
+    )
+
+
+def block_edges(docs: DataFrame, sets: DataFrame, sketch, text: str, percent: int) -> DataFrame:
+    """(node, other): pairs that connect all nodes which may be similar.
+
+    In a block of up to `BLOCK` nodes the R-tree of their points tells which. Larger ones
+    are stars.
+    """
+    spark = docs.sparkSession
+    path = shared_dir(spark, "blocks")
+    block_members(docs, sketch, text, percent).write.parquet(path)
+    members = spark.read.schema("block bigint, node bigint, least bigint").parquet(path)
+    sizes = members.groupBy("block").agg(F.count("*").alias("members"))
+    placed = members.join(sizes, "block")
+    points = (
+        sets.filter("node IS NOT NULL")
+        .groupBy("node")
+        .agg(F.min("n_shingles").alias("n"), F.min("point").alias("point"))
+    )
+
+    def connect(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def out(nodes: list, sizes: list, rows: list) -> Iterator:
+            if len(nodes) > 1:
+                matrix = np.frombuffer(b"".join(rows), dtype="<u2").reshape(len(rows), -1)
+                pairs = near_points(matrix, np.array(sizes, dtype=np.int64), percent)
+                if pairs:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([nodes[p[i]] for p in pairs], pa.int64()) for i in (0, 1)],
+                        names=["node", "other"],
+                    )
+
+        block, nodes, sizes, rows = None, [], [], []
+        for batch in batches:
+            for key, node, size, point in zip(
+                *(batch.column(i).to_pylist() for i in range(4)), strict=True
+            ):
+                if key != block:
+                    yield from out(nodes, sizes, rows)
+                    block, nodes, sizes, rows = key, [], [], []
+                nodes.append(node)
+                sizes.append(size)
+                rows.append(point)
+        yield from out(nodes, sizes, rows)
+
+    near = (
+        placed.filter(F.col("members") <= BLOCK)
+        .join(points, "node")
+        .select("block", "node", "n", "point")
+        .repartition("block")
+        .sortWithinPartitions("block", "node")
+        .mapInArrow(connect, "node bigint, other bigint")
+    )
+    stars = placed.filter(F.col("members") > BLOCK).select("node", F.col("least").alias("other"))
+    return near.unionByName(stars)
 
 
 def verified_links(rows: DataFrame, percent: int) -> DataFrame:
@@ -338,7 +417,7 @@ def similarity_components(
     """
     spark = docs.sparkSession
     sets, parts = shingle_sets(docs, doc_id, text)
-    edges = block_edges(docs, sum_sketch(parts), text, percent)
+    edges = block_edges(docs, sets, sum_sketch(parts), text, percent)
     clusters = connected_components(edges).withColumnRenamed("component", "cluster")
     # Both ends of every edge: the smallest node of a cluster has no row of its own.
     clusters = clusters.unionByName(

@@ -9,7 +9,14 @@ import pytest
 
 from flowloom.llm import jaccard, shingles
 from flowloom.llm.components import connected_components
-from flowloom.llm.jaccard import CountTree, links, similar, similarity_components
+from flowloom.llm.jaccard import (
+    CountTree,
+    count_vector,
+    links,
+    near_points,
+    similar,
+    similarity_components,
+)
 from flowloom.llm.shingles import Shingler
 
 
@@ -68,8 +75,8 @@ def test_components_equal_brute_force(texts_of, monkeypatch, chunk, shared):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(texts)
 
 
-def test_common_shingles_lose_no_link(texts_of, monkeypatch):
-    monkeypatch.setattr(jaccard, "COMMON_DEVIATIONS", 0)
+def test_large_blocks_lose_no_link(texts_of, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
     texts = families(11)
     rows = similarity_components(texts_of(texts)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(texts)
@@ -112,10 +119,16 @@ def test_the_tree_leaves_out_no_similar_set():
         for _ in range(12):
             kept = one[chosen.random(len(one)) < 0.93]
             sets.append(np.unique(kept if len(kept) else one))
-    tree = CountTree(sets)
+    points = np.stack([count_vector(one) for one in sets])
+    sizes = np.array([len(one) for one in sets])
+    tree = CountTree(points, sizes)
     for i in range(len(sets)):
         near = {j for j, other in enumerate(sets) if similar(sets[i], other)}
         assert near <= set(tree.candidates(i).tolist())
+    label = np.arange(len(sets))
+    for i, j in near_points(points, sizes):
+        label[label == label[j]] = label[i]
+    assert all(label[i] == label[j] for i in range(len(sets)) for j in tree.candidates(i))
     pairs = links(sets, list(range(len(sets))), [True] * len(sets))
     assert all(similar(sets[i], sets[j]) for i, j in pairs)
 
