@@ -12,8 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.functions.keys import flow_label
-from flowloom.model import key_columns
+from flowloom.model import KEY_TYPES, ExactTask, key_columns
 
 
 def flow_lookup(flows: DataFrame, wanted: DataFrame, fields: Iterable[str]) -> DataFrame:
@@ -26,8 +25,15 @@ def flow_lookup(flows: DataFrame, wanted: DataFrame, fields: Iterable[str]) -> D
     )
 
 
-def drill_down(hitters: DataFrame, flow_metrics: DataFrame, fields: Iterable[str]) -> DataFrame:
-    """Exact rows of the flows that a sketch reported."""
-    found = hitters.select("flow").distinct()
-    labelled = flow_metrics.withColumn("flow", flow_label(fields))
-    return labelled.join(found, "flow", "left_semi")
+def drill_down(hitters: DataFrame, flow_metrics: DataFrame, task: ExactTask) -> DataFrame:
+    """Exact rows of the flows that a sketch reported, from the rows of one exact task.
+
+    Labels are taken apart into the key columns of the task, so that the join compares
+    columns and the scan reads the task alone. `flow` is the label.
+    """
+    parts = F.split("flow", " ")
+    keys = [
+        F.get(parts, i).cast(KEY_TYPES[name]).alias(name) for i, name in enumerate(task.keys)
+    ]
+    found = hitters.select("flow").distinct().select("flow", *keys)
+    return flow_metrics.where(F.col("task_name") == task.name).join(found, task.keys)

@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.functions.times import EPOCH, ntz
+from flowloom.functions.times import EPOCH, month_of, ntz
 from flowloom.model import (
     FIVE_TUPLE,
     KEY_COLUMNS,
@@ -32,6 +32,9 @@ from flowloom.session import parallelism
 
 Moment = datetime | str | Column
 
+TASKS_SCHEMA = T.StructType(
+    [T.StructField("task_name", T.StringType()), T.StructField("source", T.StringType())]
+)
 POINTS_SCHEMA = T.StructType(
     [T.StructField("position", T.IntegerType()), T.StructField("target", T.StringType())]
 )
@@ -50,7 +53,11 @@ def aggregate_flows(
     """
     rows = as_of(filter_flows(flow_metrics, **filters), end)
     if period_start is not None:
-        rows = rows.where(F.col("period_start") == ntz(period_start))
+        began = ntz(period_start)
+        # Snapshots of a period come after its start: months and times reach the scan.
+        if "month" in rows.columns:
+            rows = rows.where(F.col("month") >= month_of(began))
+        rows = rows.where((F.col("snapshot_ts") > began) & (F.col("period_start") == began))
     return (
         latest_per_flow(rows, ("byte_count", "packet_count"))
         .groupBy("task_name")
@@ -238,9 +245,12 @@ def list_tasks(
     return exact.distinct().unionByName(sketch.distinct()).orderBy("source", "task_name")
 
 
-def defined_tasks(exact: Sequence[ExactTask], sketch: Sequence[SketchTask]) -> list[str]:
-    """Names of the defined tasks, exact before sketch."""
-    return [task.name for task in (*exact, *sketch)]
+def defined_tasks(
+    spark: SparkSession, exact: Sequence[ExactTask], sketch: Sequence[SketchTask]
+) -> DataFrame:
+    """(task_name, source) of the defined tasks, exact before sketch; no table is read."""
+    named = [(task.name, "exact") for task in exact] + [(task.name, "sketch") for task in sketch]
+    return small_table(spark, named, TASKS_SCHEMA)
 
 
 def timeseries_points(

@@ -16,9 +16,6 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # HyperLogLog aggregates hold one small sketch per flow; keep the hash path
-    # for more flows than the default 128 before falling back to sorting.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000",
     # Streaming state larger than executor memory spills to local RocksDB files
     # and is restored from the checkpoint.
     "spark.sql.streaming.stateStore.providerClass": (

@@ -1,4 +1,4 @@
-"""Capture files (pcap) read as packet tables, and a writer for them.
+"""Capture files (pcap) read as packet tables.
 
 Spark lists the folder and spreads byte ranges of the files over tasks. A task
 streams its ranges in fixed-size pieces and decodes each piece with array
@@ -78,8 +78,7 @@ def decode_records(data, starts, kept, link_type: int) -> dict:
     else:
         where = starts + type_at
         ether_type = at(where, 0, 2, where + 2 <= ends)
-        for _ in range(2):
-            tagged = np.isin(ether_type, VLAN_TYPES) & (where + 6 <= ends)
+        while (tagged := np.isin(ether_type, VLAN_TYPES) & (where + 6 <= ends)).any():
             where = np.where(tagged, where + 4, where)
             ether_type = np.where(tagged, at(where, 0, 2, tagged), ether_type)
         ip = where + 2
@@ -126,62 +125,94 @@ def decode_records(data, starts, kept, link_type: int) -> dict:
     }
 
 
-def _walk(stream, order: str, begin: int, stop: int) -> Iterator[tuple]:
-    """(bytes, record positions in them, file position after them), piece by piece.
+class _Capture:
+    """An open capture file with what its header says."""
 
-    Starts at the record at `begin` and ends before the first one at or after `stop`.
-    A record cut off by the end of the file is left out, as is all that follows a
-    header whose lengths cannot be right.
+    def __init__(self, path: str):
+        files, name = _file_system(path)
+        self.stream = files.open_input_file(name)
+        head = self.stream.read(FILE_HEADER_BYTES)
+        self.readable = len(head) == FILE_HEADER_BYTES and head[:4] in MAGICS
+        if not self.readable:
+            return
+        self.order, self.fraction = MAGICS[head[:4]]
+        word = "little" if self.order == "<" else "big"
+        self.link_type = int.from_bytes(head[20:24], word) & 0xFFFF
+        self.readable = self.link_type in ETHER_TYPE_AT
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.stream.close()
+
+
+def _walk(capture: _Capture, begin: int, stop: int) -> Iterator[tuple]:
+    """(bytes, record positions in them, damaged records, file position after them).
+
+    Starts at the record at `begin` and ends before the first one at or after `stop`. A
+    header with an impossible length is a damaged record; reading goes on at the next
+    chain of plausible headers. A record that the end of the file cuts off is damaged too.
+    Whatever the lengths say, no more than a piece and the longest packet is held.
     """
     import struct
 
-    captured_bytes = struct.Struct(f"{order}I").unpack_from
+    captured_bytes = struct.Struct(f"{capture.order}I").unpack_from
+    stream = capture.stream
     stream.seek(begin)
     held, held_at = b"", begin
     while held_at < stop:
         read = stream.read(PIECE)
         held = held + read if held else read
-        records, position = [], 0
+        records, position, broken = [], 0, False
         limit = min(len(held), stop - held_at + RECORD_HEADER_BYTES - 1)
         while position + RECORD_HEADER_BYTES <= limit:
-            following = position + RECORD_HEADER_BYTES + captured_bytes(held, position + 8)[0]
-            if following > len(held):
+            size = captured_bytes(held, position + 8)[0]
+            broken = size > LONGEST_PACKET
+            following = position + RECORD_HEADER_BYTES + size
+            if broken or following > len(held):
                 break
             records.append(position)
             position = following
         if records:
-            yield held, records, held_at + position
+            yield held, records, 0, held_at + position
         held, held_at = held[position:], held_at + position
-        if not read:
+        if broken:
+            found = _next_record(capture, held_at + 1, stop)
+            yield b"", [], 1, found
+            held, held_at = b"", found
+            stream.seek(found)
+        elif not read:
+            if held and held_at < stop:
+                yield b"", [], 1, held_at + len(held)
             return
 
 
-def _open(path: str):
-    """(stream, byte order, nanoseconds per fraction, longest packet, link type)."""
-    from pyarrow import fs
+def _next_record(capture: _Capture, begin: int, stop: int) -> int:
+    """Where records seem to go on at or after `begin`; `stop` if nowhere before it."""
+    while begin < stop:
+        found = _guess_record(capture, begin)
+        if found is not None:
+            return found
+        begin += LONGEST_PACKET
+    return stop
 
-    files, name = fs.FileSystem.from_uri(_uri(path))
-    stream = files.open_input_file(name)
-    head = stream.read(FILE_HEADER_BYTES)
-    if len(head) < FILE_HEADER_BYTES or head[:4] not in MAGICS:
-        raise ValueError(f"{path} is not a capture file")
-    order, fraction = MAGICS[head[:4]]
-    word = "little" if order == "<" else "big"
-    link_type = int.from_bytes(head[20:24], word) & 0xFFFF
-    if link_type not in ETHER_TYPE_AT:
-        raise ValueError(f"{path}: unsupported link type {link_type}")
-    longest = int.from_bytes(head[16:20], word) or LONGEST_PACKET
-    return stream, order, fraction, min(longest, LONGEST_PACKET), link_type
 
+def _file_system(path: str):
+    """Arrow's file system of a path and the path there; without a scheme it is local."""
+    from urllib.parse import quote
 
-def _uri(path: str) -> str:
-    """A path with a scheme that Arrow knows; plain absolute paths are local files."""
-    if path.startswith("s3a://"):
-        return path.replace("s3a://", "s3://", 1)
-    return path if "://" in path else f"file://{path.removeprefix('file:')}"
+    from pyarrow import fs
 
+    scheme, _, rest = path.partition(":")
+    if not rest or "/" in scheme or scheme == "file":
+        local = rest if scheme == "file" else path
+        return fs.LocalFileSystem(), f"/{local.lstrip('/')}" if scheme == "file" else local
+    # Spark names files without escapes.
+    return fs.FileSystem.from_uri(f"{scheme.replace('s3a', 's3')}:{quote(rest)}")
 
-def _guess_record(stream, order: str, fraction: int, longest: int, begin: int) -> int | None:
+
+def _guess_record(capture: _Capture, begin: int) -> int | None:
     """Where the first record at or after `begin` seems to start, if anywhere near.
 
     A position is taken when a chain of plausible headers runs from it to the end of
@@ -189,6 +220,8 @@ def _guess_record(stream, order: str, fraction: int, longest: int, begin: int) -
     """
     import numpy as np
 
+    stream, order, fraction = capture.stream, capture.order, capture.fraction
+    longest = LONGEST_PACKET
     stream.seek(FILE_HEADER_BYTES)
     first_second = np.frombuffer(stream.read(4), dtype=f"{order}u4")[0].astype(np.int64)
     stream.seek(begin)
@@ -227,16 +260,16 @@ def _locate(batches: Iterator) -> Iterator:
     for batch in batches:
         starts, ends = [], []
         for path, first, last in zip(*(batch.column(n).to_pylist() for n in ("path", "first", "last"))):
-            stream, order, fraction, longest, _ = _open(path)
-            with stream:
-                if first == 0:
-                    start = FILE_HEADER_BYTES
-                else:
-                    start = _guess_record(stream, order, fraction, longest, first)
-                end = start
-                if start is not None:
-                    for *_, end in _walk(stream, order, start, last):
-                        pass
+            with _Capture(path) as capture:
+                start = first or FILE_HEADER_BYTES
+                end = last
+                if capture.readable:
+                    if first:
+                        start = _guess_record(capture, first)
+                    end = start
+                    if start is not None:
+                        for *_, end in _walk(capture, start, last):
+                            pass
             starts.append(start)
             ends.append(end)
         yield pa.RecordBatch.from_arrays(
@@ -253,19 +286,28 @@ def _decode(batches: Iterator) -> Iterator:
     names = [field.split()[0] for field in RECORD_SCHEMA.split(", ")]
     for batch in batches:
         for path, start, stop in zip(*(batch.column(n).to_pylist() for n in ("path", "start", "stop"))):
-            stream, order, fraction, _, link_type = _open(path)
-            with stream:
-                for held, records, _ in _walk(stream, order, start, stop):
+            with _Capture(path) as capture:
+                if not capture.readable:
+                    # One bad record stands for a file that is no capture.
+                    if start == FILE_HEADER_BYTES:
+                        yield _damaged(path, 1)
+                    continue
+                for held, records, damaged, _ in _walk(capture, start, stop):
+                    if damaged:
+                        yield _damaged(path, damaged)
+                        continue
                     data = np.frombuffer(held, dtype=np.uint8)
                     at = np.array(records, dtype=np.int64)
                     header = data[at[:, None] + np.arange(RECORD_HEADER_BYTES)]
-                    header = header.view(f"{order}u4").astype(np.int64)
+                    header = header.view(f"{capture.order}u4").astype(np.int64)
                     seconds, fractions, kept, lengths = header.T
-                    packet = decode_records(data, at + RECORD_HEADER_BYTES, kept, link_type)
+                    packet = decode_records(
+                        data, at + RECORD_HEADER_BYTES, kept, capture.link_type
+                    )
                     no_v4 = ~packet["is_v4"]
                     columns = [
                         pa.array([path] * len(at), type=pa.string()),
-                        pa.array(seconds * 1_000_000_000 + fractions * fraction),
+                        pa.array(seconds * 1_000_000_000 + fractions * capture.fraction),
                         pa.array(packet["ip_version"]),
                         pa.array(packet["src_v4"], mask=no_v4),
                         pa.array(packet["dst_v4"], mask=no_v4),
@@ -280,6 +322,21 @@ def _decode(batches: Iterator) -> Iterator:
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
+def _damaged(path: str, count: int):
+    """Rows of records that could not be read: the file, and bad."""
+    import pyarrow as pa
+
+    long, small, raw = pa.int64(), pa.int32(), pa.binary()
+    kinds = [long, small, long, long, raw, raw, small, small, small, long]
+    fields = [field.split()[0] for field in RECORD_SCHEMA.split(", ")]
+    columns = [
+        pa.array([path] * count, pa.string()),
+        *(pa.nulls(count, kind) for kind in kinds),
+        pa.array([True] * count),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=fields)
+
+
 def _listing(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length) of the files; their content is not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -364,94 +421,3 @@ def capture_records(
 def pcap_scan(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Packets of all capture files of a folder; unparsable records are skipped."""
     return capture_records(spark, folder, split_bytes).where(~F.col("bad")).drop("bad")
-
-
-def write_captures(packets: DataFrame, folder: str) -> DataFrame:
-    """Write IPv4 packets as capture files, one per partition, headers only.
-
-    Runs the write and returns (file, packets). A repeated task replaces its file.
-    """
-    import pyarrow as pa
-
-    def number(address: str):
-        parts = [F.element_at(F.split(address, "[.]"), place).cast("bigint") for place in range(1, 5)]
-        return parts[0] * 16777216 + parts[1] * 65536 + parts[2] * 256 + parts[3]
-
-    numbers = packets.select(
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"),
-        number("src_ip").alias("src"),
-        number("dst_ip").alias("dst"),
-        "src_port",
-        "dst_port",
-        "protocol",
-        "length",
-    )
-
-    def write(batches: Iterator) -> Iterator:
-        from pyarrow import fs
-        from pyspark import TaskContext
-
-        task = TaskContext.get()
-        files, root = fs.FileSystem.from_uri(_uri(folder))
-        files.create_dir(root, recursive=True)
-        final = f"{root}/part-{task.partitionId():05d}.pcap"
-        attempt = f"{root}/.part-{task.partitionId():05d}-{task.taskAttemptId()}"
-        written = 0
-        with files.open_output_stream(attempt) as out:
-            out.write(_file_header())
-            for batch in batches:
-                out.write(encode_frames(batch))
-                written += batch.num_rows
-        files.move(attempt, final)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([final]), pa.array([written], type=pa.int64())], names=["file", "packets"]
-        )
-
-    report = numbers.mapInArrow(write, "file string, packets bigint")
-    rows = [(row.file, row.packets) for row in report.collect()]
-    return packets.sparkSession.createDataFrame(rows, "file string, packets bigint")
-
-
-def _file_header() -> bytes:
-    import struct
-
-    return struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65536, ETHERNET)
-
-
-def encode_frames(batch) -> bytes:
-    """Records of Ethernet, IPv4 and TCP or UDP headers, built as one byte matrix.
-
-    `length` is the length on the wire; only the headers are captured.
-    """
-    import numpy as np
-
-    column = {name: batch.column(name).to_numpy() for name in batch.schema.names}
-    n = batch.num_rows
-    tcp, udp = column["protocol"] == TCP, column["protocol"] == UDP
-    captured = 34 + np.where(tcp, 20, np.where(udp, 8, 0))
-    frame = np.zeros((n, RECORD_HEADER_BYTES + 54), dtype=np.uint8)
-
-    def put(offset: int, size: int, values, little: bool = False) -> None:
-        steps = range(size) if little else range(size - 1, -1, -1)
-        for place, step in enumerate(steps):
-            frame[:, offset + place] = (values >> (8 * step)) & 255
-
-    put(0, 4, column["micros"] // 1_000_000, little=True)
-    put(4, 4, column["micros"] % 1_000_000, little=True)
-    put(8, 4, captured, little=True)
-    put(12, 4, column["length"], little=True)
-    frame[:, 16:22] = (0x00, 0x66, 0x77, 0x88, 0x99, 0xAA)
-    frame[:, 22:28] = (0x00, 0x11, 0x22, 0x33, 0x44, 0x55)
-    frame[:, 28:30] = (0x08, 0x00)
-    frame[:, 30] = 0x45
-    put(32, 2, np.maximum(column["length"] - 14, 20))
-    frame[:, 38] = 64
-    put(39, 1, column["protocol"])
-    put(42, 4, column["src"])
-    put(46, 4, column["dst"])
-    ports = tcp | udp
-    put(50, 2, np.where(ports, column["src_port"], 0))
-    put(52, 2, np.where(ports, column["dst_port"], 0))
-    frame[tcp, 62] = 0x50
-    used = np.arange(frame.shape[1]) < (RECORD_HEADER_BYTES + captured)[:, None]
-    return frame[used].tobytes()

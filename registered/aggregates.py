@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from flowloom.model import FIVE_TUPLE, ExactTask
 from flowloom.operators.flows import (
     exact_heavy_hitters,
@@ -158,13 +160,13 @@ def _(spark, sf_dir):
 @query(
     "aggregate_flows_filtered",
     totals_sql(
-        f"snapshot_ts <= TIMESTAMP '{END}' AND task_name = 'per_five_tuple' AND protocol = 6 "
+        f"snapshot_ts <= TIMESTAMP '{END}' AND task_name = 'flows_by_tuple' AND protocol = 6 "
         "AND dst_port = 443"
     ),
 )
 def _(spark, sf_dir):
     return aggregate_flows(
-        flow_metrics(spark, sf_dir), END, task="per_five_tuple", dst_port=443, protocol=6
+        flow_metrics(spark, sf_dir), END, task="flows_by_tuple", dst_port=443, protocol=6
     )
 
 
@@ -186,13 +188,13 @@ def trace_sql(where: str) -> str:
 @query(
     "trace_flow",
     trace_sql(
-        "task_name = 'per_five_tuple' AND src_ip = '10.0.0.7' AND dst_port = 443 "
+        "task_name = 'flows_by_tuple' AND src_ip = '10.0.0.7' AND dst_port = 443 "
         f"AND snapshot_ts <= TIMESTAMP '{END}'"
     ),
 )
 def _(spark, sf_dir):
     keys = {"SrcIP": "10.0.0.7", "DstPort": "443"}
-    return trace_flow(flow_metrics(spark, sf_dir), "per_five_tuple", keys, END)
+    return trace_flow(flow_metrics(spark, sf_dir), "flows_by_tuple", keys, END)
 
 
 @query("trace_flow_unmatched", trace_sql("task_name = 'per_src_ip' AND src_ip = '203.0.113.1'"))
@@ -220,7 +222,7 @@ TRACES = " UNION ALL ".join(
  coalesce(min(f.start_time), TIMESTAMP '1970-01-01 00:00:00') AS first_seen,
  coalesce(max(f.end_time), TIMESTAMP '1970-01-01 00:00:00') AS last_seen,
  coalesce(max(f.packet_count), 0) AS total_packets, coalesce(max(f.byte_count), 0) AS total_bytes
- FROM p LEFT JOIN fm f ON f.task_name = 'per_five_tuple' AND {match}
+ FROM p LEFT JOIN fm f ON f.task_name = 'flows_by_tuple' AND {match}
   AND f.snapshot_ts <= p.ts + INTERVAL 3 DAY
  WHERE {which} GROUP BY p.event_id"""
     for which, match in REQUEST_MATCHES.items()
@@ -231,7 +233,7 @@ TRACES = " UNION ALL ".join(
 def _(spark, sf_dir):
     requests = event_packets(spark, sf_dir).selectExpr(
         "event_id AS request_id",
-        "'per_five_tuple' AS task_name",
+        "'flows_by_tuple' AS task_name",
         f"{REQUEST_KEYS} AS flow_keys",
         "ts + INTERVAL 3 DAYS AS end_time",
     )
@@ -296,7 +298,7 @@ def _(spark, sf_dir):
     return list_tasks(flow_metrics(spark, sf_dir), heavy_hitters(spark, sf_dir))
 
 
-TARGETS = ["per_src_ip", "no_such_task", "per_five_tuple"]
+TARGETS = ["per_src_ip", "no_such_task", "flows_by_tuple"]
 
 
 @query(
@@ -319,14 +321,14 @@ def hitters_sql(task: str, code: int, end: str | None, limit: int) -> str:
  ORDER BY value DESC, flow LIMIT {limit}"""
 
 
-@query("latest_hitters", hitters_sql("cm_src_left", 1, END, 10))
+@query("latest_hitters", hitters_sql("votes_by_source", 1, END, 10))
 def _(spark, sf_dir):
-    return latest_hitters(heavy_hitters(spark, sf_dir), "cm_src_left", 1, 10, END)
+    return latest_hitters(heavy_hitters(spark, sf_dir), "votes_by_source", 1, 10, END)
 
 
-@query("latest_super_spreaders", hitters_sql("ss_src_dst", 2, None, 20))
+@query("latest_super_spreaders", hitters_sql("spread_by_source", 2, None, 20))
 def _(spark, sf_dir):
-    return latest_super_spreaders(heavy_hitters(spark, sf_dir), "ss_src_dst", 20)
+    return latest_super_spreaders(heavy_hitters(spark, sf_dir), "spread_by_source", 20)
 
 
 BY_SOURCE = f"{P}, h AS (SELECT src_ip AS flow, CAST(sum(length) AS BIGINT) AS value FROM p GROUP BY src_ip)"
@@ -358,14 +360,16 @@ def _(spark, sf_dir):
 @query(
     "flow_lookup",
     f"""{P}, f AS (SELECT src_ip, count(*) AS packet_count, CAST(sum(length) AS BIGINT) AS byte_count
- FROM p WHERE protocol = 17 GROUP BY src_ip)
- SELECT p.event_id, p.src_ip, coalesce(f.packet_count, 0) AS packet_count,
- coalesce(f.byte_count, 0) AS byte_count FROM p LEFT JOIN f ON p.src_ip = f.src_ip""",
+ FROM p GROUP BY src_ip), w AS (SELECT event_id, src_ip FROM p UNION ALL SELECT event_id, dst_ip FROM p)
+ SELECT w.event_id, w.src_ip, coalesce(f.packet_count, 0) AS packet_count,
+ coalesce(f.byte_count, 0) AS byte_count FROM w LEFT JOIN f ON w.src_ip = f.src_ip""",
 )
 def _(spark, sf_dir):
+    # Both ends of every packet are looked up; targets send nothing and get 0.
     packets = event_packets(spark, sf_dir)
-    flows = flow_aggregate(packets.where("protocol = 17"), ["SrcIP"])
-    return flow_lookup(flows, packets.select("event_id", "src_ip"), ["SrcIP"])
+    targets = packets.select("event_id", F.col("dst_ip").alias("src_ip"))
+    wanted = packets.select("event_id", "src_ip").unionByName(targets)
+    return flow_lookup(flow_aggregate(packets, ["SrcIP"]), wanted, ["SrcIP"])
 
 
 @query(
@@ -376,5 +380,5 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     hitters = exact_heavy_hitters(event_packets(spark, sf_dir), ["SrcIP"], "packets", 75)
-    rows = drill_down(hitters, task_metrics(spark, sf_dir, EXACT[1]), ["SrcIP"])
+    rows = drill_down(hitters, flow_metrics(spark, sf_dir), EXACT[1])
     return rows.select("flow", "snapshot_ts", "packet_count", "byte_count")

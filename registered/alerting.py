@@ -30,11 +30,11 @@ TOTALS_SQL = f"""tot AS (SELECT task_name, count(*) AS f, CAST(sum(byte_count) A
  totals AS (SELECT task_name, 'total_flows' AS metric, f AS value FROM tot
   UNION ALL SELECT task_name, 'total_bytes', b FROM tot
   UNION ALL SELECT task_name, 'total_packets', n FROM tot)"""
-HITTERS_SQL = """hit AS (SELECT 'cm_src_left' AS task_name, src_ip AS flow, count(*) AS value, 0 AS type
+HITTERS_SQL = """hit AS (SELECT 'votes_by_source' AS task_name, src_ip AS flow, count(*) AS value, 0 AS type
   FROM p GROUP BY src_ip HAVING count(*) >= 75
- UNION ALL SELECT 'cm_src_left', src_ip, CAST(sum(length) AS BIGINT), 1 FROM p GROUP BY src_ip
+ UNION ALL SELECT 'votes_by_source', src_ip, CAST(sum(length) AS BIGINT), 1 FROM p GROUP BY src_ip
   HAVING sum(length) >= 7500
- UNION ALL SELECT 'ss_src_dst', src_ip, count(DISTINCT dst_ip), 2 FROM p GROUP BY src_ip
+ UNION ALL SELECT 'spread_by_source', src_ip, count(DISTINCT dst_ip), 2 FROM p GROUP BY src_ip
   HAVING count(DISTINCT dst_ip) >= 50)"""
 COLUMNS = f"""TIMESTAMP '{CHECKED_AT}' AS check_ts, r.rule_name, r.task_name, r.metric,
  r.op AS operator, r.threshold"""
@@ -58,8 +58,8 @@ def _hitters(spark, sf_dir):
         exact_heavy_hitters(packets, ["SrcIP"], "bytes", 7500)
     )
     spreads = super_spreaders(exact_spread(packets, ["SrcIP"], ["DstIP"]), 50)
-    return votes.withColumn("task_name", F.lit("cm_src_left")).unionByName(
-        spreads.withColumn("task_name", F.lit("ss_src_dst"))
+    return votes.withColumn("task_name", F.lit("votes_by_source")).unionByName(
+        spreads.withColumn("task_name", F.lit("spread_by_source"))
     )
 
 

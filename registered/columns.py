@@ -71,11 +71,12 @@ def _(spark, sf_dir):
 @query(
     "l4_ports",
     f"""{P} SELECT event_id, protocol,
- CASE WHEN protocol IN (6, 17) THEN 1000 ELSE 0 END AS src_port,
+ CASE WHEN protocol IN (6, 17) THEN src_port + 1 ELSE 0 END AS src_port,
  CASE WHEN protocol IN (6, 17) THEN dst_port ELSE 0 END AS dst_port FROM p""",
 )
 def _(spark, sf_dir):
-    packets = event_packets(spark, sf_dir).withColumn("src_port", F.lit(1000))
+    # The given packets of other protocols have no ports; one up, every packet has.
+    packets = event_packets(spark, sf_dir).withColumn("src_port", F.col("src_port") + 1)
     return l4_ports(packets).select("event_id", "protocol", "src_port", "dst_port")
 
 
@@ -177,12 +178,12 @@ def _(spark, sf_dir):
 
 @query(
     "filter_flows",
-    f"""{FM} SELECT snapshot_ts, dst_ip, packet_count FROM fm WHERE task_name = 'per_five_tuple'
+    f"""{FM} SELECT snapshot_ts, dst_ip, packet_count FROM fm WHERE task_name = 'flows_by_tuple'
  AND src_ip = '10.0.0.7' AND src_port = 0 AND protocol = 1""",
 )
 def _(spark, sf_dir):
     rows = filter_flows(
-        flow_metrics(spark, sf_dir), "per_five_tuple", src_ip="10.0.0.7", src_port=0, protocol=1
+        flow_metrics(spark, sf_dir), "flows_by_tuple", src_ip="10.0.0.7", src_port=0, protocol=1
     )
     return rows.select("snapshot_ts", "dst_ip", "packet_count")
 
@@ -211,10 +212,10 @@ def _(spark, sf_dir):
 @query(
     "filter_hitters",
     f"""{HH} SELECT snapshot_ts, flow, value FROM hh
- WHERE task_name = 'cm_src_left' AND type = 1""",
+ WHERE task_name = 'votes_by_source' AND type = 1""",
 )
 def _(spark, sf_dir):
-    rows = filter_hitters(heavy_hitters(spark, sf_dir), "cm_src_left", 1)
+    rows = filter_hitters(heavy_hitters(spark, sf_dir), "votes_by_source", 1)
     return rows.select("snapshot_ts", "flow", "value")
 
 

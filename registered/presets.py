@@ -21,12 +21,12 @@ from flowloom.operators.snapshots import cumulative_snapshots, with_snapshot_tim
 from registered.views import DAY, EVENTS, KEYS, ORIGIN, PERIOD, event_packets
 
 EXACT = [
-    ExactTask("per_five_tuple", FIVE_TUPLE),
+    ExactTask("flows_by_tuple", FIVE_TUPLE),
     ExactTask("per_src_ip", ["SrcIP"]),
     ExactTask("per_dst_ip", ["DstIP"]),
 ]
 VOTE = SketchTask(
-    "cm_src_left",
+    "votes_by_source",
     VOTE_SKETCH,
     ["SrcIP"],
     ["DstIP", "SrcPort", "DstPort", "Protocol"],
@@ -36,15 +36,15 @@ VOTE = SketchTask(
     count_threshold=75,
 )
 SPREADERS = SketchTask(
-    "ss_src_dst", SPREAD_SKETCH, ["SrcIP"], ["DstIP"], count_threshold=50, m=128
+    "spread_by_source", SPREAD_SKETCH, ["SrcIP"], ["DstIP"], count_threshold=50, m=128
 )
 
 RULES = [
-    AlertRule("wide_spread", "ss_src_dst", "super_spreader_spread", ">", 55),
-    AlertRule("spread_as_count", "ss_src_dst", "heavy_hitter_count", ">=", 60),
-    AlertRule("many_packets", "cm_src_left", "heavy_hitter_count", ">", 80),
-    AlertRule("many_bytes", "cm_src_left", "heavy_hitter_size", ">=", 8000),
-    AlertRule("traffic_spike", "per_five_tuple", "total_bytes", ">", 500000),
+    AlertRule("wide_spread", "spread_by_source", "super_spreader_spread", ">", 55),
+    AlertRule("spread_as_count", "spread_by_source", "heavy_hitter_count", ">=", 60),
+    AlertRule("many_packets", "votes_by_source", "heavy_hitter_count", ">", 80),
+    AlertRule("many_bytes", "votes_by_source", "heavy_hitter_size", ">=", 8000),
+    AlertRule("traffic_spike", "flows_by_tuple", "total_bytes", ">", 500000),
     AlertRule("flow_spike", "per_src_ip", "total_flows", "<=", 100000000),
     AlertRule("quiet", "per_src_ip", "total_packets", "<", 1),
     AlertRule("unknown_metric", "per_src_ip", "ByteCount", ">", 0),
@@ -142,11 +142,11 @@ def snapshots_sql(task: ExactTask) -> str:
 
 FM = f"WITH {EVENTS}, {TICKS}, fm AS ({' UNION ALL '.join(snapshots_sql(t) for t in EXACT)})"
 HH = f"""{FM}, hh AS (
- SELECT snapshot_ts, 'cm_src_left' AS task_name, src_ip AS flow, packet_count AS value, 0 AS type
+ SELECT snapshot_ts, 'votes_by_source' AS task_name, src_ip AS flow, packet_count AS value, 0 AS type
    FROM fm WHERE task_name = 'per_src_ip' AND packet_count >= {REPORT_COUNT}
- UNION ALL SELECT snapshot_ts, 'cm_src_left', src_ip, byte_count, 1
+ UNION ALL SELECT snapshot_ts, 'votes_by_source', src_ip, byte_count, 1
    FROM fm WHERE task_name = 'per_src_ip' AND byte_count >= {REPORT_SIZE}
- UNION ALL SELECT snapshot_ts, 'ss_src_dst', src_ip, count(DISTINCT dst_ip), 2
+ UNION ALL SELECT snapshot_ts, 'spread_by_source', src_ip, count(DISTINCT dst_ip), 2
    FROM t GROUP BY snapshot_ts, src_ip)"""
 LATEST = (
     "latest AS (SELECT * FROM fm QUALIFY row_number() OVER (PARTITION BY task_name, src_ip, "

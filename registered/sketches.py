@@ -136,25 +136,15 @@ def _(spark, sf_dir):
 
 @query(
     "merge_sketches",
-    f"""{P}, parts AS (SELECT protocol, src_ip AS flow, count(*) AS n FROM p GROUP BY protocol, src_ip),
- cells AS (SELECT {bucket_sql('0', 'flow', 256)} AS bucket, flow, CAST(sum(n) AS BIGINT) AS vote
-   FROM parts GROUP BY flow),
- placed AS (SELECT *, row_number() OVER w AS place, lead(vote, 1, 0) OVER w AS second FROM cells
-   WINDOW w AS (PARTITION BY bucket ORDER BY vote DESC, flow))
- SELECT 0 AS type, 0 AS "row", bucket, flow, vote - second AS vote FROM placed
- WHERE place = 1 AND vote > second""",
+    f"{P}, {SOURCE_TOTALS} SELECT flow, n AS packet_count, b AS byte_count FROM f",
 )
 def _(spark, sf_dir):
-    # Parts per protocol with one vote per source: merging is exact on them.
+    # Sketches of three shares of the packets, every source in each of them.
     packets = event_packets(spark, sf_dir)
-    parts = packets.groupBy("protocol", F.col("src_ip").alias("flow")).agg(
-        F.count(F.lit(1)).alias("vote")
-    )
-    bucket = seeded_bucket(F.lit(0), F.col("flow"), 256, "md5").alias("bucket")
-    zero = F.lit(0)
-    return merge_sketches(
-        parts.select(zero.alias("type"), zero.alias("row"), bucket, "flow", "vote")
-    )
+    shares = [packets.where(F.pmod("event_id", F.lit(3)) == i) for i in range(3)]
+    parts = [vote_sketch(share, ["SrcIP"], WIDE, 3) for share in shares]
+    merged = merge_sketches(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return sketch_query(merged, packets.select(F.col("src_ip").alias("flow")).distinct())
 
 
 @query(
@@ -346,15 +336,13 @@ def _(spark, sf_dir):
 @query(
     "spread_query",
     f"""{P} SELECT dst_ip AS flow, greatest(1, coalesce(e.spread, 0)) AS spread
- FROM (SELECT DISTINCT dst_ip FROM p UNION SELECT DISTINCT src_ip FROM p WHERE protocol = 17) d
+ FROM (SELECT DISTINCT dst_ip FROM p UNION SELECT DISTINCT src_ip FROM p) d
  LEFT JOIN (SELECT src_ip, count(DISTINCT dst_ip) AS spread FROM p GROUP BY src_ip) e
  ON e.src_ip = d.dst_ip""",
 )
 def _(spark, sf_dir):
     packets = event_packets(spark, sf_dir)
-    asked = packets.select(F.col("dst_ip").alias("flow")).union(
-        packets.where("protocol = 17").select("src_ip")
-    )
+    asked = packets.select(F.col("dst_ip").alias("flow")).union(packets.select("src_ip"))
     return spread_query(exact_spread(packets, ["SrcIP"], ["DstIP"]), asked.distinct())
 
 

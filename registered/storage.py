@@ -20,7 +20,7 @@ from flowloom.sinks.tables import (
     write_packet_log,
     write_snapshot_dir,
 )
-from flowloom.sources.captures import capture_records, pcap_scan, write_captures
+from flowloom.sources.captures import capture_records, pcap_scan
 from flowloom.sources.packets import (
     decode_payloads,
     encode_payload,
@@ -29,8 +29,9 @@ from flowloom.sources.packets import (
     packets_scan,
     snapshot_scan,
 )
-from flowloom.sources.synthetic import synthetic_packets
+from registered.synthetic import synthetic_packets
 from registered.alerting import DIGEST, all_alerts
+from registered.capture_files import write_captures
 from registered.catalog import query
 from registered.columns import LINE_SQL
 from registered.presets import EXACT, FM, HH, flow_metrics, heavy_hitters, task_metrics
@@ -83,6 +84,21 @@ def _(spark, sf_dir):
     return ingest_quality(capture_records(spark, folder))
 
 
+@query(
+    "ingest_quality_damaged",
+    f"WITH {LINEITEM} SELECT count(*) AS good, TRUE AS all_damages_counted FROM p",
+)
+def _(spark, sf_dir):
+    # Broken records within the files and cut ones at their ends.
+    folder = shared_dir(spark, "captures")
+    written = write_captures(lineitem_packets(spark, sf_dir), folder, damaged=True)
+    damages = written.agg(F.sum("damages")).scalar()
+    return ingest_quality(capture_records(spark, folder)).select(
+        (F.col("total") - F.col("failed")).alias("good"),
+        (F.col("failed") == damages).alias("all_damages_counted"),
+    )
+
+
 def _messages(spark, sf_dir):
     """JSON payloads; UDP packets in a retired encoding, ICMP without a five-tuple."""
     payload = (

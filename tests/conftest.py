@@ -11,6 +11,7 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
 from flowloom.model import PACKET_SCHEMA  # noqa: E402
 from flowloom.session import prepare  # noqa: E402
+from registered.catalog import by_value  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -25,6 +26,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    by_value()
     yield prepare(session)
     session.stop()
 

@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowloom.sources import captures
-from flowloom.sources.captures import capture_ranges, capture_records, pcap_scan, write_captures
+from flowloom.sources.captures import capture_ranges, capture_records, pcap_scan
 from flowloom.sources.packets import ingest_quality
-from flowloom.sources.synthetic import synthetic_packets
+from registered.capture_files import write_captures
+from registered.synthetic import synthetic_packets
 from registered.views import lineitem_packets
 
 TIME = 1_700_000_000
@@ -117,15 +118,41 @@ def test_link_types(spark, tmp_path, link_type, frame):
     assert (row.src_port, row.bad) == (443, False)
 
 
-def test_cut_off_record_is_left_out(spark, tmp_path):
+def test_cut_off_record_is_bad(spark, tmp_path):
     frames = [ethernet(0x0800, ipv4(6, tcp(port, 80))) for port in (1, 2)]
     rows = read(spark, tmp_path / "in", "a.pcap", capture(frames)[:-5])
-    assert [row.src_port for row in rows] == [1]
+    assert sorted((row.bad, row.src_port) for row in rows) == [(False, 1), (True, None)]
 
 
-def test_other_files_are_refused(spark, tmp_path):
-    with pytest.raises(Exception, match="not a capture file"):
-        read(spark, tmp_path / "in", "a.pcap", b"text" * 20)
+def test_reading_goes_on_behind_a_broken_record(spark, tmp_path):
+    frames = [ethernet(0x0800, ipv4(6, tcp(port, 80))) for port in range(1, 1011)]
+    content, record = capture(frames), 16 + len(frames[0])
+    at = 24 + 10 * record
+    broken = struct.pack("<IIII", TIME, 0, 0xFFFFFFF0, 60) + b"junk" * 5
+    rows = read(spark, tmp_path / "in", "a.pcap", content[:at] + broken + content[at:])
+    assert sorted(row.src_port for row in rows if not row.bad) == list(range(1, 1011))
+    assert sum(row.bad for row in rows) == 1
+    # Nothing plausible behind it: the rest is one damaged record.
+    rows = read(spark, tmp_path / "end", "a.pcap", content[:at] + broken)
+    assert sum(row.bad for row in rows) == 1 and len(rows) == 11
+
+
+def test_any_number_of_vlan_tags(spark, tmp_path):
+    frames = [
+        ethernet(0x0800, ipv4(6, tcp(n, 80)), vlans=[0x88A8] * n + [0x8100]) for n in range(5)
+    ]
+    rows = read(spark, tmp_path / "in", "a.pcap", capture(frames))
+    assert [(row.src_port, row.bad) for row in rows] == [(n, False) for n in range(5)]
+
+
+def test_other_files_and_odd_names_do_not_stop_the_job(spark, tmp_path):
+    frames = [ethernet(0x0800, ipv4(6, tcp(443, 80)))]
+    read(spark, tmp_path / "in", "no capture.txt", b"text" * 20)
+    read(spark, tmp_path / "in", "empty", b"")
+    rows = read(spark, tmp_path / "in", "a b%20c#1.pcap", capture(frames))
+    # An empty file holds no record.
+    assert sorted(row.bad for row in rows) == [False, True]
+    assert [row.file.rsplit("/", 1)[1] for row in rows if row.bad] == ["no capture.txt"]
 
 
 def test_pieces_and_splits_do_not_change_the_result(spark, tmp_path, monkeypatch):

@@ -108,8 +108,8 @@ def test_trace_of_nothing_is_epoch_and_zero(spark, sf_dir):
 def test_trace_requests_equal_single_traces(spark, sf_dir):
     metrics = flow_metrics(spark, sf_dir).cache()
     asked = [
-        (1, "per_five_tuple", "SrcIP=10.0.0.7", datetime(2024, 1, 12)),
-        (2, "per_five_tuple", " SrcIP = 10.0.0.7 , DstPort=443", None),
+        (1, "flows_by_tuple", "SrcIP=10.0.0.7", datetime(2024, 1, 12)),
+        (2, "flows_by_tuple", " SrcIP = 10.0.0.7 , DstPort=443", None),
         (3, "per_src_ip", "SrcIP=10.0.0.7", datetime(2024, 1, 20)),
         (4, "per_src_ip", "SrcIP=10.0.0.7", datetime(2024, 1, 20)),
         (5, "per_src_ip", "SrcIP=192.0.2.1", None),

@@ -4,6 +4,8 @@ import pytest
 from conftest import plan_of
 
 from flowloom.model import AlertRule, ExactTask, SketchTask, key_columns, rules_frame
+from flowloom.plans.questions import defined_tasks
+from registered.presets import EXACT, VOTE
 
 
 def test_key_columns_keep_order():
@@ -42,3 +44,10 @@ def test_small_tables_are_local_relations(spark):
     assert "LocalTableScan" in plan_of(rules)
     assert rules.first().threshold == 1.0
     assert rules_frame(spark, []).count() == 0
+
+
+def test_defined_tasks_are_rows_in_order(spark):
+    rows = defined_tasks(spark, EXACT, [VOTE]).collect()
+    assert [tuple(row) for row in rows] == [
+        *((task.name, "exact") for task in EXACT), (VOTE.name, "sketch"),
+    ]
