@@ -41,8 +41,10 @@ BLOCK = 8192
 CHUNK, SHARED = 1024, 32
 # Stands for a null id where ids are compared.
 LAST = 2**63 - 1
-# Entries of a node of the R-tree, and coordinates of its points.
-FAN_OUT, GROUPS = 16, 256
+# Entries of a node of the R-tree, and the least and largest number of coordinates of its
+# points: about a quarter of the shingles, so that the counts of unlike sets differ.
+FAN_OUT = 16
+LEAST_GROUPS, MOST_GROUPS = 64, 16384
 
 
 def least_overlap(size: int, percent: int = PERCENT) -> int:
@@ -58,12 +60,22 @@ def similar(one, other, percent: int = PERCENT) -> bool:
     return 100 * shared >= percent * (len(one) + len(other) - shared)
 
 
-def count_vector(shingles):
+def groups_for(size: int) -> int:
+    """Groups into which the shingles of a set of `size` are hashed: a power of two."""
+    return min(MOST_GROUPS, max(LEAST_GROUPS, 1 << max(size // 4, 1).bit_length()))
+
+
+def count_vector(shingles, groups: int | None = None):
     """How many shingles of a set each group holds."""
     import numpy as np
 
-    groups = (shingles >> np.uint64(7)).astype(np.int64) % GROUPS
-    return np.bincount(groups, minlength=GROUPS)
+    groups = groups or groups_for(len(shingles))
+    return np.bincount((shingles >> np.uint64(7)).astype(np.int64) % groups, minlength=groups)
+
+
+def folded(point, groups: int):
+    """A point with fewer groups, as if the shingles had been hashed into those."""
+    return point.reshape(-1, groups).sum(axis=0)
 
 
 class CountTree:
@@ -120,7 +132,8 @@ def links(sets: list, labels: list[int], asking: list[bool], percent: int = PERC
     import numpy as np
 
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    tree = CountTree(np.stack([count_vector(s) for s in sets]), sizes, percent)
+    groups = groups_for(int(np.median(sizes)))
+    tree = CountTree(np.stack([count_vector(s, groups) for s in sets]), sizes, percent)
     label = np.unique(np.array(labels), return_inverse=True)[1]
     found = []
     for i in np.flatnonzero(asking).tolist():
@@ -135,20 +148,32 @@ def links(sets: list, labels: list[int], asking: list[bool], percent: int = PERC
     return found
 
 
-def near_points(points, sizes, percent: int = PERCENT) -> list:
-    """Pairs of positions that connect all sets whose bound allows them to be similar."""
+def near_points(points: list, sizes: list[int], percent: int = PERCENT) -> list:
+    """Pairs of positions that connect all sets whose bound allows them to be similar.
+
+    Similar sets have sizes of one power of two or of two that follow each other, so each
+    two such classes share a tree, with the groups of the smaller sets in it.
+    """
     import numpy as np
 
-    tree, label, found = CountTree(points, sizes, percent), np.arange(len(sizes)), []
-    for i in range(len(sizes)):
-        if (label == label[i]).all():
-            break
-        others = tree.candidates(i)
-        others = others[label[others] != label[i]]
-        if len(others):
-            joined, first = np.unique(label[others], return_index=True)
-            found += [(i, int(others[at])) for at in first]
-            label[np.isin(label, joined)] = label[i]
+    label, found = np.arange(len(sizes)), []
+    classes: dict[int, list[int]] = {}
+    for i, size in enumerate(sizes):
+        classes.setdefault(size.bit_length(), []).append(i)
+    for bits, own in sorted(classes.items()):
+        at = np.array(own + classes.get(bits + 1, []))
+        if len(at) == 1:
+            continue
+        groups = min(len(points[i]) for i in own)
+        matrix = np.stack([folded(points[i], groups) for i in at])
+        tree = CountTree(matrix, np.array([sizes[i] for i in at], dtype=np.int64), percent)
+        for number, i in enumerate(at.tolist()):
+            others = at[tree.candidates(number)]
+            others = others[label[others] != label[i]]
+            if len(others):
+                joined, first = np.unique(label[others], return_index=True)
+                found += [(i, int(others[k])) for k in first]
+                label[np.isin(label, joined)] = label[i]
     return found
 
 
@@ -172,8 +197,8 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Da
             sizes, nodes, points = [], [], []
             for shingles in shingler.sets(batch.column(2).to_pylist()):
                 sizes.append(len(shingles))
-                # Counts above 65,535 would need a set of millions; they stay an upper bound.
-                points.append(np.minimum(count_vector(shingles), 65535).astype("<u2").tobytes())
+                # With that many groups a count above 65,535 takes a billion shingles.
+                points.append(count_vector(shingles).astype("<u2").tobytes())
                 nodes.append(set_key(shingles) if len(shingles) else None)
                 np.add.at(sketch, (shingles >> np.uint64(64 - BITS)).astype(np.int64), 1)
             n = batch.num_rows
@@ -324,8 +349,8 @@ def block_edges(docs: DataFrame, sets: DataFrame, sketch, text: str, percent: in
 
         def out(nodes: list, sizes: list, rows: list) -> Iterator:
             if len(nodes) > 1:
-                matrix = np.frombuffer(b"".join(rows), dtype="<u2").reshape(len(rows), -1)
-                pairs = near_points(matrix, np.array(sizes, dtype=np.int64), percent)
+                points = [np.frombuffer(row, dtype="<u2").astype(np.int32) for row in rows]
+                pairs = near_points(points, sizes, percent)
                 if pairs:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([nodes[p[i]] for p in pairs], pa.int64()) for i in (0, 1)],

@@ -119,16 +119,16 @@ def test_the_tree_leaves_out_no_similar_set():
         for _ in range(12):
             kept = one[chosen.random(len(one)) < 0.93]
             sets.append(np.unique(kept if len(kept) else one))
-    points = np.stack([count_vector(one) for one in sets])
-    sizes = np.array([len(one) for one in sets])
-    tree = CountTree(points, sizes)
+    sizes = [len(one) for one in sets]
+    tree = CountTree(np.stack([count_vector(one, 64) for one in sets]), np.array(sizes))
     for i in range(len(sets)):
         near = {j for j, other in enumerate(sets) if similar(sets[i], other)}
         assert near <= set(tree.candidates(i).tolist())
     label = np.arange(len(sets))
-    for i, j in near_points(points, sizes):
+    for i, j in near_points([count_vector(one) for one in sets], sizes):
         label[label == label[j]] = label[i]
-    assert all(label[i] == label[j] for i in range(len(sets)) for j in tree.candidates(i))
+    for i, one in enumerate(sets):
+        assert all(label[i] == label[j] for j in range(i) if similar(one, sets[j]))
     pairs = links(sets, list(range(len(sets))), [True] * len(sets))
     assert all(similar(sets[i], sets[j]) for i, j in pairs)
 
