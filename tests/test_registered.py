@@ -14,7 +14,7 @@ def con(sf_dir):
         yield opened
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(driver.oracle_sql()))
 def test_query_equals_sql(spark, sf_dir, con, name):
     result = spark_rows(driver.queries()[name](spark, sf_dir))
     expected = sql_rows(con, driver.oracle_sql()[name])
