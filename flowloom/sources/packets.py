@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowloom.functions.addresses import canonical_ip
 from flowloom.functions.times import month_of, nanos_to_ts, ntz
 from flowloom.model import FLOW_METRICS_SCHEMA, KEY_TYPES, PACKET_SCHEMA, WIRE_SCHEMA
 
@@ -79,7 +80,8 @@ def encode_payload() -> Column:
 def decode_payloads(messages: DataFrame, column: str = "payload") -> DataFrame:
     """Messages with packet columns and `bad`, true for what is not a whole packet.
 
-    Text in another encoding and objects without a five-tuple are bad.
+    Text in another encoding, objects without a five-tuple, addresses that are none, ports
+    above 65,535 and protocols above 255 are bad. Addresses get their canonical text.
     """
     wire = messages.withColumn("_wire", F.from_json(column, WIRE_SCHEMA, {"mode": "PERMISSIVE"}))
     nanos = F.col("_wire.timestamp_unix_nano")
@@ -87,17 +89,25 @@ def decode_payloads(messages: DataFrame, column: str = "payload") -> DataFrame:
         nanos.isNull() | F.col("_wire.length").isNull() | F.col("_wire.five_tuple").isNull(),
         F.lit(True),
     )
-    missing_part = F.lit(False)
+    parts = {}
     for name in KEY_TYPES:
-        missing_part = missing_part | F.col(f"_wire.five_tuple.{name}").isNull()
-    return wire.select(
+        part = F.col(f"_wire.five_tuple.{name}")
+        if name.endswith("_ip"):
+            parts[name] = canonical_ip(f"_wire.five_tuple.{name}")
+        else:
+            parts[name] = F.when(part.between(0, 255 if name == "protocol" else 65535), part)
+    decoded = wire.select(
         *messages.columns,
         nanos.alias("ts_nanos"),
         nanos_to_ts(nanos).alias("ts"),
-        *[F.col(f"_wire.five_tuple.{name}").alias(name) for name in KEY_TYPES],
+        *[part.alias(name) for name, part in parts.items()],
         F.col("_wire.length").alias("length"),
-        (bad | missing_part).alias("bad"),
+        bad.alias("bad"),
     )
+    whole = F.lit(True)
+    for name in KEY_TYPES:
+        whole = whole & F.col(name).isNotNull()
+    return decoded.withColumn("bad", F.col("bad") | ~whole)
 
 
 def ingest_quality(records: DataFrame) -> DataFrame:

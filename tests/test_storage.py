@@ -146,6 +146,18 @@ def test_payload_keeps_nanoseconds(spark):
     assert (row.ts_nanos, row.bad) == (1700000000000000123, False)
 
 
+def _payload(src_ip, src_port, protocol):
+    key = {"src_ip": src_ip, "dst_ip": "192.0.2.1", "src_port": src_port, "dst_port": 2,
+           "protocol": protocol}
+    return json.dumps({"timestamp_unix_nano": 1, "length": 5, "five_tuple": key})
+
+
+def test_addresses_of_payloads_are_canonical(spark):
+    message = spark.createDataFrame([(_payload("2001:DB8:0::1", 1, 6),)], "payload string")
+    row = decode_payloads(message).first()
+    assert (row.src_ip, row.bad) == ("2001:db8::1", False)
+
+
 @pytest.mark.parametrize(
     "payload",
     [
@@ -157,6 +169,10 @@ def test_payload_keeps_nanoseconds(spark):
         '{"timestamp_unix_nano": 1, "length": 5, "five_tuple": null}',
         '{"timestamp_unix_nano": 1, "length": 5, "five_tuple": {"src_ip": "1.2.3.4"}}',
         '{"length": 5, "five_tuple": {"src_ip": "a", "dst_ip": "b", "src_port": 1, "dst_port": 2, "protocol": 6}}',
+        _payload("no address", 1, 6),
+        _payload("192.0.2.300", 1, 6),
+        _payload("192.0.2.9", 70000, 6),
+        _payload("192.0.2.9", 1, 256),
     ],
 )
 def test_bad_payloads(spark, payload):
