@@ -34,7 +34,7 @@ from flowloom.session import shared_dir
 # Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
 # Sketch of shingle counts: 2**BITS counters, in parts of 2**PART_BITS.
-BITS, PART_BITS = 18, 15
+BITS, PART_BITS = 21, 18
 # Nodes of a block that one R-tree holds.
 BLOCK = 8192
 # Members of a chunk, and members of a cluster that all its chunks hold.
@@ -192,7 +192,7 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Da
         import numpy as np
         import pyarrow as pa
 
-        shingler, sketch = Shingler(), np.zeros(1 << BITS, dtype=np.int64)
+        shingler, sketch = Shingler(), np.zeros(1 << BITS, dtype=np.int32)
         for batch in batches:
             sizes, nodes, points = [], [], []
             for shingles in shingler.sets(batch.column(2).to_pylist()):
@@ -250,7 +250,7 @@ def sum_sketch(parts: DataFrame):
             for part, counts in zip(
                 batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True
             ):
-                values = np.frombuffer(counts, dtype=np.int64)
+                values = np.frombuffer(counts, dtype=np.int32).astype(np.int64)
                 sums[part] = sums[part] + values if part in sums else values
         yield pa.RecordBatch.from_arrays(
             [
