@@ -34,7 +34,7 @@ from flowloom.session import shared_dir
 # Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
 # Sketch of shingle counts: 2**BITS counters, in parts of 2**PART_BITS.
-BITS, PART_BITS = 21, 18
+BITS, PART_BITS = 18, 15
 # Nodes of a block that one R-tree holds.
 BLOCK = 8192
 # Members of a chunk, and members of a cluster that all its chunks hold.
@@ -481,7 +481,8 @@ def similarity_components(
         F.xxhash64(text).alias("k"),
         F.col(text).cast("binary").alias("text"),
     )
-    texts.join(chosen, ["i", "k"]).drop("i", "k").write.parquet(f"{path}/texts")
+    # Members grow with the documents: shuffled at every size, never broadcast.
+    texts.join(chosen.hint("merge"), ["i", "k"]).drop("i", "k").write.parquet(f"{path}/texts")
     held = spark.read.schema(
         "text binary, node bigint, cluster bigint, chunks int, everywhere boolean"
     ).parquet(f"{path}/texts")
