@@ -4,9 +4,11 @@ A page streams through the standard library's parser, whose events make lines: r
 text between tags that start or end a block. Lines inside elements that never hold an
 article (menus, adverts, forms and the like) have no text. The ratio of text to tags of
 every line is smoothed with a Gaussian, so that a short line among long ones counts with
-them; lines at or above the spread of the smoothed ratios cluster as content. A region (an
-article or main element, or else the nearest container) is selected if most of its text
-lies in content lines, and gives all its lines.
+them; lines at or above the spread of the smoothed ratios cluster as content. Ratios count
+up to a few times that of a typical line, so that no single long line widens the spread.
+Articles and main elements with text are selected. A page without them has the nearest
+containers as regions: those with most of their text in content lines are selected, or if
+there are none, the one with the most such text. A selected region gives all its lines.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ from flowloom.llm.texts import strings
 PIECE = 1 << 16
 # Lines on either side that the Gaussian reaches, and its standard deviation.
 REACH, SIGMA = 3, 1.5
+# Ratios count up to so many times that of a typical line, and no line has a larger share
+# in what is typical.
+CLIP, SHARE = 3, 0.1
 
 # Fixed values of HTML: elements without content, and elements that end a line.
 VOID = frozenset(
@@ -169,6 +174,22 @@ def smoothed(ratios):
     return np.convolve(padded, weights / weights.sum(), mode="valid")
 
 
+def clipped(ratios, lengths):
+    """Ratios up to `CLIP` times that of the line in the middle of the text.
+
+    The middle is taken by length, where a line counts for at most `SHARE` of all.
+    """
+    import numpy as np
+
+    weights = lengths
+    for _ in range(20):
+        weights = np.minimum(weights, SHARE * weights.sum())
+    order = np.argsort(ratios, kind="stable")
+    passed = np.cumsum(weights[order])
+    middle = ratios[order[np.searchsorted(passed, passed[-1] / 2)]]
+    return np.minimum(ratios, CLIP * middle)
+
+
 def main_text(html: str) -> str:
     """The lines of the selected regions of a page, joined by line ends."""
     import numpy as np
@@ -180,7 +201,7 @@ def main_text(html: str) -> str:
     if not any(lines.texts):
         return ""
     lengths = np.array([len(text) for text in lines.texts], dtype=np.float64)
-    level = smoothed(lengths / np.maximum(lines.tags, 1))
+    level = smoothed(clipped(lengths / np.maximum(lines.tags, 1), lengths))
     content = level >= min(level.std(), level[lengths > 0].max())
     inside: dict[int, float] = defaultdict(float)
     whole: dict[int, float] = defaultdict(float)
@@ -188,8 +209,11 @@ def main_text(html: str) -> str:
         whole[region] += length
         inside[region] += length * chosen
     # Articles stand for the page where it has any with text.
-    named = {region for region in lines.named if whole[region]}
-    selected = {r for r in named or whole if whole[r] and 2 * inside[r] >= whole[r]}
+    selected = {region for region in lines.named if whole[region]}
+    if not selected:
+        selected = {r for r in whole if whole[r] and 2 * inside[r] >= whole[r]}
+    if not selected:
+        selected = {max(whole, key=lambda r: (inside[r], whole[r], -r))}
     return "\n".join(
         text
         for text, region in zip(lines.texts, lines.regions, strict=True)

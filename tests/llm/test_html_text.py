@@ -55,6 +55,36 @@ def test_made_pages(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("block", "others", "length"), [(20_000, 300, 300), (5_000, 200, 40), (100_000, 500, 500)]
+)
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<div>{}</div>", "{}"])
+def test_one_long_block_among_ordinary_ones(block, others, length, around):
+    lines = ["y" * length] * others
+    lines.insert(others // 2, "x" * block)
+    page = around.format("".join(f"<p>{line}</p>" for line in lines))
+    assert main_text(f"<html><body>{page}</body></html>") == "\n".join(lines)
+
+
+def test_one_long_block_in_a_section_of_its_own():
+    lines = ["y" * 300] * 300
+    sections = "".join(f"<section><p>{a}</p><p>{a}</p></section>" for a in lines)
+    page = f"<div>{sections}<section><pre>{'x' * 20_000}</pre></section></div>"
+    assert main_text(page) == "\n".join([*lines, *lines, "x" * 20_000])
+
+
+def test_links_outside_the_text_stay_out():
+    links = "<ul>" + "<li><a href='/'>Some link</a></li>" * 95 + "</ul>"
+    body = ["word " * 60] * 12
+    page = f"<div>{links}</div><div>{''.join(f'<p>{x}</p>' for x in body)}</div>"
+    assert main_text(page) == "\n".join(x.strip() for x in body)
+
+
+def test_an_article_with_text_is_never_dropped():
+    page = "<article><p>short</p></article><article><p>" + "long " * 900 + "</p></article>"
+    assert main_text(page).startswith("short\nlong")
+
+
 def test_tables(spark):
     rows = [(1, None, "old"), (None, "", "x"), (2, "<p>" + "word " * 200_000, "y"), (2, "<p", "z")]
     df = spark.createDataFrame(rows, "page_id bigint, html string, text string")
