@@ -53,6 +53,10 @@ CLOSES = {
     "th": frozenset(["td", "th", "p"]),
     "option": frozenset(["option"]),
 }
+# Elements that class or id never hide, and elements whose id counts; other ids are often
+# slugs of headings.
+ROOTS = frozenset(["html", "body", "main"])
+ID_ELEMENTS = frozenset("aside div section ul".split())
 # Elements, roles and words of class or id that mark what is no part of an article.
 NO_TEXT = frozenset(
     "applet aside audio button canvas datalist dialog fieldset footer form frame frameset head "
@@ -72,6 +76,19 @@ NO_TEXT_WORDS = frozenset(
 )
 
 
+# Words that say nothing of what an element holds, beside one of the above.
+PLAIN_WORDS = frozenset("bar block bottom box container inner items left list outer right top wrapper".split())
+
+
+def marks_noise(names: str) -> bool:
+    """Whether one of the names holds words for what is no part of an article, and no others."""
+    for name in names.split():
+        words = {word for word in re.split(r"[^a-z]+", name) if word}
+        if not NO_TEXT_WORDS.isdisjoint(words) and words <= NO_TEXT_WORDS | PLAIN_WORDS:
+            return True
+    return False
+
+
 class Lines(HTMLParser):
     """Collects the lines of a page: text, tags and region."""
 
@@ -104,11 +121,21 @@ class Lines(HTMLParser):
             self._end_line()
         del self.open[at:]
 
+    def _marked(self, tag: str, given: dict[str, str]) -> bool:
+        """Whether the class or id of an element marks it as no part of an article."""
+        within = any(element == "article" for element, _, _ in self.open)
+        if tag in ROOTS or tag == "article" and not within and not self._hidden():
+            return False
+        # In main elements, sections have ids by their headings too.
+        slugs = within or tag == "section" and self._region() in self.named
+        by_id = tag in ID_ELEMENTS and not slugs
+        return marks_noise(given.get("class", "")) or by_id and marks_noise(given.get("id", ""))
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         given = {name: (value or "").lower() for name, value in attrs}
-        marks = set(re.split(r"[^a-z]+", f"{given.get('class', '')} {given.get('id', '')}"))
         noise = (
-            not NO_TEXT_WORDS.isdisjoint(marks)
+            ("class" in given or "id" in given)
+            and self._marked(tag, given)
             or given.get("role") in NO_TEXT_ROLES
             or "hidden" in given
             or given.get("aria-hidden") == "true"

@@ -85,6 +85,34 @@ def test_an_article_with_text_is_never_dropped():
     assert main_text(page).startswith("short\nlong")
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body class='no-sidebar'><p>body text</p></body>", "body text"),
+        ("<html id='search'><body class='has-sidebar widget'><p>text</p></body></html>", "text"),
+        ("<main class='search' id='comments'><p>text</p></main>", "text"),
+        ("<article class='post category-social'><p>a</p><p>b</p></article>", "a\nb"),
+        ("<article class='hentry comments-open share' id='notice'><p>a</p></article>", "a"),
+        (
+            "<article><p>Intro.</p><h2 id='related-work'>Related work</h2><p>Others.</p>"
+            "<section id='search-results'><h2>Results</h2><p>Found.</p></section>"
+            "<section id='comments'><p>Remarks.</p></section><div class='share'>x</div></article>",
+            "Intro.\nRelated work\nOthers.\nResults\nFound.\nRemarks.",
+        ),
+        ("<main><section id='notice'><p>part</p></section></main>", "part"),
+        ("<main><p>part</p><div id='comments'><p>nice</p></div></main>", "part"),
+        ("<p>part of it</p><div id='cookie-notice'>We</div><div class='sidebar-left'>x</div>", "part of it"),
+        (
+            "<article><p>a</p><article class='comment'><p>nice</p></article></article>"
+            "<div class='comments'><article class='comment'><p>nice</p></article></div>",
+            "a",
+        ),
+    ],
+)
+def test_names_that_hide_and_names_that_do_not(page, text):
+    assert main_text(page) == text
+
+
 def test_tables(spark):
     rows = [(1, None, "old"), (None, "", "x"), (2, "<p>" + "word " * 200_000, "y"), (2, "<p", "z")]
     df = spark.createDataFrame(rows, "page_id bigint, html string, text string")
