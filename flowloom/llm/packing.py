@@ -97,8 +97,19 @@ def byte_ranks(definition: str) -> dict[bytes, int]:
     }
 
 
-def library_encoder(definition: str, pattern: str) -> BatchEncoder:
-    """An encoder by the tokenizer library; special tokens are ordinary text."""
+def added_tokens(definition: str) -> dict[str, int]:
+    """Ids of the added tokens of a tokenizer definition (JSON), by their text."""
+    tokens = json.loads(definition)["added_tokens"]
+    for token in tokens:
+        if any(token.get(x) for x in ("lstrip", "rstrip", "single_word")):
+            raise ValueError(f"added token {token['content']!r} depends on what is around it")
+    return {token["content"]: token["id"] for token in tokens}
+
+
+def library_encoder(
+    definition: str, pattern: str, added: dict[str, int] | None = None
+) -> BatchEncoder:
+    """An encoder by the tokenizer library; tokens are ordinary text unless in `added`."""
     import numpy as np
     import tiktoken
 
@@ -135,7 +146,7 @@ def library_encoder(definition: str, pattern: str) -> BatchEncoder:
             pool[own] = np.concatenate(list(alone.values()))
         return pool, counts
 
-    return BatchEncoder(encode_many)
+    return BatchEncoder(encode_many, added)
 
 
 def pack_documents(
@@ -154,6 +165,7 @@ def pack_documents(
     One row per piece: `doc_id`, `start` (tokens of the document before it), `length`,
     `doc_tokens` (with the end token), `sequence_id`, `offset` in the sequence and `ids`,
     the tokens as little-endian unsigned 32-bit integers. Every token lies in one piece.
+    Where a text holds an added token of the tokenizer, it becomes the id of that token.
 
     A null text is an empty one, which gives its end token alone. A null `doc_id` is
     kept, and repeated rows are packed as often as they occur. An empty table gives no
@@ -168,7 +180,7 @@ def pack_documents(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = library_encoder(definition.value, pattern)
+        encoder = library_encoder(definition.value, pattern, added_tokens(definition.value))
         end = np.array([end_id], dtype="<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 32
         kind = None

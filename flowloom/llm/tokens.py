@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 from flowloom.llm.texts import word_segments
@@ -25,11 +26,17 @@ class BatchEncoder:
     `encode_many` returns the ids of all strings in a row and how many each string has.
     The pattern of byte-level tokenizers never matches over a space that a word follows,
     so the words between such spaces can be encoded apart and put together. Texts with
-    other white space around their spaces are encoded as a whole.
+    other white space around their spaces are encoded as a whole. Texts are first cut at
+    the added tokens, which have ids of their own; of those at one place the longest counts.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], tuple]):
+    def __init__(
+        self, encode_many: Callable[[list[str]], tuple], added: dict[str, int] | None = None
+    ):
         self.encode_many = encode_many
+        self.added = {token: i.to_bytes(4, "little") for token, i in (added or {}).items()}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.at_added = re.compile(f"({'|'.join(map(re.escape, longest))})") if added else None
 
     def _texts(self, texts) -> list[bytes]:
         """Ids of an Arrow array of texts, as little-endian unsigned 32-bit bytes."""
@@ -69,17 +76,24 @@ class BatchEncoder:
         import pyarrow as pa
 
         pieces: list[str] = []
+        after: list[bytes] = []  # the id of the added token that follows a piece
         last: list[bool] = []  # whether a piece ends its text
         size, held = 0, []
         for number, text in enumerate(texts, 1):
-            cut = list(word_segments(text)) or [""]
-            pieces += cut
-            last += [False] * (len(cut) - 1) + [True]
+            # Texts between added tokens, at even places, and these tokens.
+            parts = self.at_added.split(text) if self.at_added else [text]
+            for part, token in zip(parts[::2], [*parts[1::2], None], strict=True):
+                cut = list(word_segments(part)) or [""]
+                pieces += cut
+                after += [b""] * (len(cut) - 1) + [self.added.get(token, b"")]
+                last += [False] * (len(cut) - 1) + [token is None]
             size += len(text)
             if size >= BLOCK or number == len(texts):
-                for ids, ends in zip(self._texts(pa.array(pieces)), last, strict=True):
-                    held.append(ids)
+                for ids, more, ends in zip(
+                    self._texts(pa.array(pieces)), after, last, strict=True
+                ):
+                    held += (ids, more)
                     if ends:
                         yield b"".join(held)
                         held.clear()
-                pieces, last, size = [], [], 0
+                pieces, after, last, size = [], [], [], 0

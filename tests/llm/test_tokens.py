@@ -11,7 +11,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from flowloom.llm.bpe import MergeReplay, bpe_decode, bpe_encode, pattern_encoder
-from flowloom.llm.packing import OpenWindows, best_fit_decreasing, library_encoder, pack_documents
+from flowloom.llm.packing import (
+    OpenWindows,
+    added_tokens,
+    best_fit_decreasing,
+    library_encoder,
+    pack_documents,
+)
 from flowloom.llm.texts import word_segments
 from flowloom.llm.tokens import read_ranks
 
@@ -52,6 +58,39 @@ def test_joined_words_equal_the_tokenizer():
         assert np.frombuffer(ids, "<u4").tolist() == found, text
 
 
+END = "<|endoftext|>"
+WITH_ADDED = [
+    f"a {END} b",
+    f"a  {END}  b",
+    f"a\t {END}\n b",
+    f"{END}{END}",
+    f" {END} ",
+    f"x{END[:-1]}{END}y",
+    f"{'word ' * 300_000} {END} {END}tail",
+]
+
+
+def test_added_tokens_have_their_own_ids():
+    tokenizer = Tokenizer.from_file(DEFINITION)
+    with open(DEFINITION, encoding="utf-8") as source:
+        definition = source.read()
+    encoder = library_encoder(definition, PATTERN, added_tokens(definition))
+    texts = WITH_ADDED + samples()
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        found = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == found, text[-80:]
+
+
+def test_packed_added_tokens(texts_of):
+    tokenizer = Tokenizer.from_file(DEFINITION)
+    pieces = pack_documents(texts_of(WITH_ADDED), DEFINITION, PATTERN).collect()
+    for i, text in enumerate(WITH_ADDED):
+        own = sorted((p for p in pieces if p.doc_id == i), key=lambda p: p.start)
+        whole = [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+        assert b"".join(bytes(p.ids) for p in own) == np.array(whole, dtype="<u4").tobytes()
+        assert {p.doc_tokens for p in own} == {len(whole)}
+
+
 def test_merges_that_give_lower_ranks():
     for seed in range(150):
         chosen = random.Random(seed)
