@@ -7,6 +7,10 @@ threshold t only with lines of b*t/(2-t) to b*(2-t)/t bigrams, so the size of a
 few templates. Before that, texts and lines are left out that hold none of the key words:
 words so chosen that a line without any of them lacks more bigrams of each template than
 the threshold allows.
+
+`scan_licences` compares whole lines. `scan_notices` finds notices that are wrapped over
+lines or lie inside a paragraph: it compares windows of the words of the whole text, each as
+long as a template and placed so that a key word of both stands at the same place.
 """
 
 from __future__ import annotations
@@ -205,6 +209,125 @@ def scan_licences(
     )
 
 
+def scan_notices(
+    docs: DataFrame,
+    *,
+    templates: dict[str, str] | None = None,
+    threshold: float = THRESHOLD,
+    doc_id: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """(licence, doc_id, first_word, n_words, dice): notices anywhere in texts, line ends or not.
+
+    A window has as many words as its template, less at the ends of a text. Of windows at
+    or above the threshold that overlap, the one that shares the most bigrams is reported,
+    of equals the one of the larger coefficient, then the first by name and by place. Words
+    count from 1. Null and empty texts have no rows; a null `doc_id` is kept, and a row that
+    occurs again gives its notices again. Nothing is shuffled.
+    """
+    bodies = sorted((TEMPLATES if templates is None else templates).items())
+    known = {name: template_bigrams(body) for name, body in bodies}
+    known = {name: pairs for name, pairs in known.items() if pairs}
+    if not known:
+        return docs.limit(0).select(
+            F.lit("").alias("licence"),
+            F.col(doc_id).alias("doc_id"),
+            F.lit(1).cast("bigint").alias("first_word"),
+            F.lit(1).cast("bigint").alias("n_words"),
+            F.lit(0.0).alias("dice"),
+        )
+    keys = key_words(known, threshold)
+    worded = {n: re.sub(r"[^a-z0-9]+", " ", b.lower()).split() for n, b in bodies if n in known}
+    names = F.array(*map(F.lit, known))
+    sizes = F.array(*(F.lit(len(worded[name])) for name in known))
+    bigrams = F.array(*(F.array(*map(F.lit, pairs)) for pairs in known.values()))
+    # A window is one number: the template, and the place of its first word, which may lie
+    # before the text.
+    ahead, step = 1 << 20, 1 << 40
+    anchors = F.array(
+        *(
+            F.struct(F.lit(word).alias("key"), F.lit(t * step + ahead - at).alias("move"))
+            for t, name in enumerate(known)
+            for at, word in enumerate(worded[name])
+            if word in keys
+        )
+    )
+    lower = F.array(F.lower("text"))
+    rows = (
+        docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+        .filter(F.exists(lower, lambda x: reduce(or_, (F.contains(x, F.lit(k)) for k in keys))))
+        .select(
+            "doc_id",
+            F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " ").alias("words"),
+        )
+    )
+    numbered = F.transform(
+        "words", lambda word, i: F.struct(i.cast("bigint").alias("at"), word.alias("word"))
+    )
+    placed = F.transform(
+        F.filter(numbered, lambda x: x["word"].isin(keys)),
+        lambda x: F.transform(
+            F.filter(anchors, lambda a: a["key"] == x["word"]), lambda a: a["move"] + x["at"]
+        ),
+    )
+    windows = F.transform(
+        F.array_distinct(F.flatten(placed)),
+        lambda code: F.struct(
+            (F.shiftright(code, 40) + 1).cast("int").alias("template"),
+            (code.bitwiseAND(F.lit(step - 1)) - ahead).cast("int").alias("start"),
+        ),
+    )
+
+    def compared(x: Column) -> Column:
+        first = F.greatest(x["start"], F.lit(0))
+        end = F.least(x["start"] + F.element_at(sizes, x["template"]), F.size("words"))
+        pairs = F.element_at(bigrams, x["template"])
+        # Lambda variables hold the words and bigrams of the window once.
+        own = F.transform(F.array(F.slice("words", first + 1, end - first)), bigrams_of)
+        found = F.transform(
+            own,
+            lambda own: F.struct(
+                F.size(F.array_intersect(own, pairs)).alias("shared"),
+                (F.size(own) + F.size(pairs)).alias("both"),
+            ),
+        )
+        return F.element_at(
+            F.transform(
+                found,
+                lambda f: F.struct(
+                    (-f["shared"]).alias("order"),
+                    (F.lit(-2.0) * f["shared"] / f["both"]).alias("dice"),
+                    F.element_at(names, x["template"]).alias("name"),
+                    first.alias("first"),
+                    end.alias("end"),
+                ),
+            ),
+            1,
+        )
+
+    reached = rows.select(
+        "doc_id",
+        F.array_sort(
+            F.filter(F.transform(windows, compared), lambda x: -x["dice"] >= threshold)
+        ).alias("reached"),
+    ).filter(F.size("reached") > 0)
+    # The best first, then each that overlaps none of those before.
+    kept = F.aggregate(
+        "reached",
+        F.filter("reached", lambda x: F.lit(False)),
+        lambda kept, x: F.when(
+            F.exists(kept, lambda y: (x["first"] < y["end"]) & (y["first"] < x["end"])), kept
+        ).otherwise(F.concat(kept, F.array(x))),
+    )
+    return reached.select("doc_id", F.explode(kept).alias("x")).select(
+        F.col("x.name").alias("licence"),
+        "doc_id",
+        (F.col("x.first") + 1).cast("bigint").alias("first_word"),
+        (F.col("x.end") - F.col("x.first")).cast("bigint").alias("n_words"),
+        (-F.col("x.dice")).alias("dice"),
+    )
+
+
 def licence_sql(templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> str:
     """The same result in SQL over the table `documents`, comparing every line and template."""
     rows = ", ".join(

@@ -11,7 +11,7 @@ from flowloom.llm.catalog import ORACLES, QUERIES, query, table
 from flowloom.llm.fingerprints import edited_fingerprints
 from flowloom.llm.html_text import extract_text
 from flowloom.llm.jaccard import similarity_components
-from flowloom.llm.licences import licence_sql, scan_licences
+from flowloom.llm.licences import licence_sql, scan_licences, scan_notices
 from flowloom.llm.packing import pack_documents
 from flowloom.llm.secret_scan import count_of, scan_secrets, span_text
 from flowloom.llm.topk import exact_top_k
@@ -149,6 +149,12 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 
 
+@query("op9_licence_notices")
+def op9_licence_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of documents across line ends and inside paragraphs."""
+    return scan_notices(table(spark, sf_dir, "documents"))
+
+
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into windows of 2048 tokens, with a checksum of every piece."""

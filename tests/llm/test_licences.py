@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import re
+import textwrap
 
 from flowloom.llm.licences import (
     TEMPLATES,
     THRESHOLD,
     key_words,
     scan_licences,
+    scan_notices,
     size_bounds,
     template_bigrams,
 )
@@ -71,3 +73,28 @@ def test_plan_has_no_python_and_no_shuffle(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
     plan = scan_licences(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_wrapped_and_embedded_notices(spark):
+    before, after = "Known in many towns of the north. ", " More follows here, about other things."
+    texts, wanted = [], []
+    for name, body in TEMPLATES.items():
+        n = len(re.sub(r"[^a-z0-9]+", " ", body.lower()).split())
+        for width in (30, 72, 79):
+            texts.append("\n".join(f" * {x}" for x in textwrap.wrap(before + body + after, width)))
+            wanted.append([(name, 8, n, 1.0)])
+        texts += [before + body + after, f"{body} {body}", f"{before}\n{body}"]
+        wanted += [[(name, 8, n, 1.0)], [(name, 1, n, 1.0), (name, n + 1, n, 1.0)], [(name, 8, n, 1.0)]]
+    texts += ["It is distributed under the MIT License today.", None, "", "license", "all rights"]
+    wanted += [[("mit", 3, 5, 0.75)], [], [], [], []]
+    rows = list(enumerate(texts)) + [(None, texts[0])]
+    found: dict = {}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for r in scan_notices(df).collect():
+        found.setdefault(r.doc_id, []).append((r.licence, r.first_word, r.n_words, r.dice))
+    for i, places in enumerate(wanted):
+        assert sorted(found.get(i, [])) == places, texts[i]
+    assert found[None] == found[0]
+    assert scan_notices(df, templates={}).count() == 0
+    plan = scan_notices(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
