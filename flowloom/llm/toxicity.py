@@ -32,6 +32,8 @@ ENTRIES = 5_000
 LEAST_DOCUMENTS, DEVIATIONS, LEAST_WEIGHT = 4, 1.65, 1.5
 # Words added to the length of a text, so that a single match in a short one is no flood.
 FLOOR = 30
+# Candidates for entries, so many that an entry may come with each of its own beginnings.
+CANDIDATES = ENTRIES * (LONGEST - SHORTEST + 1)
 # Distinct beginnings that a task counts before it hands them on.
 COUNTED = 200_000
 # Code points of a text that are folded at a time.
@@ -188,6 +190,14 @@ def choose_entries(counts, toxic: int, clean: int) -> dict[str, float]:
     return chosen
 
 
+def lower_log_odds(bad, good, toxic: int, clean: int):
+    """The weight of `choose_entries` as a column."""
+    cells = (bad + 0.5, F.lit(toxic + 0.5) - bad, good + 0.5, F.lit(clean + 0.5) - good)
+    variance = sum((1 / cell for cell in cells), F.lit(0.0))
+    log_odds = F.log(cells[0] * cells[3] / (cells[1] * cells[2]))
+    return log_odds - DEVIATIONS * F.sqrt(variance)
+
+
 def fit_curve(inputs: list[tuple[float, ...]], toxic: list[int]) -> tuple[float, tuple[float, ...]]:
     """Intercept and slopes of a logistic curve, by Newton's method with a small ridge."""
     import numpy as np
@@ -220,7 +230,7 @@ def learn(
     a hash of the id; half of them give the lexicon, the others the curve. An id with
     several labels is toxic if any says so; null ids and labels and documents without
     label teach nothing. Without any toxic example nothing is learned and every text has
-    the same low score. What reaches the driver is at most `ENTRIES` * 2 counts and the
+    the same low score. What reaches the driver is at most `CANDIDATES` counts and the
     inputs of half a sample.
     """
     known = (
@@ -284,19 +294,23 @@ def learn(
         .groupBy("entry")
         .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     )
-    # The strongest candidates and the totals, by a rate that needs no totals.
+    documents = {
+        r.toxic: r["count"] for r in taught.filter("lexicon").groupBy("toxic").count().collect()
+    }
+    toxic, clean = documents.get(1, 0), documents.get(0, 0)
+    # The heaviest of all candidates; `choose_entries` weighs them again to the last digit.
     rows = (
-        totals.filter((F.col("bad") >= LEAST_DOCUMENTS) | (F.col("entry") == ""))
+        totals.filter((F.col("bad") >= LEAST_DOCUMENTS) & (F.col("entry") != ""))
+        .withColumn("weight", lower_log_odds(F.col("bad"), F.col("good"), toxic, clean))
+        .filter(F.col("weight") >= LEAST_WEIGHT - 1e-6)
         .orderBy(
-            F.desc(F.col("entry") == ""),
-            F.desc(F.col("bad") / F.sqrt(F.col("good") + 1.0)),
-            "entry",
+            F.desc(F.round("weight", 9)), F.desc("bad"), F.desc(F.length("entry")), "entry"
         )
-        .limit(2 * ENTRIES)
+        .limit(CANDIDATES)
+        .select("entry", "bad", "good")
         .collect()
     )
-    toxic, clean = next(((r.bad, r.good) for r in rows if r.entry == ""), (0, 0))
-    weights = choose_entries([tuple(r) for r in rows if r.entry], toxic, clean)
+    weights = choose_entries([tuple(r) for r in rows], toxic, clean)
     draft = Model(weights, 0.0, (0.0, 0.0), exceptions)
 
     def measure(batches: Iterator) -> Iterator:

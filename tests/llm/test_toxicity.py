@@ -76,3 +76,16 @@ def test_without_examples_every_text_scores_alike(spark, texts_of, odd_texts):
         score_documents(docs.limit(1), model).first().score
     }
     assert score_documents(docs.limit(0), model).count() == 0
+
+
+def test_rare_toxic_words_are_weighed_among_many_frequent_ones(spark, monkeypatch):
+    # Many more frequent words than entries, each in every document.
+    monkeypatch.setattr("flowloom.llm.toxicity.ENTRIES", 5)
+    common = " ".join(f"{a}{b}c" for a in "bcdfhjkm" for b in "npqruvw")
+    lexicon = "pmod(xxhash64(id), 1000000) < 500000 AND id % 6 = 0"
+    rare = {r.id for r in spark.range(2400).filter(lexicon).orderBy("id").limit(6).collect()}
+    texts = [(i, common + " zompish" * (i in rare)) for i in range(2400)]
+    labels = [(i, int(i % 6 == 0)) for i in range(2400)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    model = learn(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    assert list(model.weights) == ["zompish"]
