@@ -45,7 +45,3 @@ def packets_of(spark):
         return spark.createDataFrame(numbered, PACKET_SCHEMA)
 
     return make
-
-
-def plan_of(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import plan_of
+from plans import plan_of
 
 from flowloom.model import AlertRule, ExactTask, SketchTask, key_columns, rules_frame
 from flowloom.plans.questions import defined_tasks
