@@ -14,6 +14,7 @@ from flowloom.llm.jaccard import similarity_components
 from flowloom.llm.licences import licence_sql, scan_licences, scan_notices
 from flowloom.llm.packing import pack_documents
 from flowloom.llm.secret_scan import count_of, scan_secrets, span_text
+from flowloom.llm.spelling import MIN_COUNT, dropped_letters, spelling_variants, word_counts
 from flowloom.llm.topk import exact_top_k
 from flowloom.llm.toxicity import Model, learn, score_documents
 from flowloom.llm.warc import payload_records, read_warc, write_warc
@@ -172,3 +173,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sequence_id",
         "offset",
     )
+
+
+@query("op11_spelling")
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents, after the contract's edit."""
+    words = word_counts(table(spark, sf_dir, "documents"), edit=dropped_letters)
+    return spelling_variants(words.filter(F.col("n") >= MIN_COUNT))
