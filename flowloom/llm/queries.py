@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.bpe import bpe_decode, bpe_encode
 from flowloom.llm.catalog import ORACLES, QUERIES, query, table
+from flowloom.llm.code_compression import codebook_digest, compress_vectors
 from flowloom.llm.fingerprints import edited_fingerprints
 from flowloom.llm.html_text import extract_text
 from flowloom.llm.jaccard import similarity_components
@@ -180,3 +181,83 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spelling variants among the words of all documents, after the contract's edit."""
     words = word_counts(table(spark, sf_dir, "documents"), edit=dropped_letters)
     return spelling_variants(words.filter(F.col("n") >= MIN_COUNT))
+
+
+def codes_sql(rounds: int = 4) -> str:
+    """SQL for `op13_vector_codes`: each round joins all parts with all entries."""
+    steps = [
+        """
+v AS MATERIALIZED (
+  SELECT vec_id, label, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w,
+    row_number() OVER (ORDER BY vec_id) - 1 AS place
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+p AS MATERIALIZED (
+  SELECT vec_id, place, part, w[part * len(w) // 4 + 1 : (part + 1) * len(w) // 4] AS w
+  FROM v, range(4) t(part)
+),
+b0 AS MATERIALIZED (SELECT part, place AS entry, w FROM p WHERE place < 256)"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""
+d{i} AS (
+  SELECT p.vec_id, p.part, p.w, b.entry,
+    list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(p.w, b.w)]) AS d
+  FROM p JOIN b{i} b ON p.part = b.part
+),
+a{i} AS MATERIALIZED (
+  SELECT vec_id, part, any_value(w) AS w, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+  FROM d{i} GROUP BY vec_id, part
+)""")
+        if i < rounds:
+            steps.append(f"""
+m{i} AS (
+  SELECT part, entry, j, CAST(floor(sum(w[j]) / count(*)) AS BIGINT) AS x
+  FROM a{i}, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS j) GROUP BY part, entry, j
+),
+b{i + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.w, b.w) AS w
+  FROM b{i} b LEFT JOIN (SELECT part, entry, list(x ORDER BY j) AS w FROM m{i} GROUP BY ALL) m
+    ON b.part = m.part AND b.entry = m.entry
+)""")
+    return f"""WITH {",".join(steps)},
+c AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code,
+    CAST(sum(d) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY vec_id
+),
+s AS (
+  SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, j)) AS codebooks_sha256
+  FROM (SELECT part, entry, unnest(w) AS x, unnest(range(len(w))) AS j FROM b{rounds})
+)
+SELECT c.vec_id, c.code, c.error,
+  CAST(sum(c.error) OVER (PARTITION BY v.label) AS BIGINT) AS label_error, s.codebooks_sha256
+FROM c JOIN v ON c.vec_id = v.vec_id, s
+"""
+
+
+@query("op13_vector_codes", codes_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product-quantised codes of every vector, with errors by vector and label."""
+    coded, books = compress_vectors(table(spark, sf_dir, "embeddings"), keep=["label"])
+    folder = shared_dir(spark, "vector-code-rows")
+    digits = F.transform("codes", lambda e: F.lpad(F.lower(F.hex(e)), 2, "0"))
+    coded.select(
+        F.col("id").alias("vec_id"),
+        F.array_join(digits, "").alias("code"),
+        "error",
+        F.col("kept.label").alias("label"),
+    ).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    # Labels are few or many: Spark joins their sums by size and splits a hot label.
+    sums = rows.groupBy("label").agg(F.sum("error").alias("label_error"))
+    of_label = sums.withColumnRenamed("label", "summed")
+    return rows.join(of_label, F.col("label").eqNullSafe(F.col("summed"))).select(
+        "vec_id",
+        "code",
+        "error",
+        "label_error",
+        F.lit(codebook_digest(books)).alias("codebooks_sha256"),
+    )
