@@ -10,6 +10,7 @@ from flowloom.llm.bpe import bpe_decode, bpe_encode
 from flowloom.llm.catalog import ORACLES, QUERIES, query, table
 from flowloom.llm.code_compression import codebook_digest, compress_vectors
 from flowloom.llm.fingerprints import edited_fingerprints
+from flowloom.llm.genetic_packing import pack_genetic
 from flowloom.llm.html_text import extract_text
 from flowloom.llm.jaccard import similarity_components
 from flowloom.llm.licences import licence_sql, scan_licences, scan_notices
@@ -183,6 +184,19 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(words.filter(F.col("n") >= MIN_COUNT))
 
 
+@query("op12_genetic_packing")
+def op12_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed whole into as few sequences of 1024 tokens as the islands find."""
+    pieces = pack_genetic(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.PATTERN,
+    )
+    return pieces.select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
 def codes_sql(rounds: int = 4) -> str:
     """SQL for `op13_vector_codes`: each round joins all parts with all entries."""
     steps = [
