@@ -4,7 +4,7 @@ Spark lists the folder and spreads byte ranges of the files over tasks. A task
 streams its ranges in fixed-size pieces and decodes each piece with array
 operations, so memory does not grow with a file. Files larger than a split are read
 by many tasks at once, although the format has no marks to split at: see
-`capture_ranges`. Addresses leave Python as numbers and bytes; Spark formats them.
+`capture_ranges`. Damage costs the damaged records alone: see `_walk`. Addresses leave Python as numbers and bytes; Spark formats them.
 """
 
 from __future__ import annotations
@@ -12,12 +12,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowloom.functions.addresses import canonical_ip_sql
 from flowloom.model import TCP, UDP
-from flowloom.session import parallelism
+from flowloom.session import shared_dir
 
 RECORD_SCHEMA = (
     "file string, ts_nanos bigint, ip_version int, src_v4 bigint, dst_v4 bigint, "
@@ -25,8 +24,9 @@ RECORD_SCHEMA = (
     "length bigint, bad boolean"
 )
 
-# Bytes of a file held at a time, and bytes of a file for one task.
+# Bytes of a file held at a time, bytes read at first, and bytes of a file for one task.
 PIECE = 8 << 20
+FIRST_PIECE = 32 << 10
 SPLIT_BYTES = 256 << 20
 # Beyond this many ranges, a task reads several in turn.
 MOST_TASKS = 100_000
@@ -49,6 +49,14 @@ HOP_BY_HOP, ROUTING, DESTINATION = 0, 43, 60
 FILE_HEADER_BYTES, RECORD_HEADER_BYTES = 24, 16
 LONGEST_PACKET = 262144
 
+# A record that starts before a place ends less than this behind it.
+REACH = LONGEST_PACKET + RECORD_HEADER_BYTES
+# Bytes looked at for records behind damage, and headers in a row that make one likely.
+WINDOW = 4 << 20
+CHAIN = 3
+# Bytes of a frame that tell whether it is an IP packet.
+TELLING = 54
+
 
 def decode_records(data, starts, kept, link_type: int) -> dict:
     """Packet fields of the records of one piece, as arrays.
@@ -131,6 +139,7 @@ class _Capture:
     def __init__(self, path: str):
         files, name = _file_system(path)
         self.stream = files.open_input_file(name)
+        self.size = self.stream.size()
         head = self.stream.read(FILE_HEADER_BYTES)
         self.readable = len(head) == FILE_HEADER_BYTES and head[:4] in MAGICS
         if not self.readable:
@@ -139,6 +148,8 @@ class _Capture:
         word = "little" if self.order == "<" else "big"
         self.link_type = int.from_bytes(head[20:24], word) & 0xFFFF
         self.readable = self.link_type in ETHER_TYPE_AT
+        self._window: tuple[int, object] = (-1, None)
+        self.second = self._first_second()
 
     def __enter__(self):
         return self
@@ -146,56 +157,219 @@ class _Capture:
     def __exit__(self, *_):
         self.stream.close()
 
+    def read(self, begin: int, count: int) -> bytes:
+        self.stream.seek(begin)
+        return self.stream.read(count)
+
+    def _first_second(self) -> int:
+        """A clock that those of other records are near; 0 if there is none to go by.
+
+        It is that of the first record or, where this leads nowhere, of the first one in the
+        file that is an IP packet, in a chain of records if there are such.
+        """
+        import struct
+
+        first = self.read(FILE_HEADER_BYTES, RECORD_HEADER_BYTES)
+        if len(first) < RECORD_HEADER_BYTES:
+            return 0
+        second, _, kept, _ = struct.unpack(f"{self.order}IIII", first)
+        following = FILE_HEADER_BYTES + RECORD_HEADER_BYTES + kept
+        if following == self.size:
+            return second
+        after = self.read(following, 4) if following + 4 <= self.size else b""
+        if after and abs(struct.unpack(f"{self.order}I", after)[0] - second) < TEN_YEARS:
+            return second
+        self.second = 0
+        sure = self._records_in(0, surely=True)
+        found = self.read(int(sure[0]), 4) if len(sure) else bytes(4)
+        return struct.unpack(f"{self.order}I", found)[0]
+
+    def judge(self, seconds, fractions, kept, lengths) -> tuple:
+        """(sane, credible): headers that may be those of records; those in time as well."""
+        import numpy as np
+
+        sane = (kept <= LONGEST_PACKET) & (fractions * self.fraction < 1_000_000_000) & (lengths > 0)
+        credible = sane & (kept <= lengths)
+        if self.second > TEN_YEARS:
+            credible &= np.abs(seconds - self.second) < TEN_YEARS
+        return sane, credible
+
+    def headers(self, data) -> tuple:
+        """(positions, captured bytes, credible) of the sane headers at any byte of `data`."""
+        import numpy as np
+
+        count = len(data) - RECORD_HEADER_BYTES + 1
+        if count <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        words = np.empty(len(data) - 3, dtype=f"{self.order}u4")
+        for k in range(4):
+            words[k::4] = np.frombuffer(data, words.dtype, (len(data) - k) // 4, k)
+        at = np.flatnonzero(words[8 : 8 + count] <= LONGEST_PACKET)
+        seconds, fractions, kept, lengths = (words[at + k].astype(np.int64) for k in (0, 4, 8, 12))
+        sane, credible = self.judge(seconds, fractions, kept, lengths)
+        return at[sane], kept[sane], credible[sane]
+
+    def record_after(self, position: int) -> int:
+        """The first position from `position` on where a record is taken to start.
+
+        Without one, the end of the file. Windows of a file are looked at once each while
+        the questions move forward.
+        """
+        import numpy as np
+
+        number = position // WINDOW
+        while number * WINDOW < self.size:
+            if self._window[0] != number:
+                self._window = number, self._records_in(number * WINDOW)
+            found = self._window[1]
+            i = int(np.searchsorted(found, position))
+            if i < len(found):
+                return int(found[i])
+            number += 1
+        return self.size
+
+    def _records_in(self, begin: int, surely: bool = False):
+        """Positions in a window where records are taken to start.
+
+        Such a header is credible, and what it announces has the shape of an IP packet or
+        ends with the file, or a chain of `CHAIN` headers starts there. Of a record that the
+        end of the file cuts off too early to tell, the header counts if no other one starts
+        within it.
+        """
+        import numpy as np
+
+        data = np.frombuffer(
+            self.read(begin, WINDOW + CHAIN * (LONGEST_PACKET + RECORD_HEADER_BYTES)), np.uint8
+        )
+        at, kept, credible = self.headers(data)
+        at, kept = at[credible & (kept > 0)], kept[credible & (kept > 0)]
+        following = at + RECORD_HEADER_BYTES + kept
+        i = np.minimum(np.searchsorted(at, following), max(len(at) - 1, 0))
+        linked = at[i] == following
+        reach = np.ones(len(at), dtype=np.int64)
+        for _ in range(CHAIN - 1):
+            reach = 1 + np.where(linked, reach[i], 0)
+        chained = (reach >= CHAIN) | (begin + following == self.size)
+        cut = begin + following > self.size
+        there = np.minimum(kept, len(data) - at - RECORD_HEADER_BYTES)
+        tried = np.flatnonzero((cut | (following <= len(data))) & (at < WINDOW))
+        shape = decode_records(data, at[tried] + RECORD_HEADER_BYTES, there[tried], self.link_type)
+        worth = chained.astype(np.int64)
+        worth[tried] += 2 * ~shape["bad"]
+        early = cut & (self.second > 0) & (there < TELLING) & (np.diff(at, append=self.size) >= RECORD_HEADER_BYTES)
+        taken = (worth > 0) | early
+        # Bytes just beside a header may look like one; the better one counts.
+        for k in range(1, min(RECORD_HEADER_BYTES, len(at))):
+            beside = at[k:] - at[:-k] < RECORD_HEADER_BYTES
+            if not beside.any():
+                break
+            taken[k:] &= ~(beside & (worth[:-k] > worth[k:]))
+            taken[:-k] &= ~(beside & (worth[k:] > worth[:-k]))
+        if surely:
+            taken = (worth == worth.max(initial=2)) & (at < WINDOW)
+        return begin + at[taken & (at < WINDOW)]
+
+
+def _walk(capture: _Capture, begin: int, stop: int, split: int | None = None) -> Iterator[tuple]:
+    """(bytes, their place, record positions in them, damaged records, position after them).
 
-def _walk(capture: _Capture, begin: int, stop: int) -> Iterator[tuple]:
-    """(bytes, record positions in them, damaged records, file position after them).
+    Starts at `begin` and ends at the first record at or after `stop`, or at the end of the
+    file. With `split`, the end lies no farther behind a multiple of it than one record
+    reaches, so that the task that reads from there on knows the place.
 
-    Starts at the record at `begin` and ends before the first one at or after `stop`. A
-    header with an impossible length is a damaged record; reading goes on at the next
-    chain of plausible headers. A record that the end of the file cuts off is damaged too.
-    Whatever the lengths say, no more than a piece and the longest packet is held.
+    A header that is not sane, or stands alone and has no packet behind it, is a damaged
+    record; reading goes on where the next record is taken to start. If a record
+    leads to such a header although another one starts within it, its length is wrong: it is
+    damaged, and reading goes on within it. A record that the end of the file cuts off is
+    damaged too. Whatever the lengths say, about a piece and a few packets are held.
     """
     import struct
 
+    import numpy as np
+
     captured_bytes = struct.Struct(f"{capture.order}I").unpack_from
-    stream = capture.stream
-    stream.seek(begin)
-    held, held_at = b"", begin
-    while held_at < stop:
-        read = stream.read(PIECE)
-        held = held + read if held else read
-        records, position, broken = [], 0, False
-        limit = min(len(held), stop - held_at + RECORD_HEADER_BYTES - 1)
-        while position + RECORD_HEADER_BYTES <= limit:
-            size = captured_bytes(held, position + 8)[0]
-            broken = size > LONGEST_PACKET
-            following = position + RECORD_HEADER_BYTES + size
-            if broken or following > len(held):
+    held, held_at, position, more = b"", begin, begin, True
+    piece = min(FIRST_PIECE, PIECE)
+
+    def far(place: int) -> bool:
+        return split is not None and place % split >= REACH
+
+    def first_not(flags) -> int:
+        return len(flags) if flags.all() else int(np.argmin(flags))
+
+    while position < capture.size:
+        if position >= stop and far(position):
+            stop = (position // split + 1) * split
+        if more or position >= held_at + len(held):
+            held, held_at = held[position - held_at :], position
+            held += capture.read(held_at + len(held), piece)
+            piece = min(2 * piece, PIECE)
+        more, ended = False, held_at + len(held) >= capture.size
+        at, place, past = [], position - held_at, 0
+        while place + RECORD_HEADER_BYTES <= len(held) and past <= CHAIN:
+            at.append(place)
+            past += held_at + place >= stop
+            size = captured_bytes(held, place + 8)[0]
+            if size > LONGEST_PACKET or place + RECORD_HEADER_BYTES + size > len(held):
                 break
-            records.append(position)
-            position = following
-        if records:
-            yield held, records, 0, held_at + position
-        held, held_at = held[position:], held_at + position
-        if broken:
-            found = _next_record(capture, held_at + 1, stop)
-            yield b"", [], 1, found
-            held, held_at = b"", found
-            stream.seek(found)
-        elif not read:
-            if held and held_at < stop:
-                yield b"", [], 1, held_at + len(held)
+            place += RECORD_HEADER_BYTES + size
+        # Where a record is not held in full, or there is no room for one more header.
+        cut = bool(at) and at[-1] == place
+        complete = not cut and held_at + place == capture.size
+        at = np.array(at, dtype=np.int64)
+        header = np.frombuffer(held, np.uint8)[at[:, None] + np.arange(RECORD_HEADER_BYTES)]
+        sane, credible = capture.judge(*header.view(f"{capture.order}u4").astype(np.int64).T)
+
+        # Followed by nothing sane, a header in time counts if a packet is behind it.
+        shaped = np.zeros(len(at), dtype=bool)
+        alone = np.flatnonzero(credible[:-1] & ~sane[1:])
+        if len(alone):
+            _, _, kept, _ = header[alone].view(f"{capture.order}u4").astype(np.int64).T
+            packets = decode_records(
+                np.frombuffer(held, np.uint8), at[alone] + RECORD_HEADER_BYTES, kept, capture.link_type
+            )
+            shaped[alone] = ~packets["bad"]
+
+        def counted(tail: bool):
+            """Headers of records, if `tail` says whether a sane one is behind the last."""
+            one, two = np.append(sane[1:], tail), np.append(credible[1:], tail)
+            return shaped | (sane & one & (credible | two | np.append(one[1:], tail)))
+
+        bad = first_not(counted(complete if ended else True))
+        unsure = first_not(counted(complete if ended else False))
+        goal = int(np.searchsorted(at, stop - held_at))
+        if goal < min(bad, unsure):
+            position = held_at + int(at[goal])
+            yield held, held_at, at[:goal], 0, position
+            if far(position):
+                continue
             return
-
-
-def _next_record(capture: _Capture, begin: int, stop: int) -> int:
-    """Where records seem to go on at or after `begin`; `stop` if nowhere before it."""
-    while begin < stop:
-        found = _guess_record(capture, begin)
-        if found is not None:
-            return found
-        begin += LONGEST_PACKET
-    return stop
+        if not ended and (unsure < bad or bad == len(at)):
+            # More bytes are needed. The last record is told again, as it is not known yet
+            # what follows it.
+            more = True
+            known = min(unsure, len(at) - cut)
+            if known > 1:
+                position = held_at + int(at[known - 1])
+                yield held, held_at, at[: known - 1], 0, position
+            continue
+        if bad == len(at) and complete:
+            yield held, held_at, at, 0, capture.size
+            return
+        if bad == len(at) and cut:
+            position = capture.record_after(held_at + place + 1)
+            yield held, held_at, at[:-1], 1, position
+            continue
+        broken = held_at + (int(at[bad]) if bad < len(at) else place)
+        at = at[:bad]
+        if len(at):
+            found = capture.record_after(held_at + int(at[-1]) + 1)
+            if found < broken:
+                yield held, held_at, at[:-1], 1, found
+                position = found
+                continue
+        position = capture.record_after(broken + 1)
+        yield held, held_at, at, 1, position
 
 
 def _file_system(path: str):
@@ -212,70 +386,115 @@ def _file_system(path: str):
     return fs.FileSystem.from_uri(f"{scheme.replace('s3a', 's3')}:{quote(rest)}")
 
 
-def _guess_record(capture: _Capture, begin: int) -> int | None:
-    """Where the first record at or after `begin` seems to start, if anywhere near.
+def _links(capture: _Capture, first: int, last: int, split: int) -> dict[int, list[int]]:
+    """Starts of records near `first` by where a walk from them through `last` ends.
 
-    A position is taken when a chain of plausible headers runs from it to the end of
-    what is looked at. Guesses are verified before they are used.
+    Every position counts at which a walk from before may end, so the true one is among
+    them. Walks that meet go on as one.
     """
     import numpy as np
 
-    stream, order, fraction = capture.stream, capture.order, capture.fraction
-    longest = LONGEST_PACKET
-    stream.seek(FILE_HEADER_BYTES)
-    first_second = np.frombuffer(stream.read(4), dtype=f"{order}u4")[0].astype(np.int64)
-    stream.seek(begin)
-    data = np.frombuffer(stream.read(4 * (longest + RECORD_HEADER_BYTES)), dtype=np.uint8)
-    count = len(data) - RECORD_HEADER_BYTES + 1
-    if count <= 0:
+    if not first:
+        *_, end = [FILE_HEADER_BYTES, *(x[-1] for x in _walk(capture, FILE_HEADER_BYTES, last, split))]
+        return {end: [FILE_HEADER_BYTES]}
+    near = min(last, first + REACH)
+    data = np.frombuffer(
+        capture.read(first, near - first + 2 * REACH + RECORD_HEADER_BYTES), np.uint8
+    )
+    at, kept, credible = capture.headers(data)
+    following = at + RECORD_HEADER_BYTES + kept
+    # A walk ends only at headers that count, see `_walk`.
+    i = np.minimum(np.searchsorted(at, following), max(len(at) - 1, 0))
+    ends_file = first + following >= capture.size
+    linked = (at[i] == following) | ends_file
+    counts = linked & (credible | credible[i] | linked[i] | ends_file)
+    alone = np.flatnonzero(credible & ~linked & (following <= len(data)))
+    packets = decode_records(data, at[alone] + RECORD_HEADER_BYTES, kept[alone], capture.link_type)
+    counts[alone] = ~packets["bad"]
+    counts &= at < near - first
+    at, kept, credible = at[counts], kept[counts], credible[counts]
+    walked: list[tuple] = []  # (positions of a walk, where it ends)
+
+    def known(positions):
+        """Where an earlier walk that holds one of the positions ends."""
+        for places, end in walked:
+            i = np.minimum(np.searchsorted(places, positions), len(places) - 1)
+            if (places[i] == positions).any():
+                return end
         return None
 
-    def word(offset: int):
-        steps = range(4) if order == "<" else range(3, -1, -1)
-        parts = [data[offset + k : offset + k + count].astype(np.int64) << 8 * s
-                 for k, s in enumerate(steps)]
-        return parts[0] | parts[1] | parts[2] | parts[3]
-
-    seconds, fractions, kept, lengths = (word(offset) for offset in (0, 4, 8, 12))
-    plausible = (
-        (np.abs(seconds - first_second) < TEN_YEARS)
-        & (fractions * fraction < 1_000_000_000)
-        & (kept > 0)
-        & (kept <= longest)
-        & (kept <= lengths)
-    )
-    for candidate in np.flatnonzero(plausible[: longest + RECORD_HEADER_BYTES]):
-        position = int(candidate)
-        while position < count and plausible[position]:
-            position += RECORD_HEADER_BYTES + int(kept[position])
-        if position >= count:
-            return begin + int(candidate)
-    return None
+    # From the last one on; a record in time that is followed by such a one leads along.
+    ends: dict[int, int] = {}
+    trusted: dict[int, int] = {}
+    for start, size, good in zip(
+        (first + at)[::-1].tolist(), kept[::-1].tolist(), credible[::-1].tolist(), strict=True
+    ):
+        end = trusted.get(start + RECORD_HEADER_BYTES + size) if good else None
+        if end is None:
+            end = known(np.array([start]))
+        if end is None:
+            passed, met, end = [np.array([start])], None, start
+            for _, held_at, records, _, end in _walk(capture, start, last, split):
+                if len(records):
+                    passed.append(held_at + records)
+                    met = known(passed[-1])
+                    if met is not None:
+                        break
+            if met is None:
+                walked.append((np.unique(np.concatenate(passed)), end))
+            else:
+                end = met
+        ends[start] = end
+        if good:
+            trusted[start] = end
+    out: dict[int, list[int]] = {}
+    for start, end in ends.items():
+        out.setdefault(end, []).append(start)
+    return out
 
 
 def _locate(batches: Iterator) -> Iterator:
-    """Guess where the records of a byte range start, and walk to where they end."""
+    """Where the records near the start of a byte range lead to, a row per end."""
     import pyarrow as pa
 
     for batch in batches:
-        starts, ends = [], []
-        for path, first, last in zip(*(batch.column(n).to_pylist() for n in ("path", "first", "last"))):
+        rows = []
+        columns = (batch.column(n).to_pylist() for n in ("path", "first", "last", "split"))
+        for path, first, last, split in zip(*columns, strict=True):
             with _Capture(path) as capture:
-                start = first or FILE_HEADER_BYTES
-                end = last
                 if capture.readable:
-                    if first:
-                        start = _guess_record(capture, first)
-                    end = start
-                    if start is not None:
-                        for *_, end in _walk(capture, start, last):
-                            pass
-            starts.append(start)
-            ends.append(end)
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(starts, pa.int64()), pa.array(ends, pa.int64())],
-            names=[*batch.schema.names, "start", "stop"],
-        )
+                    found = _links(capture, first, last, split)
+                else:
+                    found = {} if first else {capture.size: [FILE_HEADER_BYTES]}
+                rows += [(path, first, stop, starts) for stop, starts in found.items()]
+        if rows:
+            types = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
+                names=["path", "first", "stop", "starts"],
+            )
+
+
+def _follow(batches: Iterator) -> Iterator:
+    """The links that the first record of each file leads along, as record ranges."""
+    import pyarrow as pa
+
+    now, wanted, begin = None, None, None
+    for batch in batches:
+        rows = []
+        columns = (batch.column(n).to_pylist() for n in ("path", "first", "stop", "next_first", "next_stop"))
+        for path, first, stop, next_first, next_stop in zip(*columns, strict=True):
+            if path != now:
+                now, wanted, begin = path, (0, stop), FILE_HEADER_BYTES
+            if (first, stop) == wanted:
+                rows.append((path, begin, stop))
+                wanted, begin = (next_first, next_stop), stop
+        if rows:
+            types = (pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
+                names=["path", "start", "stop"],
+            )
 
 
 def _decode(batches: Iterator) -> Iterator:
@@ -292,12 +511,12 @@ def _decode(batches: Iterator) -> Iterator:
                     if start == FILE_HEADER_BYTES:
                         yield _damaged(path, 1)
                     continue
-                for held, records, damaged, _ in _walk(capture, start, stop):
+                for held, _, at, damaged, _ in _walk(capture, start, stop):
                     if damaged:
                         yield _damaged(path, damaged)
+                    if not len(at):
                         continue
                     data = np.frombuffer(held, dtype=np.uint8)
-                    at = np.array(records, dtype=np.int64)
                     header = data[at[:, None] + np.arange(RECORD_HEADER_BYTES)]
                     header = header.view(f"{capture.order}u4").astype(np.int64)
                     seconds, fractions, kept, lengths = header.T
@@ -346,11 +565,12 @@ def _listing(spark: SparkSession, folder: str) -> DataFrame:
 def capture_ranges(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """(path, start, stop): record ranges that together cover every file once.
 
-    A file of up to `split_bytes` is one range. In a larger file, each split guesses
-    where its first record starts and walks from there to the next split. The guesses
-    hold if every walk ends where the next split starts: the first split starts at
-    the known first record, so by induction all do. From the first split that does not
-    match, the rest of its file is one range, walked from where the last one ended.
+    A file of up to `split_bytes` is one range. In a larger file no split knows where its
+    first record starts, so it walks from every place near its start that may be one, to
+    where the walks end; walks that meet count as one. The ends are joined with the starts
+    of the splits that they lie in, and the links that the known first record leads along
+    are the ranges, about one per split, whatever is damaged. One task per file follows
+    them; it sees a few numbers per split.
     """
     files = _listing(spark, folder)
     whole = files.where(F.col("length") <= split_bytes).select(
@@ -363,26 +583,38 @@ def capture_ranges(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BY
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(split_bytes))).alias(
             "first"
         ),
-    ).withColumn("last", F.least(F.col("first") + split_bytes, "length"))
-    located = splits.repartition(parallelism(spark), "path", "first").mapInArrow(
-        _locate,
-        "path string, length bigint, first bigint, last bigint, start bigint, stop bigint",
+    ).select(
+        "path",
+        "first",
+        F.least(F.col("first") + split_bytes, "length").alias("last"),
+        F.lit(split_bytes).cast("bigint").alias("split"),
     )
-    along = W.partitionBy("path").orderBy("first")
-    linked = located.withColumn(
-        "reached", F.lag("stop", 1, FILE_HEADER_BYTES).over(along)
-    ).withColumn("broken", ~F.col("start").eqNullSafe(F.col("reached")))
-    first_broken = F.min(F.when(F.col("broken"), F.col("first"))).over(W.partitionBy("path"))
-    verified = linked.withColumn("first_broken", first_broken).where(
-        F.col("first_broken").isNull() | (F.col("first") <= F.col("first_broken"))
+    located = splits.repartition(_tasks(files, split_bytes), "path", "first").mapInArrow(
+        _locate, "path string, first bigint, stop bigint, starts array<bigint>"
     )
-    return whole.unionByName(
-        verified.select(
-            "path",
-            F.when(F.col("broken"), F.col("reached")).otherwise(F.col("start")).alias("start"),
-            F.when(F.col("broken"), F.col("length")).otherwise(F.col("stop")).alias("stop"),
-        )
+    # The walks are long, their table is small, and it is read twice.
+    table = shared_dir(spark, "capture-links")
+    located.write.parquet(table)
+    located = spark.read.parquet(table)
+    ahead = located.select(
+        "path",
+        F.explode("starts").alias("stop"),
+        F.col("first").alias("next_first"),
+        F.col("stop").alias("next_stop"),
+    )
+    linked = (
+        located.join(ahead, ["path", "stop"], "left")
+        .repartition("path")
+        .sortWithinPartitions("path", "first", "stop")
+        .select("path", "first", "stop", "next_first", "next_stop")
     )
+    return whole.unionByName(linked.mapInArrow(_follow, "path string, start bigint, stop bigint"))
+
+
+def _tasks(files: DataFrame, split_bytes: int) -> int:
+    """About one task per range: one number from the file listing."""
+    count = files.agg(F.sum(F.ceil(F.col("length") / split_bytes))).first()[0]
+    return min(max(int(count or 0), 1), MOST_TASKS)
 
 
 def _address_text(side: str):
@@ -397,9 +629,7 @@ def capture_records(
     spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES
 ) -> DataFrame:
     """Every record of the capture files, with `bad` for what is not an IP packet."""
-    # One number from the file listing: about one task per range.
-    count = _listing(spark, folder).agg(F.sum(F.ceil(F.col("length") / split_bytes))).first()[0]
-    tasks = min(max(int(count or 0), 1), MOST_TASKS)
+    tasks = _tasks(_listing(spark, folder), split_bytes)
     ranges = capture_ranges(spark, folder, split_bytes).repartition(tasks)
     records = ranges.mapInArrow(_decode, RECORD_SCHEMA)
     micros = F.call_function("div", F.col("ts_nanos"), F.lit(1000))
