@@ -15,17 +15,21 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm.texts import arrow_schema, strings
-from flowloom.session import parallelism
 
 SAMPLES = 128
 SEED = 20_240_131
 # Weighted terms in each of the two tables of a task, and terms compared at a time.
 REMEMBERED = 100_000
 TERMS = 4096
+FRESH = 64
+# Documents of a run, as long as no more runs than the second number are needed.
+RUN = 4096
+MOST_RUNS = 100_000
 # Code points of a text that are split into words at a time.
 PIECE = 1 << 20
 
@@ -71,6 +75,18 @@ class WeightedSampler:
         shape = (self.size if size is None else size, self.samples)
         return {}, np.empty(shape, dtype=np.float32), np.empty(shape, dtype=np.uint16)
 
+    @classmethod
+    def _mix(cls, x, shifted, other) -> None:
+        """`_scramble` of an array in place; `shifted` is room of its shape."""
+        import numpy as np
+
+        x ^= np.right_shift(x, np.uint32(16), out=shifted)
+        x *= np.uint32(0x85EBCA6B)
+        x ^= other
+        x ^= np.right_shift(x, np.uint32(13), out=shifted)
+        x *= np.uint32(0xC2B2AE35)
+        x ^= np.right_shift(x, np.uint32(16), out=shifted)
+
     @staticmethod
     def _scramble(x, other):
         """Mixes two 32-bit integers (the finaliser of MurmurHash3, with one more input)."""
@@ -92,33 +108,52 @@ class WeightedSampler:
         low = hashed.astype(np.uint32)[:, None]
         high = (hashed >> np.uint64(32)).astype(np.uint32)[:, None]
 
-        def uniform(i: int):
-            bits = self._scramble(low ^ self.offsets[i], high) >> np.uint32(8)
-            return (bits.astype(np.float32) + np.float32(0.5)) * np.float32(2**-24)
-
+        # Five uniform numbers a sample, worked on in place.
+        bits = low ^ self.offsets
+        shifted = np.empty_like(bits)
+        self._mix(bits, shifted, high)
+        bits >>= np.uint32(8)
+        uniform = bits.astype(np.float32)
+        uniform += np.float32(0.5)
+        uniform *= np.float32(2**-24)
         # A Gamma(2, 1) variate is the sum of two exponential ones.
-        r = -np.log(uniform(0) * uniform(1))
-        c = -np.log(uniform(2) * uniform(3))
-        b = uniform(4)
-        t = np.floor(np.log(weights)[:, None] / r + b)
-        values = np.log(c) - r * (t - b + 1)
+        r, c, b = uniform[0], uniform[2], uniform[4]
+        r *= uniform[1]
+        c *= uniform[3]
+        np.log(r, out=r)
+        np.negative(r, out=r)
+        np.log(c, out=c)
+        np.negative(c, out=c)
+        t = np.log(weights)[:, None] / r
+        t += b
+        np.floor(t, out=t)
+        values = t - b
+        values += np.float32(1)
+        values *= r
+        np.subtract(np.log(c, out=c), values, out=values)
         # t may be as large as the logarithm of a weight over a very small r.
-        steps = np.clip(t, -(2.0**31), 2.0**31 - 256).astype(np.int32).view(np.uint32)
-        draws = (self._scramble(low ^ (steps * np.uint32(0x9E3779B1)), high) >> np.uint32(16)).astype(
-            np.uint16
-        )
+        steps = np.clip(t, -(2.0**31), 2.0**31 - 256, out=t).astype(np.int32).view(np.uint32)
+        steps *= np.uint32(0x9E3779B1)
+        steps ^= low
+        self._mix(steps, shifted[0], high)
+        steps >>= np.uint32(16)
+        draws = steps.astype(np.uint16)
         # 0 is the draw of a text without terms.
-        return values, np.where(draws == 0, np.uint16(1), draws)
+        draws[draws == 0] = 1
+        return values, draws
 
     def _row_numbers(self, terms: list[Term]) -> list[int]:
         """Rows of the newer table that hold the terms, at most as many as it has rows."""
         if len(self.new[0]) + len(terms) > self.size:
-            self.old, self.new = self.new, self._table()
+            # The arrays of the older table are used again.
+            spare = self.old[1:] if len(self.old[1]) else self._table()[1:]
+            self.old, self.new = self.new, ({}, *spare)
         (rows, values, draws), (old_rows, old_values, old_draws) = self.new, self.old
         found = list(map(rows.get, terms))
         if None not in found:
             return found
-        unknown = [term for term, at in zip(terms, found, strict=True) if at is None]
+        missing = [i for i, at in enumerate(found) if at is None]
+        unknown = [terms[i] for i in missing]
         again = [term for term in unknown if term in old_rows]
         fresh = [term for term in unknown if term not in old_rows] if again else unknown
         if again:
@@ -127,12 +162,14 @@ class WeightedSampler:
             values[place], draws[place] = old_values[at], old_draws[at]
             rows.update(zip(again, range(place.start, place.stop), strict=True))
         # Small blocks, whose arrays stay in the processor's cache.
-        for at in range(0, len(fresh), 64):
-            block = fresh[at : at + 64]
+        for at in range(0, len(fresh), FRESH):
+            block = fresh[at : at + FRESH]
             place = slice(len(rows), len(rows) + len(block))
             values[place], draws[place] = self.sample(block)
             rows.update(zip(block, range(place.start, place.stop), strict=True))
-        return [rows[term] for term in terms]
+        for i in missing:
+            found[i] = rows[terms[i]]
+        return found
 
     def signature(self, terms: list[Term]):
         """The draws of distinct terms; all 0 without terms."""
@@ -189,41 +226,52 @@ def fingerprints(docs: DataFrame, *, text: str = "text", into: str = "fingerprin
     return rows.mapInArrow(add, f"{types}, `{into}` string")
 
 
-def in_descending_order(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, int]:
+def in_descending_order(docs: DataFrame) -> tuple[DataFrame, int]:
     """Documents dealt into runs of descending `doc_id`, each run closed by a guest.
 
     Returns rows (run, guest, doc_id, text), each run together and in order, and the
     number of runs. The guest of a run is the first document of the run that follows, so
     that every document meets its successor; after the last run, it is the first document
-    of all. Quantiles of the ids bound the runs; they and one id per run are all that the
-    driver sees. Null ids come last; documents of one id follow each other by their text.
+    of all. Quantiles of the ids bound the runs, whose number follows from that of the
+    rows; two numbers per run are all that the driver sees, and none of them is in the plan.
+    Null ids come last; documents of one id follow each other by their text.
     """
+    import numpy as np
+
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("key"),
     )
-    wanted = parallelism(spark)
-    shares = [i / wanted for i in range(1, wanted)] or [0.5]
-    cuts = rows.select(F.percentile_approx("key", shares, 100 * wanted)).first()[0] or []
-    cuts = sorted(set(cuts))
-    runs = len(cuts) + 1
-    run = F.lit(0)
-    if cuts:
-        bounds = F.array(*(F.lit(c) for c in cuts))
-        run = F.size(F.filter(bounds, lambda bound: bound <= F.col("key")))
-    rows = rows.withColumn("run", run)
-    firsts = dict(rows.groupBy("run").agg(F.max("key").alias("first")).collect())
+    wanted = min(max(2, -(-rows.count() // RUN)), MOST_RUNS)
+    shares = [i / wanted for i in range(1, wanted)]
+    accuracy = max(10_000, 10 * wanted)
+    cuts = rows.select(F.percentile_approx("key", shares, accuracy)).first()[0] or []
+    cuts = np.unique(np.array(cuts, dtype=np.int64))
+
+    @F.pandas_udf("int")
+    def run_of(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, key.to_numpy(), "right").astype(np.int32))
+
+    found = rows.select("key").groupBy(run_of("key").alias("run")).agg(F.max("key").alias("first"))
+    firsts = dict(found.collect())
     used = sorted(firsts)
+    keys = np.array([firsts[run] for run in used], dtype=np.int64)
     # The first document of a run closes the run above it, that of the highest the lowest.
-    above = dict(zip(used, used[1:] + used[:1], strict=True))
-    first = F.array(*(F.lit(firsts.get(i)).cast("bigint") for i in range(runs)))
-    closes = F.array(*(F.lit(above.get(i)).cast("int") for i in range(runs)))
-    own = F.struct(F.col("run"), F.lit(False).alias("guest"))
-    guest = F.struct(closes[F.col("run")].alias("run"), F.lit(True).alias("guest"))
-    at = F.when(F.col("key") == first[F.col("run")], F.array(own, guest)).otherwise(F.array(own))
+    closes = np.array(used[1:] + used[:1], dtype=np.int32)
+
+    @F.pandas_udf("int")
+    def closed_by(key: pd.Series) -> pd.Series:
+        at = np.minimum(np.searchsorted(keys, key.to_numpy()), len(keys) - 1)
+        return pd.Series(np.where(keys[at] == key.to_numpy(), closes[at], -1).astype(np.int32))
+
+    own = F.struct(F.col("own").alias("run"), F.lit(False).alias("guest"))
+    guest = F.struct(F.col("closes").alias("run"), F.lit(True).alias("guest"))
+    at = F.when(F.col("closes") >= 0, F.array(own, guest)).otherwise(F.array(own))
+    runs = len(cuts) + 1
     dealt = (
-        rows.select("doc_id", "text", "key", F.explode(at).alias("at"))
+        rows.withColumns({"own": run_of("key"), "closes": closed_by("key")})
+        .select("doc_id", "text", "key", F.explode(at).alias("at"))
         .select("at.run", "at.guest", "doc_id", "text", "key")
         .repartition(runs, "run")
         .sortWithinPartitions("run", "guest", F.desc("key"), "text")
@@ -248,7 +296,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         "edited_fingerprint string, near_edited double, near_next double"
     )
     schema = arrow_schema(schema_ddl)
-    dealt, _ = in_descending_order(docs.sparkSession, docs)
+    dealt, _ = in_descending_order(docs)
 
     def compare(batches: Iterator) -> Iterator:
         import hashlib
