@@ -70,11 +70,24 @@ def mean_flow_error(report: DataFrame) -> DataFrame:
 
 
 def bucket_skew(rows: DataFrame, key: str, buckets: int, method: str = "xxhash64") -> DataFrame:
-    """Load of hash buckets under a key column: mean, variance and variance / mean."""
+    """Load of hash buckets under a key column: mean, variance and variance / mean.
+
+    Sums of loads and of their squares are integers, so the order of rows changes no digit.
+    """
     bucket = seeded_bucket(F.lit(0), F.col(key).cast("string"), buckets, method)
     loads = rows.groupBy(bucket.cast("bigint").alias("id")).agg(F.count(F.lit(1)).alias("load"))
     every = rows.sparkSession.range(buckets).join(loads, "id", "left")
     load = F.coalesce("load", F.lit(0))
-    return every.agg(
-        F.avg(load).alias("mean_load"), F.var_pop(load).alias("variance")
-    ).withColumn("variance_to_mean", F.try_divide("variance", "mean_load"))
+    sums = every.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(load).alias("total"),
+        F.sum((load * load).cast("decimal(38,0)")).alias("squares"),
+    )
+    # n * sum(x^2) - sum(x)^2, exact: n^2 times the variance.
+    total = F.col("total").cast("decimal(19,0)")
+    scatter = (F.col("n") * F.col("squares") - total * total).cast("double")
+    return sums.select(
+        F.try_divide("total", "n").alias("mean_load"),
+        F.try_divide(scatter, F.col("n") * F.col("n")).alias("variance"),
+        F.try_divide(scatter, (F.col("n") * F.col("total"))).alias("variance_to_mean"),
+    )

@@ -246,15 +246,15 @@ def _(spark, sf_dir):
     "bucket_skew",
     f"""{L}, c AS (SELECT {bucket_sql('0', 'dst_ip', 1024)} AS bucket, count(*) AS n FROM p GROUP BY 1),
  every AS (SELECT coalesce(c.n, 0) AS n FROM range(1024) r(i) LEFT JOIN c ON c.bucket = r.i)
- SELECT round(avg(n), 6) AS mean_load, round(var_pop(n), 4) AS variance,
- round(var_pop(n) / avg(n), 4) AS variance_to_mean FROM every""",
+ SELECT round(avg(n), 6) AS mean_load, round(var_pop(n), 3) AS variance,
+ round(var_pop(n) / avg(n), 3) AS variance_to_mean FROM every""",
 )
 def _(spark, sf_dir):
     skew = bucket_skew(lineitem_packets(spark, sf_dir), "dst_ip", 1024, "md5")
     return skew.select(
         F.round("mean_load", 6).alias("mean_load"),
-        F.round("variance", 4).alias("variance"),
-        F.round("variance_to_mean", 4).alias("variance_to_mean"),
+        F.round("variance", 3).alias("variance"),
+        F.round("variance_to_mean", 3).alias("variance_to_mean"),
     )
 
 
