@@ -3,7 +3,8 @@
 Words are runs of other bytes than ASCII white space, with the letters A-Z in lower case.
 A text of fewer words than a shingle has its whole sequence as one shingle; a text without
 words has none. Hashes stand for shingles: two different ones of the same texts agree with
-a probability of 2**-64.
+a probability of about 2**-64. The hash of a word mixes two sums over its letters, one
+modulo 2**64 and one modulo a prime, as some long words cancel in the first whatever its base.
 """
 
 from __future__ import annotations
@@ -14,6 +15,20 @@ WORDS = 5
 # Bytes of texts that are hashed at a time.
 BLOCK = 2 << 20
 BASE = 0x9E3779B97F4A7C15
+PRIME, PRIME_BASE = 2**31 - 1, 1_103_515_245
+
+
+def prime_powers(base: int, n: int):
+    """base**i modulo PRIME for i below n."""
+    import numpy as np
+
+    out = np.ones(n, dtype=np.uint64)
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = out[:more] * np.uint64(pow(base, done, PRIME)) % np.uint64(PRIME)
+        done += more
+    return out
 
 
 def scramble(x):
@@ -33,6 +48,7 @@ class Shingler:
 
         self.words = words
         self.power = self.inverse = np.ones(1, dtype=np.uint64)
+        self.prime_power = self.prime_inverse = np.ones(1, dtype=np.uint64)
         steps = scramble(np.arange(1, 2 * words + 2, dtype=np.uint64) * np.uint64(BASE))
         self.factors = steps | np.uint64(1)
 
@@ -45,6 +61,8 @@ class Shingler:
             down = np.full(n, pow(BASE, -1, 1 << 64), dtype=np.uint64)
             up[0] = down[0] = 1
             self.power, self.inverse = np.cumprod(up), np.cumprod(down)
+            self.prime_power = prime_powers(PRIME_BASE, n)
+            self.prime_inverse = prime_powers(pow(PRIME_BASE, -1, PRIME), n)
 
     def word_hashes(self, data, cuts) -> tuple:
         """Hashes of the words of joined texts that end at `cuts`, and words per text."""
@@ -69,7 +87,15 @@ class Shingler:
             [np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * self.power[:n])]
         )
         own = (total[ends] - total[starts]) * self.inverse[starts]
+        # Products stay below 2**39, and their sums below 2**64.
+        products = (data + np.uint64(1)) * self.prime_power[:n]
+        if n > 1 << 24:
+            products %= np.uint64(PRIME)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(products)])
+        prime = (total[ends] - total[starts]) % np.uint64(PRIME)
+        prime = prime * self.prime_inverse[starts] % np.uint64(PRIME)
         hashes = scramble(own ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+        hashes = scramble(hashes + prime * np.uint64(BASE))
         return hashes, np.diff(np.searchsorted(starts, cuts), prepend=0)
 
     def combine(self, hashes):

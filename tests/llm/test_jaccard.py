@@ -110,6 +110,18 @@ def test_shingles_equal_brute_force(monkeypatch):
     assert len(set(sets.values())) == len(sets)
 
 
+def test_words_whose_letters_cancel_are_unlike(texts_of):
+    """Thue-Morse words: equal under every polynomial hash modulo 2**64."""
+    one = "a"
+    for _ in range(12):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    mine, its, again = Shingler().sets([one.encode(), other.encode(), b"x y " + one.encode()])
+    assert mine.tolist() != its.tolist()
+    found = similarity_components(texts_of([one, other, one])).select("doc_id", "component_id")
+    assert {tuple(r) for r in found.collect()} == {(0, 0), (1, 1), (2, 0)}
+
+
 def test_the_tree_leaves_out_no_similar_set():
     chosen = np.random.default_rng(6)
     base = [chosen.choice(4000, size=n, replace=False).astype(np.uint64) << np.uint64(9)
