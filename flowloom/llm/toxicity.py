@@ -153,8 +153,13 @@ class Scorer:
                     spared.append((start, end))
                 else:
                     best[start] = max(value, best.get(start, 0.0))
-            for start, value in best.items():
-                if not any(first <= start < last for first, last in spared):
+            # Both lists by position, so that each is passed once.
+            spared.sort()
+            at, reach = 0, 0
+            for start, value in sorted(best.items()):
+                while at < len(spared) and spared[at][0] <= start:
+                    reach, at = max(reach, spared[at][1]), at + 1
+                if reach <= start:
                     weight += value
         return math.log1p(weight), math.log1p(1000 * weight / (words + FLOOR))
 

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import math
 import random
+import re
+import time
 
 from flowloom.llm.toxicity import (
     Fold,
@@ -31,6 +34,44 @@ def test_matches_begin_words_and_exceptions_are_spared():
     assert scorer.score("idiot " * 3) > 0.5 > scorer.score("fine words")
 
 
+def brute_weight(text: str) -> float:
+    """Weights of the words that an entry begins, outside of exception phrases."""
+    words = folded_words(text, Fold())
+    spared = [
+        (m.start(), m.start() + len(phrase) - 1)
+        for phrase in (folded_words(x, Fold()) for x in MODEL.exceptions)
+        for m in re.finditer(f"(?={re.escape(phrase)})", words)
+    ]
+    weight = 0.0
+    for m in re.finditer("(?= )", words):
+        at = m.start()
+        found = [w for entry, w in MODEL.weights.items() if words.startswith(f" {entry}", at)]
+        if found and not any(a <= at < b for a, b in spared):
+            weight += max(found)
+    return weight
+
+
+def test_weights_equal_brute_force():
+    random.seed(21)
+    parts = ["idiot", "1D10T", "stupid", "trash can", "trash", "put it in the trash can", "a", "the"]
+    parts += [*MODEL.exceptions, ".", "\n", "idiots"]
+    for _ in range(300):
+        text = " ".join(random.choices(parts, k=random.randint(0, 30)))
+        assert math.isclose(Scorer(MODEL).inputs(text)[0], math.log1p(brute_weight(text))), text
+
+
+def test_repeated_phrases_take_linear_time():
+    scorer = Scorer(MODEL)
+
+    def seconds(count: int) -> float:
+        started = time.perf_counter()
+        scorer.inputs("the trash can and idiot " * count)
+        return time.perf_counter() - started
+
+    seconds(100)
+    assert seconds(8000) < 8 * seconds(2000) + 0.1
+
+
 def test_length_lowers_the_score():
     scorer = Scorer(MODEL)
     assert scorer.score("idiot " + "word " * 2000) < scorer.score("idiot " + "word " * 10)
