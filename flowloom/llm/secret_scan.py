@@ -28,16 +28,19 @@ LEAST_ASSIGNED = 6
 
 WINDOW = 20
 # Bits per symbol from which a window of a class is suspicious. Twenty random symbols have
-# about 2.9 bits of decimal digits, 3.4 of hexadecimal ones and 4.1 of base64.
+# about 2.9 bits of decimal digits, 3.4 of hexadecimal ones and 4.1 of base64. Decimal digits
+# alone never are: they are numbers.
 THRESHOLDS = {"decimal": math.inf, "hex": 3.0, "base64": 3.8}
-# Harmless forms: identifiers, dates, numbers, paths and words.
+# A word in one case, or words that each begin with a capital; or a short number.
+WORD = r"(?:[a-z]{1,30}|[A-Z]{1,20}|(?:[A-Z]?[a-z]{2,})+|[0-9]{1,4})"
+# Harmless forms: numbers, identifiers, and words joined by signs, such as paths.
 ALLOWED = (
     r"[0-9]+",
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    r"[0-9]{4}-[0-9]{2}-[0-9]{2}[A-Za-z0-9_-]*",
-    r"[A-Z]?[a-z]+(?:[-_/+=]+[A-Z]?[a-z]+)*",
-    r"[A-Za-z]+",
+    rf"[-_/+=]*{WORD}(?:[-_/+=]+{WORD})*[-_/+=]*",
 )
+# Dates and times that a run starts with; what follows them is looked at by itself.
+DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:T[0-9]{2,6}(?:-[0-9]{2})*Z?)?(?:[_-]|$)"
 
 SPAN_TYPE = "array<struct<kind: string, start: bigint, end: bigint>>"
 
@@ -91,6 +94,7 @@ class SecretFinder:
         self.assign = re.compile(ASSIGN)
         self.access, self.hex = re.compile(ACCESS), re.compile(HEX)
         self.run = re.compile(rf"[A-Za-z0-9+/_=-]{{{window},}}")
+        self.date = re.compile(DATE)
         self.allowed = re.compile("|".join(f"(?:{x})" for x in allowed) or r"(?!)")
 
     def base(self, text: str) -> list[tuple[int, int, str]]:
@@ -107,12 +111,15 @@ class SecretFinder:
     def added(self, text: str) -> list[tuple[int, int, str]]:
         """Spans of high entropy that the allow-list does not take back."""
         found = []
-        for run in self.run.finditer(text):
-            if self.allowed.fullmatch(run.group()):
+        for match in self.run.finditer(text):
+            run, at = match.group(), match.start()
+            if date := self.date.match(run):
+                run, at = run[date.end() :], at + date.end()
+            if self.allowed.fullmatch(run):
                 continue
-            for start, end in entropy_windows(run.group(), self.window, self.thresholds):
-                if not self.allowed.fullmatch(run.group(), start, end):
-                    found.append((run.start() + start, run.start() + end, "entropy"))
+            for start, end in entropy_windows(run, self.window, self.thresholds):
+                if not self.allowed.fullmatch(run, start, end):
+                    found.append((at + start, at + end, "entropy"))
         return found
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
