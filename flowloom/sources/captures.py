@@ -1,4 +1,4 @@
-"""Capture files (pcap) read as packet tables.
+"""Capture files (pcap and pcapng) read as packet tables.
 
 Spark lists the folder and spreads byte ranges of the files over tasks. A task
 streams its ranges in fixed-size pieces and decodes each piece with array
@@ -13,10 +13,12 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowloom.functions.addresses import canonical_ip_sql
 from flowloom.model import TCP, UDP
 from flowloom.session import shared_dir
+from flowloom.sources import pcapng
 
 RECORD_SCHEMA = (
     "file string, ts_nanos bigint, ip_version int, src_v4 bigint, dst_v4 bigint, "
@@ -42,10 +44,23 @@ MAGICS = {
     b"\xa1\xb2\x3c\x4d": (">", 1),
 }
 ETHERNET, RAW_IP, LINUX_COOKED = 1, 101, 113
-ETHER_TYPE_AT = {ETHERNET: 12, LINUX_COOKED: 14, RAW_IP: None, 12: None, 228: None, 229: None}
-IPV4_TYPE, IPV6_TYPE = 0x0800, 0x86DD
+IPV4_TYPE, IPV6_TYPE, BRIDGED_TYPE, PPP_TYPE = 0x0800, 0x86DD, 0x6558, 0x880B
 VLAN_TYPES = (0x8100, 0x88A8)
+MPLS_TYPES = (0x8847, 0x8848)
+PPPOE_TYPE = 0x8864
+PPP_IPV4, PPP_IPV6, PPP_MPLS = 0x0021, 0x0057, 0x0281
 HOP_BY_HOP, ROUTING, DESTINATION = 0, 43, 60
+IPV4_WITHIN, IPV6_WITHIN, GRE_WITHIN = 4, 41, 47
+# Layers of a frame: an Ethernet header, the type of what follows, and what follows.
+FRAME, TYPE, LABELS, SESSION, PPP, GRE, ANY_IP, IP4, IP6 = range(1, 10)
+FIRST_LAYER = {
+    ETHERNET: (FRAME, 0),
+    LINUX_COOKED: (TYPE, 14),
+    276: (TYPE, 0),
+    9: (PPP, 0),
+    51: (SESSION, 0),
+    **dict.fromkeys((RAW_IP, 12, 228, 229), (ANY_IP, 0)),
+}
 FILE_HEADER_BYTES, RECORD_HEADER_BYTES = 24, 16
 LONGEST_PACKET = 262144
 
@@ -62,57 +77,135 @@ def decode_records(data, starts, kept, link_type: int) -> dict:
     """Packet fields of the records of one piece, as arrays.
 
     `data` is the piece as bytes, `starts` where each packet begins, `kept` how many
-    of its bytes were captured. Records that are not whole IP packets are bad.
+    of its bytes were captured. Records that hold no whole IP header are bad.
+
+    Layers are walked until nothing known follows, one step of all records at a time: VLAN
+    tags, MPLS labels, PPPoE and PPP, IP within IP, GRE. Addresses and protocol are those of
+    the outermost IPv4 header or, without any, of the outermost IPv6 header; ports are those
+    of the TCP or UDP header at the end.
     """
     import numpy as np
 
     n = len(starts)
     ends = starts + kept
-
-    def at(positions, offset: int, size: int, usable):
-        """Big-endian number of `size` bytes, 0 where not usable."""
-        value = np.zeros(n, dtype=np.int64)
-        places = positions[usable] + offset
+    first, skipped = FIRST_LAYER[link_type]
+    layer, place = np.full(n, first, dtype=np.int64), starts + skipped
+    outer = {IP4: np.full(n, -1, dtype=np.int64), IP6: np.full(n, -1, dtype=np.int64)}
+    ports = np.full(n, -1, dtype=np.int64)
+
+    def number(rows, places, size: int):
+        """Big-endian numbers of `size` bytes of records, 0 beyond their ends."""
+        value = np.zeros(len(rows), dtype=np.int64)
+        there = places + size <= ends[rows]
         for step in range(size):
-            value[usable] = (value[usable] << 8) | data[places + step]
+            value[there] = (value[there] << 8) | data[places[there] + step]
         return value
 
-    type_at = ETHER_TYPE_AT[link_type]
-    if type_at is None:
-        ip = starts.copy()
-        enough = kept >= 1
-        version = at(ip, 0, 1, enough) >> 4
-        is_v4, is_v6 = enough & (version == 4), enough & (version == 6)
-    else:
-        where = starts + type_at
-        ether_type = at(where, 0, 2, where + 2 <= ends)
-        while (tagged := np.isin(ether_type, VLAN_TYPES) & (where + 6 <= ends)).any():
-            where = np.where(tagged, where + 4, where)
-            ether_type = np.where(tagged, at(where, 0, 2, tagged), ether_type)
-        ip = where + 2
-        is_v4, is_v6 = ether_type == IPV4_TYPE, ether_type == IPV6_TYPE
-
-    is_v4 &= ip + 20 <= ends
-    header = (at(ip, 0, 1, is_v4) & 15) * 4
-    is_v4 &= (header >= 20) & (ip + header <= ends)
-    is_v6 &= ip + 40 <= ends
-    protocol = np.where(is_v4, at(ip, 9, 1, is_v4), at(ip, 6, 1, is_v6))
-
-    # Fragments carry no ports of their own.
-    whole = is_v6 | (is_v4 & ((at(ip, 6, 2, is_v4) & 0x3FFF) == 0))
-    payload = ip + np.where(is_v6, 40, header)
-    following = protocol.copy()
-    while True:
-        extended = is_v6 & np.isin(following, (HOP_BY_HOP, ROUTING, DESTINATION))
-        extended &= payload + 8 <= ends
-        if not extended.any():
-            break
-        following = np.where(extended, at(payload, 0, 1, extended), following)
-        payload = payload + np.where(extended, (at(payload, 1, 1, extended) + 1) * 8, 0)
-
-    needed = np.where(following == TCP, 20, 8)
-    ported = whole & np.isin(following, (TCP, UDP)) & (payload + needed <= ends)
-    good = is_v4 | is_v6
+    def chosen(values, layers: dict):
+        """The layer of each value; 0, which ends a walk, where it is none of `layers`."""
+        out = np.zeros(len(values), dtype=np.int64)
+        for value, known in layers.items():
+            out[values == value] = known
+        return out
+
+    by_type = {
+        IPV4_TYPE: IP4, IPV6_TYPE: IP6, BRIDGED_TYPE: FRAME, PPP_TYPE: PPP, PPPOE_TYPE: SESSION,
+        **dict.fromkeys(VLAN_TYPES, TYPE), **dict.fromkeys(MPLS_TYPES, LABELS),
+    }
+    by_version = {4: IP4, 6: IP6}
+
+    def transport(rows, protocol, places):
+        """Ports of what is behind an IP header, or the layer within it."""
+        needed = np.where(protocol == TCP, 20, 8)
+        ported = np.isin(protocol, (TCP, UDP)) & (places + needed <= ends[rows])
+        ports[rows[ported]] = places[ported]
+        within = {IPV4_WITHIN: IP4, IPV6_WITHIN: IP6, GRE_WITHIN: GRE}
+        layer[rows], place[rows] = chosen(protocol, within), places
+
+    def step(kind: int, rows) -> None:
+        """Move records whose layer is `kind` on to the next one."""
+        at = place[rows]
+        if kind == FRAME:
+            layer[rows], place[rows] = TYPE, at + 12
+        elif kind == TYPE:
+            ether_type = number(rows, at, 2)
+            layer[rows] = chosen(ether_type, by_type)
+            # A tag is followed by the type of what it tags.
+            place[rows] = at + np.where(np.isin(ether_type, VLAN_TYPES), 4, 2)
+        elif kind == LABELS:
+            last = number(rows, at + 2, 1) & 1 == 1
+            version = number(rows, at + 4, 1) >> 4
+            inner = np.where(np.isin(version, (4, 6)), chosen(version, by_version), FRAME)
+            there = at + 4 <= ends[rows]
+            layer[rows] = np.where(there, np.where(last, inner, LABELS), 0)
+            place[rows] = at + 4
+        elif kind == SESSION:
+            layer[rows] = np.where(number(rows, at, 2) == 0x1100, PPP, 0)
+            place[rows] = at + 6
+        elif kind == PPP:
+            # Odd protocols may be written as one byte.
+            short = number(rows, at, 1) & 1 == 1
+            protocol = np.where(short, number(rows, at, 1), number(rows, at, 2))
+            known = {PPP_IPV4: IP4, PPP_IPV6: IP6, PPP_MPLS: LABELS}
+            layer[rows], place[rows] = chosen(protocol, known), at + np.where(short, 1, 2)
+        elif kind == GRE:
+            flags = number(rows, at, 2)
+            size = 4 + sum(4 * ((flags & bit) != 0) for bit in (0x8000, 0x2000, 0x1000))
+            # Version 1 carries PPP and may acknowledge; routed headers are not walked.
+            size += 4 * ((flags & 0x0087) == 0x0081)
+            known = chosen(number(rows, at + 2, 2), by_type)
+            layer[rows] = np.where((flags & 0x4000) == 0, known, 0)
+            place[rows] = at + size
+            tagged = layer[rows] == TYPE
+            place[rows[tagged]] += 2
+        elif kind == ANY_IP:
+            layer[rows] = chosen(number(rows, at, 1) >> 4, by_version)
+        elif kind == IP4:
+            size = (number(rows, at, 1) & 15) * 4
+            whole = (at + 20 <= ends[rows]) & (size >= 20) & (at + size <= ends[rows])
+            layer[rows[~whole]] = 0
+            rows, at, size = rows[whole], at[whole], size[whole]
+            new = outer[IP4][rows] < 0
+            outer[IP4][rows[new]] = at[new]
+            # Fragments carry no ports of their own.
+            fragment = (number(rows, at + 6, 2) & 0x3FFF) != 0
+            transport(rows, np.where(fragment, -1, number(rows, at + 9, 1)), at + size)
+        else:
+            whole = at + 40 <= ends[rows]
+            layer[rows[~whole]] = 0
+            rows, at = rows[whole], at[whole]
+            new = outer[IP6][rows] < 0
+            outer[IP6][rows[new]] = at[new]
+            following, at = number(rows, at + 6, 1), at + 40
+            while True:
+                extended = np.isin(following, (HOP_BY_HOP, ROUTING, DESTINATION))
+                extended &= at + 8 <= ends[rows]
+                if not extended.any():
+                    break
+                size = (number(rows, at + 1, 1) + 1) * 8
+                following = np.where(extended, number(rows, at, 1), following)
+                at = np.where(extended, at + size, at)
+            transport(rows, following, at)
+
+    while len(active := np.flatnonzero(layer)):
+        for kind in np.unique(layer[active]).tolist():
+            step(kind, active[layer[active] == kind])
+
+    is_v4 = outer[IP4] >= 0
+    is_v6 = ~is_v4 & (outer[IP6] >= 0)
+    ip = np.where(is_v4, outer[IP4], outer[IP6])
+    every, four, six = np.arange(n), np.flatnonzero(is_v4), np.flatnonzero(is_v6)
+    protocol = np.zeros(n, dtype=np.int64)
+    protocol[four], protocol[six] = number(four, ip[four] + 9, 1), number(six, ip[six] + 6, 1)
+
+    def address(offset: int):
+        out = np.zeros(n, dtype=np.int64)
+        out[four] = number(four, ip[four] + offset, 4)
+        return out
+
+    def port(offset: int):
+        found = number(every, np.where(ports >= 0, ports + offset, ends), 2)
+        return found.astype(np.int32)
 
     def v6_bytes(offset: int) -> list:
         places = ip + offset
@@ -122,14 +215,14 @@ def decode_records(data, starts, kept, link_type: int) -> dict:
     return {
         "ip_version": np.where(is_v4, 4, np.where(is_v6, 6, 0)).astype(np.int32),
         "is_v4": is_v4,
-        "src_v4": at(ip, 12, 4, is_v4),
-        "dst_v4": at(ip, 16, 4, is_v4),
+        "src_v4": address(12),
+        "dst_v4": address(16),
         "src_v6": v6_bytes(8) if has_v6 else [None] * n,
         "dst_v6": v6_bytes(24) if has_v6 else [None] * n,
-        "src_port": at(payload, 0, 2, ported).astype(np.int32),
-        "dst_port": at(payload, 2, 2, ported).astype(np.int32),
+        "src_port": port(0),
+        "dst_port": port(2),
         "protocol": protocol.astype(np.int32),
-        "bad": ~good,
+        "bad": ~(is_v4 | is_v6),
     }
 
 
@@ -141,13 +234,15 @@ class _Capture:
         self.stream = files.open_input_file(name)
         self.size = self.stream.size()
         head = self.stream.read(FILE_HEADER_BYTES)
+        # A file of blocks, read by the functions of `pcapng`.
+        self.blocks = head[:4] == pcapng.MAGIC and pcapng.block_at(self.read(0, pcapng.LONGEST_BLOCK), 0)
         self.readable = len(head) == FILE_HEADER_BYTES and head[:4] in MAGICS
         if not self.readable:
             return
         self.order, self.fraction = MAGICS[head[:4]]
         word = "little" if self.order == "<" else "big"
         self.link_type = int.from_bytes(head[20:24], word) & 0xFFFF
-        self.readable = self.link_type in ETHER_TYPE_AT
+        self.readable = self.link_type in FIRST_LAYER
         self._window: tuple[int, object] = (-1, None)
         self.second = self._first_second()
 
@@ -453,65 +548,115 @@ def _links(capture: _Capture, first: int, last: int, split: int) -> dict[int, li
     return out
 
 
-def _locate(batches: Iterator) -> Iterator:
-    """Where the records near the start of a byte range lead to, a row per end."""
+LINKS = (
+    "path string, first bigint, stop bigint, starts array<bigint>, "
+    "marks array<struct<at: bigint, block: binary>>"
+)
+RANGES = "path string, start bigint, stop bigint, marks array<binary>"
+
+
+def _batch(rows: list, schema):
     import pyarrow as pa
 
-    for batch in batches:
-        rows = []
-        columns = (batch.column(n).to_pylist() for n in ("path", "first", "last", "split"))
-        for path, first, last, split in zip(*columns, strict=True):
-            with _Capture(path) as capture:
-                if capture.readable:
-                    found = _links(capture, first, last, split)
-                else:
-                    found = {} if first else {capture.size: [FILE_HEADER_BYTES]}
-                rows += [(path, first, stop, starts) for stop, starts in found.items()]
-        if rows:
-            types = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
-                names=["path", "first", "stop", "starts"],
-            )
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
+    )
 
 
-def _follow(batches: Iterator) -> Iterator:
-    """The links that the first record of each file leads along, as record ranges."""
-    import pyarrow as pa
+def _locate(schema):
+    """Where the records near the start of a byte range lead to, a row per end."""
 
-    now, wanted, begin = None, None, None
-    for batch in batches:
-        rows = []
-        columns = (batch.column(n).to_pylist() for n in ("path", "first", "stop", "next_first", "next_stop"))
-        for path, first, stop, next_first, next_stop in zip(*columns, strict=True):
-            if path != now:
-                now, wanted, begin = path, (0, stop), FILE_HEADER_BYTES
-            if (first, stop) == wanted:
-                rows.append((path, begin, stop))
-                wanted, begin = (next_first, next_stop), stop
-        if rows:
-            types = (pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
-                names=["path", "start", "stop"],
-            )
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            rows = []
+            columns = (batch.column(n).to_pylist() for n in ("path", "first", "last", "split"))
+            for path, first, last, split in zip(*columns, strict=True):
+                with _Capture(path) as capture:
+                    if capture.blocks:
+                        for stop, starts, marks in pcapng.block_links(capture, first, last, split):
+                            marks = [{"at": at, "block": block} for at, block in marks]
+                            rows.append((path, first, stop, starts, marks))
+                    elif capture.readable:
+                        for stop, starts in _links(capture, first, last, split).items():
+                            rows.append((path, first, stop, starts, []))
+                    elif not first:
+                        rows.append((path, 0, capture.size, [FILE_HEADER_BYTES], []))
+            if rows:
+                yield _batch(rows, schema)
+
+    return run
+
+
+def _follow(schema):
+    """The links that the first record of each file leads along, as record ranges.
+
+    A range of blocks gets the marks of its section that came before it.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        now, wanted, begin, marks = None, None, None, []
+        names = ("path", "first", "stop", "starts", "marks", "next_first", "next_stop")
+        for batch in batches:
+            rows = []
+            columns = (batch.column(n).to_pylist() for n in names)
+            for path, first, stop, starts, found, next_first, next_stop in zip(*columns, strict=True):
+                if path != now:
+                    now, wanted, begin, marks = path, (0, stop), starts[0], []
+                if (first, stop) == wanted:
+                    rows.append((path, begin, stop, list(marks)))
+                    for mark in found:
+                        if mark["at"] >= begin:
+                            if mark["block"][:4] == pcapng.MAGIC:
+                                marks.clear()
+                            marks.append(mark["block"])
+                    wanted, begin = (next_first, next_stop), stop
+            if rows:
+                yield _batch(rows, schema)
+
+    return run
+
+
+def _block_records(path: str, capture: _Capture, start: int, stop: int, marks: list) -> Iterator:
+    """Packets of a range of blocks, an Arrow batch per piece and kind of frame."""
+    import numpy as np
+
+    interfaces = pcapng.Interfaces(marks)
+    for held, _, blocks, damaged, _ in pcapng.walk_blocks(capture, start, stop):
+        packets = pcapng.packets_of(held, blocks, interfaces)
+        unread = [p for p in packets if p[0] is None or p[0][0] not in FIRST_LAYER]
+        if damaged + len(unread):
+            yield _damaged(path, damaged + len(unread))
+        groups: dict[tuple, list] = {}
+        for packet in packets:
+            if packet[0] is not None and packet[0][0] in FIRST_LAYER:
+                groups.setdefault((packet[0], packet[1] is None), []).append(packet)
+        data = np.frombuffer(held, dtype=np.uint8)
+        for ((link_type, _, resolution, offset), timeless), group in groups.items():
+            _, ticks, places, kept, lengths = zip(*group, strict=True)
+            ticks = np.zeros(len(group)) if timeless else np.array(ticks, dtype=np.uint64)
+            nanos = pcapng.nanos_of(ticks, resolution, offset)
+            packet = decode_records(data, np.array(places), np.array(kept), link_type)
+            yield _packet_batch(path, nanos, np.array(lengths), packet, timeless)
 
 
 def _decode(batches: Iterator) -> Iterator:
     """Packets of the given record ranges, one Arrow batch per piece of a file."""
     import numpy as np
-    import pyarrow as pa
 
-    names = [field.split()[0] for field in RECORD_SCHEMA.split(", ")]
     for batch in batches:
-        for path, start, stop in zip(*(batch.column(n).to_pylist() for n in ("path", "start", "stop"))):
+        columns = (batch.column(n).to_pylist() for n in ("path", "start", "stop", "marks"))
+        for path, start, stop, marks in zip(*columns, strict=True):
             with _Capture(path) as capture:
+                if capture.blocks:
+                    yield from _block_records(path, capture, start, stop, marks)
+                    continue
                 if not capture.readable:
                     # One bad record stands for a file that is no capture.
-                    if start == FILE_HEADER_BYTES:
+                    if start in (0, FILE_HEADER_BYTES):
                         yield _damaged(path, 1)
                     continue
-                for held, _, at, damaged, _ in _walk(capture, start, stop):
+                for held, _, at, damaged, _ in _walk(capture, start or FILE_HEADER_BYTES, stop):
                     if damaged:
                         yield _damaged(path, damaged)
                     if not len(at):
@@ -523,22 +668,32 @@ def _decode(batches: Iterator) -> Iterator:
                     packet = decode_records(
                         data, at + RECORD_HEADER_BYTES, kept, capture.link_type
                     )
-                    no_v4 = ~packet["is_v4"]
-                    columns = [
-                        pa.array([path] * len(at), type=pa.string()),
-                        pa.array(seconds * 1_000_000_000 + fractions * capture.fraction),
-                        pa.array(packet["ip_version"]),
-                        pa.array(packet["src_v4"], mask=no_v4),
-                        pa.array(packet["dst_v4"], mask=no_v4),
-                        pa.array(packet["src_v6"], type=pa.binary()),
-                        pa.array(packet["dst_v6"], type=pa.binary()),
-                        pa.array(packet["src_port"]),
-                        pa.array(packet["dst_port"]),
-                        pa.array(packet["protocol"]),
-                        pa.array(lengths),
-                        pa.array(packet["bad"]),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                    nanos = seconds * 1_000_000_000 + fractions * capture.fraction
+                    yield _packet_batch(path, nanos, lengths, packet)
+
+
+def _packet_batch(path: str, nanos, lengths, packet: dict, timeless: bool = False):
+    """Decoded packets as an Arrow batch; packets without a clock have no time."""
+    import numpy as np
+    import pyarrow as pa
+
+    no_v4, count = ~packet["is_v4"], len(lengths)
+    columns = [
+        pa.array([path] * count, type=pa.string()),
+        pa.array(nanos, mask=np.full(count, timeless)),
+        pa.array(packet["ip_version"]),
+        pa.array(packet["src_v4"], mask=no_v4),
+        pa.array(packet["dst_v4"], mask=no_v4),
+        pa.array(packet["src_v6"], type=pa.binary()),
+        pa.array(packet["dst_v6"], type=pa.binary()),
+        pa.array(packet["src_port"]),
+        pa.array(packet["dst_port"]),
+        pa.array(packet["protocol"]),
+        pa.array(lengths),
+        pa.array(packet["bad"]),
+    ]
+    names = [field.split()[0] for field in RECORD_SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _damaged(path: str, count: int):
@@ -556,6 +711,13 @@ def _damaged(path: str, count: int):
     return pa.RecordBatch.from_arrays(columns, names=fields)
 
 
+def to_arrow_schema(ddl: str):
+    """Arrow schema of a DDL string, for the driver to hand to its tasks."""
+    from pyspark.sql.pandas.types import to_arrow_schema as convert
+
+    return convert(T.StructType.fromDDL(ddl))
+
+
 def _listing(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length) of the files; their content is not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -563,7 +725,7 @@ def _listing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def capture_ranges(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """(path, start, stop): record ranges that together cover every file once.
+    """(path, start, stop, marks): record ranges that together cover every file once.
 
     A file of up to `split_bytes` is one range. In a larger file no split knows where its
     first record starts, so it walks from every place near its start that may be one, to
@@ -574,7 +736,10 @@ def capture_ranges(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BY
     """
     files = _listing(spark, folder)
     whole = files.where(F.col("length") <= split_bytes).select(
-        "path", F.lit(FILE_HEADER_BYTES).cast("bigint").alias("start"), F.col("length").alias("stop")
+        "path",
+        F.lit(0).cast("bigint").alias("start"),
+        F.col("length").alias("stop"),
+        F.array().cast("array<binary>").alias("marks"),
     )
     large = files.where(F.col("length") > split_bytes)
     splits = large.select(
@@ -590,7 +755,7 @@ def capture_ranges(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BY
         F.lit(split_bytes).cast("bigint").alias("split"),
     )
     located = splits.repartition(_tasks(files, split_bytes), "path", "first").mapInArrow(
-        _locate, "path string, first bigint, stop bigint, starts array<bigint>"
+        _locate(to_arrow_schema(LINKS)), LINKS
     )
     # The walks are long, their table is small, and it is read twice.
     table = shared_dir(spark, "capture-links")
@@ -606,9 +771,9 @@ def capture_ranges(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BY
         located.join(ahead, ["path", "stop"], "left")
         .repartition("path")
         .sortWithinPartitions("path", "first", "stop")
-        .select("path", "first", "stop", "next_first", "next_stop")
+        .select("path", "first", "stop", "starts", "marks", "next_first", "next_stop")
     )
-    return whole.unionByName(linked.mapInArrow(_follow, "path string, start bigint, stop bigint"))
+    return whole.unionByName(linked.mapInArrow(_follow(to_arrow_schema(RANGES)), RANGES))
 
 
 def _tasks(files: DataFrame, split_bytes: int) -> int:

@@ -11,9 +11,13 @@ from flowloom.model import TCP, UDP
 from flowloom.sources.captures import ETHERNET, RECORD_HEADER_BYTES, _file_system
 
 
-def write_captures(packets: DataFrame, folder: str, damaged: bool = False) -> DataFrame:
+def write_captures(
+    packets: DataFrame, folder: str, damaged: bool = False, blocks: bool = False
+) -> DataFrame:
     """Write IPv4 packets as capture files, one per partition, headers only.
 
+    With `blocks` the files are pcapng, a section per batch in either byte order.
+
     Runs the write and returns (file, packets, damages). A repeated task replaces its
     file. A damaged file has a record of impossible length after every batch, and ends
     with a record that is cut off.
@@ -42,22 +46,26 @@ def write_captures(packets: DataFrame, folder: str, damaged: bool = False) -> Da
         task = TaskContext.get()
         files, root = _file_system(folder)
         files.create_dir(root, recursive=True)
-        final = f"{root}/part-{task.partitionId():05d}.pcap"
+        final = f"{root}/part-{task.partitionId():05d}.pcap{'ng' if blocks else ''}"
         attempt = f"{root}/.part-{task.partitionId():05d}-{task.taskAttemptId()}"
         written = damages = 0
         broken = struct.pack("<IIII", 1, 0, 0xFFFFFFF0, 60) + b"junk" * 5
         cut = b""
         with files.open_output_stream(attempt) as out:
-            out.write(_file_header())
-            for batch in batches:
+            out.write(b"" if blocks else _file_header())
+            for number, batch in enumerate(batches):
                 records = encode_frames(batch)
+                if blocks:
+                    out.write(encode_section(records, "<>"[number % 2]))
+                    written += batch.num_rows
+                    continue
                 out.write(records)
                 cut = records[: RECORD_HEADER_BYTES + 10]
                 written += batch.num_rows
                 if damaged:
                     out.write(broken)
                     damages += 1
-            if damaged:
+            if damaged and not blocks:
                 out.write(cut)
                 damages += 1
         files.move(attempt, final)
@@ -112,3 +120,35 @@ def encode_frames(batch) -> bytes:
     frame[tcp, 62] = 0x50
     used = np.arange(frame.shape[1]) < (RECORD_HEADER_BYTES + captured)[:, None]
     return frame[used].tobytes()
+
+
+def block(order: str, kind: int, body: bytes) -> bytes:
+    """A pcapng block."""
+    import struct
+
+    body += bytes(-len(body) % 4)
+    length = len(body) + 12
+    return struct.pack(f"{order}II", kind, length) + body + struct.pack(f"{order}I", length)
+
+
+def encode_section(records: bytes, order: str) -> bytes:
+    """The given records as a section of two interfaces, with clocks of unlike resolution."""
+    import struct
+
+    out = [
+        block(order, 0x0A0D0D0A, struct.pack(f"{order}IHHq", 0x1A2B3C4D, 1, 0, -1)),
+        # Microseconds by default; then nanoseconds, as an option says.
+        block(order, 1, struct.pack(f"{order}HHI", ETHERNET, 0, 65536)),
+        block(order, 1, struct.pack(f"{order}HHIHHB3xI", ETHERNET, 0, 65536, 9, 1, 9, 0)),
+    ]
+    at, number = 0, 0
+    while at < len(records):
+        second, micros, kept, length = struct.unpack_from("<IIII", records, at)
+        at += RECORD_HEADER_BYTES
+        ticks = (second * 1_000_000 + micros) * (1000 if number % 2 else 1)
+        head = struct.pack(
+            f"{order}IIIII", number % 2, ticks >> 32, ticks & 0xFFFFFFFF, kept, length
+        )
+        out.append(block(order, 6, head + records[at : at + kept]))
+        at, number = at + kept, number + 1
+    return b"".join(out)

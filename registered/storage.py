@@ -69,6 +69,17 @@ def _(spark, sf_dir):
     return pcap_scan(spark, folder).drop("file")
 
 
+@query(
+    "pcapng_scan",
+    f"""WITH {LINEITEM} SELECT epoch_us(ts) * 1000 AS ts_nanos, ts, 4 AS ip_version, src_ip, dst_ip,
+ {WIRE_PORTS}, protocol, length FROM p""",
+)
+def _(spark, sf_dir):
+    folder = shared_dir(spark, "captures")
+    write_captures(lineitem_packets(spark, sf_dir), folder, blocks=True)
+    return pcap_scan(spark, folder).drop("file")
+
+
 @query(
     "ingest_quality",
     f"{P} SELECT count(*) AS total, count(*) FILTER (protocol <> 6) AS failed FROM p",

@@ -7,13 +7,14 @@ import time
 from datetime import datetime
 from random import Random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from flowloom.sources import captures
 from flowloom.sources.captures import capture_ranges, capture_records, pcap_scan
 from flowloom.sources.packets import ingest_quality
-from registered.capture_files import write_captures
+from registered.capture_files import block, write_captures
 from registered.synthetic import synthetic_packets
 from registered.views import lineitem_packets
 
@@ -99,6 +100,139 @@ def test_kinds_of_packets(spark, tmp_path):
     assert (quality.total, quality.failed) == (10, 2)
 
 
+def mpls(*labels, payload):
+    words = [label << 12 | (i == len(labels) - 1) << 8 | 64 for i, label in enumerate(labels)]
+    return b"".join(struct.pack(">I", word) for word in words) + payload
+
+
+def pppoe(protocol, payload):
+    return struct.pack(">BBHH", 0x11, 0, 7, len(payload) + 2) + protocol + payload
+
+
+def gre(ether_type, payload, flags=0, options=b""):
+    return struct.pack(">HH", flags, ether_type) + options + payload
+
+
+INNER4, INNER6 = ipv4(6, tcp(443, 80)), ipv6(17, udp(53, 99))
+# Frame, then version and protocol of the header that counts, and the ports.
+NESTED = {
+    "mpls": (ethernet(0x8847, mpls(16, payload=INNER4)), 4, 6, 443, 80),
+    "three labels": (ethernet(0x8848, mpls(16, 17, 18, payload=INNER6)), 6, 17, 53, 99),
+    "frame in mpls": (ethernet(0x8847, mpls(16, payload=ethernet(0x0800, INNER4))), 4, 6, 443, 80),
+    "tagged mpls": (ethernet(0x8847, mpls(16, payload=INNER4), vlans=[0x8100]), 4, 6, 443, 80),
+    "pppoe": (ethernet(0x8864, pppoe(b"\x00\x21", INNER4)), 4, 6, 443, 80),
+    "pppoe short": (ethernet(0x8864, pppoe(b"\x57", INNER6)), 6, 17, 53, 99),
+    "pppoe control": (ethernet(0x8864, pppoe(b"\xc0\x21", bytes(20))), 0, 0, 0, 0),
+    "4 in 4": (ethernet(0x0800, ipv4(4, INNER4)), 4, 4, 443, 80),
+    "4 in 6": (ethernet(0x86DD, ipv6(4, INNER4)), 4, 6, 443, 80),
+    "6 in 4": (ethernet(0x0800, ipv4(41, INNER6)), 4, 41, 53, 99),
+    "6 in 6": (ethernet(0x86DD, ipv6(41, INNER6)), 6, 41, 53, 99),
+    "gre": (ethernet(0x0800, ipv4(47, gre(0x0800, INNER4))), 4, 47, 443, 80),
+    "gre with key": (
+        ethernet(0x0800, ipv4(47, gre(0x86DD, INNER6, 0xB000, bytes(12)))), 4, 47, 53, 99,
+    ),
+    "gre bridge": (
+        ethernet(0x86DD, ipv6(47, gre(0x6558, ethernet(0x0800, INNER4)))), 4, 6, 443, 80,
+    ),
+    "gre tag": (ethernet(0x0800, ipv4(47, gre(0x8100, b"\x00\x07\x08\x00" + INNER4))), 4, 47, 443, 80),
+    "pptp": (
+        ethernet(0x0800, ipv4(47, gre(0x880B, b"\x00\x21" + INNER4, 0x3081, bytes(12)))), 4, 47, 443, 80,
+    ),
+    "gre routed": (ethernet(0x0800, ipv4(47, gre(0x0800, INNER4, 0x4000, bytes(4)))), 4, 47, 0, 0),
+    "gre cut": (ethernet(0x0800, ipv4(47, gre(0x0800, INNER4)[:20])), 4, 47, 0, 0),
+    "labels cut": (ethernet(0x8847, mpls(16, 17, payload=b"")[:6]), 0, 0, 0, 0),
+    "fragment of a tunnel": (ethernet(0x0800, ipv4(4, INNER4, flags=0x2000)), 4, 4, 0, 0),
+    "200 layers": (ethernet(0x8847, mpls(*range(16, 116), payload=INNER4), vlans=[0x8100] * 99), 4, 6, 443, 80),
+}
+
+
+def test_frames_within_frames():
+    frames = [frame for frame, *_ in NESTED.values()]
+    lengths = np.array([len(frame) for frame in frames])
+    data = np.frombuffer(b"".join(frames), dtype=np.uint8)
+    found = captures.decode_records(data, np.cumsum(lengths) - lengths, lengths, 1)
+    columns = ("ip_version", "protocol", "src_port", "dst_port")
+    for i, (name, (_, *expected)) in enumerate(NESTED.items()):
+        assert [int(found[c][i]) for c in columns] == expected, name
+        assert found["bad"][i] == (expected[0] == 0), name
+
+
+def test_nested_frames_of_a_file_are_packets(spark, tmp_path):
+    rows = read(spark, tmp_path / "in", "a.pcap", capture([frame for frame, *_ in NESTED.values()]))
+    seen = [(r.ip_version, r.protocol, r.src_port, r.dst_port) for r in rows]
+    assert seen == [tuple(expected) for _, *expected in NESTED.values()]
+
+
+def section(order):
+    return block(order, 0x0A0D0D0A, struct.pack(f"{order}IHHq", 0x1A2B3C4D, 1, 0, -1))
+
+
+def interface(order, link_type, resolution=None, offset=0, snap=65535):
+    options = b""
+    if resolution is not None:
+        options += struct.pack(f"{order}HHB3x", 9, 1, resolution)
+    if offset:
+        options += struct.pack(f"{order}HHq", 14, 8, offset)
+    options += bytes(4) if options else b""
+    return block(order, 1, struct.pack(f"{order}HHI", link_type, 0, snap) + options)
+
+
+def enhanced(order, number, ticks, frame):
+    size = len(frame)
+    head = struct.pack(f"{order}IIIII", number, ticks >> 32, ticks & 0xFFFFFFFF, size, size + 100)
+    return block(order, 6, head + frame)
+
+
+def test_blocks_of_two_sections_and_clocks(spark, tmp_path):
+    frame, raw = ethernet(0x0800, ipv4(6, tcp(443, 80))), ipv4(17, udp(53, 99))
+    ticks = TIME * 1_000_000 + 5
+    content = b"".join([
+        section("<"), interface("<", 1), interface("<", 101, 9, offset=3),
+        enhanced("<", 0, ticks, frame),
+        enhanced("<", 1, TIME * 10**9 + 7, raw),
+        enhanced("<", 2, ticks, frame),  # no such interface
+        block("<", 5, bytes(12)),  # statistics
+        section(">"), interface(">", 101, 0x80 | 10), interface(">", 147),
+        enhanced(">", 0, TIME << 10 | 512, raw),
+        enhanced(">", 1, ticks, frame),  # an unknown kind of frame
+        block(">", 3, struct.pack(">I", len(raw)) + raw),
+        block(">", 2, struct.pack(">HHQII", 0, 0, TIME << 10, len(raw), len(raw)) + raw),
+    ])
+    rows = read(spark, tmp_path / "in", "a.pcapng", content)
+    seen = sorted((r.ts_nanos or 0, r.src_port, r.length) for r in rows if not r.bad)
+    second = TIME * 10**9
+    assert seen == [
+        (0, 53, 28), (second, 53, 28), (second + 5000, 443, len(frame) + 100),
+        (second + 5 * 10**8, 53, 128), (second + 3 * 10**9 + 7, 53, 128),
+    ]
+    assert sum(r.bad for r in rows) == 2
+
+
+def test_split_and_damaged_blocks(spark, tmp_path):
+    parts, ports = [], []
+    random = Random(2)
+    for part in range(4):
+        order = "<>"[part % 2]
+        parts += [section(order), interface(order, 1, 9 if part == 2 else 6)]
+        for i in range(600):
+            frame = ethernet(0x0800, ipv4(6, tcp(part * 600 + i + 1, 80) + bytes(random.randint(0, 99))))
+            one = enhanced(order, 0, TIME * 10 ** (9 if part == 2 else 6) + i, frame)
+            if random.random() < 0.05:
+                one = one[:4] + b"\xff\xff" + one[6:]
+            else:
+                ports.append(part * 600 + i + 1)
+            if random.random() < 0.02:
+                one += random.randbytes(random.randint(1, 50))
+            parts.append(one)
+    rows = read(spark, tmp_path / "in", "a.pcapng", b"".join(parts))
+    assert sorted(r.src_port for r in rows if not r.bad) == ports
+    assert all(TIME <= r.ts_nanos // 10**9 < TIME + 1 for r in rows if not r.bad)
+    split = capture_records(spark, str(tmp_path / "in"), split_bytes=30_000)
+    assert split.rdd.getNumPartitions() > 8
+    whole = sorted(map(tuple, rows), key=repr)
+    assert sorted(map(tuple, split.select(*rows[0].__fields__).collect()), key=repr) == whole
+
+
 @pytest.mark.parametrize("order", ["<", ">"])
 @pytest.mark.parametrize("magic, nanos", [(0xA1B2C3D4, 123_000), (0xA1B23C4D, 123)])
 def test_byte_orders_and_fractions(spark, tmp_path, order, magic, nanos):
