@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime, timedelta
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -218,6 +219,47 @@ def _repeat_until_next(
     return running.withColumn("snapshot_ts", F.explode(all_ticks)).drop("_next")
 
 
+# A time and a 64-bit value as one decimal of 38 digits, in their order: the value takes the
+# lower 20 digits, moved so that it is positive, and 0 stands for none.
+VALUE_DIGITS = Decimal(10**20)
+VALUE_OFFSET = Decimal(2**63 + 1)
+# Microseconds of every timestamp are above the negative of this.
+TIME_OFFSET = 10**17
+
+
+def newest_values(
+    rows: DataFrame, keys: Sequence[str], values: Sequence[str], at: str = "snapshot_ts"
+) -> DataFrame:
+    """Keys, the largest `at` of each and the `values`, integers or times, of that moment.
+
+    Where rows of one key share the newest time, each value is the largest of theirs; nulls
+    come before all values, and a null time before all times. Every value is the maximum of
+    one decimal with the time in front of it, a fixed-width buffer of a hash aggregate that
+    is combined before the shuffle.
+    """
+    digits, offset = F.lit(VALUE_DIGITS), F.lit(VALUE_OFFSET)
+    types = {name: rows.schema[name].dataType.simpleString() for name in values}
+    moment = F.coalesce(F.unix_micros(F.col(at).cast("timestamp")) + TIME_OFFSET, F.lit(0))
+    front = (moment.cast("decimal(18,0)") * digits).cast("decimal(38,0)")
+
+    def packed(name: str) -> Column:
+        value = F.col(name)
+        if types[name].startswith("timestamp"):
+            value = F.unix_micros(value.cast("timestamp"))
+        place = F.coalesce(value.cast("decimal(19,0)") + offset, F.lit(0))
+        return F.max((front + place).cast("decimal(38,0)")).alias(name)
+
+    def unpacked(name: str) -> Column:
+        place = (F.col(name) % digits).cast("decimal(20,0)")
+        value = F.when(place > 0, (place - offset).cast("bigint"))
+        if types[name].startswith("timestamp"):
+            value = F.timestamp_micros(value)
+        return value.cast(types[name]).alias(name)
+
+    newest = rows.groupBy(*keys).agg(F.max(at).alias("_at"), *[packed(name) for name in values])
+    return newest.select(*keys, F.col("_at").alias(at), *[unpacked(name) for name in values])
+
+
 def latest_per_flow(
     flow_metrics: DataFrame,
     values: Sequence[str] = ("byte_count", "packet_count", "start_time", "end_time", "period_start"),
@@ -225,14 +267,7 @@ def latest_per_flow(
     """The newest row per task and five-tuple; unused (NULL) keys group together.
 
     Equal times are settled by the larger values, so a replayed or re-emitted
-    snapshot cannot make the answer depend on row order. The newest row is one
-    struct maximum, combined before the shuffle. Spark sorts for it, by the grouping
-    keys in turn, so the keys with many values come before the task.
+    snapshot cannot make the answer depend on row order.
     """
-    keys = [*KEY_TYPES, "task_name"]
-    newest = F.max(F.struct("snapshot_ts", *values)).alias("newest")
-    return (
-        flow_metrics.groupBy(*keys)
-        .agg(newest)
-        .select("task_name", *KEY_TYPES, "newest.snapshot_ts", *[f"newest.{n}" for n in values])
-    )
+    newest = newest_values(flow_metrics, ["task_name", *KEY_TYPES], values)
+    return newest.select("task_name", *KEY_TYPES, "snapshot_ts", *values)

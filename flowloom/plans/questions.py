@@ -27,11 +27,14 @@ from flowloom.model import (
 )
 from flowloom.operators.filters import as_of, filter_flow_keys, filter_flows, filter_hitters
 from flowloom.operators.ranking import top_k
-from flowloom.operators.snapshots import latest_per_flow
-from flowloom.session import parallelism
+from flowloom.operators.snapshots import latest_per_flow, newest_values
 
 Moment = datetime | str | Column
 
+# Requests of one key that share a window, and tasks that are named in a filter.
+REQUESTS_PER_WINDOW = 10_000
+MOST_TASK_NAMES = 100
+
 TASKS_SCHEMA = T.StructType(
     [T.StructField("task_name", T.StringType()), T.StructField("source", T.StringType())]
 )
@@ -150,20 +153,33 @@ def trace_requests(flow_metrics: DataFrame, requests: DataFrame) -> DataFrame:
     Each row takes part under the key combinations that the requests use (at most
     32), is kept only if some request names its key, and is reduced to one row per
     key and snapshot. Requests then read running values as of their end time, so
-    no row is paired with every request of its task or key. The requests of one key
-    are spread over many windows, each with a copy of that key's reduced history.
+    no row is paired with every request of its task or key. The requests of a key that very
+    many ask for are spread over several windows, each with a copy of that key's reduced
+    history. Rows later than every request or of tasks that none names are not read.
     """
-    spreads = parallelism(flow_metrics.sparkSession)
-    share = F.pmod(F.xxhash64("request_id"), F.lit(spreads))
-    parsed = _parsed_requests(requests).withColumn("share", share)
-    # Key combinations in use: at most 2^5 small integers.
-    masks = sorted(row.mask for row in parsed.select("mask").distinct().collect())
-    if not masks:
-        masks = [0]
-
-    seen = flow_metrics.select(
+    every = _parsed_requests(requests)
+    asked = every.groupBy("task_name", "key").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(REQUESTS_PER_WINDOW)).alias("windows")
+    )
+    share = F.pmod(F.xxhash64("request_id"), F.col("windows"))
+    parsed = every.join(asked, ["task_name", "key"]).withColumn("share", share)
+    # One row: key combinations in use, at most 2^5 small integers; a few of the tasks, to
+    # tell whether they are few; and the last time that is asked for.
+    masks, tasks, open_end, latest = every.agg(
+        F.sort_array(F.collect_set("mask")),
+        F.slice(F.sort_array(F.collect_set(F.col("task_name"))), 1, MOST_TASK_NAMES + 1),
+        F.coalesce(F.bool_or(F.col("end_time").isNull()), F.lit(False)),
+        F.max(F.col("end_time").cast("timestamp_ntz")),
+    ).first()
+    rows = flow_metrics
+    if len(tasks) <= MOST_TASK_NAMES:
+        rows = rows.where(F.col("task_name").isin(tasks))
+    if latest is not None and not open_end:
+        rows = as_of(rows, latest)
+
+    seen = rows.select(
         "task_name",
-        F.explode(F.array(*map(F.lit, masks))).alias("mask"),
+        F.explode(F.array(*map(F.lit, masks or [0]))).alias("mask"),
         *KEY_TYPES,
         "snapshot_ts",
         "start_time",
@@ -185,12 +201,13 @@ def trace_requests(flow_metrics: DataFrame, requests: DataFrame) -> DataFrame:
         "packet_count",
         "byte_count",
     )
-    asked = parsed.select("task_name", "key").distinct()
     history = (
         seen.join(asked, ["task_name", "key"], "left_semi")
         .groupBy("task_name", "key", F.col("snapshot_ts").alias("at"))
         .agg(*_life())
-        .join(parsed.select("task_name", "key", "share").distinct(), ["task_name", "key"])
+        .join(asked, ["task_name", "key"])
+        .withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("windows") - 1)))
+        .drop("windows")
         .withColumn("request_id", F.lit(None).cast("bigint"))
         .withColumn("is_request", F.lit(0))
     )
@@ -224,8 +241,8 @@ def latest_hitters(
 ) -> DataFrame:
     """The `limit` largest newest values per flow, as of `end`."""
     rows = as_of(filter_hitters(heavy_hitters, task, hitter_type), end)
-    newest = rows.groupBy("flow").agg(F.max(F.struct("snapshot_ts", "value")).alias("newest"))
-    return top_k(newest.select("flow", "newest.value"), limit)
+    newest = newest_values(rows, ["flow"], ["value"])
+    return top_k(newest.select("flow", "value"), limit)
 
 
 def latest_super_spreaders(

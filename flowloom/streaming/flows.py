@@ -39,6 +39,7 @@ from flowloom.operators.flows import packet_measures
 from flowloom.operators.snapshots import (
     hitters_at_snapshots,
     latest_per_flow,
+    newest_values,
     running_totals,
     spreads_at_snapshots,
 )
@@ -308,13 +309,16 @@ def current_alerts(
     checked_at: datetime,
     period: timedelta,
     origin: datetime = EPOCH,
+    began: datetime | None = None,
 ) -> DataFrame:
     """Alerts of all rules as of `checked_at`, on the snapshots of its period.
 
     A snapshot counts from its own time on. The period bounds what is read: where a table
-    has months, they reach the scan.
+    has months, they reach the scan. Its start may be given as `began`, for a check at the
+    very end of a period.
     """
-    began = origin + (checked_at - origin) // period * period
+    if began is None:
+        began = origin + (checked_at - origin) // period * period
 
     def current(table: DataFrame) -> DataFrame:
         if "month" in table.columns:
@@ -324,12 +328,7 @@ def current_alerts(
         return table.where((ts > ntz(began)) & (ts <= ntz(checked_at)))
 
     flows = latest_per_flow(current(flow_metrics).where(F.col("period_start") == ntz(began)))
-    hitters = (
-        current(heavy_hitters)
-        .groupBy("task_name", "type", "flow")
-        .agg(F.max(F.struct("snapshot_ts", "value")).alias("newest"))
-        .select("task_name", "type", "flow", "newest.value")
-    )
+    hitters = newest_values(current(heavy_hitters), ["task_name", "type", "flow"], ["value"])
     return (
         alerts_totals(flows, rules, checked_at)
         .unionByName(alerts_hitters(hitters, rules, checked_at))

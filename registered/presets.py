@@ -50,12 +50,18 @@ RULES = [
     AlertRule("unknown_metric", "per_src_ip", "ByteCount", ">", 0),
     AlertRule("unknown_operator", "per_src_ip", "total_bytes", "!=", 0),
 ]
-RULES_SQL = "rules AS (SELECT * FROM (VALUES {}) v(rule_name, task_name, metric, op, threshold))".format(
-    ", ".join(
+
+
+def rules_sql(rules: list[AlertRule]) -> str:
+    """Rules as a common table expression."""
+    rows = ", ".join(
         f"('{r.name}', '{r.task_name}', '{r.metric}', '{r.operator}', CAST({r.threshold} AS DOUBLE))"
-        for r in RULES
+        for r in rules
     )
-)
+    return f"rules AS (SELECT * FROM (VALUES {rows}) v(rule_name, task_name, metric, op, threshold))"
+
+
+RULES_SQL = rules_sql(RULES)
 FIRES_SQL = (
     "CASE r.op WHEN '>' THEN v.value > r.threshold WHEN '<' THEN v.value < r.threshold "
     "WHEN '=' THEN v.value = r.threshold WHEN '>=' THEN v.value >= r.threshold "

@@ -10,7 +10,7 @@ from flowloom.model import FIVE_TUPLE, ExactTask
 from flowloom.operators.filters import as_of, filter_flow_keys, filter_flows
 from flowloom.operators.flows import flow_aggregate, multi_task_aggregate, snapshot_totals, top_n
 from flowloom.operators.lookups import flow_lookup
-from flowloom.operators.snapshots import cumulative_snapshots, latest_per_flow
+from flowloom.operators.snapshots import cumulative_snapshots, latest_per_flow, newest_values
 from flowloom.plans.questions import aggregate_flows, timeseries_points, trace_flow, trace_requests
 from registered.presets import EXACT, flow_metrics
 from registered.views import DAY, ORIGIN, PERIOD, event_packets
@@ -154,6 +154,38 @@ def test_lookup_of_unknown_keys_is_zero(spark, packets):
     assert found["10.0.0.7"] > 0 and found["192.0.2.1"] == 0
 
 
+def test_newest_values_settle_ties_and_nulls(spark):
+    least, most = -(2**63), 2**63 - 1
+    rows = [
+        ("a", datetime(2024, 1, 1), 9, 9, datetime(1950, 5, 5)),
+        ("a", datetime(2024, 1, 2), 3, least, None),
+        ("a", datetime(2024, 1, 2), 4, None, datetime(1960, 1, 1)),
+        ("b", None, 7, most, None),
+        ("c", None, 7, 1, None),
+        ("c", datetime(1, 1, 1), None, None, None),
+        ("d", datetime(9999, 12, 31), -5, most, datetime(9999, 12, 31, 23, 59, 59, 999999)),
+        ("d", datetime(9999, 12, 30), 5, most, datetime(2024, 1, 1)),
+        (None, datetime(2024, 1, 1), 1, 1, None),
+    ]
+    df = spark.createDataFrame(rows, "k string, at timestamp_ntz, n int, big bigint, t timestamp_ntz")
+    newest = newest_values(df, ["k"], ["n", "big", "t"], "at")
+    assert {tuple(r) for r in newest.collect()} == {
+        ("a", datetime(2024, 1, 2), 4, least, datetime(1960, 1, 1)),
+        ("b", None, 7, most, None),
+        ("c", datetime(1, 1, 1), None, None, None),
+        ("d", datetime(9999, 12, 31), -5, most, datetime(9999, 12, 31, 23, 59, 59, 999999)),
+        (None, datetime(2024, 1, 1), 1, 1, None),
+    }
+    assert newest.schema.simpleString() == "struct<k:string,at:timestamp_ntz,n:int,big:bigint,t:timestamp_ntz>"
+    assert "SortAggregate" not in plan_of(newest)
+
+
+def test_totals_need_no_sort(packets_of):
+    packets = packets_of([(datetime(2024, 1, 1), "a", "b", 1, 2, 6, 10)])
+    metrics = cumulative_snapshots(packets, ExactTask("t", ["SrcIP"]), timedelta(hours=1), timedelta(days=1))
+    assert "SortAggregate" not in plan_of(aggregate_flows(metrics))
+
+
 def test_top_n_settles_ties_by_key(packets_of):
     packets = packets_of([(T0, f"10.0.0.{i}", "b", 1, 2, 6, 10) for i in (3, 1, 2)])
     assert [row.src_ip for row in top_n(packets, "SrcIP", 2).collect()] == ["10.0.0.1", "10.0.0.2"]
