@@ -284,7 +284,8 @@ class _Capture:
         import numpy as np
 
         sane = (kept <= LONGEST_PACKET) & (fractions * self.fraction < 1_000_000_000) & (lengths > 0)
-        credible = sane & (kept <= lengths)
+        # Some writers leave the link header out of the length.
+        credible = sane & (kept <= lengths + TELLING)
         if self.second > TEN_YEARS:
             credible &= np.abs(seconds - self.second) < TEN_YEARS
         return sane, credible
