@@ -11,10 +11,11 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Label and log-line formats.
+# Label and log-line formats, and the log line of a packet.
 LABEL_FORMAT = "yyyy-MM-dd_HH-mm-ss"
 LINE_FORMAT = "yyyy-MM-dd HH:mm:ss.SSS"
 MONTH_FORMAT = "yyyyMM"
+PACKET_LINE = "%s - %s:%d -> %s:%d, Proto: %d, Len: %d"
 
 EPOCH = datetime(1970, 1, 1)
 
@@ -59,7 +60,7 @@ def flow_duration(start: Column, end: Column) -> Column:
 def packet_line() -> Column:
     """Log line of one packet."""
     return F.format_string(
-        "%s - %s:%d -> %s:%d, Proto: %d, Len: %d",
+        PACKET_LINE,
         F.date_format("ts", LINE_FORMAT),
         "src_ip",
         "src_port",
