@@ -284,8 +284,9 @@ class _Capture:
         import numpy as np
 
         sane = (kept <= LONGEST_PACKET) & (fractions * self.fraction < 1_000_000_000) & (lengths > 0)
-        # Some writers leave the link header out of the length.
-        credible = sane & (kept <= lengths + TELLING)
+        # Some writers leave the link header out of the length. No packet is longer than the
+        # longest that can be kept, while an address read as a length nearly always is.
+        credible = sane & (kept <= lengths + TELLING) & (lengths <= LONGEST_PACKET)
         if self.second > TEN_YEARS:
             credible &= np.abs(seconds - self.second) < TEN_YEARS
         return sane, credible

@@ -273,6 +273,20 @@ def test_reading_goes_on_behind_a_broken_record(spark, tmp_path):
     assert sum(row.bad for row in rows) == 1 and len(rows) == 11
 
 
+def test_an_ip_header_before_a_broken_record_is_no_record(spark, tmp_path):
+    # Its length, lifetime and protocol read as a time and as a size that ends at a record; the
+    # source address would be the length.
+    frames = [ethernet(0x0800, ipv4(6, tcp(port, 80))) for port in range(1, 61)]
+    frames[9] = frames[9][:16] + struct.pack(">H", 101) + frames[9][18:]
+    content, record = capture(frames), 16 + len(frames[0])
+    at = 24 + 10 * record
+    broken = struct.pack("<IIII", 1, 0, 0xFFFFFFF0, 60) + b"junk" * 5
+    assert (30 + 16 + 0x0640 - len(broken)) % record == 0
+    rows = read(spark, tmp_path / "in", "a.pcap", content[:at] + broken + content[at:])
+    assert sorted(row.src_port for row in rows if not row.bad) == list(range(1, 61))
+    assert sum(row.bad for row in rows) == 1
+
+
 def damage(random, frames):
     """A capture with damages at random places, and the ports of the records left whole."""
     records, kinds = [], []
