@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ORIGIN = datetime(2024, 1, 1)
 DAY = timedelta(days=1)
@@ -68,6 +69,38 @@ def lineitem_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*_spark(LINEITEM_COLUMNS))
 
 
+# The views number their hosts and print the number as two parts below these networks. From
+# host 65,536 on the first part exceeds 255, and the text is no address. Captures and payloads
+# carry the address at that distance from the start of the network instead.
+EVENT_SOURCES = "10.0"
+LINEITEM_NETWORKS = {"src_ip": "10.1", "dst_ip": "172.16"}
+
+
+def address_number(address: str | Column) -> Column:
+    """The number of four dotted parts, of which any may exceed 255."""
+    column = F.col(address) if isinstance(address, str) else address
+    parts = [F.element_at(F.split(column, "[.]"), place).cast("bigint") for place in range(1, 5)]
+    return parts[0] * 16777216 + parts[1] * 65536 + parts[2] * 256 + parts[3]
+
+
+def on_wire(address: str | Column) -> Column:
+    """The address of a host that a view names."""
+    number = address_number(address)
+    octets = [F.shiftright(number, shift).bitwiseAND(255).cast("string") for shift in (24, 16, 8, 0)]
+    return F.when(number.isNotNull(), F.concat_ws(".", *octets))
+
+
+def as_viewed(address: str | Column, network: str) -> Column:
+    """The text by which a view names the host of an address."""
+    host = address_number(address) - address_number(F.lit(f"{network}.0.0"))
+    return F.concat(
+        F.lit(f"{network}."),
+        F.floor(host / 256).cast("string"),
+        F.lit("."),
+        F.pmod(host, F.lit(256)).cast("string"),
+    )
+
+
 def event_packets_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of packets."""
     from flowloom.sources.packets import zoned
