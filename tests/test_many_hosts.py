@@ -38,7 +38,9 @@ def con(tables):
         yield opened
 
 
-@pytest.mark.parametrize("name", ["pcap_scan", "decode_payloads", "ingest_quality"])
+@pytest.mark.parametrize(
+    "name", ["pcap_scan", "pcapng_scan", "decode_payloads", "ingest_quality"]
+)
 def test_hosts_beyond_an_address_keep_their_names(spark, tables, con, name):
     result = spark_rows(driver.queries()[name](spark, tables))
     assert result == sql_rows(con, driver.oracle_sql()[name])
