@@ -209,6 +209,26 @@ def sketch_query(sketch: DataFrame, flows: DataFrame) -> DataFrame:
     )
 
 
+def lone_flows(
+    flows: DataFrame, width: int, depth: int, method: str = "xxhash64"
+) -> DataFrame:
+    """The given distinct flows that have one of their buckets to themselves, as `flow`.
+
+    Their estimates in a sketch of these flows are the truth. Of the others a sketch of that
+    width can only tell bounds.
+    """
+    placed = flows.select(
+        "flow", F.explode(seeded_buckets(F.col("flow"), depth, width, method)).alias("place")
+    )
+    return (
+        placed.groupBy("place.row", "place.bucket")
+        .agg(F.min("flow").alias("flow"), F.count(F.lit(1)).alias("flows"))
+        .where("flows = 1")
+        .select("flow")
+        .distinct()
+    )
+
+
 def sketch_hitters(sketch: DataFrame, size_threshold: int, count_threshold: int) -> DataFrame:
     """(flow, value, type) of candidates whose best vote reaches the type's threshold."""
     threshold = F.when(F.col("type") == SIZE, size_threshold).otherwise(count_threshold)

@@ -24,6 +24,7 @@ from flowloom.operators.spread import (
     spread_register_table,
 )
 from flowloom.operators.votes import (
+    lone_flows,
     merge_sketches,
     sketch_hitters,
     sketch_query,
@@ -164,3 +165,14 @@ def test_registry(packets):
     )
     found = run_sketch("sums_test", packets, VOTE)
     assert found.count() == flows(packets).where(F.col("v") >= VOTE.size_threshold).count()
+
+
+def test_estimates_of_lone_flows_are_the_truth(packets):
+    truth = packets.groupBy(F.col("dst_ip").alias("flow")).agg(
+        F.count("*").alias("n"), F.sum("length").alias("b")
+    )
+    lone = lone_flows(truth.select("flow"), 256, 2)
+    merged = merge_sketches(vote_sketch(packets, ["DstIP"], 256, 2))
+    rows = sketch_query(merged, truth.join(lone, "flow", "left_semi")).collect()
+    assert 0 < len(rows) < truth.count()
+    assert all((row.packet_count, row.byte_count) == (row.n, row.b) for row in rows)
