@@ -5,8 +5,10 @@ candidate x the extra coordinate sqrt(M^2 - |x|^2), and a query 0, makes the squ
 distance of the two |q|^2 + M^2 - 2 q.x, so the largest products are the nearest
 neighbours in a metric space. Distances to a fixed set of pivots are stored for every
 candidate; for a query, the largest difference of its own and a candidate's distances to a
-pivot bounds their distance from below. Candidates are evaluated in the order of that
-bound until it shows that no other one can reach the k-th best product found.
+pivot bounds their distance from below. The candidates nearest to one pivot form a cell, whose
+least and largest distances bound those of all its members. Cells are evaluated in the order
+of that bound, for a block of queries at a time, unless it shows that none of their members
+can reach the k-th best product found.
 
 Candidates are dealt into groups of a bounded number of rows, and each group meets the
 queries block by block, in one shuffle. A task holds one group and one block. The best k of
@@ -26,7 +28,7 @@ from flowloom.llm.texts import arrow_schema
 # Candidates of a group, queries of a block, and candidates evaluated at a time.
 GROUP = 16_384
 BLOCK = 256
-STEP = 64
+STEP = 512
 # The pivots are rows of a sample of this many vectors, picked to lie far apart.
 PIVOTS = 48
 PIVOT_SAMPLE = 2_000
@@ -61,7 +63,11 @@ def far_apart(sample, count: int):
 
 
 class PivotTable:
-    """The candidates of a group with their distances to the pivots."""
+    """The candidates of a group in cells around the pivots.
+
+    A cell holds at most `STEP` candidates that are nearest to one pivot and lie about as far
+    from it, and keeps the least and the largest of their distances to every pivot.
+    """
 
     def __init__(self, ids, vectors, pivots, longest: int):
         import numpy as np
@@ -71,7 +77,17 @@ class PivotTable:
         extra = np.sqrt(np.maximum(longest - squared, 0.0))
         self.pivots = pivots.astype(np.float64)
         self.pivot_extra = np.sqrt(np.maximum(longest - (self.pivots**2).sum(axis=1), 0.0))
-        self.distances = self._to_pivots(vectors, squared, extra)
+        distances = self._to_pivots(vectors, squared, extra)
+        near = far = np.zeros(len(ids))
+        if len(self.pivots):
+            near, far = distances.argmin(axis=1), distances.min(axis=1)
+        order = np.lexsort((far, near))
+        around = np.split(order, np.flatnonzero(np.diff(near[order])) + 1)
+        self.cells = [
+            cell[start : start + STEP] for cell in around for start in range(0, len(cell), STEP)
+        ]
+        self.least = [distances[cell].min(axis=0) for cell in self.cells]
+        self.most = [distances[cell].max(axis=0) for cell in self.cells]
 
     def _to_pivots(self, vectors, squared, extra):
         import numpy as np
@@ -80,28 +96,67 @@ class PivotTable:
         products = vectors.astype(np.float64) @ self.pivots.T + np.outer(extra, self.pivot_extra)
         return np.sqrt(np.maximum((squared + extra**2)[:, None] + of_pivots - 2 * products, 0.0))
 
+    def _bounds(self, queries, squared):
+        """Largest product that a cell allows each query, a column per cell."""
+        import numpy as np
+
+        own = self._to_pivots(queries, squared, np.zeros(len(queries)))
+        nearest = np.zeros((len(queries), len(self.cells)))
+        for cell in range(len(self.cells) if len(self.pivots) else 0):
+            gap = np.maximum(own - self.most[cell], self.least[cell] - own).max(axis=1)
+            nearest[:, cell] = np.maximum(gap, 0.0)
+        whole = (squared + self.longest)[:, None]
+        # The slack covers rounding of square roots.
+        return (whole - nearest**2) / 2 + 1e-9 * whole + 1e-3
+
     def search(self, query_id: int, query, k: int) -> list[tuple[int, int]]:
-        """(candidate, product) of the k best, ties to the smaller candidate."""
+        """(candidate, product) of the k best of one query, ties to the smaller candidate."""
+        import numpy as np
+
+        _, ids, products = self.search_all(np.array([query_id]), query[None, :], k)
+        return list(zip(ids.tolist(), products.tolist(), strict=True))
+
+    def search_all(self, query_ids, queries, k: int) -> tuple:
+        """(places of queries, candidates, products): the k best of each, ties to the smaller.
+
+        Cells are taken in the order of the most that they allow any query. A query takes part
+        while the bound of the cell reaches its k-th best product.
+        """
         import numpy as np
 
-        squared = float((query.astype(np.float64) ** 2).sum())
-        own = self._to_pivots(query[None, :], np.array([squared]), np.zeros(1))[0]
-        bound = np.abs(self.distances - own).max(axis=1) if len(own) else np.zeros(len(self.ids))
-        # Largest product the bound allows. The slack covers rounding of square roots.
-        most = (squared + self.longest - bound**2) / 2
-        most += 1e-9 * (squared + self.longest) + 1e-3
-        order = np.argsort(-most, kind="stable")
-        best: list[tuple[int, int]] = []
-        for start in range(0, len(order), STEP):
-            at = order[start : start + STEP]
-            if len(best) == k and most[at[0]] < best[-1][0]:
-                break
-            products = self.vectors[at] @ query
-            ids = self.ids[at]
-            other = ids != query_id
-            found = zip(products[other].tolist(), ids[other].tolist(), strict=True)
-            best = sorted([*best, *found], key=lambda x: (-x[0], x[1]))[:k]
-        return [(candidate, product) for product, candidate in best]
+        squared = (queries.astype(np.float64) ** 2).sum(axis=1)
+        bounds = self._bounds(queries, squared)
+        # No sum of products exceeds the product of the lengths, so below 2^53 floats are exact.
+        exact = np.sqrt(squared.max(initial=0.0) * self.longest) < 2**52
+        kind = np.float64 if exact else np.int64
+        asked, lowest = queries.astype(kind), np.iinfo(np.int64).min
+        kth = np.full(len(queries), lowest)
+        none = np.zeros(0, dtype=np.int64)
+        places, ids, products = none, none, none
+        for cell in np.argsort(-bounds.max(axis=0, initial=-np.inf), kind="stable").tolist():
+            rows = np.flatnonzero((kth == lowest) | (bounds[:, cell] >= kth))
+            if not len(rows):
+                continue
+            at = self.cells[cell]
+            found = (asked[rows] @ self.vectors[at].astype(kind).T).astype(np.int64)
+            own = query_ids[rows][:, None] == self.ids[at]
+            found[own] = lowest
+            reach = kth[rows]
+            if len(at) > k:
+                reach = np.maximum(reach, np.partition(found, -k, axis=1)[:, -k])
+            row, column = np.nonzero((found >= reach[:, None]) & ~own)
+            places = np.concatenate([places, rows[row]])
+            ids = np.concatenate([ids, self.ids[at[column]]])
+            products = np.concatenate([products, found[row, column]])
+            order = np.lexsort((ids, -products, places))
+            places, ids, products = places[order], ids[order], products[order]
+            firsts = np.flatnonzero(np.diff(places, prepend=-1))
+            rank = np.arange(len(places)) - np.repeat(firsts, np.diff(firsts, append=len(places)))
+            last = rank == k - 1
+            kth[places[last]] = products[last]
+            kept = rank < k
+            places, ids, products = places[kept], ids[kept], products[kept]
+        return places, ids, products
 
 
 def exact_top_k(
@@ -163,14 +218,9 @@ def exact_top_k(
 
         def answer(queries_batch) -> pa.RecordBatch:
             ids, vectors = rows_of(queries_batch)
-            found = [
-                (query, candidate, product)
-                for query, values in zip(ids.tolist(), vectors, strict=True)
-                for candidate, product in indexed.search(query, values, k)
-            ]
-            columns = list(zip(*found, strict=True)) or [[], [], []]
+            places, found, products = indexed.search_all(ids, vectors, k)
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, type=pa.int64()) for c in columns], schema=schema
+                [pa.array(c, type=pa.int64()) for c in (ids[places], found, products)], schema=schema
             )
 
         for batch in batches:

@@ -75,6 +75,33 @@ def test_bounds_end_the_search_early():
     assert Counted.rows < 10 * 3000 / 2
 
 
+def test_a_block_of_queries_gathers_each_candidate_once():
+    chosen = np.random.default_rng(14)
+    vectors = chosen.integers(-300, 300, size=(4000, 16))
+    vectors[2000:2040] = vectors[0]  # ties
+    ids = chosen.permutation(4000)
+    for scale in (1, 1 << 17):  # the larger products are beyond the exact floats
+        scaled = vectors * scale
+        longest = float((scaled.astype(float) ** 2).sum(axis=1).max())
+        table = PivotTable(ids, scaled, far_apart(scaled[:500].astype(float), 24), longest)
+        gathered = []
+
+        class Counted(np.ndarray):
+            def __getitem__(self, at):
+                gathered.append(len(at))
+                return np.asarray(super().__getitem__(at))
+
+        table.vectors = scaled.view(Counted)
+        asked = np.flatnonzero(ids % 20 == 0)
+        places, found, products = table.search_all(ids[asked], scaled[asked], 5)
+        for place, q in enumerate(asked.tolist()):
+            scores = zip((-(scaled @ scaled[q])).tolist(), ids.tolist(), strict=True)
+            expected = sorted(pair for pair in scores if pair[1] != ids[q])[:5]
+            mine = places == place
+            assert list(zip((-products[mine]).tolist(), found[mine].tolist(), strict=True)) == expected
+        assert sum(gathered) <= len(vectors)
+
+
 def test_pivots_are_distinct():
     sample = np.array([[0.0, 0.0], [1.0, 0.0], [1.0, 0.0]])
     assert len(far_apart(sample, 5)) == 2
