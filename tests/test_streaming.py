@@ -117,6 +117,18 @@ def test_late_packets_are_dropped_and_counted(spark, arrivals, tmp_path):
     assert newest.agg(F.sum("n")).first()[0] == on_time.count()
 
 
+def test_state_is_looked_up_once_per_row(spark, arrivals, tmp_path):
+    _, folder, arrive = arrivals
+    arrive("early")
+    query = stream_snapshots(
+        packets_stream(spark, folder), TASK, DAY, LONG, str(tmp_path / "table"),
+        str(tmp_path / "cp"), origin=ORIGIN, lateness=DAY,
+    )
+    query.awaitTermination()
+    (state,) = query.recentProgress[0]["stateOperators"]
+    assert 0 < state["customMetrics"]["rocksdbGetCount"] <= state["numRowsUpdated"]
+
+
 def test_hitters_equal_batch(spark, arrivals, tmp_path):
     packets, folder, arrive = arrivals
     arrive("early")
