@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowloom.functions.keys import flow_label
@@ -117,6 +118,30 @@ def heavy_hitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hitters.unionByName(spreads)
 
 
+def true_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(snapshot_ts, flow, spread): destinations of a source so far, where it has packets.
+
+    A destination counts from the first snapshot of the period that covers it, so the spread
+    is a running sum over the snapshots of a period.
+    """
+    timed = with_snapshot_times(event_packets(spark, sf_dir), "ts", DAY, PERIOD, ORIGIN)
+    fresh = (
+        timed.groupBy("period_start", "src_ip", "dst_ip")
+        .agg(F.min("snapshot_ts").alias("snapshot_ts"))
+        .groupBy("period_start", "src_ip", "snapshot_ts")
+        .agg(F.count(F.lit(1)).alias("fresh"))
+    )
+    seen = timed.select("period_start", "src_ip", "snapshot_ts").distinct()
+    so_far = (
+        W.partitionBy("period_start", "src_ip")
+        .orderBy("snapshot_ts")
+        .rowsBetween(W.unboundedPreceding, W.currentRow)
+    )
+    return seen.join(fresh, ["period_start", "src_ip", "snapshot_ts"], "left").select(
+        "snapshot_ts", F.col("src_ip").alias("flow"), F.sum("fresh").over(so_far).alias("spread")
+    )
+
+
 # The same tables as common table expressions after `p`.
 TICKS = (
     "t AS (SELECT *, date_trunc('day', ts) + INTERVAL 1 DAY AS snapshot_ts, "

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowloom.model import rules_frame
-from flowloom.operators.snapshots import latest_per_flow, with_snapshot_times
+from flowloom.operators.snapshots import latest_per_flow
 from flowloom.session import shared_dir
 from flowloom.sinks.tables import heavy_hitters_scan, write_heavy_hitters
 from flowloom.sources.packets import packets_scan, packets_stream
@@ -37,6 +37,7 @@ from registered.presets import (
     TICKS,
     VOTE,
     heavy_hitters,
+    true_spreads,
 )
 from registered.views import (
     DAY,
@@ -65,11 +66,19 @@ def _drained(spark, packets, tasks, period, start=stream_snapshots, lateness=LON
     return path
 
 
+# Packets of a file of an arrival, about; a task reads one such file.
+ARRIVAL_ROWS = 250_000
+
+
 def _arrivals(spark, sf_dir):
-    """The packets as files of three arrivals, each with some packets of every day."""
-    folder = shared_dir(spark, "arrivals")
-    event_packets(spark, sf_dir).repartition(3, "event_id").write.parquet(folder)
-    return packets_stream(spark, folder, maxFilesPerTrigger=1)
+    """The packets as files of three arrivals, each with some packets of every day.
+
+    An arrival has files in proportion to its packets, so that more tasks read more of them.
+    """
+    folder, packets = shared_dir(spark, "arrivals"), event_packets(spark, sf_dir)
+    files = max(1, -(-packets.count() // (3 * ARRIVAL_ROWS)))
+    packets.repartition(3 * files, "event_id").write.parquet(folder)
+    return packets_stream(spark, folder, maxFilesPerTrigger=files)
 
 
 def closing(rows, keys):
@@ -210,17 +219,7 @@ def _(spark, sf_dir):
     task = replace(SPREADERS, count_threshold=1, m=4096)
     path = _drained(spark, _arrivals(spark, sf_dir), task, PERIOD, stream_spread)
     rows = streamed_spreads(spark, path, task)
-    timed = with_snapshot_times(event_packets(spark, sf_dir), "ts", DAY, PERIOD, ORIGIN)
-    first = timed.groupBy("period_start", "src_ip", "dst_ip").agg(
-        F.min("snapshot_ts").alias("since")
-    )
-    ticks = timed.select("period_start", "snapshot_ts", "src_ip").distinct()
-    truth = (
-        ticks.join(first, ["period_start", "src_ip"])
-        .where("since <= snapshot_ts")
-        .groupBy("snapshot_ts", F.col("src_ip").alias("flow"))
-        .agg(F.count(F.lit(1)).alias("spread"))
-    )
+    truth = true_spreads(spark, sf_dir)
     off = F.abs(F.col("value") - F.col("spread")) / F.col("spread")
     return rows.join(truth, ["snapshot_ts", "flow"]).agg(
         F.count(F.lit(1)).alias("row_count"), F.count_if(off > 0.08).alias("far_off")

@@ -28,6 +28,7 @@ from flowloom.streaming.flows import (
     streamed_hitters,
     streamed_snapshots,
 )
+from registered import streams
 from registered.presets import VOTE
 from registered.views import DAY, ORIGIN, event_packets
 
@@ -129,6 +130,25 @@ def test_state_is_looked_up_once_per_row(spark, arrivals, tmp_path):
     assert 0 < state["customMetrics"]["rocksdbGetCount"] <= state["numRowsUpdated"]
 
 
+def test_files_of_an_arrival_follow_its_packets(spark, sf_dir, tmp_path, monkeypatch):
+    folder = tmp_path / "arrivals"
+    monkeypatch.setattr(streams, "shared_dir", lambda *_: str(folder))
+    monkeypatch.setattr(streams, "ARRIVAL_ROWS", 100)
+    stream = streams._arrivals(spark, sf_dir)
+    count = event_packets(spark, sf_dir).count()
+    assert len(list(folder.glob("*.parquet"))) == 3 * -(-count // 300) > 3
+    monkeypatch.undo()
+    query = stream_snapshots(
+        stream, TASK, DAY, LONG, str(tmp_path / "table"), str(tmp_path / "cp"), origin=ORIGIN,
+        lateness=LONG,
+    )
+    query.awaitTermination()
+    filled = [progress["numInputRows"] > 0 for progress in query.recentProgress]
+    assert filled.count(True) == 3
+    newest = latest_per_flow(streamed_snapshots(spark, str(tmp_path / "table")))
+    assert newest.agg(F.sum("packet_count")).first()[0] == count
+
+
 def test_hitters_equal_batch(spark, arrivals, tmp_path):
     packets, folder, arrive = arrivals
     arrive("early")
