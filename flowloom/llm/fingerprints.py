@@ -1,11 +1,18 @@
 """Document fingerprints by consistent weighted sampling.
 
 The terms of a text are its words in lower case, each weighted by the characters it covers
-in all (occurrences times length). For every sample, a term draws r and c from Gamma(2, 1)
-and b from the unit interval, all fixed by the term and the number of the sample. With
-t = floor(ln(weight) / r + b) its value is ln(c) - r * (t - b + 1), and the term of the
-smallest value is drawn. Two texts draw the same (term, t) with the probability of their
-generalised Jaccard similarity, the sum of the smaller over that of the larger weights.
+in all (occurrences times length). A term of weight w has the units 0 to w - 1. Darts hit
+every unit in a Poisson process of rate one, fixed by the term and the number of the unit,
+and each dart hits one of the samples at random. The earliest dart on any unit of a text is
+the draw of a sample. Its (term, unit) is uniform over the weight of the text, and stays the
+draw of any text of smaller weights that still has that unit. So two texts draw the same
+with the probability of their generalised Jaccard similarity, the sum of the smaller over
+that of the larger weights.
+
+No more darts are thrown than it takes to hit every sample: up to a time that follows from
+the weight of the text, later if a sample is left over. That is a number of darts that follows
+from the samples alone, and one random number for each character, instead of the numbers of
+all terms for all samples.
 
 A fingerprint keeps 16 bits of each draw, so unlike draws agree once in 65,536.
 """
@@ -13,7 +20,7 @@ A fingerprint keeps 16 bits of each draw, so unlike draws agree once in 65,536.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,10 +30,10 @@ from flowloom.llm.texts import arrow_schema, strings
 
 SAMPLES = 128
 SEED = 20_240_131
-# Weighted terms in each of the two tables of a task, and terms compared at a time.
-REMEMBERED = 200_000
-TERMS = 4096
-FRESH = 64
+# Darts thrown for each sample at first; a text misses any of 128 samples once in 23.
+DARTS = 8
+# Units worked on at a time.
+UNITS = 1 << 15
 # Documents of a run, as long as no more runs than the second number are needed.
 RUN = 4096
 MOST_RUNS = 100_000
@@ -37,12 +44,10 @@ PIECE = 1 << 20
 Term = str | tuple[str, int]
 
 
-def weighted_words(text: str) -> list[Term]:
-    """The lower-case words of a text, cut at white space, each with how often it occurs.
-
-    A word that occurs once stands for itself. The weight of a word is its occurrences
-    times its length.
-    """
+def word_counts(text: str) -> Counter[str]:
+    """How often each lower-case word of a text occurs, cut at white space."""
+    if len(text) <= PIECE:
+        return Counter(text.lower().split())
     counts: Counter[str] = Counter()
     start = 0
     while start < len(text):
@@ -51,159 +56,174 @@ def weighted_words(text: str) -> list[Term]:
             end += 1
         counts.update(text[start:end].lower().split())
         start = end
-    return [word if n == 1 else (word, n) for word, n in counts.items()]
+    return counts
+
+
+def weighted_words(text: str) -> list[Term]:
+    """The lower-case words of a text, cut at white space, each with how often it occurs.
+
+    A word that occurs once stands for itself. The weight of a word is its occurrences
+    times its length.
+    """
+    return [word if n == 1 else (word, n) for word, n in word_counts(text).items()]
 
 
 class WeightedSampler:
     """Signatures of weighted terms: one 16-bit draw per sample.
 
-    The values of a weighted term are remembered in two tables. When the newer one is
-    full it becomes the older, from which terms that come up again are taken over.
+    Nothing is kept from one text for the next, so `remembered` has no effect any more; it
+    is still taken from callers that bound what a sampler may remember.
     """
 
-    def __init__(self, samples: int = SAMPLES, seed: int = SEED, remembered: int = REMEMBERED):
-        import numpy as np
+    # An odd number without pattern (the golden ratio), and a sample that no dart has hit.
+    STEP = 0x9E3779B97F4A7C15
+    MISSED = 2**64 - 1
 
-        self.samples, self.size = samples, remembered
-        numbers = np.arange(4 * samples, dtype=np.uint32) + np.uint32(seed)
-        self.offsets = self._scramble(numbers, np.uint32(0)).reshape(4, 1, samples)
-        self.room = (
-            np.empty((4, FRESH, samples), dtype=np.uint32),
-            np.empty((4, FRESH, samples), dtype=np.uint32),
-            np.empty((5, FRESH, samples), dtype=np.float32),
-        )
-        self.new, self.old = self._table(), self._table(0)
-
-    def _table(self, size: int | None = None) -> tuple:
+    def __init__(self, samples: int = SAMPLES, seed: int = SEED, remembered: int | None = None):
         import numpy as np
 
-        shape = (self.size if size is None else size, self.samples)
-        return {}, np.empty(shape, dtype=np.float32), np.empty(shape, dtype=np.uint16)
+        self.samples, self.seed = samples, seed
+        self.steps = np.arange(UNITS, dtype=np.uint64) * np.uint64(self.STEP)
 
-    @classmethod
-    def _mix(cls, x, shifted, other) -> None:
-        """`_scramble` of an array in place; `shifted` is room of its shape."""
+    @staticmethod
+    def _mix(x, shifted=None):
+        """Mixes 64-bit integers in place (the finaliser of SplitMix64); `shifted` is room."""
         import numpy as np
 
-        x ^= np.right_shift(x, np.uint32(16), out=shifted)
-        x *= np.uint32(0x85EBCA6B)
-        x ^= other
-        x ^= np.right_shift(x, np.uint32(13), out=shifted)
-        x *= np.uint32(0xC2B2AE35)
-        x ^= np.right_shift(x, np.uint32(16), out=shifted)
+        shifted = np.right_shift(x, np.uint64(30), out=shifted)
+        x ^= shifted
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= np.right_shift(x, np.uint64(27), out=shifted)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= np.right_shift(x, np.uint64(31), out=shifted)
+        return x
 
     @staticmethod
-    def _scramble(x, other):
-        """Mixes two 32-bit integers (the finaliser of MurmurHash3, with one more input)."""
+    def _waits(x):
+        """Exponential variates from the upper 44 bits of random numbers."""
         import numpy as np
 
-        x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
-        x = x ^ other
-        x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-        return x ^ (x >> np.uint32(16))
+        waits = (x >> np.uint64(20)).astype(np.float64)
+        waits *= -(2.0**-44)
+        np.log1p(waits, out=waits)
+        return np.negative(waits, out=waits)
+
+    def _throw(self, best, hashed, weights, owner, reach) -> None:
+        """Throws the darts of terms up to the time `reach` of their owners.
 
-    def sample(self, terms: list[Term]) -> tuple:
-        """Values and draws of at most `FRESH` weighted terms: a row each, a column per sample."""
+        Time runs by darts on a unit, whichever samples they hit. It is cut into blocks of
+        length one, and the darts of a unit in a block are fixed by term, block and unit, so
+        that light texts, which need many darts from each unit, have many blocks to work on
+        at once. `best` has the earliest dart of each owner and sample: the bits of its time,
+        the last 16 of them taken by the draw.
+        """
         import numpy as np
-        import xxhash
 
-        pairs = [(term, 1) if isinstance(term, str) else term for term in terms]
-        hashed = np.array([xxhash.xxh3_64_intdigest(word) for word, _ in pairs], dtype=np.uint64)
-        weights = np.array([n * len(word) for word, n in pairs], dtype=np.float32)
-        low = hashed.astype(np.uint32)[:, None]
-        high = (hashed >> np.uint64(32)).astype(np.uint32)[:, None]
-
-        # Four uniform numbers of 24 bits a sample, and one of the eight bits that each leaves.
-        # All is worked on in place, in arrays that stay in the processor's cache.
-        bits, shifted, numbers = (room[:, : len(terms)] for room in self.room)
-        np.bitwise_xor(low, self.offsets, out=bits)
-        self._mix(bits, shifted, high)
-        rest = shifted[0]
-        np.bitwise_and(bits, np.uint32(255), out=shifted)
-        for i in range(1, 4):
-            rest <<= np.uint32(8)
-            rest |= shifted[i]
-        rest >>= np.uint32(8)
-        bits >>= np.uint32(8)
-        numbers[:4] = bits
-        numbers[4] = rest
-        numbers += np.float32(0.5)
-        numbers *= np.float32(2**-24)
-        uniform = numbers
-        # A Gamma(2, 1) variate is the sum of two exponential ones.
-        r, c, b = uniform[0], uniform[2], uniform[4]  # views
-        r *= uniform[1]
-        c *= uniform[3]
-        np.log(r, out=r)
-        np.negative(r, out=r)
-        np.log(c, out=c)
-        np.negative(c, out=c)
-        t = np.log(weights)[:, None] / r
-        t += b
-        np.floor(t, out=t)
-        values = t - b
-        values += np.float32(1)
-        values *= r
-        np.subtract(np.log(c, out=c), values, out=values)
-        # t may be as large as the logarithm of a weight over a very small r.
-        steps = np.clip(t, -(2.0**31), 2.0**31 - 256, out=t).astype(np.int32).view(np.uint32)
-        steps *= np.uint32(0x9E3779B1)
-        steps ^= low
-        self._mix(steps, shifted[0], high)
-        steps >>= np.uint32(16)
-        draws = steps.astype(np.uint16)
-        # 0 is the draw of a text without terms.
-        draws[draws == 0] = 1
-        return values, draws
-
-    def _row_numbers(self, terms: list[Term]) -> list[int]:
-        """Rows of the newer table that hold the terms, at most as many as it has rows."""
-        if len(self.new[0]) + len(terms) > self.size:
-            # The arrays of the older table are used again.
-            spare = self.old[1:] if len(self.old[1]) else self._table()[1:]
-            self.old, self.new = self.new, ({}, *spare)
-        (rows, values, draws), (old_rows, old_values, old_draws) = self.new, self.old
-        found = list(map(rows.get, terms))
-        if None not in found:
-            return found
-        missing = [i for i, at in enumerate(found) if at is None]
-        unknown = [terms[i] for i in missing]
-        again = [term for term in unknown if term in old_rows]
-        fresh = [term for term in unknown if term not in old_rows] if again else unknown
-        if again:
-            place = slice(len(rows), len(rows) + len(again))
-            at = [old_rows[term] for term in again]
-            values[place], draws[place] = old_values[at], old_draws[at]
-            rows.update(zip(again, range(place.start, place.stop), strict=True))
-        # Small blocks, whose arrays stay in the processor's cache.
-        for at in range(0, len(fresh), FRESH):
-            block = fresh[at : at + FRESH]
-            place = slice(len(rows), len(rows) + len(block))
-            values[place], draws[place] = self.sample(block)
-            rows.update(zip(block, range(place.start, place.stop), strict=True))
-        for i in missing:
-            found[i] = rows[terms[i]]
-        return found
+        blocks = np.ceil(reach).astype(np.int64)[owner]
+        terms = np.repeat(np.arange(len(owner)), blocks)
+        block = np.arange(len(terms)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        owner, weights = owner[terms], weights[terms]
+        seeds = block.astype(np.uint64)
+        seeds *= np.uint64(self.STEP)
+        seeds += hashed[terms]
+        self._mix(seeds)
+        until = np.minimum(reach, 1.0)[owner]
+        # The first darts of units below this random number come in time.
+        bound = np.ceil(-np.expm1(-until) * 2.0**63).astype(np.uint64) * np.uint64(2)
+        ends = np.cumsum(weights)
+        starts = ends - weights
+        seeds -= starts.astype(np.uint64) * np.uint64(self.STEP)
+        room = np.empty(UNITS, dtype=np.uint64)
+        for low in range(0, int(ends[-1]), UNITS):
+            high = min(low + UNITS, int(ends[-1]))
+            first = int(np.searchsorted(ends, low, "right"))
+            last = int(np.searchsorted(starts, high, "left"))
+            counts = np.minimum(ends[first:last], high) - np.maximum(starts[first:last], low)
+            x = np.repeat(seeds[first:last], counts)
+            x += self.steps[: high - low]
+            x += np.uint64(low * self.STEP % 2**64)
+            self._mix(x, room[: high - low])
+            near = np.flatnonzero(x < np.repeat(bound[first:last], counts))
+            x = x[near]
+            row = np.repeat(np.arange(first, last), counts)[near]
+            into, begin, limit = owner[row] * self.samples, block[row], until[row]
+            time = self._waits(x)
+            while len(x):
+                at = (x & np.uint64(0xFFFFF)) * np.uint64(self.samples) >> np.uint64(20)
+                draw = x >> np.uint64(20)
+                draw &= np.uint64(0xFFFF)
+                # 0 is the draw of a text without terms.
+                draw[draw == 0] = 1
+                dart = (begin + time).view(np.uint64)
+                dart &= np.uint64(2**64 - 2**16)
+                dart |= draw
+                np.minimum.at(best, into + at.astype(np.int64), dart)
+                x += np.uint64(self.STEP)
+                self._mix(x)
+                time += self._waits(x)
+                more = np.flatnonzero(time < limit)
+                x, time, into = x[more], time[more], into[more]
+                begin, limit = begin[more], limit[more]
+
+    def _draws(self, words: list[str], counts: list[int], sizes: list[int]):
+        """Draws of texts, from their distinct words one text after the other."""
+        import numpy as np
+        from xxhash import xxh3_64_intdigest
+
+        hashed = np.fromiter(map(xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+        hashed ^= np.uint64(self.seed)
+        weights = np.array(counts, dtype=np.int64)
+        weights *= np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        whole = np.bincount(owner, weights, minlength=len(sizes))
+        best = np.full(len(sizes) * self.samples, self.MISSED, dtype=np.uint64)
+        reach = DARTS * self.samples / np.maximum(whole, 1)
+        # No dart hits a term without weight.
+        kept = weights > 0
+        hashed, weights, owner = hashed[kept], weights[kept], owner[kept]
+        while len(owner):
+            self._throw(best, hashed, weights, owner, reach)
+            missed = (best.reshape(len(sizes), -1) == np.uint64(self.MISSED)).any(axis=1)
+            # All darts of texts with a sample left over are thrown again, for twice the time.
+            kept = missed[owner]
+            hashed, weights, owner = hashed[kept], weights[kept], owner[kept]
+            reach *= 2
+        best[best == np.uint64(self.MISSED)] = 0
+        return best.astype(np.uint16).reshape(len(sizes), -1)
+
+    def _signatures(self, texts: Iterable[dict[str, int]]):
+        """Draws of texts given as their words with occurrences: a row each."""
+        import numpy as np
+
+        found = [np.empty((0, self.samples), dtype=np.uint16)]
+        words: list[str] = []
+        counts: list[int] = []
+        sizes: list[int] = []
+        work = 0
+        for text in texts:
+            words.extend(text)
+            counts.extend(text.values())
+            sizes.append(len(text))
+            # Words have six characters or so; light texts take as many darts as others.
+            work += max(6 * len(text), DARTS * self.samples)
+            if work >= UNITS:
+                found.append(self._draws(words, counts, sizes))
+                words, counts, sizes, work = [], [], [], 0
+        if sizes:
+            found.append(self._draws(words, counts, sizes))
+        return np.concatenate(found)
 
     def signature(self, terms: list[Term]):
         """The draws of distinct terms; all 0 without terms."""
-        import numpy as np
+        pairs = [(term, 1) if isinstance(term, str) else term for term in terms]
+        return self._signatures([dict(pairs)])[0]
 
-        best = np.full(self.samples, np.inf, dtype=np.float32)
-        drawn = np.zeros(self.samples, dtype=np.uint16)
-        columns = np.arange(self.samples)
-        for start in range(0, len(terms), TERMS):
-            at = np.array(self._row_numbers(terms[start : start + TERMS]))
-            values = self.new[1][at]
-            least = values.argmin(axis=0)
-            found = values[least, columns]
-            better = found < best
-            best = np.where(better, found, best)
-            drawn = np.where(better, self.new[2][at[least], columns], drawn)
-        return drawn
+    def of_texts(self, texts: Iterable[str]):
+        """The signatures of texts, a row each."""
+        return self._signatures(map(word_counts, texts))
 
     def of_text(self, text: str):
-        return self.signature(weighted_words(text))
+        return self.of_texts([text])[0]
 
 
 def as_text(signature) -> str:
@@ -230,7 +250,7 @@ def fingerprints(docs: DataFrame, *, text: str = "text", into: str = "fingerprin
         sampler = WeightedSampler()
         for batch in batches:
             texts = strings(batch.column(batch.schema.get_field_index(text)))
-            found = pa.array([as_text(sampler.of_text(x)) for x in texts], pa.string())
+            found = pa.array(list(map(as_text, sampler.of_texts(texts))), pa.string())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, found], names=[*batch.schema.names, into]
             )
@@ -320,36 +340,51 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         sampler = WeightedSampler()
         waiting = None  # the document before, with its signature
         for batch in batches:
-            out = []
-            names = ("run", "guest", "doc_id", "text")
-            for run, guest, doc_id, text in zip(
-                *(batch.column(name).to_pylist() for name in names), strict=True
-            ):
-                if guest and waiting is None:
-                    continue  # more rows with the id that closes a run
-                own = sampler.of_text(text)
+            names = ("guest", "doc_id", "text")
+            rows = []
+            last = waiting is None
+            for row in zip(*(batch.column(name).to_pylist() for name in names), strict=True):
+                # After the guest come more rows with the id that closes a run.
+                if not (row[0] and last):
+                    rows.append(row)
+                    last = row[0]
+            signatures = sampler.of_texts(text for _, _, text in rows)
+            pairs = []
+            for (guest, doc_id, text), own in zip(rows, signatures, strict=True):
                 if waiting is not None:
-                    before, old, signature = waiting
+                    pairs.append((*waiting, text, own))
+                waiting = None if guest else (doc_id, text, own)
+            if not pairs:
+                continue
+            digests = []
+
+            def edited_texts(pairs=pairs, digests=digests) -> Iterator[str]:
+                for _, old, _, text, _ in pairs:
                     replaced = len(old) // 3
                     edited = old[: len(old) - replaced] + text[:replaced]
-                    new = sampler.of_text(edited)
-                    out.append(
-                        (
-                            before,
-                            len(old),
-                            hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(),
-                            as_text(signature),
-                            as_text(new),
-                            likeness(signature, new),
-                            likeness(signature, own),
-                        )
+                    digests.append(
+                        hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
                     )
-                waiting = None if guest else (doc_id, text, own)
-            if out:
-                columns = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)],
-                    schema=schema,
+                    yield edited
+
+            out = [
+                (
+                    doc_id,
+                    len(old),
+                    digest,
+                    as_text(signature),
+                    as_text(new),
+                    likeness(signature, new),
+                    likeness(signature, own),
                 )
+                for (doc_id, old, signature, _, own), new, digest in zip(
+                    pairs, sampler.of_texts(edited_texts()), digests, strict=True
+                )
+            ]
+            columns = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)],
+                schema=schema,
+            )
 
     return dealt.mapInArrow(compare, schema_ddl)

@@ -6,6 +6,9 @@ import random
 import pytest
 
 from flowloom.llm.fingerprints import (
+    DARTS,
+    SAMPLES,
+    UNITS,
     WeightedSampler,
     as_text,
     edited_fingerprints,
@@ -38,6 +41,53 @@ def test_forgetting_changes_nothing():
     assert all((small.of_text(x) == large.of_text(x)).all() for x in texts)
 
 
+def test_numbers_follow_characters_and_samples_not_their_product(monkeypatch):
+    random.seed(3)
+    texts = [
+        " ".join(f"{random.getrandbits(24):x}" for _ in range(random.randint(100, 400)))
+        for _ in range(50)
+    ]
+    mix, mixed = WeightedSampler._mix, []
+
+    def counted(x, *rest):
+        mixed.append(x.size)
+        return mix(x, *rest)
+
+    monkeypatch.setattr(WeightedSampler, "_mix", staticmethod(counted))
+    sampler = WeightedSampler()
+    for text in texts:
+        sampler.of_text(text)
+    # Twice as many, as blocks are whole, and some texts are worked on again.
+    assert sum(mixed) <= 2 * sum(2 * DARTS * SAMPLES + len(text) for text in texts)
+
+
+@pytest.mark.parametrize("size", [1, 3, 40, 400])
+def test_collisions_at_any_weight(size):
+    # The lighter text has more blocks of time than the other, or both have parts of one.
+    random.seed(size)
+    sampler = WeightedSampler(samples=4096)
+    for n in (2, 5, 40):
+        one = {f"{i:0{size}}": random.randint(1, 9) for i in range(n)}
+        other = {f"{i:0{size}}": random.randint(1, 30) for i in range(n // 2, n + n // 2)}
+        found = likeness(*(sampler.signature(list(x.items())) for x in (one, other)))
+        weights = ({word: n * len(word) for word, n in x.items()} for x in (one, other))
+        assert found == pytest.approx(jaccard(*weights), abs=0.04)
+
+
+def test_texts_together_are_as_alone():
+    random.seed(4)
+    texts = ["", " \n", "a", "a a", "\u00e9 b", "x" * (2 * UNITS + 5), "y " * UNITS + "z"]
+    texts += [" ".join(random.choices("abcdefgh", k=random.randint(0, 60))) for _ in range(300)]
+    sampler = WeightedSampler()
+    together = sampler.of_texts(iter(texts))
+    assert together.shape == (len(texts), SAMPLES)
+    for text, found in zip(texts, together, strict=True):
+        assert (found == sampler.of_text(text)).all()
+        assert (found > 0).all() if text.split() else not found.any()
+    assert sampler.of_texts([]).shape == (0, SAMPLES)
+    assert not sampler.signature([("", 3), ("a", 0)]).any()
+
+
 def test_weights_are_occurrences():
     assert sorted(map(str, weighted_words("A b a\nc"))) == ["('a', 2)", "b", "c"]
 
